@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when it has been counted and has no more rows than this (two longs a row: 16 MB).
 BROADCAST_ROWS = 1_000_000
-#: Rows of one Arrow batch; with texts of 100 KB a batch stays near 50 MB.
-ARROW_ROWS = 500
+#: Rows and bytes of one Arrow batch, whichever comes first.
+ARROW_ROWS, ARROW_BYTES = 4096, 8 << 20
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Bounds the Arrow batches of operators that ship whole texts to Python workers."""
+    """Bounds the Arrow batches of operators that ship whole texts or blocks to Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 
@@ -65,3 +67,17 @@ def components(edges: DataFrame) -> DataFrame:
         e = cut(both.select("s.u", "s.v").where("u <> v").distinct())
     return e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component_id")).unionAll(
         e.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least index of each of n nodes' components, from edges (a, b)."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new

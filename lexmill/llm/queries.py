@@ -4,19 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup_text
+from . import line_dedup, near_dup_text, near_dup_vectors, packing, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.op1(table(spark, sf_dir, "embeddings"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup_text.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES = {
-    "op6_minhash_near_dedup": op6_minhash_near_dedup,
-}
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup_vectors.op7(table(spark, sf_dir, "embeddings"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op8(table(spark, sf_dir, "documents"))
 
-ORACLES: dict[str, str] = {}
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.op10(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op6_minhash_near_dedup, op7_embedding_near_dedup, op8_packing, op10_line_dedup)}
+
+ORACLES: dict[str, str] = {
+    "op1_exact_top_k": topk.ORACLE,
+    "op7_embedding_near_dedup": near_dup_vectors.ORACLE,
+    "op10_line_dedup": line_dedup.ORACLE,
+}
