@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, near_dup_text, near_dup_vectors, packing, topk
+from . import chat, licenses, line_dedup, near_dup_text, near_dup_vectors, packing, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,14 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.op1(table(spark, sf_dir, "embeddings"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.op3(table(spark, sf_dir, "documents"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.op5(table(spark, sf_dir, "conversations"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup_text.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -31,10 +39,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op6_minhash_near_dedup, op7_embedding_near_dedup, op8_packing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op3_license_scan, op5_chat_format, op6_minhash_near_dedup, op7_embedding_near_dedup, op8_packing, op10_line_dedup)}
 
 ORACLES: dict[str, str] = {
     "op1_exact_top_k": topk.ORACLE,
+    "op3_license_scan": licenses.ORACLE,
+    "op5_chat_format": chat.ORACLE,
     "op7_embedding_near_dedup": near_dup_vectors.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
