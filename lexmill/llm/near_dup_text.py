@@ -6,8 +6,8 @@ buckets borrow the register of another one by a fixed random order. Bands of fiv
 collision-corrected estimate of the Jaccard similarity discards hopeless ones, and the full sets decide.
 
 Equal sets are one class from the start, so a group of copies costs one representative. In each band bucket members are
-first compared with its least member; only members that the components so found still keep apart are compared with one
-another, in blocks of bounded size, so that no bucket's pairs are all emitted.
+first compared with its least member; only buckets that the components so found still tear are compared within, on full
+sets in blocks of bounded size that return edges between components, so that no bucket's pairs are ever emitted.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, small, tuned
+from .common import components, cut, roots, small, tuned
 
 WORDS = 5
 BUCKETS = 128
@@ -28,7 +28,7 @@ MANTISSA = 10
 BAND = 5
 BANDS = BUCKETS // BAND
 #: Members of a band bucket that are compared in one block.
-BLOCK = 512
+BLOCK = 256
 #: Distinct words whose hashes a worker keeps.
 CACHE = 300_000
 #: Standard deviations that the estimate may lie below the threshold before a candidate is discarded.
@@ -178,61 +178,83 @@ def _verify(words: int, percent: int):
     return run
 
 
-def _block_pairs(percent: int):
-    """Rows sorted by group (key, bi, bj): plausible pairs of one block or between two, of different components."""
+def _sets(words: int):
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            sets = [shingles(t, hashes, words).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
+    return run
+
 
-    def compare(ids, comp, n, side, bi, bj, sig):
-        for lo in range(0, len(ids), 64):  # 64 rows against the block at a time: 64 * 1024 * 128 bytes
-            i = np.arange(lo, min(lo + 64, len(ids)))
-            right = (ids[None, :] > ids[i, None]) if bi == bj else ((side[None, :] == bj) & (side[i, None] == bi))
-            r, c = np.nonzero(right & (comp[None, :] != comp[i, None]))
-            r = i[r]
-            for s in range(0, len(r), 65536):
-                p, q = r[s : s + 65536], c[s : s + 65536]
-                keep = plausible((sig[p] == sig[q]).sum(axis=1), n[p], n[q], percent)
-                p, q = p[keep], q[keep]
-                yield np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q])
+def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Matrix of which sets are similar enough. Only hashes of two or more sets are counted, some columns at a time."""
+    size = np.array([len(s) for s in sets])
+    owner, flat = np.repeat(np.arange(len(sets)), size), np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    owner, flat = owner[order], flat[order]
+    new = np.concatenate(([True], flat[1:] != flat[:-1]))
+    col = np.cumsum(new) - 1
+    shared = np.bincount(col)[col] > 1
+    owner, col = owner[shared], np.unique(col[shared], return_inverse=True)[1]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    step = 4096
+    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, step):
+        a, b = np.searchsorted(col, (lo, lo + step))
+        x = np.zeros((len(sets), step), np.float32)
+        x[owner[a:b], col[a:b] - lo] = 1
+        both += x @ x.T
+    return (both > 0) & (100 * both.astype(np.float64) >= percent * (size[:, None] + size[None, :] - both))
+
+
+def _block_links(percent: int):
+    """Rows sorted by group (key, bi, bj): edges that join the components which links within a group connect."""
+    fields = ("key", "bi", "bj")
+
+    def done(table):
+        key, bi, bj = (table.column(k).to_numpy() for k in fields)
+        new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])])
+        comp, raw = table.column("comp").to_numpy(), table.column("set")
+        for x, y in zip(new, np.r_[new[1:], len(key)], strict=True):
+            c, at = np.unique(comp[x:y], return_inverse=True)
+            if len(c) > 1:
+                i, j = np.nonzero(np.triu(linked([np.frombuffer(s, np.uint64) for s in raw.slice(x, y - x).to_pylist()], percent), 1))
+                root = roots(len(c), at[i], at[j])
+                own = np.flatnonzero(root != np.arange(len(c)))
+                if len(own):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[own]), pa.array(c[root[own]])], ["a", "b"])
+
+    def place(batch, k):
+        return tuple(batch.column(c)[k].as_py() for c in fields)
 
     def run(batches):
         held: list[pa.RecordBatch] = []
-
-        def done(table):
-            key, bi, bj = (table.column(k).to_numpy() for k in ("key", "bi", "bj"))
-            new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])])
-            ids, comp, n, side = (table.column(k).to_numpy() for k in ("id", "comp", "n", "side"))
-            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, BUCKETS)
-            for x, y in zip(new, np.r_[new[1:], len(key)], strict=True):
-                if y - x > 1:
-                    for a, b in compare(ids[x:y], comp[x:y], n[x:y], side[x:y], bi[x], bj[x], sig[x:y]):
-                        if len(a):
-                            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        def last(batch):
-            k = [batch.column(c) for c in ("key", "bi", "bj")]
-            return tuple(c[-1].as_py() for c in k)
-
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
-            if tuple(batch.column(c)[0].as_py() for c in ("key", "bi", "bj")) == last(batch) == last(held[0]):
+            end = place(batch, batch.num_rows - 1)
+            if place(held[0], 0) == end:
                 continue  # still the same group
             table = pa.Table.from_batches(held)
-            end = last(batch)
-            cols = [table.column(c).to_numpy() for c in ("key", "bi", "bj")]
-            start = int(np.argmax((cols[0] == end[0]) & (cols[1] == end[1]) & (cols[2] == end[2])))
-            if start:
-                yield from done(table.slice(0, start))
+            inside = np.logical_and.reduce([table.column(c).to_numpy() == e for c, e in zip(fields, end, strict=True)])
+            start = int(inside.argmax())
+            yield from done(table.slice(0, start))
             held = table.slice(start).to_batches()
         if held:
             yield from done(pa.Table.from_batches(held))
     return run
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the ids named in the cut column need."""
+    return docs.select("id", "text").join(small(ids), F.col("id") == F.col("need"), "left_semi")
+
+
 def _links(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose full sets are similar enough. pairs is cut; texts are read for its ids only."""
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct())
-    texts = docs.select(F.col("id"), F.col("text")).join(small(ids), F.col("id") == F.col("need"), "left_semi")
+    texts = _texts(docs, ids)
     x, y = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "ta", "tb")
     return cut(both.mapInArrow(_verify(words, percent), "a long, b long").distinct())
@@ -276,13 +298,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     once = digest.groupBy("d", "m", "nb").agg(F.min("key").alias("key")).select("key")
     apart = apart.join(once, "key", "left_semi")
     side = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
-    blocks = (apart.withColumn("side", side).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-              .select("key", F.least("side", "o").alias("bi"), F.greatest("side", "o").alias("bj"), "id", "comp", "side"))
-    blocks = (blocks.join(rep_sig, "id").select("key", "bi", "bj", "id", "comp", "n", "side", "sig")
-              .repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj"))
-    more = cut(blocks.mapInArrow(_block_pairs(percent), "a long, b long").distinct().join(star.select("a", "b"), ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        extra = _links(docs, more, words, percent)
+    apart = cut(apart.withColumn("side", side))
+    sets = _texts(docs, cut(apart.select(F.col("id").alias("need")).distinct())).dropDuplicates(["id"]).mapInArrow(_sets(words), "id long, set binary")
+    blocks = (apart.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+              .select("key", F.least("side", "o").alias("bi"), F.greatest("side", "o").alias("bj"), "id", "comp"))
+    blocks = blocks.join(sets, "id").select("key", "bi", "bj", "comp", "set").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    extra = cut(blocks.mapInArrow(_block_links(percent), "a long, b long").distinct())
+    if extra.limit(1).count():
         comp = cut(components(extra.unionAll(comp.select(F.col("id").alias("a"), F.col("component_id").alias("b")))))
     out = sigs.select("id", "n", "fa", "fb").join(
         classes.join(comp.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
