@@ -1,8 +1,49 @@
-"""The corpus pipeline: language ID, line dedup, MinHash near-dedup, packing."""
+"""The corpus pipeline: documents go through language ID, line dedup, MinHash near-dedup and packing.
 
-STAGES = []
+Each stage takes what its predecessor kept, is written as Parquet and read again by the next. All but the last return
+the columns of documents; the last returns the pieces of the packed sequences.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lexmill.llm import langid, line_dedup, near_dup_text, packing
+from lexmill.llm.common import shared_dir
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a learned language is found; those without letters, or with no language in the lead, go."""
+    return langid.reject_unknown(docs)
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents less the lines of three-line windows that occurred before; those that lose all go."""
+    return line_dedup.drop_repeats(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return near_dup_text.keep_one(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of sequences of 2048 tokens."""
+    return packing.op8(docs)
+
+
+STAGES = [("language_id", language_id), ("line_dedup", repeated_lines), ("minhash_near_dedup", near_duplicates), ("packing", packed)]
+
+#: Training and tokenising aren't SQL: the tests hold run() against a plain version instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder before the next one reads it."""
+    docs, root = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
+        docs = spark.read.parquet(f"{root}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

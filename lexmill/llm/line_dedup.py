@@ -47,6 +47,17 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             .groupBy("id").agg(F.collect_set("line").alias("gone")))
 
 
+def _rewritten(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """docs with __text, the lines that stay, and __lost, how many don't."""
+    gone = repeated_lines(docs, id_col, text_col, window).select(F.col("id").alias("__id"), F.col("gone").alias("__gone"))
+    both = docs.join(gone, F.col(id_col) == F.col("__id"), "left")
+    lines = F.split(F.col(text_col), "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    lost = F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long")
+    return both.select(*docs.columns, text.alias("__text"), lost.alias("__lost"))
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with text_col rewritten, plus n_lines and n_removed (clashing columns are replaced).
 
@@ -54,15 +65,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty; null stays null with no lines. Blank lines count as lines, but a window of blank lines only isn't one. Of
     equal windows the one with the least (id, position) stays. Every row of docs comes back once; no rows: no rows.
     """
-    gone = repeated_lines(docs, id_col, text_col, window).select(F.col("id").alias("__id"), F.col("gone").alias("__gone"))
-    both = docs.join(gone, F.col(id_col) == F.col("__id"), "left").drop("__id")
-    lines = F.split(F.col(text_col), "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
-    return both.select(
-        *[F.col(c) for c in docs.columns if c not in (text_col, "n_lines", "n_removed")], text.alias(text_col), n_lines.alias("n_lines"),
-        F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long").alias("n_removed"))
+    n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(F.split(F.col(text_col), "\n"))).cast("long")
+    return _rewritten(docs, id_col, text_col, window).select(
+        *[F.col(c) for c in docs.columns if c not in (text_col, "n_lines", "n_removed")], F.col("__text").alias(text_col),
+        n_lines.alias("n_lines"), F.col("__lost").alias("n_removed"))
+
+
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """docs with text_col (and n_chars, if there is one) rewritten; documents that lose all their lines go."""
+    made = {text_col: F.col("__text"), "n_chars": F.char_length("__text").cast("long")}
+    left = (F.col("__lost") == 0) | (F.col("__text") != "")
+    return _rewritten(docs, id_col, text_col, window).where(left).select(*[made[c].alias(c) if c in made else F.col(c) for c in docs.columns])
 
 
 def op10(docs: DataFrame) -> DataFrame:

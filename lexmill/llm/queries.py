@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, licenses, line_dedup, near_dup_text, near_dup_vectors, packing, topk
+from . import chat, langid, licenses, line_dedup, near_dup_text, near_dup_vectors, packing, pieces, rollups, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,10 +15,18 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.op1(table(spark, sf_dir, "embeddings"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.op2(table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op3(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op4(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.op5(table(spark, sf_dir, "conversations"))
 
@@ -35,11 +43,17 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op8(table(spark, sf_dir, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op3_license_scan, op5_chat_format, op6_minhash_near_dedup, op7_embedding_near_dedup, op8_packing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_exact_top_k, op2_sentencepiece, op3_license_scan, op4_language_id, op5_chat_format, op6_minhash_near_dedup,
+    op7_embedding_near_dedup, op8_packing, op9_token_counts, op10_line_dedup)}
 
 ORACLES: dict[str, str] = {
     "op1_exact_top_k": topk.ORACLE,
