@@ -144,7 +144,7 @@ def _search(k: int):
 def top_k(queries: DataFrame, candidates: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K) -> DataFrame:
     """Rows (query_id, rank from 1, vec_id, score): for each query the k candidates of highest integer inner product.
 
-    Components count as floor(256 * x), held within 32 bits. Candidates with the query's own id don't count; ties go to
+    Components count as floor(256 * x), held within 32 bits; products must stay within 63 bits. Candidates with the query's own id don't count; ties go to
     the smaller id; fewer candidates give fewer rows. Null ids and vectors that are null, empty or hold null or
     non-finite components take no part, and vectors of another length don't meet. Rows that share an id are one
     candidate with its best score, and one query likewise. Other columns aren't read; empty tables give no rows.
