@@ -3,8 +3,11 @@
 from .base import Corpus, TopicModel
 from .clusters import BERTopic, Top2Vec
 from .factor import LSA, NMF, KeyNMF
+from .guided import AnchorLDA, AuthorTopic, KeyATM, TopicsOverTime
+from .logistic import CTM, STM
 from .mixture import BTM, GSDMM
 from .scaling import Wordfish
 from .variational import DMR, LDA, LabeledLDA, OnlineLDA, PolylingualLDA, SeededLDA
 
-__all__ = ["BERTopic", "BTM", "Corpus", "DMR", "GSDMM", "KeyNMF", "LDA", "LSA", "LabeledLDA", "NMF", "OnlineLDA", "PolylingualLDA", "SeededLDA", "Top2Vec", "TopicModel", "Wordfish"]
+__all__ = ["AnchorLDA", "AuthorTopic", "BERTopic", "BTM", "CTM", "Corpus", "DMR", "GSDMM", "KeyATM", "KeyNMF", "LDA", "LSA", "LabeledLDA", "NMF", "OnlineLDA", "PolylingualLDA", "STM", "SeededLDA", "Top2Vec",
+           "TopicModel", "TopicsOverTime", "Wordfish"]

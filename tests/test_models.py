@@ -130,3 +130,49 @@ def test_wordfish(spark):
     m = M.Wordfish(anchors=("a00", "a11")).fit(d, "author")
     assert np.corrcoef(m.theta, true)[0, 1] > 0.97
     assert m.positions(spark).count() == 12
+
+
+def test_ctm_and_stm(spark, docs):
+    m = M.CTM(3, iters=8, seed=1)
+    fit = m.fit(M.Corpus(docs))
+    simplex(fit)
+    assert len(blocks(fit.top_words())) == 3
+    d = readers.from_tokens(spark, planted(2)).withColumn("features", F.array((F.col("doc_id") % 2).cast("double"))).withColumn("group", F.when(F.col("doc_id") < 45, "old").otherwise("new"))
+    s = M.STM(2, n_features=1, iters=8, seed=1, groups=["old", "new"])
+    fit = s.fit(M.Corpus(d, carry=s.carry))
+    simplex(fit)
+    assert abs(s.coef[1, 0]) > 1 and set(s.group_words) == {"old", "new"}
+    like = [x for _, x in fit.fit_history]
+    assert like[-1] >= like[0]
+    draws = s.draws(3)
+    assert draws.count() == 3 * 90 * 2 and abs(draws.agg(F.sum("p")).first()[0] - 270) < 1e-6
+
+
+def test_keyatm(docs):
+    m = M.KeyATM({"a": ["w00x", "w03x"], "b": ["w10x"], "c": ["w20x", "w21x"]}, iters=15, seed=1)
+    fit = m.fit(M.Corpus(docs))
+    simplex(fit)
+    assert [{w[:2] for w in ws[:5]} for ws in fit.top_words()] == [{"w0"}, {"w1"}, {"w2"}] and (m.pi > 0).all()
+
+
+def test_topics_over_time(spark):
+    d = readers.from_tokens(spark, planted(2)).withColumn("time", F.when(F.col("doc_id") % 2 == 0, 0.2).otherwise(0.8) + F.col("doc_id") / 1000.0)
+    m = M.TopicsOverTime(2, iters=10, seed=1)
+    fit = m.fit(M.Corpus(d, carry=("time",)))
+    simplex(fit)
+    peaks = sorted(m.shape[:, 0] / m.shape.sum(axis=1))
+    assert peaks[0] < 0.4 < 0.6 < peaks[1]
+
+
+def test_author_topic(spark):
+    d = readers.from_tokens(spark, planted(2)).withColumn("authors", F.array(F.concat(F.lit("a"), (F.col("doc_id") % 4).cast("string"))))
+    m = M.AuthorTopic(2, iters=40, seed=1)
+    simplex(m.fit(M.Corpus(d, carry=("authors",))))
+    best = m.author_topic.argmax(axis=1).tolist()
+    assert best[0] == best[2] != best[1] == best[3]
+
+
+def test_anchors(docs):
+    fit = M.AnchorLDA(3).fit(docs)
+    simplex(fit)
+    assert len(blocks(fit.top_words())) == 3
