@@ -33,7 +33,7 @@ def strip_web(text: Column) -> Column:
 def strip_quotes(text: Column) -> Column:
     """Text less its italics and its quoted lines (those that start with >), joined by spaces; basic entities decoded."""
     parts = F.split(F.regexp_replace(text, r"(?s)<i>.*?</i>", " "), r"<p>|\n")
-    own = F.array_join(F.filter(F.transform(parts, F.trim), lambda x: ~x.rlike(r"^(>|&gt;)") & (x != "")), " ")
+    own = F.array_join(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: ~x.rlike(r"^(>|&gt;)") & (x != "")), " ")
     for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&#x2F;", "/"), ("&nbsp;", " "), ("&amp;", "&")):
         own = F.replace(own, F.lit(entity), F.lit(plain))
     return own

@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 
-def structure(posts: DataFrame, rounds: int = 40) -> DataFrame:
+
+def structure(posts: DataFrame) -> DataFrame:
     """(id, root, depth, has_child) of posts (id, parent). Pointers double each round, so deep threads take few.
 
     A parent that isn't a post makes a root. Posts that never reach one lie on a cycle: their root and depth are null.
     """
     known = posts.select(F.col("id").alias("known"))
-    s = posts.join(known, F.col("parent") == F.col("known"), "left").select("id", F.col("known").alias("up"), F.when(F.col("known").isNull(), F.col("id")).otherwise(F.col("known")).alias("root"), F.when(F.col("known").isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    s = s.persist()
-    for _ in range(rounds):
+    s = cut(posts.join(known, F.col("parent") == F.col("known"), "left").select(
+        "id", F.col("known").alias("up"), F.coalesce("known", "id").alias("root"), F.when(F.col("known").isNull(), 0).otherwise(1).cast("long").alias("depth")))
+    for _ in range(max(1, s.count()).bit_length()):
         if not s.where("up is not null").limit(1).count():
             break
         a = s.select(F.col("id").alias("aid"), F.col("up").alias("aup"), F.col("root").alias("aroot"), F.col("depth").alias("adepth"))
-        s = s.join(a, F.col("up") == F.col("aid"), "left").select("id", F.col("aup").alias("up"), F.coalesce("aroot", "root").alias("root"), (F.col("depth") + F.coalesce("adepth", F.lit(0))).alias("depth")).persist()
+        s = cut(s.join(a, F.col("up") == F.col("aid"), "left").select(
+            "id", F.col("aup").alias("up"), F.coalesce("aroot", "root").alias("root"), (F.col("depth") + F.coalesce("adepth", F.lit(0))).alias("depth")))
     kids = posts.where("parent is not null").select(F.col("parent").alias("kid_of")).distinct()
     out = s.join(kids, F.col("id") == F.col("kid_of"), "left")
     lost = F.col("up").isNotNull()
