@@ -51,7 +51,7 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     smaller leaf. A parent that doesn't exist makes a root. Nodes that lead into a cycle lie on no path. A null node id
     makes no node, and nodes that repeat an id are one, with the greatest parent and score.
     """
-    base = nodes.where("node is not null").groupBy("conv_id", "node").agg(F.max("parent").alias("parent"), F.max(F.coalesce("score", F.lit(0.0))).alias("score"))
+    base = cut(nodes.where("node is not null").groupBy("conv_id", "node").agg(F.max("parent").alias("parent"), F.max(F.coalesce("score", F.lit(0.0))).alias("score")))
     parents = base.select(F.col("conv_id").alias("pc"), F.col("node").alias("pn"))
     known = base.join(parents, F.col("conv_id").eqNullSafe(F.col("pc")) & (F.col("parent") == F.col("pn")), "left")
     # pointer to the ancestor 2^k above, steps and score on the way (the node's own included)
@@ -70,8 +70,10 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     path = leaves.withColumn("branch", F.row_number().over(w)).where(F.col("branch") <= branches).select("conv_id", "branch", "node", (F.col("steps") - 1).alias("pos"))
     for k, jump in enumerate(jumps):  # every node so far, and the one 2^k above it
         j = jump.select(F.col("conv_id").alias("jc"), F.col("node").alias("jn"), "up")
-        far = path.where(F.col("pos") >= 2**k).join(j, F.col("conv_id").eqNullSafe(F.col("jc")) & (F.col("node") == F.col("jn")))
-        path = path.unionByName(far.select("conv_id", "branch", F.col("up").alias("node"), (F.col("pos") - 2**k).alias("pos")))
+        met = path.join(j, F.col("conv_id").eqNullSafe(F.col("jc")) & (F.col("node") == F.col("jn")) & (F.col("pos") >= 2**k), "left")
+        far = F.when(F.col("up").isNotNull(), F.struct(F.col("up").alias("node"), (F.col("pos") - 2**k).alias("pos")))
+        both = F.filter(F.array(F.struct("node", "pos"), far), lambda x: x.isNotNull())
+        path = met.select("conv_id", "branch", F.inline(both))
     return path
 
 
