@@ -2,6 +2,7 @@
 
 from .base import Corpus, TopicModel
 from .clusters import BERTopic, Top2Vec
+from .derived import CSATM, GDMR, HDP, AuthorRecipientTopic, DiscLDA, EmbeddingLDA, GuidedNMF, SemanticSignals, SupervisedLDA, ThreadTM, TopicGPT, Wordshoal
 from .factor import LSA, NMF, KeyNMF
 from .guided import AnchorLDA, AuthorTopic, KeyATM, TopicsOverTime
 from .logistic import CTM, STM
@@ -9,5 +10,5 @@ from .mixture import BTM, GSDMM
 from .scaling import Wordfish
 from .variational import DMR, LDA, LabeledLDA, OnlineLDA, PolylingualLDA, SeededLDA
 
-__all__ = ["AnchorLDA", "AuthorTopic", "BERTopic", "BTM", "CTM", "Corpus", "DMR", "GSDMM", "KeyATM", "KeyNMF", "LDA", "LSA", "LabeledLDA", "NMF", "OnlineLDA", "PolylingualLDA", "STM", "SeededLDA", "Top2Vec",
-           "TopicModel", "TopicsOverTime", "Wordfish"]
+__all__ = ["AnchorLDA", "AuthorRecipientTopic", "AuthorTopic", "BERTopic", "BTM", "CSATM", "CTM", "Corpus", "DMR", "DiscLDA", "EmbeddingLDA", "GDMR", "GSDMM", "GuidedNMF", "HDP", "KeyATM", "KeyNMF", "LDA", "LSA",
+           "LabeledLDA", "NMF", "OnlineLDA", "PolylingualLDA", "STM", "SeededLDA", "SemanticSignals", "SupervisedLDA", "ThreadTM", "Top2Vec", "TopicGPT", "TopicModel", "TopicsOverTime", "Wordfish", "Wordshoal"]

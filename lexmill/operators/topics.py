@@ -192,3 +192,83 @@ def nearest_documents(theta: DataFrame, queries: DataFrame, n: int = 5) -> DataF
     s = theta.join(q, "topic").where("doc_id <> query").groupBy("query", "doc_id").agg(F.sum(F.sqrt("p") * F.col("b")).alias("bc"))
     w = Window.partitionBy("query").orderBy("distance", "doc_id")
     return s.select("query", "doc_id", F.sqrt(F.greatest(1 - F.col("bc"), F.lit(0.0))).alias("distance")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def approximate_distribution(windows: DataFrame, weights: DataFrame, topics: DataFrame, least: float = 0.0) -> DataFrame:
+    """(doc_id, topic, p): windows (doc_id, start, tokens) scored by the cosine of their counts with topics' weights (topic, word, weight).
+
+    Scores at or below least don't count; a document without any evidence is uniform over topics.
+    """
+    n = windows.select("doc_id", "start", F.explode("tokens").alias("word")).groupBy("doc_id", "start", "word").agg(F.count("*").alias("n"))
+    size = n.groupBy("doc_id", "start").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("a"))
+    length = weights.groupBy("topic").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("b"))
+    s = n.join(weights, "word").groupBy("doc_id", "start", "topic").agg(F.sum(F.col("n") * F.col("weight")).alias("d")).join(size, ["doc_id", "start"]).join(F.broadcast(length), "topic")
+    s = s.withColumn("s", F.col("d") / (F.col("a") * F.col("b"))).where(F.col("s") > least).groupBy("doc_id", "topic").agg(F.sum("s").alias("s"))
+    grid = windows.select("doc_id").distinct().join(F.broadcast(topics.select("topic").distinct()), F.lit(True)).join(s, ["doc_id", "topic"], "left").na.fill(0.0, ["s"])
+    w = Window.partitionBy("doc_id")
+    total = F.sum("s").over(w)
+    return grid.select("doc_id", "topic", F.when(total > 0, F.col("s") / total).otherwise(1.0 / F.count("*").over(w)).alias("p"))
+
+
+def contrastive_words(words: DataFrame, theta: DataFrame, phi: DataFrame, meta: DataFrame, by: str) -> DataFrame:
+    """(topic, group, word, weight): a group's words under each topic, weighted by the topic's responsibility for them."""
+    p = words.join(phi.select("topic", "word", F.col("p").alias("pw")), "word").join(theta.select("doc_id", "topic", F.col("p").alias("pt")), ["doc_id", "topic"])
+    r = p.withColumn("r", F.col("pw") * F.col("pt")).withColumn("share", F.col("r") / F.sum("r").over(Window.partitionBy("doc_id", "word")))
+    return r.join(meta.select("doc_id", F.col(by).alias("group")), "doc_id").groupBy("topic", "group", "word").agg(F.sum(F.col("n") * F.col("share")).alias("weight"))
+
+
+def prevalence_with_draws(draws: DataFrame, meta: DataFrame, by: str) -> DataFrame:
+    """(group, topic, mean, se) over posterior draws: the mean within-draw variance over n, plus (1 + 1 / m) times the variance between draws."""
+    each = draws.join(meta.select("doc_id", F.col(by).alias("group")), "doc_id").groupBy("draw", "group", "topic").agg(F.avg("p").alias("m"), (F.coalesce(F.var_samp("p"), F.lit(0.0)) / F.count("*")).alias("v"))
+    out = each.groupBy("group", "topic").agg(F.avg("m").alias("mean"), F.avg("v").alias("within"), F.coalesce(F.var_samp("m"), F.lit(0.0)).alias("between"), F.count("*").alias("draws"))
+    return out.select("group", "topic", "mean", F.sqrt(F.col("within") + (1 + 1 / F.col("draws")) * F.col("between")).alias("se"))
+
+
+def draw_quantiles(draws: DataFrame, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """(topic, low, mean, high) of each draw's mean share, with linear interpolation."""
+    m = draws.groupBy("draw", "topic").agg(F.avg("p").alias("m"))
+    return m.groupBy("topic").agg(F.expr(f"percentile(m, {low})").alias("low"), F.avg("m").alias("mean"), F.expr(f"percentile(m, {high})").alias("high"))
+
+
+def merge_labels(labels: DataFrame, groups: list[list[int]]) -> DataFrame:
+    """(doc_id, topic): each group takes its least id, chains resolve, and the ids left are renumbered from 0; -1 stays."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for g in groups:
+        low = min(find(x) for x in g)
+        for x in g:
+            root[find(x)] = low
+    pairs = [(x, find(x)) for x in root]
+    to = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for p in pairs for v in p]), F.col("topic")), F.col("topic")) if pairs else F.col("topic")
+    moved = labels.withColumn("topic", to)
+    kept = sorted(r["topic"] for r in moved.select("topic").distinct().where("topic >= 0").collect())
+    dense = F.create_map(*[F.lit(v) for i, x in enumerate(kept) for v in (x, i)]) if kept else None
+    return moved.withColumn("topic", F.coalesce(F.element_at(dense, F.col("topic")), F.col("topic"))) if kept else moved
+
+
+def pair_diversity(top: DataFrame) -> DataFrame:
+    """One row: the share of distinct word pairs among all topics' pairs of top words."""
+    a, b = top.select("topic", F.col("word").alias("x")), top.select("topic", F.col("word").alias("y"))
+    p = a.join(b, "topic").where("x < y")
+    return p.agg((F.countDistinct("x", "y") / F.count("*")).alias("pair_diversity"))
+
+
+def shrink(phi: DataFrame, strength: float = 0.5) -> DataFrame:
+    """phi drawn towards each word's mean over topics, then scaled to sum to 1."""
+    m = (1 - strength) * F.col("p") + strength * F.avg("p").over(Window.partitionBy("word"))
+    s = phi.withColumn("p", m)
+    return s.select("topic", "word", (F.col("p") / F.sum("p").over(Window.partitionBy("topic"))).alias("p"))
+
+
+def label_topics(phi: DataFrame, vocab: DataFrame, n: int = 7) -> DataFrame:
+    """(ranking, topic, word, rank): leading words by probability, FREX, lift and score."""
+    from .vocabulary import top_words
+
+    parts = [top_words(df.select("topic", "word", "score"), "topic", "score", n).select(F.lit(name).alias("ranking"), "topic", "word", "rank")
+             for name, df in (("prob", phi.withColumnRenamed("p", "score")), ("frex", frex(phi)), ("lift", lift(phi, vocab)), ("score", score(phi)))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
