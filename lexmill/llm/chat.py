@@ -56,24 +56,28 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     known = base.join(parents, F.col("conv_id").eqNullSafe(F.col("pc")) & (F.col("parent") == F.col("pn")), "left")
     # pointer to the ancestor 2^k above, steps and score on the way (the node's own included)
     state = cut(known.select("conv_id", "node", F.col("pn").alias("up"), F.lit(1).cast("long").alias("steps"), "score"))
-    jumps, rounds = [state.select("conv_id", "node", "up").where("up is not null")], 0
+    whole, open_, jumps, rounds = state.where("up is null"), state.where("up is not null"), [], 0
     limit = max(1, state.count()).bit_length() + 1
-    while rounds < limit and state.where("up is not null").limit(1).count():
-        above = state.select(F.col("conv_id").alias("ac"), F.col("node").alias("an"), F.col("up").alias("au"), F.col("steps").alias("as"), F.col("score").alias("ascore"))
-        met = state.join(above, F.col("conv_id").eqNullSafe(F.col("ac")) & (F.col("up") == F.col("an")), "left")
-        state = cut(met.select("conv_id", "node", F.col("au").alias("up"), (F.col("steps") + F.coalesce("as", F.lit(0))).alias("steps"), (F.col("score") + F.coalesce("ascore", F.lit(0.0))).alias("score")))
-        jumps.append(state.select("conv_id", "node", "up").where("up is not null"))
+    while rounds < limit and open_.limit(1).count():  # nodes whose pointer has reached a root leave the loop
+        jumps.append(open_.select("conv_id", "node", "up"))
+        above = whole.unionByName(open_).select(F.col("conv_id").alias("ac"), F.col("node").alias("an"), F.col("up").alias("au"), F.col("steps").alias("as"), F.col("score").alias("ascore"))
+        met = open_.join(above, F.col("conv_id").eqNullSafe(F.col("ac")) & (F.col("up") == F.col("an")))
+        state = cut(met.select("conv_id", "node", F.col("au").alias("up"), (F.col("steps") + F.col("as")).alias("steps"), (F.col("score") + F.col("ascore")).alias("score")))
+        whole, open_ = whole.unionByName(state.where("up is null")), state.where("up is not null")
         rounds += 1
     kids = base.where("parent is not null").select(F.col("conv_id").alias("kc"), F.col("parent").alias("kp")).distinct()
-    leaves = state.where("up is null").join(kids, F.col("conv_id").eqNullSafe(F.col("kc")) & (F.col("node") == F.col("kp")), "left_anti")
+    leaves = whole.join(kids, F.col("conv_id").eqNullSafe(F.col("kc")) & (F.col("node") == F.col("kp")), "left_anti")
     w = Window.partitionBy("conv_id").orderBy(F.desc(F.col("score") / F.col("steps")), "node")
-    path = leaves.withColumn("branch", F.row_number().over(w)).where(F.col("branch") <= branches).select("conv_id", "branch", "node", (F.col("steps") - 1).alias("pos"))
-    for k, jump in enumerate(jumps):  # every node so far, and the one 2^k above it
+    path = cut(leaves.withColumn("branch", F.row_number().over(w)).where(F.col("branch") <= branches).select("conv_id", "branch", "node", (F.col("steps") - 1).alias("pos")))
+    done = []
+    for k, jump in enumerate(jumps):  # nodes nearer to the root than 2^k are done; the others stay and bring the one 2^k above
+        done.append(path.where(F.col("pos") < 2**k))
         j = jump.select(F.col("conv_id").alias("jc"), F.col("node").alias("jn"), "up")
-        met = path.join(j, F.col("conv_id").eqNullSafe(F.col("jc")) & (F.col("node") == F.col("jn")) & (F.col("pos") >= 2**k), "left")
-        far = F.when(F.col("up").isNotNull(), F.struct(F.col("up").alias("node"), (F.col("pos") - 2**k).alias("pos")))
-        both = F.filter(F.array(F.struct("node", "pos"), far), lambda x: x.isNotNull())
-        path = met.select("conv_id", "branch", F.inline(both))
+        met = path.where(F.col("pos") >= 2**k).join(j, F.col("conv_id").eqNullSafe(F.col("jc")) & (F.col("node") == F.col("jn")))
+        both = F.array(F.struct("node", "pos"), F.struct(F.col("up").alias("node"), (F.col("pos") - 2**k).alias("pos")))
+        path = cut(met.select("conv_id", "branch", F.inline(both)))
+    for part in done:
+        path = path.unionByName(part)
     return path
 
 
