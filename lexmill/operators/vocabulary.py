@@ -11,8 +11,12 @@ from ..functions import text as T
 
 
 def corpus(df: DataFrame, text_col: str = "text", keep_empty: bool = False, **how) -> DataFrame:
-    """df with its text tokenised into column tokens; documents without tokens are dropped unless kept."""
-    out = df.withColumn("tokens", T.tokenize(F.col(text_col), **how)).drop(text_col)
+    """df with its text tokenised into column tokens; documents without tokens are dropped unless kept.
+
+    The one-element explode keeps the optimiser from copying the tokeniser into later expressions, where a lambda
+    would run it for every element.
+    """
+    out = df.select(*[c for c in df.columns if c not in (text_col, "tokens")], F.explode(F.array(T.tokenize(F.col(text_col), **how))).alias("tokens"))
     return out if keep_empty else out.where(F.size("tokens") > 0)
 
 
