@@ -8,7 +8,7 @@ from .. import models as M
 from ..functions import text as T
 from ..operators import documents as D
 from ..operators import vocabulary as V
-from .base import docs, query, table
+from .base import CORPUS, docs, query, table
 
 LIMITS = {"min_df": 5, "max_df": 0.5, "max_features": 3000}
 
@@ -126,12 +126,14 @@ def event_windows(spark, sf_dir):
     return windows(table(spark, sf_dir, "events")).select("start", "event_type", "n")
 
 
-@query()
+@query("""WITH s AS (SELECT doc_id, len(list_filter(regexp_extract_all(text, '[^.!?]+[.!?]+|\\S[^\\n]*$'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g') <> '')) AS n FROM documents)
+SELECT doc_id, CAST(i AS INTEGER) AS start, CAST(least(n - i, 3) AS INTEGER) AS n FROM (SELECT doc_id, n, unnest(range(0, greatest(n - 3, 0) + 1)) AS i FROM s WHERE n > 0)""")
 def mgl_sentence_windows(spark, sf_dir):
     return D.sentence_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), 3).select("doc_id", "start", F.size("sentences").alias("n"))
 
 
-@query()
+@query(f"""WITH {CORPUS}, k AS (SELECT doc_id, len(toks) AS n, CAST(ceil(len(toks) / 50.0) AS BIGINT) AS k FROM d)
+SELECT doc_id, CAST(i AS INTEGER) AS segment, CASE WHEN k = 1 THEN 0.5 ELSE i / (k - 1) END AS position, CAST(least(n - i * 50, 50) AS INTEGER) AS n FROM (SELECT *, unnest(range(0, k)) AS i FROM k)""")
 def narrative_segments(spark, sf_dir):
     return D.segments(docs(spark, sf_dir), 50).select("doc_id", "segment", "position", F.size("tokens").alias("n"))
 

@@ -11,7 +11,7 @@ from ..operators import embedding as EM
 from ..operators import threads as TH
 from ..operators import topics as TP
 from ..operators import vocabulary as V
-from .base import CORPUS, TOPICS, docs, phi, query, r6, table, theta, top_words
+from .base import _PATTERN, CORPUS, TOPICS, docs, phi, query, r6, table, theta, top_words
 
 _T = f"WITH {CORPUS}, {TOPICS}"
 _RANK = """, ex AS (SELECT topic, word, p, p / sum(p) OVER (PARTITION BY word) AS e FROM phi),
@@ -243,7 +243,10 @@ def speaker_turns(spark, sf_dir):
     return TH.speakers(table(spark, sf_dir, "conversations"))
 
 
-@query()
+@query("""WITH t AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 END AS parent, list_transform(regexp_extract_all(coalesce(text, ''), '" + _PATTERN + "'), lambda w: lower(w)) AS w FROM conversations),
+g AS (SELECT id, parent, i AS pos, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS gram FROM (SELECT *, unnest(range(0, len(w) - 2)) AS i FROM t WHERE len(w) >= 3)),
+hit AS (SELECT DISTINCT a.id, a.pos FROM g a JOIN g b ON a.parent = b.id AND a.gram = b.gram)
+SELECT DISTINCT id AS doc_id, CAST(pos + d AS INTEGER) AS pos FROM hit, (SELECT unnest([0, 1, 2]) AS d)""".replace('" + _PATTERN + "', _PATTERN))
 def copied_runs(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.when(F.col("turn") > 0, F.col("conv_id") * 1000 + F.col("turn") - 1).alias("parent"), "text")
     return TH.copied_positions(V.corpus(c), c, 3)
