@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut, shared_dir
+
+__all__ = ["components", "cut", "release", "roots", "shared_dir", "small", "tuned"]
+
 #: A side is broadcast only when it has been counted and has no more rows than this (two longs a row: 16 MB).
 BROADCAST_ROWS = 1_000_000
 #: Rows and bytes of one Arrow batch, whichever comes first.
-ARROW_ROWS, ARROW_BYTES = 4096, 8 << 20
+ARROW_ROWS, ARROW_BYTES = 4096, 2 << 20
 
 
 def tuned(spark: SparkSession) -> SparkSession:
@@ -21,20 +24,9 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    sc = spark.sparkContext
-    held = sc._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexmill-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and returns it without its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def release() -> None:
+    """Gives a worker's unused Arrow memory back before the worker idles or serves another task."""
+    pa.default_memory_pool().release_unused()
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

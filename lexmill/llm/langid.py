@@ -19,14 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tuned
+from .common import release, tuned
 
 #: Bounds of the training sample: documents of one language, their characters, and languages (the most frequent ones).
 DOCS, CHARS, LANGS = 300, 20_000, 200
 #: Hashed features, words of a training sequence, sequences of a step, steps, and the share of sequences that switch.
 BITS, LENGTH, BATCH, STEPS, SWITCH = 17, 24, 64, 240, 0.3
 #: Words whose weights a worker keeps, and documents that advance together.
-CACHE, TOGETHER = 300_000, 256
+CACHE, TOGETHER = 150_000, 256
 NONE = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -210,8 +210,8 @@ def _label(held, text_at: int):
                 if len(ids) > CACHE:
                     ids, table = {}, table[:0]
                 new = list(set().union(*parted) - ids.keys())
-                for lo in range(0, len(new), 50_000):
-                    part = new[lo : lo + 50_000]
+                for lo in range(0, len(new), 20_000):
+                    part = new[lo : lo + 20_000]
                     ids.update(zip(part, range(len(ids), len(ids) + len(part)), strict=True))
                     e = crf.emissions(part)
                     table = np.concatenate((table, np.exp(np.maximum(e - e.max(axis=1, keepdims=True), -60)).astype(np.float32)))
@@ -221,7 +221,7 @@ def _label(held, text_at: int):
                 lo = 0
                 while lo < len(order):
                     most = int(size[order[lo]])
-                    group = order[lo : lo + max(1, min(TOGETHER, 2_000_000 // (most * k)))]
+                    group = order[lo : lo + max(1, min(TOGETHER, 1_000_000 // (most * k)))]
                     lo += len(group)
                     at = np.zeros((most, len(group)), np.int64)
                     wide = np.zeros((most, len(group)))
@@ -237,6 +237,7 @@ def _label(held, text_at: int):
                         score[d] = min(1.0, mass[j, best[j]] / mass[j].sum())
             cols = [*batch.columns, pa.array(pred, pa.string()), pa.array(score)]
             yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names, "lang_pred", "lang_score"])
+        release()
     return run
 
 

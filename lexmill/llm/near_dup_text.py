@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, roots, small, tuned
+from .common import components, cut, release, roots, small, tuned
 
 WORDS = 5
 BUCKETS = 128
@@ -30,7 +30,7 @@ BANDS = BUCKETS // BAND
 #: Members of a band bucket that are compared in one block.
 BLOCK = 256
 #: Distinct words whose hashes a worker keeps.
-CACHE = 300_000
+CACHE = 200_000
 #: Standard deviations that the estimate may lie below the threshold before a candidate is discarded.
 SLACK = 5.5
 
@@ -132,6 +132,7 @@ def _sketch(words: int):
                 b.append(int(mix(h ^ _MULT[1]).sum(dtype=np.uint64).view(np.int64)) if len(h) else 0)
                 sig.append(registers(h).tobytes() if len(h) else None)
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sig, pa.binary())], ["id", "n", "fa", "fb", "sig"])
+        release()
     return run
 
 

@@ -18,12 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tuned
+from .common import release, tuned
 
 WINDOW = 2048
 END_ID = 1
-#: A shard is closed at so many tokens (12 MB of ids), or at so many documents.
-SHARD_TOKENS = 3_000_000
+#: A shard is closed at so many tokens (4 MB of ids), or at so many documents.
+SHARD_TOKENS = 2_000_000
 SHARD_DOCS = 4096
 #: Distinct terms of a seed, highest weight first, that are looked up, and the BM25 parameters.
 QUERY_TERMS = 24
@@ -41,17 +41,20 @@ class ByteBpe:
     def __init__(self, json_path: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(json_path.removesuffix(".json") + ".tiktoken", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.slow = Tokenizer.from_file(json_path)
+        self.path, self.slow = json_path, None
 
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.uint16)
         if SPECIAL in text:
+            if self.slow is None:
+                from tokenizers import Tokenizer
+
+                self.slow = Tokenizer.from_file(self.path)
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint16)
         return self.bpe.encode_to_numpy(text, disallowed_special=()).astype(np.uint16)
 
@@ -181,6 +184,7 @@ def _pack(path: str, window: int, shard_tokens: int):
                     yield from flush()
         if docs:
             yield from flush()
+        release()
     return run
 
 
