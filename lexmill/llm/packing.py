@@ -1,8 +1,10 @@
 """Lexical retrieval packing: whole token windows filled with lexically related documents.
 
-Documents are tokenised and packed where they are read: each task cuts its rows into shards of a bounded number of
-tokens, so nothing is shuffled and a lost task is simply run again. A shard holds a BM25 inverted index of its
-documents. A seed document opens a window; if it leaves room, the index returns its best unused neighbours, which fill
+Documents are tokenised where they are read and kept in the shared folder. Document frequencies and the mean length are
+those of all documents. Documents are then routed to shards of a bounded number of tokens by their words: a tree, built
+on a sample, halves the documents' projected BM25 vectors along their widest direction, so each leaf is a shard of
+related documents wherever they were read. What a shard holds and its order follow from the documents alone, not from
+files or partitions. A shard holds a BM25 inverted index of its documents. A seed document opens a window; if it leaves room, the index returns its best unused neighbours, which fill
 the window in order of score. The piece that doesn't fit opens the next window, so every window of a shard is full but
 the last, and that one is cut into powers of two, which need no padding.
 """
@@ -10,21 +12,27 @@ the last, and that one is cut into powers of two, which need no padding.
 from __future__ import annotations
 
 import base64
+import uuid
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, tuned
+from .common import release, shared_dir, tuned
 
 WINDOW = 2048
 END_ID = 1
-#: A shard is closed at so many tokens (4 MB of ids), or at so many documents.
+#: Tokens a shard is planned for (4 MB of ids), what each document weighs besides its tokens, and how far a leaf may
+#: outgrow the plan before it is parted.
 SHARD_TOKENS = 2_000_000
-SHARD_DOCS = 4096
+DOC_WEIGHT = 64
+SLACK = 1.5
+#: Width of the vectors that documents are routed by; sampled documents a leaf, and in all.
+DIMS = 64
+LEAF_SAMPLE, SAMPLE = 200, 200_000
 #: Distinct terms of a seed, highest weight first, that are looked up, and the BM25 parameters.
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
@@ -59,11 +67,32 @@ class ByteBpe:
         return self.bpe.encode_to_numpy(text, disallowed_special=()).astype(np.uint16)
 
 
+@dataclass
+class Stats:
+    """Number of documents, mean length and document frequencies (by token id) of a corpus."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+    @classmethod
+    def of(cls, docs: list[np.ndarray]) -> Stats:
+        df = np.zeros(65536, np.int64)
+        for d in docs:
+            df[np.unique(d)] += 1
+        return cls(len(docs), sum(map(len, docs)) / max(len(docs), 1), df)
+
+    @property
+    def idf(self) -> np.ndarray:
+        return np.log(1 + (self.n - self.df + 0.5) / (self.df + 0.5))
+
+
 class Bm25:
-    """Inverted index of a shard's documents; terms are token ids."""
+    """Inverted index of a shard's documents; terms are token ids, statistics those of the corpus."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], stats: Stats | None = None):
         n = len(docs)
+        stats = stats or Stats.of(docs)
         terms, counts = zip(*(np.unique(d, return_counts=True) for d in docs), strict=True) if n else ((), ())
         self.terms, self.counts = terms, counts
         size = np.array([len(d) for d in docs], np.float64)
@@ -71,11 +100,10 @@ class Bm25:
         doc = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in terms])
         order = np.argsort(term, kind="stable")
         self.doc = doc[order]
-        df = np.bincount(term, minlength=65536)
-        self.start = np.concatenate(([0], np.cumsum(df)))
-        self.idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        self.start = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=65536))))
+        self.idf = stats.idf
         tf = tf[order].astype(np.float64)
-        norm = K1 * (1 - B + B * size / max(size.mean() if n else 1, 1))
+        norm = K1 * (1 - B + B * size / max(stats.mean, 1))
         self.weight = self.idf[term[order]] * tf * (K1 + 1) / (tf + norm[self.doc])
 
     def scores(self, seed: int) -> np.ndarray:
@@ -91,12 +119,70 @@ class Bm25:
         return out
 
 
-def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
+class Router:
+    """A tree over projected BM25 vectors; its leaves are numbered from 0."""
+
+    def __init__(self, stats: Stats):
+        self.idf, self.mean = stats.idf, max(stats.mean, 1)
+        self.axes, self.cuts, self.next = np.empty((0, DIMS), np.float32), np.empty(0, np.float32), np.empty((0, 2), np.int32)
+        self.root = -1  # a leaf's number n is held as -1 - n
+
+    def vectors(self, docs: list[np.ndarray]) -> np.ndarray:
+        signs = np.random.default_rng(0).integers(0, 2, (65536, DIMS), np.int8).astype(np.float32) * 2 - 1
+        out = np.zeros((len(docs), DIMS), np.float32)
+        for i, d in enumerate(docs):
+            terms, tf = np.unique(d, return_counts=True)
+            w = self.idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(d) / self.mean))
+            out[i] = w.astype(np.float32) @ signs[terms]
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+    def grow(self, x: np.ndarray, weight: np.ndarray, limit: float) -> Router:
+        """Halves the sample's weight until no part weighs more than limit, or all of a part's vectors are equal."""
+        axes, cuts, following, leaves = [], [], [], 0
+
+        def node(rows: np.ndarray) -> int:
+            nonlocal leaves
+            if weight[rows].sum() > limit:
+                own = x[rows].astype(np.float64)
+                axis = np.linalg.eigh(np.cov(own.T, aweights=weight[rows], ddof=0))[1][:, -1].astype(np.float32)
+                at = x[rows] @ axis
+                order = np.argsort(at, kind="stable")
+                total = np.cumsum(weight[rows][order])
+                cut = at[order][np.searchsorted(total, total[-1] / 2)]
+                low = at < cut
+                if not low.any():
+                    cut = at[at > cut].min() if (at > cut).any() else cut
+                    low = at < cut
+                if low.any():
+                    me = len(axes)
+                    axes.append(axis)
+                    cuts.append(cut)
+                    following.append([0, 0])
+                    following[me] = [node(rows[low]), node(rows[~low])]
+                    return me
+            leaves += 1
+            return -leaves
+
+        self.root = node(np.arange(len(x)))
+        self.axes, self.cuts, self.next = np.array(axes, np.float32).reshape(-1, DIMS), np.array(cuts, np.float32), np.array(following, np.int32).reshape(-1, 2)
+        return self
+
+    def leaves(self, docs: list[np.ndarray]) -> np.ndarray:
+        if self.root < 0:
+            return np.zeros(len(docs), np.int32)
+        x, at = self.vectors(docs), np.full(len(docs), self.root, np.int32)
+        while len(on := np.flatnonzero(at >= 0)):
+            k = at[on]
+            at[on] = self.next[k, (np.einsum("ij,ij->i", x[on], self.axes[k]) >= self.cuts[k]).astype(int)]
+        return -1 - at
+
+
+def pack_shard(docs: list[np.ndarray], window: int = WINDOW, stats: Stats | None = None) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of a shard. Each token lies in exactly one piece.
 
     Documents are seeds in their order; ties of scores go to the earlier document.
     """
-    index = Bm25(docs)
+    index = Bm25(docs, stats)
     unused = np.ones(len(docs), bool)
     out, seq, room, cursor = [], 0, window, 0
     opener, queue = None, []
@@ -153,18 +239,54 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int,
     return out
 
 
-def _pack(path: str, window: int, shard_tokens: int):
+def _tokens(path: str):
+    def run(batches):
+        encode = ByteBpe(path)
+        for batch in batches:
+            ids = [np.append(encode(t.as_py()), np.uint16(END_ID)) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(d) for d in ids], pa.int64()), pa.array([d.astype("<u2").tobytes() for d in ids], pa.binary())], ["doc_id", "n", "ids"])
+        release()
+    return run
+
+
+def _ids(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u2") for x in column.to_pylist()]
+
+
+def _frequencies(batches):
+    df = np.zeros(65536, np.int64)
+    for batch in batches:
+        for d in _ids(batch.column(0)):
+            df[np.unique(d)] += 1
+    terms = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(df[terms], pa.int64())], ["term", "df"])
+
+
+def _vectors(router: Router):
+    def run(batches):
+        for batch in batches:
+            x = router.vectors(_ids(batch.column(2)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v.astype("<f4").tobytes() for v in x], pa.binary())], ["h", "weight", "x"])
+    return run
+
+
+def _leaves(router: Router):
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(router.leaves(_ids(batch.column(2))), pa.int64())], ["doc_id", "n", "ids", "leaf"])
+    return run
+
+
+def _pack(stats: Stats, window: int, limit: float):
     schema = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 
     def run(batches):
-        encode = ByteBpe(path)
-        base = TaskContext.get().partitionId() << 40
-        ids, docs, total = [], [], 0
+        shard, seq, ids, docs, total = None, 0, [], [], 0
 
         def flush():
-            nonlocal base, ids, docs, total
-            pieces = pack_shard(docs, window)
-            base_next = base + (pieces[-1][3] + 1 if pieces else 0)
+            nonlocal seq, ids, docs, total
+            pieces = pack_shard(docs, window, stats)
+            base = (shard[0] << 44) + (shard[1] << 28) + seq
             for lo in range(0, len(pieces), 2000):
                 part = pieces[lo : lo + 2000]
                 cut = [docs[d][s : s + n].astype("<u4") for d, s, n, _, _ in part]
@@ -172,16 +294,17 @@ def _pack(path: str, window: int, shard_tokens: int):
                     pa.array([ids[p[0]] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64()), pa.array([p[2] for p in part], pa.int64()),
                     pa.array([zlib.crc32(c.tobytes()) for c in cut], pa.int64()), pa.array([len(docs[p[0]]) for p in part], pa.int64()),
                     pa.array([base + p[3] for p in part], pa.int64()), pa.array([p[4] for p in part], pa.int64()), pa.array([c.tobytes() for c in cut], pa.binary())], schema)
-            base, ids, docs, total = base_next, [], [], 0
+            seq, ids, docs, total = seq + pieces[-1][3] + 1, [], [], 0
 
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                d = np.append(encode(text.as_py()), np.uint16(END_ID))
+            for i, leaf, part, d in zip(*(batch.column(k).to_pylist() for k in range(3)), _ids(batch.column(3)), strict=True):
+                if docs and (shard != (leaf, part) or total + len(d) + DOC_WEIGHT > limit):
+                    yield from flush()
+                if shard != (leaf, part):
+                    shard, seq = (leaf, part), 0
                 ids.append(i)
                 docs.append(d)
-                total += len(d)
-                if total >= shard_tokens or len(docs) >= SHARD_DOCS:
-                    yield from flush()
+                total += len(d) + DOC_WEIGHT
         if docs:
             yield from flush()
         release()
@@ -193,12 +316,33 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     A document is its ids and then the end id; null texts are empty, so they are one end id. Sequences hold window
     tokens, or a power of two of them at a shard's end. Repeated rows are packed once each, ids may be null, other
-    columns aren't read, and an empty table gives no rows. sequence_id is unique: task << 40 plus a running number.
+    columns aren't read, and an empty table gives no rows. Which pieces share a sequence, and sequence_id, depend on the
+    documents only, not on how they are parted into files. Tokens are written to the shared folder when this is called.
     """
-    tuned(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _pack(tokenizer_path, window, shard_tokens),
-        "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    spark = tuned(docs.sparkSession)
+    root = f"{shared_dir(spark)}/packing-{uuid.uuid4().hex}"
+    docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+        _tokens(tokenizer_path), "doc_id long, n long, ids binary").write.parquet(f"{root}/tokens")
+    tokens = spark.read.parquet(f"{root}/tokens")
+    size = tokens.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
+    df = np.zeros(65536, np.int64)
+    for r in tokens.select("ids").mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():  # a row a token id
+        df[r["term"]] = r["df"]
+    stats = Stats(size["docs"], size["tokens"] / max(size["docs"], 1), df)
+    router, weight = Router(stats), size["tokens"] + DOC_WEIGHT * size["docs"]
+    if weight > shard_tokens:  # a sample by content, equal texts taken together
+        share = min(LEAF_SAMPLE * weight / shard_tokens, SAMPLE) / size["docs"]
+        h = F.xxhash64("ids")
+        sample = tokens.where(F.pmod(h, F.lit(1 << 20)) < F.lit(max(int(share * (1 << 20)), 1))).groupBy(h.alias("h")).agg(F.sum(F.col("n") + DOC_WEIGHT).alias("weight"), F.first("ids").alias("ids"))
+        rows = sorted(sample.select("h", "weight", "ids").mapInArrow(_vectors(router), "h long, weight long, x binary").collect())
+        held = np.array([r["weight"] for r in rows], np.float64)
+        router.grow(np.array([np.frombuffer(r["x"], "<f4") for r in rows]).reshape(-1, DIMS), held * weight / max(held.sum(), 1), shard_tokens)
+    tokens.mapInArrow(_leaves(router), "doc_id long, n long, ids binary, leaf long").write.parquet(f"{root}/leaves")
+    routed, limit = spark.read.parquet(f"{root}/leaves"), SLACK * shard_tokens
+    parts = routed.groupBy("leaf").agg(F.ceil(F.sum(F.col("n") + DOC_WEIGHT) / limit).alias("parts"))  # a row a leaf
+    shard = routed.join(F.broadcast(parts), "leaf").withColumn("part", F.pmod(F.xxhash64("ids", "doc_id"), F.col("parts")))
+    return shard.repartition("leaf", "part").sortWithinPartitions("leaf", "part", F.xxhash64("ids"), "doc_id").select("doc_id", "leaf", "part", "ids").mapInArrow(
+        _pack(stats, window, limit), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def op8(docs: DataFrame) -> DataFrame:

@@ -69,6 +69,23 @@ def test_packing_prefers_related_documents():
     assert mixed < 1.6  # random order would mix about three of the four topics
 
 
+def test_packing_does_not_depend_on_the_layout(spark):
+    topics = [[f"{w}{k}" for w in ("river", "stone", "song", "field", "lamp", "tower")] for k in range(4)]
+    docs = [(i, prose(i, 150, topics[i % 4])) for i in range(120)]
+    windows = []
+    for rows, parts in ((docs, 1), (docs[::-1], 1), (docs, 7)):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        windows.append({(r["sequence_id"], r["offset"], r["doc_id"], r["start"], r["length"]) for r in packing.pack(df, BPE, shard_tokens=20_000).collect()})
+    assert windows[0] == windows[1] == windows[2]
+    seqs = {}
+    for s, _, d, _, _ in windows[0]:
+        seqs.setdefault(s, set()).add(d % 4)
+    assert sum(map(len, seqs.values())) / len(seqs) < 1.5  # neighbours are found across the partitions read
+    one, other = ([np.array([t, 1], np.uint16) for t in x] for x in ([5, 5, 6], [5, 6, 6]))
+    whole = packing.Stats.of(one + other)
+    assert packing.Bm25(one, whole).idf[5] == packing.Bm25(other, whole).idf[5] != packing.Bm25(one).idf[5]
+
+
 def brute_pieces(p, text):
     if not text:
         return []
