@@ -33,8 +33,8 @@ SLACK = 1.5
 #: Width of the vectors that documents are routed by; sampled documents a leaf, and in all.
 DIMS = 64
 LEAF_SAMPLE, SAMPLE = 200, 200_000
-#: Distinct terms of a seed, highest weight first, that are looked up, and the BM25 parameters.
-QUERY_TERMS = 24
+#: Terms that more than this share of a shard's documents hold keep their weights as a row over all of these.
+DENSE = 0.1
 K1, B = 1.2, 0.75
 SPECIAL = "<|endoftext|>"
 
@@ -94,7 +94,7 @@ class Bm25:
         n = len(docs)
         stats = stats or Stats.of(docs)
         terms, counts = zip(*(np.unique(d, return_counts=True) for d in docs), strict=True) if n else ((), ())
-        self.terms, self.counts = terms, counts
+        self.terms = terms
         size = np.array([len(d) for d in docs], np.float64)
         term, tf = (np.concatenate(x) if n else np.empty(0, np.uint16) for x in (terms, counts))
         doc = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in terms])
@@ -105,17 +105,20 @@ class Bm25:
         tf = tf[order].astype(np.float64)
         norm = K1 * (1 - B + B * size / max(stats.mean, 1))
         self.weight = self.idf[term[order]] * tf * (K1 + 1) / (tf + norm[self.doc])
+        self.dense = {}
+        for t in np.flatnonzero(np.diff(self.start) > DENSE * n).tolist():
+            at = slice(self.start[t], self.start[t + 1])
+            self.dense[t] = np.bincount(self.doc[at], self.weight[at], n)
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 of every document against the seed's terms of most tf * idf, rarest first."""
-        terms = self.terms[seed]
-        if len(terms) > QUERY_TERMS:
-            gain = self.counts[seed] * self.idf[terms]
-            terms = terms[np.argpartition(-gain, QUERY_TERMS - 1)[:QUERY_TERMS]]
+        """BM25 of every document against all distinct terms of the seed."""
         out = np.zeros(len(self.terms))
-        for t in terms.tolist():
-            at = slice(self.start[t], self.start[t + 1])
-            out[self.doc[at]] += self.weight[at]
+        for t in self.terms[seed].tolist():
+            if (row := self.dense.get(t)) is not None:
+                out += row
+            else:
+                at = slice(self.start[t], self.start[t + 1])
+                out[self.doc[at]] += self.weight[at]
         return out
 
 

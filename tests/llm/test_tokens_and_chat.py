@@ -86,6 +86,15 @@ def test_packing_does_not_depend_on_the_layout(spark):
     assert packing.Bm25(one, whole).idf[5] == packing.Bm25(other, whole).idf[5] != packing.Bm25(one).idf[5]
 
 
+def test_packing_scores_all_terms_of_a_seed():
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 150, rng.integers(1, 200)).astype(np.uint16) for _ in range(30)] + [np.arange(60, dtype=np.uint16)]
+    index, stats = packing.Bm25(docs), packing.Stats.of(docs)
+    for seed, q in enumerate(docs):
+        want = [sum(stats.idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / stats.mean)) for t in set(q.tolist()) if (tf := int((d == t).sum()))) for d in docs]
+        assert np.allclose(index.scores(seed), want)
+
+
 def brute_pieces(p, text):
     if not text:
         return []
