@@ -10,7 +10,7 @@ from ..operators import documents as D
 from ..operators import vocabulary as V
 from .base import CORPUS, docs, query, table
 
-LIMITS = {"min_df": 5, "max_df": 0.5, "max_features": 3000}
+LIMITS = {"min_df": 5, "max_df": 0.5}
 
 
 def _corpus(spark, sf_dir, columns=None, carry=()):
@@ -89,7 +89,7 @@ def btm_fit(spark, sf_dir):
 
 @query()
 def anchor_lda_fit(spark, sf_dir):
-    return _top(spark, M.AnchorLDA(6, max_words=800).fit(docs(spark, sf_dir)))
+    return _top(spark, M.AnchorLDA(6).fit(docs(spark, sf_dir)))
 
 
 @query()
@@ -111,7 +111,7 @@ def bertopic_fit(spark, sf_dir):
 
 @query()
 def wordfish_positions(spark, sf_dir):
-    return M.Wordfish(iters=30, max_words=2000).fit(docs(spark, sf_dir), "source").positions(spark)
+    return M.Wordfish().fit(docs(spark, sf_dir), "source").positions(spark)
 
 
 @query("SELECT user_id, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY user_id")

@@ -176,3 +176,19 @@ def test_anchors(docs):
     fit = M.AnchorLDA(3).fit(docs)
     simplex(fit)
     assert len(blocks(fit.top_words())) == 3
+
+
+def test_registered_fits_use_the_default_vocabularies(spark, tmp_path, monkeypatch):
+    from lexmill import models
+    from lexmill.plans import model_queries as Q
+
+    texts = [" ".join("ab"[k % 2] + "".join(chr(97 + j // 26**e % 26) for e in range(3)) for j in range(2000)) for k in range(12)]
+    spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    assert Q._corpus(spark, str(tmp_path)).size == 4000
+    seen = []
+    for cls in (models.AnchorLDA, models.Wordfish):
+        monkeypatch.setattr(cls, "fit", lambda self, *args: seen.append(vars(self)) or (_ for _ in ()).throw(InterruptedError))
+    for query in (Q.anchor_lda_fit, Q.wordfish_positions):
+        with pytest.raises(InterruptedError):
+            query(spark, str(tmp_path))
+    assert (seen[0]["max_words"], seen[1]["max_words"], seen[1]["iters"]) == (2000, 20_000, 100)
