@@ -1,10 +1,13 @@
-"""SentencePiece encoding and decoding by batched Viterbi.
+"""SentencePiece encoding and decoding, in batches of words.
 
 Texts are parted into words at the space marker, which no piece crosses. New words of a batch are grouped by length, and
 words of equal length advance together: rolling hashes give every substring of up to the longest piece's length, which
 probe the sorted keys of that length's pieces, and vectorised maxima keep the best score and its piece's length at each
 position. Characters without a piece are written as bytes. The path found is the one of greatest total piece score, the
 longer last piece where scores tie.
+
+A model trained by BPE encodes otherwise: of all neighbouring symbols that form a piece, those of the best piece merge
+first, the leftmost where scores tie. Merges does that for words of equal length at once, and its ids are the model's.
 """
 
 from __future__ import annotations
@@ -161,6 +164,68 @@ class Pieces:
         return raw[1:].decode("utf-8", "replace") if raw[:1] == b" " else raw.decode("utf-8", "replace")
 
 
+class Merges(Pieces):
+    """The ids of a BPE model: the order of its merges instead of the best path."""
+
+    def _solve(self, words: list[str]) -> list[bytes]:
+        m, n = len(words), len(words[0])
+        c = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n)
+        prefix = np.zeros((m, n + 1), np.uint64)
+        for j in range(n):
+            prefix[:, j + 1] = prefix[:, j] * _BASE + c[:, j]
+        powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, _BASE))))
+
+        def probe(row, lo, hi):
+            """Score and piece of each substring lo to hi of the row."""
+            score, piece = np.full(len(row), -np.inf), np.full(len(row), -1, np.int32)
+            for k in np.unique(hi - lo).tolist():
+                if k in self.by:
+                    at = np.flatnonzero(hi - lo == k)
+                    h = (prefix[row[at], hi[at]] - prefix[row[at], lo[at]] * powers[k]) * _SPREAD
+                    s, p = score[at], piece[at]
+                    self._probe(k, h, s, p)
+                    score[at], piece[at] = s, p
+            return score, piece
+
+        # A symbol is known by its first position; after[x] is the next one's, before[x] the last one's
+        after = np.tile(np.arange(1, n + 1), (m, 1))
+        before = np.tile(np.arange(-1, n - 1), (m, 1))
+        grid = np.repeat(np.arange(m), n), np.tile(np.arange(n), m)
+        piece = probe(*grid, grid[1] + 1)[1].reshape(m, n)
+        gain, merged = np.full((m, n), -np.inf), np.full((m, n), -1, np.int32)  # of a symbol with the next
+        if n > 1:
+            row, lo = np.repeat(np.arange(m), n - 1), np.tile(np.arange(n - 1), m)
+            gain[row, lo], merged[row, lo] = probe(row, lo, lo + 2)
+        live = np.ones((m, n), bool)
+        row = np.arange(m)
+        while len(row):
+            left = gain[row].argmax(axis=1)
+            on = gain[row, left] > -np.inf
+            row, left = row[on], left[on]
+            if not len(row):
+                break
+            right = after[row, left]
+            end = after[row, right]
+            piece[row, left], after[row, left], live[row, right] = merged[row, left], end, False
+            gain[row, left] = gain[row, right] = -np.inf
+            more = end < n
+            before[row[more], end[more]] = left[more]
+            r, x = row[more], left[more]
+            gain[r, x], merged[r, x] = probe(r, x, after[r, end[more]])
+            prior = before[row, left]
+            more = prior >= 0
+            r, x = row[more], prior[more]
+            gain[r, x], merged[r, x] = probe(r, x, end[more])
+        kind = np.uint16 if len(self.table) <= 65536 else np.uint32
+        width = np.dtype(kind).itemsize
+        flat = piece[live].astype(kind).tobytes()
+        edge = np.concatenate(([0], np.cumsum(live.sum(axis=1) * width))).tolist()
+        result = [flat[x:y] for x, y in zip(edge, edge[1:], strict=False)]
+        for r in np.flatnonzero((live & (piece == -1)).any(axis=1)).tolist():
+            result[r] = self._bytes(words[r], piece[r][live[r]]).astype(kind).tobytes()
+        return result
+
+
 def _hash(c: np.ndarray) -> np.ndarray:
     h = np.zeros(len(c), np.uint64)
     for j in range(c.shape[1]):
@@ -170,7 +235,7 @@ def _hash(c: np.ndarray) -> np.ndarray:
 
 def _encode(path: str):
     def run(batches):
-        pieces = Pieces(path)
+        pieces = Merges(path)
         for batch in batches:
             ids = [x.astype(np.int32) for x in pieces.encode(batch.column(1).to_pylist())]
             flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
@@ -192,7 +257,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     """(id_col, ids: array<int>, ids_crc32 of little-endian 32-bit ids), one row for each of docs, read where they lie.
 
     Null and empty texts have no ids. A literal marker character and others without a piece become byte pieces, so
-    decode() gives every text back exactly. Ids may be null or repeat; other columns aren't read; no rows: no rows.
+    decode() gives every text back exactly. The ids are those of the model's own encoding, which for BPE is the order of
+    merges; other texts than those with a literal marker are encoded alike. Ids may be null or repeat; other columns aren't read; no rows: no rows.
     """
     tuned(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_encode(model_path), "id long, ids array<int>, crc long").select(
@@ -207,7 +273,7 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
 
 def _digest(path: str):
     def run(batches):
-        pieces = Pieces(path)
+        pieces = Merges(path)
         low, high = min(pieces.bytes.values()), max(pieces.bytes.values())
         for batch in batches:
             texts = batch.column(1).to_pylist()

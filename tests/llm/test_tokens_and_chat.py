@@ -118,6 +118,18 @@ def brute_pieces(p, text):
     return out
 
 
+def test_sentencepiece_ids_are_those_of_the_library(spark):
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(4)
+    made = [" ".join("".join(rng.choices("aeinorstlhdé", k=rng.randint(1, 14))) for _ in range(60)) for _ in range(10)]
+    texts = [t for t in ODD if t and pieces.MARK not in t] + made + [prose(i, 60) for i in range(5)] + ["aaaa" * 60, "the  unbelievable   Straßenbahn 12:30"]
+    rows = pieces.encode(frame(spark, texts), PIECES).collect()
+    assert {r["doc_id"]: r["ids"] for r in rows} == {i: model.encode(t) for i, t in enumerate(texts)}
+    assert any(pieces.Pieces(PIECES).encode([t])[0].tolist() != model.encode(t) for t in made)  # the best path isn't the model's
+
+
 def test_sentencepiece_is_the_best_path_and_round_trips(spark):
     p = pieces.Pieces(PIECES)
     texts = ODD + [prose(i, 60) for i in range(20)] + ["aaaa" * 60, prose(5, 5000)]
