@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 
 def one_hot(df: DataFrame, column: str, levels: Sequence[str] | None = None, drop_first: bool = True) -> tuple[DataFrame, list[str]]:
-    """df with a 0/1 column for each level (sorted as text; levels are few), and their names."""
+    """df with a 0/1 column for each level (sorted as text), and their names. More than 1000 levels found raise an error."""
     if levels is None:
-        levels = sorted(str(r[0]) for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(1000).collect())
+        levels = sorted(str(r[0]) for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(1001).collect())
+        if len(levels) > 1000:
+            raise ValueError(f"{column} has more than 1000 levels")
     names = []
     for x in list(levels)[1 if drop_first else 0 :]:
         name = f"{column}[{x}]"

@@ -116,8 +116,11 @@ def cooccurring_pairs(docs: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def coherence_over(docs: DataFrame, topics: DataFrame, by: str, measure: str = "u_mass") -> DataFrame:
-    """(topic, score): the mean over slices (or groups) of the coherence in each slice's documents. Slices are few."""
-    parts = [coherence(docs.where(F.col(by) == F.lit(r[0])), topics, measure) for r in docs.select(by).where(F.col(by).isNotNull()).distinct().orderBy(by).limit(1000).collect()]
+    """(topic, score): the mean over slices (or groups) of the coherence in each slice's documents. More than 1000 slices raise an error."""
+    found = docs.select(by).where(F.col(by).isNotNull()).distinct().orderBy(by).limit(1001).collect()
+    if len(found) > 1000:
+        raise ValueError(f"{by} has more than 1000 groups")
+    parts = [coherence(docs.where(F.col(by) == F.lit(r[0])), topics, measure) for r in found]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

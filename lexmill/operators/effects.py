@@ -73,8 +73,10 @@ def effect_table(spark, fit: dict) -> DataFrame:
 
 
 def topic_effects(theta: DataFrame, design: DataFrame, x: Sequence[str], **how) -> dict:
-    """A fit of each topic's share on a design (doc_id and columns x)."""
-    names = [r["topic"] for r in theta.select("topic").distinct().orderBy("topic").limit(10_000).collect()]
+    """A fit of each topic's share on a design (doc_id and columns x). More than 10,000 topics raise an error."""
+    names = [r["topic"] for r in theta.select("topic").distinct().orderBy("topic").limit(10_001).collect()]
+    if len(names) > 10_000:
+        raise ValueError("more than 10,000 topics")
     j = theta.join(design, "doc_id")
     return {t: ols(j.where(F.col("topic") == F.lit(t)), "p", x, **how) for t in names}
 

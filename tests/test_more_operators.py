@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lexmill import cli
@@ -59,3 +60,17 @@ def test_jobs(spark, tmp_path, capsys):
     cli.main(["show", "--input", str(tmp_path / "m"), "--show", "3"])
     said = capsys.readouterr().out
     assert "apple" in said and "frequent" in said
+
+
+def test_too_many_groups_topics_or_levels_are_an_error(spark):
+    from lexmill.functions import bases
+    from lexmill.operators import cooccurrence, effects
+
+    many = spark.range(10_001).select(F.col("id").alias("doc_id"), F.col("id").alias("topic"), F.lit(0.5).alias("p"), F.col("id").alias("g"), F.array(F.lit("a"), F.lit("b")).alias("tokens"))
+    topics = spark.createDataFrame([(0, 1, "a"), (0, 2, "b")], "topic int, rank int, word string")
+    with pytest.raises(ValueError, match="1000 groups"):
+        cooccurrence.coherence_over(many.where("g <= 1000"), topics, "g")
+    with pytest.raises(ValueError, match="10,000 topics"):
+        effects.topic_effects(many.select("doc_id", "topic", "p"), many.select("doc_id", "g"), ["g"])
+    with pytest.raises(ValueError, match="1000 levels"):
+        bases.one_hot(many.where("g <= 1000"), "g")
