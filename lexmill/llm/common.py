@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut, shared_dir
+from ..functions.lineage import cut, scratch, shared_dir
 
-__all__ = ["components", "cut", "release", "roots", "shared_dir", "small", "tuned"]
+__all__ = ["components", "cut", "fresh", "release", "roots", "scratch", "shared_dir", "small", "tuned"]
 
-#: A side is broadcast only when it has been counted and has no more rows than this (two longs a row: 16 MB).
-BROADCAST_ROWS = 1_000_000
+#: A side is broadcast only when it has been counted and takes no more bytes than this.
+BROADCAST_BYTES = 16 << 20
 #: Rows and bytes of one Arrow batch, whichever comes first.
 ARROW_ROWS, ARROW_BYTES = 4096, 2 << 20
 
@@ -29,9 +29,23 @@ def release() -> None:
     pa.default_memory_pool().release_unused()
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count shows that it is within the bound, else df as it is. df should be cut."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like name that df doesn't have, whatever the case."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def small(df: DataFrame, weight: Column | None = None, width: int = 16) -> DataFrame:
+    """df with a broadcast hint if a count shows that it is within the bound, else df as it is. df should be cut.
+
+    A row counts as width bytes, or as weight times width where a weight is given (entries of an array, say).
+    """
+    rows = BROADCAST_BYTES // width
+    if df.limit(rows + 1).count() > rows:
+        return df
+    return F.broadcast(df) if weight is None or (df.agg(F.sum(weight)).first()[0] or 0) <= rows else df
 
 
 def components(edges: DataFrame) -> DataFrame:

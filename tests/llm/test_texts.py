@@ -81,6 +81,42 @@ def test_near_duplicates_odd_ids(spark):
     assert kept.columns == ["doc_id", "text", "component_id", "w", "kept"] and sorted(r["doc_id"] for r in kept.collect()) == [0, 2]
 
 
+def test_rows_that_share_an_id_are_compared_by_their_own_texts(spark):
+    rng = random.Random(3)
+    a, b, c = (" ".join(rng.choices([f"w{i}" for i in range(300)], k=80)) for _ in range(3))
+    near = lambda t: t.rsplit(" ", 1)[0] + " end"
+    texts, ids = [a, b, near(a), near(b), c, c, c, None, None, ""], [5, 5, 7, 8, 9, 9, None, 9, 9, 9]
+    df = frame(spark, texts, ids)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dup_text.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(5, 76, 5), (5, 76, 5), (7, 76, 5), (8, 76, 5), (9, 76, 9), (9, 76, 9), (None, 76, 9), (9, 0, 9), (9, 0, 9), (9, 0, 9)], key=str)
+    kept = sorted(((r["doc_id"], r["text"]) for r in near_dup_text.keep_one(df).collect()), key=str)
+    assert kept == sorted([(5, a), (5, b), (9, c), (9, None), (9, None), (9, "")], key=str)
+    clash = df.withColumns({x: F.lit(1) for x in ("gone_id", "gone_hash", "touched_id", "touched_hash", "best", "id", "th", "node", "__gone")})
+    out = near_dup_text.keep_one(clash)
+    assert out.columns == clash.columns and out.count() == 6
+
+
+def test_a_large_linked_group_with_strays(spark, monkeypatch):
+    monkeypatch.setattr(near_dup_text, "BLOCK", 8)
+    rng = random.Random(6)
+    base = [f"v{i}" for i in range(200)]
+    texts = []
+    for i in range(120):  # all near the base
+        w = list(base)
+        w[rng.randrange(200)] = f"x{i}"
+        texts.append(" ".join(w))
+    for k in range(6):  # strays that share bands with the group, some of them linked with a few members only
+        w = texts[k].split()
+        for _ in range(2 + k):
+            w[rng.randrange(200)] = f"y{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    _, comp = brute(texts, 85)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup_text.near_duplicates(frame(spark, texts), percent=85).collect()}
+    assert [got[i] for i in range(len(texts))] == comp
+    apart = spark.createDataFrame([(1, i, 0 if i < 5000 else i) for i in range(5010)], "key long, node long, comp long")
+    assert near_dup_text._blocked(apart).count() < 4 * 5010  # linear in the members
+
+
 def brute_lines(texts):
     seen, gone = {}, {}
     for i, t in enumerate(texts):
@@ -134,3 +170,19 @@ def test_license_scan(spark):
     twice = frame(spark, ["mit license", "mit license", "mit license"], [1, 1, None])
     assert {(r["doc_id"], r["n_base"]) for r in licenses.license_report(twice).collect()} == {(1, 1), (None, 1)}
     assert licenses.license_report(frame(spark, [])).count() == 0
+    # only A-Z are lower-cased: the Kelvin sign is a letter of its own
+    assert [r["labels"] for r in licenses.license_report(frame(spark, [mit.replace("k", "\u212a"), "M\u0130T license"])).orderBy("doc_id").collect()] == ["mit", ""]
+
+
+def test_license_templates_of_any_length(spark):
+    rng = random.Random(2)
+    words = [f"t{rng.randrange(500)}" for _ in range(200)]
+    body = [*words[:90], "new", "words", *words[90:150], *words[152:]]
+    scattered = [x for i in range(0, 200, 5) for x in (*words[i : i + 5], *(f"u{rng.randrange(10**6)}" for _ in range(20)))]  # in order, but far apart
+    texts = [" ".join(x) for x in (words, ["a", *body, "z"], words[:100], scattered, words[100:] + words[:100], words + words)]
+    got = {}
+    for r in licenses.scan(frame(spark, texts), phrases=(), notices=((" ".join(words), "long"),)).collect():
+        got.setdefault(r["id"], []).append((r["first"], r["last"], round(r["cover"], 2)))
+    assert got[0] == [(0, 199, 1.0)] and set(got) == {0, 1, 5}
+    assert got[1][0][0] in (0, 1) and 190 < got[1][0][1] < 205 and 0.9 < got[1][0][2] < 1
+    assert sorted(got[5]) == [(0, 199, 1.0), (200, 399, 1.0)]
