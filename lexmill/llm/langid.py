@@ -5,35 +5,64 @@ lexicon entry. Learned transitions link neighbouring words, so that a word both
 and a switch of language inside a text costs. Forward-backward gives every word's posterior; a document's language is
 the one of most posterior mass, weighted by word length.
 
-Training is on a bounded sample of labelled rows, collected by the driver; prediction reads whole texts where they lie.
+Training is on a bounded sample of labelled rows, collected by the driver: windows of documents of every language.
+Prediction reads whole texts where they lie; chains too long to be held are walked in blocks, with the same result.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 import zlib
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import release, tuned
-
-#: Bounds of the training sample: documents of one language, their characters, and languages (the most frequent ones).
-DOCS, CHARS, LANGS = 300, 20_000, 200
-#: Hashed features, words of a training sequence, sequences of a step, steps, and the share of sequences that switch.
-BITS, LENGTH, BATCH, STEPS, SWITCH = 17, 24, 64, 240, 0.3
-#: Words whose weights a worker keeps, and documents that advance together.
-CACHE, TOGETHER = 150_000, 256
+from .common import fresh, release, tuned
+
+#: Bounds of the training sample: documents of one language, and the characters of the window drawn from each.
+DOCS, CHARS = 300, 20_000
+#: Hashed features, words of a training sequence, sequences of a step, the share of sequences that switch, and steps for
+#: up to so many languages (for more, in proportion).
+BITS, LENGTH, BATCH, SWITCH, STEPS, STEPS_FOR = 17, 24, 64, 0.3, 240, 16
+#: Weights of words that a worker keeps, documents that advance together, and cells (words x languages) held at a time.
+CACHE, TOGETHER, CELLS = 2_400_000, 256, 1_000_000
+#: The share of a text that its leading language must hold in reject_unknown(): so many times the even share, at most LEAST.
+LEAD, LEAST = 1.2, 0.3
 NONE = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+
+
+@lru_cache(maxsize=2)
+def _word(end: int) -> re.Pattern:
+    """A letter, and then letters and combining marks, of the code points below end."""
+    kinds: dict[bool, list[list[int]]] = {True: [], False: []}
+    for c in range(end):
+        if (letter := chr(c).isalpha()) or unicodedata.category(chr(c))[0] == "M":
+            for into in (True, False) if letter else (False,):
+                if kinds[into] and kinds[into][-1][1] == c - 1:
+                    kinds[into][-1][1] = c
+                else:
+                    kinds[into].append([c, c])
+    first, rest = ("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in kinds[k]) for k in (True, False))
+    return re.compile(f"[{first}][{rest}]*")
+
+
+_HIGH = re.compile("[\U00010000-\U0010ffff]")
+
+
+def _pattern(text: str) -> re.Pattern:
+    """The pattern of words, which is several times as fast below 2^16."""
+    return _word(0x110000 if _HIGH.search(text) else 0x10000)
 
 
 def words(text: str | None) -> list[str]:
-    """Lower-cased runs of letters."""
-    return _WORD.findall(text.lower()) if text else []
+    """Lower-cased words: runs of letters (as str.isalpha has them) and the combining marks among them."""
+    return _pattern(text).findall(text.lower()) if text else []
 
 
 def features(group: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -106,6 +135,32 @@ class Crf:
             alpha[i, :n] = p / p.sum(axis=1, keepdims=True)
         return alpha
 
+    def blocks(self, psi, steps: int, block: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(start, posteriors) of one document's blocks, from the last to the first; psi(a, b) gives emissions a to b."""
+        t = np.exp(self.trans)
+
+        def forward(x, a):
+            out = np.empty_like(x)
+            for i, e in enumerate(x):
+                a = (np.exp(self.begin) if a is None else a @ t) * e
+                out[i] = a = a / a.sum()
+            return out
+
+        starts, a = [], None
+        for lo in range(0, steps, block):
+            starts.append(a)
+            a = forward(psi(lo, min(lo + block, steps)), a)[-1]
+        beta = np.ones(len(self.langs))
+        for n in reversed(range(len(starts))):
+            x = psi(n * block, min((n + 1) * block, steps))
+            post = forward(x, starts[n])
+            for i in range(len(x) - 1, -1, -1):
+                post[i] *= beta
+                post[i] /= post[i].sum()
+                beta = (x[i] * beta) @ t.T
+                beta /= beta.sum()
+            yield n * block, post
+
 
 def train(sample: list[tuple[str, str]], seed: int = 7) -> Crf | None:
     """Fits the field to (text, language) rows by AdaGrad. None if no row has a word.
@@ -139,7 +194,7 @@ def train(sample: list[tuple[str, str]], seed: int = 7) -> Crf | None:
             out = np.concatenate((out, d[s : s + n - len(out)]))
         return out
 
-    for step in range(STEPS):
+    for _ in range(STEPS * max(1, -(-k // STEPS_FOR))):
         seqs, gold = np.empty((BATCH, LENGTH), np.int64), np.empty((BATCH, LENGTH), np.int64)
         for i in range(BATCH):
             a, n = rng.integers(k), LENGTH
@@ -182,76 +237,139 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bound: int = DOCS) -> Crf | None:
-    """Trains on about bound documents of each language, chosen by a hash of their id among those not held out."""
+    """Trains on about bound documents of each language, chosen by a hash of their id among those not held out.
+
+    Of a text longer than CHARS a window of so many characters is taken, its place chosen by hash too. Every language
+    is learned; the driver holds up to bound windows and 2^17 weights (0.5 MB) for each.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
-        F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")) & (F.length("text") <= CHARS))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
+        F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row a language
     if not sizes:
         return None
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, bound / r["count"])))])
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("id").cast("string")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = rows.where(draw < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0))).select("id", "text", "lang").limit(2 * bound * len(sizes)).collect()
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, bound / r["count"])) for r in sizes], "lang string, share double")
+    start = F.pmod(F.xxhash64(F.lit("window"), F.col("id").cast("string")), F.greatest(F.length("text") - CHARS, F.lit(0)) + 1).cast("int")
+    drawn = rows.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("id", F.substring("text", start + 1, F.lit(CHARS)).alias("text"), "lang")
+    sample = drawn.limit(2 * bound * len(sizes)).collect()
     sample.sort(key=lambda r: (str(r["id"]), r["lang"], zlib.crc32(r["text"].encode("utf-8", "surrogatepass"))))
     return train([(r["text"], r["lang"]) for r in sample])
 
 
-def _label(held, text_at: int):
-    def run(batches):
-        crf = held.value
-        ids: dict[str, int] = {}
-        table = np.empty((0, len(crf.langs) if crf else 1), np.float32)
-        k = table.shape[1]
-        for batch in batches:
-            texts = batch.column(text_at).to_pylist()
-            n = len(texts)
-            pred, score = [NONE] * n, np.zeros(n)
-            if crf is not None and n:
-                parted = [words(t) for t in texts]
-                if len(ids) > CACHE:
-                    ids, table = {}, table[:0]
-                new = list(set().union(*parted) - ids.keys())
-                for lo in range(0, len(new), 20_000):
-                    part = new[lo : lo + 20_000]
-                    ids.update(zip(part, range(len(ids), len(ids) + len(part)), strict=True))
-                    e = crf.emissions(part)
-                    table = np.concatenate((table, np.exp(np.maximum(e - e.max(axis=1, keepdims=True), -60)).astype(np.float32)))
-                size = np.array([len(p) for p in parted])
-                order = np.argsort(-size, kind="stable")
-                order = order[size[order] > 0]
-                lo = 0
-                while lo < len(order):
-                    most = int(size[order[lo]])
-                    group = order[lo : lo + max(1, min(TOGETHER, 1_000_000 // (most * k)))]
-                    lo += len(group)
-                    at = np.zeros((most, len(group)), np.int64)
-                    wide = np.zeros((most, len(group)))
-                    for j, d in enumerate(group.tolist()):
-                        at[: size[d], j] = np.fromiter(map(ids.__getitem__, parted[d]), np.int64, size[d])
-                        wide[: size[d], j] = np.fromiter(map(len, parted[d]), np.int64, size[d])
-                    post = crf.posteriors(table[at].astype(np.float64), size[group])
-                    post[wide == 0] = 0
-                    mass = np.einsum("tb,tbk->bk", wide, post)
-                    best = mass.argmax(axis=1)
-                    for j, d in enumerate(group.tolist()):
-                        pred[d] = crf.langs[best[j]]
-                        score[d] = min(1.0, mass[j, best[j]] / mass[j].sum())
-            cols = [*batch.columns, pa.array(pred, pa.string()), pa.array(score)]
-            yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names, "lang_pred", "lang_score"])
-        release()
-    return run
+class Labeller:
+    """Applies a trained field to batches of texts."""
+
+    def __init__(self, crf: Crf | None):
+        self.crf, self.ids = crf, {}
+        self.k = len(crf.langs) if crf else 1
+        self.table = np.empty((0, self.k), np.float32)
+
+    def _learn(self, parted: list[list[str]]) -> None:
+        if len(self.ids) > CACHE // self.k:
+            self.ids, self.table = {}, self.table[:0]
+        new = list(set().union(*parted) - self.ids.keys())
+        for lo in range(0, len(new), 20_000):
+            part = new[lo : lo + 20_000]
+            self.ids.update(zip(part, range(len(self.ids), len(self.ids) + len(part)), strict=True))
+            e = self.crf.emissions(part)
+            self.table = np.concatenate((self.table, np.exp(np.maximum(e - e.max(axis=1, keepdims=True), -60)).astype(np.float32)))
+
+    def posteriors(self, parted: list[list[str]]) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
+        """(documents, first word, their words' lengths T x B, 0 beyond the end, posteriors T x B x K)."""
+        if self.crf is None or not parted:
+            return
+        self._learn(parted)
+        size = np.array([len(p) for p in parted])
+        order = np.argsort(-size, kind="stable")
+        order = order[size[order] > 0]
+        lo = 0
+        while lo < len(order):
+            most = int(size[order[lo]])
+            if most * self.k > CELLS:
+                d = int(order[lo])
+                at, wide = (np.fromiter(map(f, parted[d]), np.int64, most) for f in (self.ids.__getitem__, len))
+                block = max(1, CELLS // (4 * self.k))
+                for start, post in self.crf.blocks(lambda a, b: self.table[at[a:b]].astype(np.float64), most, block):  # noqa: B023
+                    yield order[lo : lo + 1], start, wide[start : start + len(post), None], post[:, None, :]
+                lo += 1
+                continue
+            group = order[lo : lo + max(1, min(TOGETHER, CELLS // (most * self.k)))]
+            lo += len(group)
+            at, wide = np.zeros((most, len(group)), np.int64), np.zeros((most, len(group)))
+            for j, d in enumerate(group.tolist()):
+                at[: size[d], j] = np.fromiter(map(self.ids.__getitem__, parted[d]), np.int64, size[d])
+                wide[: size[d], j] = np.fromiter(map(len, parted[d]), np.int64, size[d])
+            post = self.crf.posteriors(self.table[at].astype(np.float64), size[group])
+            post[wide == 0] = 0
+            yield group, 0, wide, post
+
+    def languages(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """The language of most posterior mass of each text, and its share."""
+        mass = np.zeros((len(texts), self.k))
+        for docs, _, wide, post in self.posteriors([words(t) for t in texts]):
+            mass[docs] += np.einsum("tb,tbk->bk", wide, post)
+        total = mass.sum(axis=1)
+        best = mass.argmax(axis=1)
+        score = np.minimum(mass.max(axis=1, initial=0) / np.where(total > 0, total, 1), 1.0)
+        return [self.crf.langs[b] if t > 0 else NONE for b, t in zip(best.tolist(), total.tolist(), strict=True)], score
+
+    def spans(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
+        """The runs (start, end in characters of the lower-cased text, language) of words of one language."""
+        low = [t.lower() if t else "" for t in texts]
+        parted = [_pattern(t).findall(t) for t in low]
+        best = [np.zeros(len(p), np.int64) for p in parted]
+        for docs, start, wide, post in self.posteriors(parted):
+            top = post.argmax(axis=2)
+            for j, d in enumerate(docs.tolist()):
+                n = np.count_nonzero(wide[:, j])
+                best[d][start : start + n] = top[:n, j]
+        out = []
+        for t, b in zip(low, best, strict=True):
+            runs: list[tuple[int, int, str]] = []
+            for m, x in zip(_pattern(t).finditer(t) if self.crf else (), b.tolist(), strict=self.crf is not None):
+                lang = self.crf.langs[x]
+                runs[-1:] = [(runs[-1][0], m.end(), lang)] if runs and runs[-1][2] == lang else [*runs[-1:], (m.start(), m.end(), lang)]
+            out.append(runs)
+        return out
 
 
-def label(docs: DataFrame, crf: Crf | None, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and lang_score (the share of the best language; clashing columns are replaced).
+def label(docs: DataFrame, crf: Crf | None, text_col: str = "text", pred: str = "lang_pred", score: str = "lang_score") -> DataFrame:
+    """docs with the columns pred and score (the share of the best language); other columns of these names are replaced.
 
     A null text, one without letters, or any text where nothing could be learned is `und` with score 0. Every row comes
-    back once, and equal texts get equal results; no rows: no rows.
+    back once, and equal texts get equal results; no rows: no rows. Only the texts are sent to Python.
     """
     spark = tuned(docs.sparkSession)
-    docs = docs.drop("lang_pred", "lang_score")
-    held = spark.sparkContext.broadcast(crf)  # 2^17 weights for each of at most LANGS languages
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
-    return docs.mapInArrow(_label(held, docs.columns.index(text_col)), schema)
+    held = spark.sparkContext.broadcast(crf)  # 2^17 weights for each language
+
+    @F.arrow_udf("struct<pred string, score double>")
+    def best(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        labeller = Labeller(held.value)
+        for texts in batches:
+            lang, share = labeller.languages(texts.to_pylist())
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(share, pa.float64())], ["pred", "score"])
+        release()
+
+    own = fresh(docs, "found")
+    kept = [c for c in docs.columns if c.lower() not in (pred.lower(), score.lower())]
+    return docs.withColumn(own, best(F.col(text_col))).select(*kept, F.col(f"{own}.pred").alias(pred), F.col(f"{own}.score").alias(score))
+
+
+def language_spans(docs: DataFrame, crf: Crf | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, start, end, lang): the runs of words that the field gives to one language, in code-switched text.
+
+    start and end are code points of the lower-cased text. Texts without letters, and null ones, have no runs.
+    """
+    held = tuned(docs.sparkSession).sparkContext.broadcast(crf)
+
+    @F.arrow_udf("array<struct<start long, end long, lang string>>")
+    def runs(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        labeller, kind = Labeller(held.value), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
+        for texts in batches:
+            yield pa.array([[dict(zip(("start", "end", "lang"), r, strict=True)) for r in rs] for rs in labeller.spans(texts.to_pylist())], kind)
+        release()
+
+    return docs.select(F.col(id_col).alias("id"), runs(F.col(text_col)).alias("runs")).select(F.col("id").alias(id_col), F.inline("runs"))
 
 
 def op4(docs: DataFrame) -> DataFrame:
@@ -260,6 +378,14 @@ def op4(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
-def reject_unknown(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """docs without those that are `und`, or of which no language holds the least share; columns stay as they are."""
-    return label(docs, fit(docs)).where((F.col("lang_pred") != NONE) & (F.col("lang_score") >= least)).select(*docs.columns)
+def reject_unknown(docs: DataFrame, least: float | None = None) -> DataFrame:
+    """docs without those that are `und`, or of which no language holds the least share; all columns stay as they are.
+
+    The least share is LEAD times the even one, so it falls with the number of languages learned. Null texts and texts
+    without letters go; rows that repeat stay or go alike; ids may be null. No rows, or nothing to learn from: no rows.
+    """
+    crf = fit(docs)
+    if least is None:
+        least = min(LEAST, LEAD / len(crf.langs)) if crf else LEAST
+    pred, score = fresh(docs, "pred"), fresh(docs, "score")
+    return label(docs, crf, pred=pred, score=score).where((F.col(pred) != NONE) & (F.col(score) >= least)).select(*docs.columns)
