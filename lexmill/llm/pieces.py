@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import tuned
 
 MARK = "▁"
-#: Stands for a literal marker inside a text, which has no piece and so becomes bytes.
-LITERAL = "\U0010fffe"
+#: Stands for a literal marker inside a text, which has no piece and so becomes bytes. No text in UTF-8 holds it.
+LITERAL = "\ud800"
 #: Words whose ids a worker keeps, and substrings that are probed at once.
 CACHE, CELLS = 800_000, 200_000
 #: What an unknown character scores below the least piece.
@@ -60,7 +60,8 @@ class Pieces:
             rows.sort()
             keys = np.array([r[0] for r in rows], np.uint64)
             first = np.searchsorted(keys, np.arange(65537, dtype=np.float64) * 2.0**48).astype(np.int32)
-            self.by[n] = (keys, first, np.array([r[1] for r in rows], np.int32), np.array([r[2] for r in rows]))
+            spelt = np.array([list(map(ord, model.id_to_piece(r[1]))) for r in rows], np.uint32)
+            self.by[n] = (keys, first, np.array([r[1] for r in rows], np.int32), np.array([r[2] for r in rows]), spelt)
         self.longest, self.spell = max(self.by), {i: len(p) for p, (i, _) in self.plain.items()}
         self.known: dict[str, bytes] = {}
 
@@ -79,7 +80,9 @@ class Pieces:
             score[k] = np.full(h.shape, self.unknown if k == 1 else -np.inf)
             piece[k] = np.full(h.shape, -1, np.int32)
             if k in self.by:
-                self._probe(k, h.ravel(), score[k].ravel(), piece[k].ravel())
+                windows = np.lib.stride_tricks.sliding_window_view(c, k, axis=1)
+                width = windows.shape[1]
+                self._probe(k, h.ravel(), score[k].ravel(), piece[k].ravel(), lambda i, w=windows, n=width: w[i // n, i % n])
         best, back = np.full((m, n + 1), -np.inf), np.zeros((m, n + 1), np.int32)
         best[:, 0] = 0
         for j in range(1, n + 1):
@@ -109,17 +112,22 @@ class Pieces:
             result[r] = self._bytes(words[r], out[r][real[r]]).astype(kind).tobytes()
         return result
 
-    def _probe(self, k: int, h: np.ndarray, score: np.ndarray, piece: np.ndarray) -> None:
-        """Fills in score and piece where h is among the sorted keys; its top 16 bits say where those keys begin."""
-        keys, first, ids, scores = self.by[k]
+    def _probe(self, k: int, h: np.ndarray, score: np.ndarray, piece: np.ndarray, letters) -> None:
+        """Fills in score and piece where h is among the sorted keys; its top 16 bits say where those keys begin.
+
+        Where a key is found, the substring's letters are compared with the piece's.
+        """
+        keys, first, ids, scores, spelt = self.by[k]
         top = (h >> np.uint64(48)).astype(np.int32)
         at, end = first[top], first[top + 1]
         left = np.flatnonzero(at < end)
         at, end = at[left], end[left]
         while len(left):
-            hit = keys[at] == h[left]
+            hit = np.flatnonzero(keys[at] == h[left])
+            hit = hit[(letters(left[hit]) == spelt[at[hit]]).all(axis=1)]
             score[left[hit]], piece[left[hit]] = scores[at[hit]], ids[at[hit]]
-            more = ~hit & (at + 1 < end)
+            more = at + 1 < end
+            more[hit] = False
             left, at, end = left[more], at[more] + 1, end[more]
 
     def _bytes(self, word: str, ids: np.ndarray) -> np.ndarray:
@@ -183,7 +191,7 @@ class Merges(Pieces):
                     at = np.flatnonzero(hi - lo == k)
                     h = (prefix[row[at], hi[at]] - prefix[row[at], lo[at]] * powers[k]) * _SPREAD
                     s, p = score[at], piece[at]
-                    self._probe(k, h, s, p)
+                    self._probe(k, h, s, p, lambda i, r=row[at], x=lo[at], k=k: c[r[i][:, None], x[i][:, None] + np.arange(k)])
                     score[at], piece[at] = s, p
             return score, piece
 
@@ -258,7 +266,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     Null and empty texts have no ids. A literal marker character and others without a piece become byte pieces, so
     decode() gives every text back exactly. The ids are those of the model's own encoding, which for BPE is the order of
-    merges; other texts than those with a literal marker are encoded alike. Ids may be null or repeat; other columns aren't read; no rows: no rows.
+    merges; other texts than those with a literal marker are encoded alike. Ids may be null or repeat; other columns
+    aren't read; no rows: no rows.
     """
     tuned(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_encode(model_path), "id long, ids array<int>, crc long").select(
