@@ -6,8 +6,9 @@ buckets borrow the register of another one by a fixed random order. Bands of fiv
 collision-corrected estimate of the Jaccard similarity discards hopeless ones, and the full sets decide.
 
 Equal sets are one class from the start, so a group of copies costs one representative. In each band bucket members are
-first compared with its least member; only buckets that the components so found still tear are compared within, on full
-sets in blocks of bounded size that return edges between components, so that no bucket's pairs are ever emitted.
+first compared with its first member; only buckets that the components so found still tear are compared within, and only
+across components: in blocks of bounded size, first by registers, then those with plausible partners on full sets, which
+return edges between components, so that no bucket's pairs are ever emitted.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, release, roots, small, tuned
+from .common import components, cut, fresh, release, roots, small, tuned
 
 WORDS = 5
 BUCKETS = 128
@@ -119,19 +120,18 @@ def plausible(same, n_a, n_b, percent: int):
     return (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)) & (estimate(same, n_a, n_b) >= s - SLACK * sd)
 
 
+def prints(h: np.ndarray) -> tuple[int, int, int]:
+    """Size and two 64-bit sums that stand for a set of hashes; different sets agree with a chance of 2^-128."""
+    return len(h), int(h.sum(dtype=np.uint64).view(np.int64)) if len(h) else 0, int(mix(h ^ _MULT[1]).sum(dtype=np.uint64).view(np.int64)) if len(h) else 0
+
+
 def _sketch(words: int):
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            n, a, b, sig = [], [], [], []
-            for t in texts:
-                h = shingles(t, hashes, words)
-                n.append(len(h))
-                a.append(int(h.sum(dtype=np.uint64).view(np.int64)) if len(h) else 0)
-                b.append(int(mix(h ^ _MULT[1]).sum(dtype=np.uint64).view(np.int64)) if len(h) else 0)
-                sig.append(registers(h).tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sig, pa.binary())], ["id", "n", "fa", "fb", "sig"])
+            sets = [shingles(t, hashes, words) for t in batch.column(2).to_pylist()]
+            held = [pa.array(x, pa.int64()) for x in zip(*map(prints, sets), strict=True)] if sets else [pa.array([], pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *held, pa.array([registers(h).tobytes() if len(h) else None for h in sets], pa.binary())], ["id", "th", "n", "fa", "fb", "sig"])
         release()
     return run
 
@@ -157,108 +157,202 @@ def _pair_filter(percent: int):
     return run
 
 
-def _verify(words: int, percent: int):
+def _sets(words: int):
+    """(id, n, fa, fb, set) of texts."""
     def run(batches):
-        hashes, held = WordHashes(), {}
-
-        def full(i, text):
-            if i not in held:
-                if len(held) > 64:
-                    held.clear()
-                held[i] = shingles(text, hashes, words)
-            return held[i]
-
+        hashes = WordHashes()
         for batch in batches:
-            a, b, ta, tb = (c.to_pylist() for c in batch.columns)
-            keep = []
-            for i, j, s, t in zip(a, b, ta, tb, strict=True):
-                x, y = full(i, s), full(j, t)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            sets = [shingles(t, hashes, words) for t in batch.column(1).to_pylist()]
+            held = [pa.array(x, pa.int64()) for x in zip(*map(prints, sets), strict=True)] if sets else [pa.array([], pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), *held, pa.array([h.tobytes() for h in sets], pa.binary())], ["id", "n", "fa", "fb", "set"])
+        release()
     return run
 
 
-def _sets(words: int):
+def _star_links(percent: int):
+    """Rows (head, chunk, id, set), a head's own row (no id) before its members: the members linked with the head."""
     def run(batches):
-        hashes = WordHashes()
+        head, held = None, np.empty(0, np.uint64)
         for batch in batches:
-            sets = [shingles(t, hashes, words).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
+            a, b = [], []
+            for h, i, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                x = np.frombuffer(raw.as_buffer(), np.uint64)
+                if i is None:
+                    head, held = h, x.copy()
+                elif h == head:
+                    both = len(np.intersect1d(x, held, assume_unique=True))
+                    if both and 100 * both >= percent * (len(x) + len(held) - both):
+                        a.append(h)
+                        b.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
     return run
 
 
-def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Matrix of which sets are similar enough. Only hashes of two or more sets are counted, some columns at a time."""
-    size = np.array([len(s) for s in sets])
-    owner, flat = np.repeat(np.arange(len(sets)), size), np.concatenate(sets)
-    order = np.argsort(flat, kind="stable")
-    owner, flat = owner[order], flat[order]
-    new = np.concatenate(([True], flat[1:] != flat[:-1]))
-    col = np.cumsum(new) - 1
-    shared = np.bincount(col)[col] > 1
-    owner, col = owner[shared], np.unique(col[shared], return_inverse=True)[1]
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    step = 4096
-    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, step):
-        a, b = np.searchsorted(col, (lo, lo + step))
-        x = np.zeros((len(sets), step), np.float32)
-        x[owner[a:b], col[a:b] - lo] = 1
-        both += x @ x.T
-    return (both > 0) & (100 * both.astype(np.float64) >= percent * (size[:, None] + size[None, :] - both))
-
+def linked(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> np.ndarray:
+    """Matrix of which sets of x and y are similar enough. Only hashes of both sides are counted, some columns at a time."""
+    nx, ny = (np.array([len(s) for s in z]) for z in (x, y))
+    ox, oy = np.repeat(np.arange(len(x)), nx), np.repeat(np.arange(len(y)), ny)
+    fx, fy = np.concatenate(x), np.concatenate(y)
+    common = np.intersect1d(fx, fy)
+    both = np.zeros((len(x), len(y)), np.float32)
+    if len(common):
+        def columns(flat, owner):
+            at = np.searchsorted(common, flat)
+            ok = common[np.minimum(at, len(common) - 1)] == flat
+            order = np.argsort(at[ok], kind="stable")
+            return at[ok][order], owner[ok][order]
+
+        (cx, ox), (cy, oy) = columns(fx, ox), columns(fy, oy)
+        step = 4096
+        for lo in range(0, len(common), step):
+            parts = []
+            for c, o, n in ((cx, ox, len(x)), (cy, oy, len(y))):
+                a, b = np.searchsorted(c, (lo, lo + step))
+                m = np.zeros((n, step), np.float32)
+                m[o[a:b], c[a:b] - lo] = 1
+                parts.append(m)
+            both += parts[0] @ parts[1].T
+    return (both > 0) & (100 * both.astype(np.float64) >= percent * (nx[:, None] + ny[None, :] - both))
+
+
+GROUP = ("key", "bi", "bj")
+
+
+def _groups(batches):
+    """Tables of whole groups (key, bi, bj) from rows sorted by them; a group has at most two blocks of members."""
+    def place(batch, k):
+        return tuple(batch.column(c)[k].as_py() for c in GROUP)
 
-def _block_links(percent: int):
-    """Rows sorted by group (key, bi, bj): edges that join the components which links within a group connect."""
-    fields = ("key", "bi", "bj")
-
-    def done(table):
-        key, bi, bj = (table.column(k).to_numpy() for k in fields)
-        new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])])
-        comp, raw = table.column("comp").to_numpy(), table.column("set")
-        for x, y in zip(new, np.r_[new[1:], len(key)], strict=True):
-            c, at = np.unique(comp[x:y], return_inverse=True)
-            if len(c) > 1:
-                i, j = np.nonzero(np.triu(linked([np.frombuffer(s, np.uint64) for s in raw.slice(x, y - x).to_pylist()], percent), 1))
-                root = roots(len(c), at[i], at[j])
-                own = np.flatnonzero(root != np.arange(len(c)))
-                if len(own):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[own]), pa.array(c[root[own]])], ["a", "b"])
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        end = place(batch, batch.num_rows - 1)
+        if place(held[0], 0) == end:
+            continue  # still the same group
+        table = pa.Table.from_batches(held)
+        inside = np.logical_and.reduce([table.column(c).to_numpy() == e for c, e in zip(GROUP, end, strict=True)])
+        start = int(inside.argmax())
+        yield table.slice(0, start)
+        held = table.slice(start).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sides(table):
+    """For each group: its rows' range, and where its two sides lie within (both the same where a block meets itself)."""
+    cols = [table.column(k).to_numpy() for k in GROUP]
+    new = np.flatnonzero(np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in cols])])
+    side = table.column("side").to_numpy()
+    for x, y in zip(new, np.r_[new[1:], table.num_rows], strict=True):
+        own = side[x:y]
+        left, right = np.flatnonzero(own == cols[1][x]), np.flatnonzero(own == cols[2][x])
+        if len(left) and len(right):
+            yield x, y, left, right
+
+
+def _close(percent: int):
+    """Groups of signatures: the members with a plausible partner of another component on the other side."""
+    def run(batches):
+        for table in _groups(batches):
+            comp, n, sig = table.column("comp").to_numpy(), table.column("n").to_numpy(), table.column("sig")
+            keep = np.zeros(table.num_rows, bool)
+            for x, y, left, right in _sides(table):
+                reg = np.frombuffer(b"".join(sig.slice(x, y - x).to_pylist()), np.uint16).reshape(-1, BUCKETS)
+                a, b = np.repeat(left, len(right)), np.tile(right, len(left))
+                apart = comp[x + a] != comp[x + b]
+                a, b = a[apart], b[apart]
+                for lo in range(0, len(a), 8192):
+                    p, q = a[lo : lo + 8192], b[lo : lo + 8192]
+                    ok = plausible((reg[p] == reg[q]).sum(axis=1), n[x + p], n[x + q], percent)
+                    keep[x + p[ok]] = keep[x + q[ok]] = True
+            yield from table.select([*GROUP, "side", "node", "comp"]).filter(pa.array(keep)).combine_chunks().to_batches()
+    return run
 
-    def place(batch, k):
-        return tuple(batch.column(c)[k].as_py() for c in fields)
 
+def _block_links(percent: int):
+    """Groups of sets: edges that join the components which links between the two sides connect."""
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            end = place(batch, batch.num_rows - 1)
-            if place(held[0], 0) == end:
-                continue  # still the same group
-            table = pa.Table.from_batches(held)
-            inside = np.logical_and.reduce([table.column(c).to_numpy() == e for c, e in zip(fields, end, strict=True)])
-            start = int(inside.argmax())
-            yield from done(table.slice(0, start))
-            held = table.slice(start).to_batches()
-        if held:
-            yield from done(pa.Table.from_batches(held))
+        for table in _groups(batches):
+            comp, raw = table.column("comp").to_numpy(), table.column("set")
+            for x, y, left, right in _sides(table):
+                c, at = np.unique(comp[x:y], return_inverse=True)
+                if len(c) > 1:
+                    sets = [np.frombuffer(s, np.uint64) for s in raw.slice(x, y - x).to_pylist()]
+                    i, j = np.nonzero(linked([sets[k] for k in left], [sets[k] for k in right], percent))
+                    root = roots(len(c), at[left[i]], at[right[j]])
+                    own = np.flatnonzero(root != np.arange(len(c)))
+                    if len(own):
+                        yield pa.RecordBatch.from_arrays([pa.array(c[own]), pa.array(c[root[own]])], ["a", "b"])
     return run
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the ids named in the cut column need."""
-    return docs.select("id", "text").join(small(ids), F.col("id") == F.col("need"), "left_semi")
+def _blocked(apart: DataFrame) -> DataFrame:
+    """Rows (key, bi, bj, side, node, comp) of the torn buckets' members, a row for each block that they meet in.
+
+    The members of a bucket's largest component needn't meet one another, so they are dealt to blocks of their own, and
+    each of these meets the blocks of the rest only: a large linked group with a few strays costs what it has members.
+    """
+    sizes = apart.groupBy("key", "comp").agg(F.count("*").alias("s"))
+    top = sizes.groupBy("key").agg(F.max(F.struct("s", "comp")).alias("t"), F.sum("s").alias("m")).where("m > t.s").select(
+        "key", F.col("t.comp").alias("top"), F.ceil(F.col("t.s") / BLOCK).cast("int").alias("nt"), F.ceil((F.col("m") - F.col("t.s")) / BLOCK).cast("int").alias("nr"))
+    met = apart.join(top, "key")
+    large = F.col("comp") == F.col("top")
+    side = F.when(large, F.col("nr") + F.pmod(F.xxhash64("node"), F.col("nt"))).otherwise(F.pmod(F.xxhash64("node"), F.col("nr"))).cast("int")
+    others = F.when(large, F.sequence(F.lit(0), F.col("nr") - 1)).otherwise(F.sequence(F.lit(0), F.col("nr") + F.col("nt") - 1))
+    met = met.select("key", "node", "comp", side.alias("side"), F.explode(others).alias("o"))
+    return met.select("key", F.least("side", "o").alias("bi"), F.greatest("side", "o").alias("bj"), "side", "node", "comp")
+
 
+def _classified(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, th, n, node) of docs (id, text), and (node, rep, root) of classes of equal sets; th is a hash of the text.
 
-def _links(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose full sets are similar enough. pairs is cut; texts are read for its ids only."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct())
-    texts = _texts(docs, ids)
-    x, y = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", "ta", "tb")
-    return cut(both.mapInArrow(_verify(words, percent), "a long, b long").distinct())
+    A class is known by a number of its own, rep is the least id of its rows, and root the number of its component.
+    """
+    spark = tuned(docs.sparkSession)
+    docs = docs.withColumn("th", F.xxhash64("text"))
+    sigs = cut(docs.select("id", "th", "text").mapInArrow(_sketch(words), "id long, th long, n long, fa long, fb long, sig binary"))
+    classes = cut(sigs.where("n > 0").groupBy("fa", "fb", "n").agg(F.min("id").alias("rep"), F.min("sig").alias("sig")).withColumn("node", F.monotonically_increasing_id()))
+    sig = classes.where("rep is not null").select("node", "sig", "n")
+    rows = sig.select("node", "sig").mapInArrow(_band_rows, "key long, node long")
+    heads = rows.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("other")).where("head < other").select("key", "head")
+    cand = cut(rows.join(heads, "key"))
+    star = cand.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    x, y = (sig.select(F.col("node").alias(c), F.col("sig").alias(f"s{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
+    star = cut(star.join(x, "a").join(y, "b").select("a", "b", "sa", "na", "sb", "nb").mapInArrow(_pair_filter(percent), "a long, b long"))
+
+    def sets(nodes: DataFrame) -> DataFrame:
+        """(node, set) of the classes named in the cut column node, by the text of their least id."""
+        need = cut(classes.drop("sig").join(nodes.distinct(), "node"))
+        ids = cut(need.select(F.col("rep").alias("need")).distinct())
+        texts = docs.join(small(ids), F.col("id") == F.col("need"), "left_semi").dropDuplicates(["id", "th"]).select("id", "text")
+        made = texts.mapInArrow(_sets(words), "id long, n long, fa long, fb long, set binary")
+        return made.join(need.withColumnRenamed("rep", "id"), ["id", "n", "fa", "fb"]).select("node", "set")
+
+    # heads meet their members: a head's set is sent once for each chunk of members, a member's once for each head
+    own = cut(sets(star.select(F.explode(F.array("a", "b")).alias("node"))).dropDuplicates(["node"]))
+    chunks = star.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nc"))
+    members = star.join(chunks, "a").join(own, F.col("b") == F.col("node")).select("a", F.pmod(F.xxhash64("b"), F.col("nc")).cast("int").alias("chunk"), "b", "set")
+    tops = chunks.join(own, F.col("a") == F.col("node")).select("a", F.explode(F.sequence(F.lit(0), F.col("nc") - 1)).alias("chunk"), F.lit(None).cast("long").alias("b"), "set")
+    met = tops.unionByName(members).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
+    comp = cut(components(met.mapInArrow(_star_links(percent), "a long, b long")))
+    # what the stars left apart: members of one bucket in different components
+    apart = cand.join(comp.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("component_id", "node").alias("comp"))
+    torn = apart.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("d")).where("c1 < c2 and m > 2")
+    # buckets of the same members give the same pairs: those with equal digests are compared once
+    once = torn.groupBy("d", "m").agg(F.min("key").alias("key")).select("key")
+    blocks = _blocked(cut(apart.join(once, "key")))
+    by = lambda df: df.repartition(*GROUP).sortWithinPartitions(*GROUP)
+    close = cut(by(blocks.join(sig, "node").select(*GROUP, "side", "node", "comp", "n", "sig")).mapInArrow(_close(percent), "key long, bi int, bj int, side int, node long, comp long"))
+    if close.limit(1).count():
+        held = sets(close.select("node")).dropDuplicates(["node"])
+        extra = cut(by(close.join(held, "node").select(*GROUP, "side", "comp", "set")).mapInArrow(_block_links(percent), "a long, b long").distinct())
+        if extra.limit(1).count():
+            comp = cut(components(extra.unionAll(comp.select(F.col("id").alias("a"), F.col("component_id").alias("b")))))
+    known = classes.drop("sig").join(comp.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("component_id", "node"))
+    rows = sigs.drop("sig").join(known.select("fa", "fb", "n", "node"), ["fa", "fb", "n"], "left")
+    return rows.select("id", "th", "n", "node"), known.select("node", "rep", "root")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = 80) -> DataFrame:
@@ -266,55 +360,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents are linked if 100 * |A and B| >= percent * |A or B| for their sets of word shingles (A-Z lower-cased,
     words parted by ASCII white space). component_id is the least id reachable, kept says that it is the row's own.
-    Null, empty or blank texts have no set and stay alone; texts of fewer words have one shingle of all of them. Rows
-    with a null id keep their row: they may carry the component of an equal set, represent none and are kept if alone.
-    Rows that share an id are one document if their texts are equal. Other columns aren't read. No rows: no rows.
+    Sets are compared by 64-bit hashes of their shingles; equal sets are known by their size and two 64-bit sums, which
+    agree for two different sets with a chance of 2^-128. Null, empty or blank texts have no set and stay alone; texts
+    of fewer words have one shingle of all of them. Rows with a null id keep their row: they carry the component of an
+    equal set that has an id, else none (null, kept). Rows that share an id but not their text are documents of their
+    own with that id. Other columns aren't read. No rows: no rows.
     """
-    spark = tuned(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sigs = cut(docs.mapInArrow(_sketch(words), "id long, n long, fa long, fb long, sig binary"))
-    reps = sigs.where("n > 0").groupBy("fa", "fb", "n").agg(F.min("id").alias("rep"))
-    classes = cut(reps)
-    # one signature for each class: its representative's row
-    rep_sig = cut(sigs.where("n > 0").join(classes.select(F.col("rep").alias("id"), F.col("n").alias("rn"), F.col("fa").alias("ra"), F.col("fb").alias("rb")), "id")
-                  .where("n = rn and fa = ra and fb = rb").groupBy("id").agg(F.first("sig").alias("sig"), F.first("n").alias("n")))
-    rows = rep_sig.select("id", "sig").mapInArrow(_band_rows, "key long, id long")
-    heads = rows.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("other")).where("head < other").select("key", "head")
-    cand = cut(rows.join(heads, "key"))
-    star = cand.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-
-    def with_sig(pairs: DataFrame) -> DataFrame:
-        x = rep_sig.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na"))
-        y = rep_sig.select(F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "na", "sb", "nb")
-
-    found = _links(docs, cut(with_sig(star).mapInArrow(_pair_filter(percent), "a long, b long")), words, percent)
-    comp = cut(components(found))
-    # what the stars left apart: members of one bucket in different components
-    apart = cand.join(comp.withColumnRenamed("component_id", "c"), "id", "left").select("key", "id", F.coalesce("c", "id").alias("comp"))
-    torn = apart.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("m")).where("c1 < c2 and m > 2")
-    apart = cut(apart.join(torn.select("key", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int").alias("nb")), "key"))
-    # buckets of the same members give the same pairs: those with equal digests are compared once
-    digest = apart.groupBy("key", "nb").agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("d"), F.count("*").alias("m"))
-    once = digest.groupBy("d", "m", "nb").agg(F.min("key").alias("key")).select("key")
-    apart = apart.join(once, "key", "left_semi")
-    side = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
-    apart = cut(apart.withColumn("side", side))
-    sets = _texts(docs, cut(apart.select(F.col("id").alias("need")).distinct())).dropDuplicates(["id"]).mapInArrow(_sets(words), "id long, set binary")
-    blocks = (apart.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-              .select("key", F.least("side", "o").alias("bi"), F.greatest("side", "o").alias("bj"), "id", "comp"))
-    blocks = blocks.join(sets, "id").select("key", "bi", "bj", "comp", "set").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    extra = cut(blocks.mapInArrow(_block_links(percent), "a long, b long").distinct())
-    if extra.limit(1).count():
-        comp = cut(components(extra.unionAll(comp.select(F.col("id").alias("a"), F.col("component_id").alias("b")))))
-    out = sigs.select("id", "n", "fa", "fb").join(
-        classes.join(comp.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
-        .select("fa", "fb", "n", F.coalesce("component_id", "rep").alias("c")), ["fa", "fb", "n"], "left")
-    own: Column = F.when(F.col("n") > 0, F.coalesce("c", "id")).otherwise(F.col("id"))
+    rows, classes = _classified(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), words, percent)
+    least = classes.groupBy("root").agg(F.min("rep").alias("component"))
+    out = rows.join(classes.join(least, "root").select("node", "component"), "node", "left")
+    own: Column = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("id").eqNullSafe(own), F.lit(False)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = 80) -> DataFrame:
-    """docs without the documents that near_duplicates() doesn't keep; all columns stay."""
-    gone = cut(near_duplicates(docs, id_col, text_col, words, percent).where(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct())
-    return docs.join(small(gone), F.col(id_col) == F.col("__gone"), "left_anti")
+    """docs with one row of each component of near_duplicates(); all columns stay, whatever their names.
+
+    The row with the least id stays (a null id last), then the one with the least hash of the text; of rows that repeat
+    id and text any one. Rows without words (null, empty or blank texts) are no copies of one another and all stay.
+    """
+    rows, classes = _classified(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), words, percent)
+    rows = rows.where("n > 0").join(classes.select("node", "root"), "node").select("root", "id", "th")
+    many = rows.groupBy("root", "id", "th").agg(F.count("*").alias("m"))
+    many = cut(many.join(many.groupBy("root").agg(F.sum("m").alias("all")).where("all > 1").select("root"), "root"))
+    first = many.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "th")).alias("f")).select("root", "f.id", "f.th")
+    best = many.join(first.select("root", F.col("id").alias("bi"), F.col("th").alias("bt")), "root").withColumn("best", F.col("id").eqNullSafe(F.col("bi")) & (F.col("th") == F.col("bt")))
+    touched = cut(best.where("not best or m > 1").select(F.col("id").alias("gi"), F.col("th").alias("gt"), "best"))
+    ti, th, gi, gt = (fresh(docs, c) for c in ("touched_id", "touched_hash", "gone_id", "gone_hash"))
+    both = docs.select("*", F.col(id_col).cast("long").alias(ti), F.xxhash64(text_col).alias(th))
+    match = F.col(ti).eqNullSafe(F.col(gi)) & (F.col(th) == F.col(gt))
+    named = touched.withColumnsRenamed({"gi": gi, "gt": gt})
+    left = both.join(small(named.drop("best"), width=24), match, "left_anti")
+    repeated = both.join(small(named.where("best").drop("best"), width=24), match, "left_semi").dropDuplicates([ti, th])
+    return left.unionByName(repeated).select(*docs.columns)
