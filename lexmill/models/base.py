@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ from ..operators.vocabulary import bag
 
 #: A model's vocabulary lives on the driver and in broadcasts, so it is bounded: the most frequent words stay.
 MAX_VOCABULARY = 200_000
+#: Cells of a block of sums (1 MB), entries times topics that a task holds at once, and vectors added in the first step.
+CELLS, ENTRIES, FAN = 1 << 17, 4_000_000, 64
 
 
 class Corpus:
@@ -87,9 +93,101 @@ class TopicModel:
         return cls(record["words"], phi, theta, record["settings"], [tuple(h) for h in record["history"]])
 
 
-def summed(parts: DataFrame, k: int, v: int) -> np.ndarray:
-    """A K x V matrix from rows (topic, i, x), summed in Spark; the driver gets one row a cell."""
-    out = np.zeros((k, v))
-    rows = parts.groupBy("topic", "i").agg(F.sum("x").alias("x")).toPandas()
-    out[rows["topic"].to_numpy(int), rows["i"].to_numpy(int)] = rows["x"].to_numpy(float)
-    return out
+class Bags:
+    """Documents of an Arrow batch as flat arrays: words i and counts n, one document after the other."""
+
+    def __init__(self, batch: pa.RecordBatch, counts: str = "n"):
+        self.batch = batch
+        self.i = batch.column("i").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.n = batch.column(counts).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        self.size = pc.list_value_length(batch.column("i")).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.own = np.repeat(np.arange(len(self.size)), self.size)
+
+    def __len__(self) -> int:
+        return len(self.size)
+
+    def column(self, name: str) -> list:
+        return self.batch.column(name).to_pylist()
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """Sums of entries by document; each has one at least."""
+        return np.add.reduceat(x, self.first, axis=0)
+
+    def into(self, total: np.ndarray, x: np.ndarray) -> None:
+        """Adds entries to the rows of their words."""
+        order = np.argsort(self.i, kind="stable")
+        word = self.i[order]
+        start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        total[word[start]] += np.add.reduceat(x[order], start, axis=0)
+
+
+def bags(batches, k: int, counts: str = "n"):
+    """The documents of batches in parts of a bounded number of entries, for K values each; empty ones are left out."""
+    for batch in batches:
+        size = pc.list_value_length(batch.column("i")).to_numpy(zero_copy_only=False).astype(np.int64)
+        if (size == 0).any():
+            batch = batch.filter(pa.array(size > 0))
+            size = size[size > 0]
+        part = np.cumsum(size) * k // ENTRIES
+        for lo, hi in pairwise([0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(size)]):
+            if hi > lo:
+                yield Bags(batch.slice(lo, hi - lo), counts)
+
+
+def mixtures(bag: Bags, p: np.ndarray, value: str = "p") -> pa.RecordBatch:
+    """Rows (doc_id, topic, p) of a matrix of documents by topics."""
+    d, k = p.shape
+    return pa.RecordBatch.from_arrays([bag.batch.column("doc_id").take(pa.array(np.repeat(np.arange(d), k))), pa.array(np.tile(np.arange(k, dtype=np.int32), d)), pa.array(p.ravel().astype(np.float64))], ["doc_id", "topic", value])
+
+
+def per_topic(corpus_rows: DataFrame, run, value: str = "p") -> DataFrame:
+    """Rows (doc_id, topic, value) that run makes of batches."""
+    return corpus_rows.mapInArrow(run, f"doc_id {dict(corpus_rows.dtypes)['doc_id']}, topic int, {value} double")
+
+
+def parts(matrix: np.ndarray, extra=()) -> Iterator[pa.RecordBatch]:
+    """A task's matrix as rows (block of columns, its cells), and a vector as block -1. Blocks of zeros are left out."""
+    width = max(1, CELLS // max(1, len(matrix)))
+    held = {b: np.ascontiguousarray(matrix[:, b * width : (b + 1) * width], np.float64) for b in range(-(-matrix.shape[1] // width))}
+    held = {b: x for b, x in held.items() if x.any()} | ({-1: np.asarray(extra, np.float64)} if len(extra) else {})
+    for b, x in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([x.tobytes()], pa.binary())], ["block", "x"])
+
+
+def _add(batches):
+    """Sums of the vectors of each block; rows are sorted by block."""
+    now, total = None, None
+    for batch in batches:
+        for b, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            x = np.frombuffer(x.as_buffer(), np.float64)
+            if b == now:
+                total += x
+                continue
+            if now is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["block", "x"])
+            now, total = b, x.copy()
+    if now is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["block", "x"])
+
+
+def summed(rows: DataFrame, run, shape: tuple[int, int], extra: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The sums over tasks of the matrix and the vector that run yields by parts().
+
+    Blocks are summed by Spark, on many executors in two steps, so that a task reads a few dozen vectors of a block; the
+    driver gets the matrix once.
+    """
+    spark = rows.sparkSession
+    df = rows.mapInArrow(run, "block long, x binary")
+    if spark.sparkContext.defaultParallelism > FAN:
+        df = df.withColumn("salt", F.spark_partition_id() % FAN)
+        df = df.repartition("block", "salt").sortWithinPartitions("block", "salt").select("block", "x").mapInArrow(_add, "block long, x binary")
+    df = df.repartition("block").sortWithinPartitions("block").mapInArrow(_add, "block long, x binary")
+    out, vector, width = np.zeros(shape), np.zeros(extra), max(1, CELLS // max(1, shape[0]))
+    for r in df.collect():  # as many cells as the matrix has
+        x = np.frombuffer(r["x"], np.float64)
+        if r["block"] < 0:
+            vector += x
+        else:
+            out[:, r["block"] * width : (r["block"] + 1) * width] += x.reshape(shape[0], -1)
+    return out, vector

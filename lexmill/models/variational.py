@@ -2,36 +2,75 @@
 
 from __future__ import annotations
 
+import copy
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import digamma, lgamma
-from .base import Corpus, TopicModel, summed
+from ..functions.arrays import digamma, trigamma
+from .base import Bags, Corpus, TopicModel, bags, mixtures, parts, per_topic, summed
 
-INNER, TOL = 60, 1e-3
+#: Rounds of a document's fit, and the mean change of its pseudo-counts, as a share of its length, that ends it.
+INNER, TOL = 60, 1e-4
 
 
-def e_step(i: np.ndarray, n: np.ndarray, alpha: np.ndarray, e_beta: np.ndarray, mask: np.ndarray | None = None):
-    """gamma of one document and its K x len(i) expected counts; e_beta is exp(E[ln beta])."""
-    b = e_beta[:, i]
+def e_steps(bag: Bags, alpha: np.ndarray, beta: np.ndarray, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gamma D x K, expected counts of entries x K, log likelihood of documents); beta is exp(E[ln beta]), V x K.
+
+    All documents of the batch advance together; those that have settled leave it.
+    """
+    d, k = len(bag), beta.shape[1]
+    alpha = np.broadcast_to(np.asarray(alpha, float), (d, k))
+    whole = beta[bag.i].astype(np.float32)
     if mask is not None:
-        b, alpha = b * mask[:, None], np.where(mask > 0, alpha, 1e-12)
-    gamma = alpha + n.sum() / len(alpha)
+        whole *= mask[bag.own].astype(np.float32)
+        alpha = np.where(mask > 0, alpha, 1e-12)
+    total = bag.sums(bag.n)
+    gamma = alpha + total[:, None] / k
+
+    def shares(g):
+        return np.exp(digamma(g) - digamma(g.sum(axis=1, keepdims=True)))
+
+    live, own, first, b, n = np.arange(d), bag.own, bag.first, whole, bag.n
     for _ in range(INNER):
-        et = np.exp(digamma(gamma) - digamma(np.array([gamma.sum()])))
-        norm = et @ b + 1e-100
-        new = alpha + et * (b @ (n / norm))
-        moved = np.abs(new - gamma).mean()
-        gamma = new
-        if moved < TOL:
+        et = shares(gamma[live])
+        norm = np.einsum("ij,ij->i", et.astype(np.float32)[own], b).astype(np.float64) + 1e-100
+        new = alpha[live] + et * np.add.reduceat(b * (n / norm).astype(np.float32)[:, None], first, axis=0, dtype=np.float64)
+        moving = np.abs(new - gamma[live]).mean(axis=1) > TOL * total[live] / k + 1e-5
+        gamma[live] = new
+        if not moving.any():
+            break
+        if moving.mean() < 0.7:
+            kept = moving[own]
+            size = np.bincount(own[kept], minlength=len(live))[moving]
+            live, b, n = live[moving], b[kept], n[kept]
+            own, first = np.repeat(np.arange(len(live)), size), np.cumsum(size) - size
+    et = shares(gamma)
+    norm = np.einsum("ij,ij->i", et.astype(np.float32)[bag.own], whole).astype(np.float64) + 1e-100
+    stats = whole * et.astype(np.float32)[bag.own] * (bag.n / norm).astype(np.float32)[:, None]
+    return gamma, stats, bag.sums(bag.n * np.log(norm))
+
+
+def short(beta: np.ndarray) -> np.ndarray:
+    """K x V as V x K in four bytes, held away from 0, where quotients would overflow."""
+    return np.maximum(np.ascontiguousarray(beta.T), 1e-30).astype(np.float32)
+
+
+def minka(mean: np.ndarray, alpha: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """The Dirichlet prior whose expected log shares are the given means (fixed point, with digamma inverted by Newton)."""
+    for _ in range(rounds):
+        want = mean + digamma(np.array([alpha.sum()]))
+        x = np.where(want >= -2.22, np.exp(want) + 0.5, -1 / (want + 0.5772156649015329))
+        for _ in range(5):
+            x = np.maximum(x - (digamma(x) - want) / trigamma(x), 1e-6)
+        done = np.abs(x - alpha).max() < 1e-7
+        alpha = x
+        if done:
             break
-    et = np.exp(digamma(gamma) - digamma(np.array([gamma.sum()])))
-    stats = et[:, None] * b * (n / (et @ b + 1e-100))
-    return gamma, stats, float((n * np.log(et @ b + 1e-100)).sum())
+    return alpha
 
 
 def expected_log(lam: np.ndarray, groups: np.ndarray | None = None) -> np.ndarray:
@@ -46,12 +85,16 @@ def expected_log(lam: np.ndarray, groups: np.ndarray | None = None) -> np.ndarra
 
 
 class LDA:
-    """Latent Dirichlet allocation. Subclasses change the prior of words, of documents, or the topics a document may use."""
+    """Latent Dirichlet allocation. Subclasses change the prior of words, of documents, or the topics a document may use.
+
+    learn_alpha fits the documents' prior, one weight a topic, after each sweep; learn_beta the words', one for all.
+    watch(sweep, log likelihood) is called after each sweep; a fit that it answers with False stops there.
+    """
 
     groups: np.ndarray | None = None
 
-    def __init__(self, k: int, alpha: float | None = None, beta: float = 0.01, iters: int = 30, tol: float = 1e-4, seed: int = 0):
-        self.k, self.beta, self.iters, self.tol, self.seed = k, beta, iters, tol, seed
+    def __init__(self, k: int, alpha: float | None = None, beta: float = 0.01, iters: int = 100, tol: float = 1e-4, seed: int = 0, learn_alpha: bool = False, learn_beta: bool = False, watch=None):
+        self.k, self.beta, self.iters, self.tol, self.seed, self.learn_alpha, self.learn_beta, self.watch = k, beta, iters, tol, seed, learn_alpha, learn_beta, watch
         self.alpha = np.full(k, alpha if alpha is not None else 50.0 / k if k > 50 else 1.0 / k)
 
     def settings(self) -> dict:
@@ -66,62 +109,65 @@ class LDA:
 
     carry: tuple[str, ...] = ()
 
-    def doc_prior(self, row: dict) -> tuple[np.ndarray, np.ndarray | None]:
-        """alpha of a document and the mask of topics it may use."""
+    def doc_priors(self, bag: Bags) -> tuple[np.ndarray, np.ndarray | None]:
+        """alpha of each document (or of all) and the weights of topics that it may use."""
         return self.alpha, None
 
     def sweep(self, corpus: Corpus, lam: np.ndarray, rows: DataFrame | None = None) -> tuple[np.ndarray, float]:
         """Summed statistics and the log likelihood of the documents' words under their own mixtures."""
-        e_beta, k, me = corpus.spark.sparkContext.broadcast(expected_log(lam, self.groups)), self.k, self._frozen()
+        return self._sweep(corpus, expected_log(lam, self.groups), rows)
+
+    def _sweep(self, corpus: Corpus, beta: np.ndarray, rows: DataFrame | None = None) -> tuple[np.ndarray, float]:
+        held, k, v, me = corpus.spark.sparkContext.broadcast(short(beta)), self.k, corpus.size, self._frozen()
 
         def run(batches):
-            total, like = None, 0.0
-            for pdf in batches:
-                for row in pdf.to_dict("records"):
-                    i, n = np.asarray(row["i"], int), np.asarray(row["n"], float)
-                    alpha, mask = me.doc_prior(row)
-                    _, s, ll = e_step(i, n, alpha, e_beta.value, mask)
-                    if total is None:
-                        total = np.zeros(e_beta.value.shape)
-                    total[:, i] += s
-                    like += ll
-            if total is not None:
-                t, w = np.nonzero(total > 1e-10)
-                yield pd.DataFrame({"topic": t, "i": w, "x": total[t, w]})
-                yield pd.DataFrame({"topic": [-1], "i": [0], "x": [like]})
-
-        parts = (rows if rows is not None else corpus.rows).mapInPandas(run, "topic int, i int, x double").persist()
-        stats = summed(parts.where("topic >= 0"), k, corpus.size)
-        like = parts.where("topic < 0").agg(F.sum("x")).first()[0] or 0.0
-        parts.unpersist()
-        e_beta.unpersist()
-        return stats, like
+            total, extra = np.zeros((v, k)), np.zeros(k + 2)
+            for bag in bags(batches, k):
+                gamma, s, like = me._step(bag, held.value)
+                bag.into(total, s)
+                extra += np.r_[like.sum(), len(bag), (digamma(gamma) - digamma(gamma.sum(axis=1, keepdims=True))).sum(axis=0)]
+            yield from parts(total.T, extra)
+
+        stats, extra = summed(corpus.rows if rows is None else rows, run, (k, v), k + 2)
+        held.unpersist()
+        self.log_shares = extra[2:] / max(extra[1], 1)  # mean expected log shares of topics
+        return stats, float(extra[0])
+
+    def _step(self, bag: Bags, beta: np.ndarray):
+        alpha, mask = self.doc_priors(bag)
+        return e_steps(bag, alpha, beta, mask)
 
     def _frozen(self):
         """A copy without tables, to be sent to tasks."""
-        import copy
-
         c = copy.copy(self)
-        c.__dict__ = {n: v for n, v in self.__dict__.items() if not isinstance(v, DataFrame)}
+        c.__dict__ = {n: v for n, v in self.__dict__.items() if not isinstance(v, DataFrame) and n not in ("watch", "lam")}
         return c
 
     def theta(self, corpus: Corpus, lam: np.ndarray) -> DataFrame:
-        e_beta, me = corpus.spark.sparkContext.broadcast(expected_log(lam, self.groups)), self._frozen()
+        return self._theta(corpus, expected_log(lam, self.groups))
+
+    def _theta(self, corpus: Corpus, beta: np.ndarray) -> DataFrame:
+        held, me = corpus.spark.sparkContext.broadcast(short(beta)), self._frozen()
 
         def run(batches):
-            for pdf in batches:
-                out = []
-                for row in pdf.to_dict("records"):
-                    alpha, mask = me.doc_prior(row)
-                    g, _, _ = e_step(np.asarray(row["i"], int), np.asarray(row["n"], float), alpha, e_beta.value, mask)
-                    out += [(row["doc_id"], t, p) for t, p in enumerate(g / g.sum())]
-                yield pd.DataFrame(out, columns=["doc_id", "topic", "p"])
+            for bag in bags(batches, me.k):
+                gamma, _, _ = me._step(bag, held.value)
+                yield mixtures(bag, gamma / gamma.sum(axis=1, keepdims=True))
 
-        kind = dict(corpus.rows.dtypes)["doc_id"]
-        return corpus.rows.mapInPandas(run, f"doc_id {kind}, topic int, p double")
+        return per_topic(corpus.rows, run)
 
     def between(self, corpus: Corpus, lam: np.ndarray) -> None:
         """What else is learned between sweeps."""
+        if self.learn_alpha:
+            self.alpha = minka(self.log_shares, self.alpha)
+        if self.learn_beta:
+            mean = float((digamma(lam) - digamma(lam.sum(axis=1, keepdims=True))).mean())
+            self.beta = float(minka(np.full(lam.shape[1], mean), np.full(lam.shape[1], self.beta), 20).mean())
+
+    def _done(self, history: list[tuple[int, float]]) -> bool:
+        if self.watch is not None and self.watch(*history[-1]) is False:
+            return True
+        return len(history) > 1 and abs(history[-1][1] - history[-2][1]) <= self.tol * abs(history[-2][1])
 
     def fit(self, corpus: Corpus) -> TopicModel:
         lam, history = self.start(corpus), []
@@ -130,7 +176,7 @@ class LDA:
             lam = self.prior(corpus) + stats
             history.append((it, like))
             self.between(corpus, lam)
-            if it and abs(like - history[-2][1]) <= self.tol * abs(history[-2][1]):
+            if self._done(history):
                 break
         self.lam = lam
         return TopicModel(corpus.words, self._phi(lam), self.theta(corpus, lam), self.settings(), history)
@@ -176,19 +222,22 @@ class OnlineLDA(LDA):
 
 
 class SeededLDA(LDA):
-    """Topics named by seed words, whose prior grows by weight * 100 (times the word's count if by_count)."""
+    """Topics named by seed words, whose prior grows by weight times the word's count, or weight * 100 without by_count."""
 
-    def __init__(self, seeds: dict[str, list[str]], residual: int = 0, weight: float = 0.01, **kw):
+    def __init__(self, seeds: dict[str, list[str]], residual: int = 0, weight: float = 0.01, by_count: bool = True, **kw):
         super().__init__(len(seeds) + residual, **kw)
-        self.seeds, self.weight = seeds, weight
+        self.seeds, self.weight, self.by_count, self.counts = seeds, weight, by_count, None
         self.names = [*seeds, *[f"other_{i}" for i in range(residual)]]
 
     def prior(self, corpus: Corpus) -> np.ndarray:
+        own = {corpus.index[w] for words in self.seeds.values() for w in words if w in corpus.index}
+        if self.by_count and self.counts is None and own:
+            e = corpus.rows.select(F.explode(F.arrays_zip("i", "n")).alias("e")).where(F.col("e.i").isin(sorted(own)))
+            self.counts = {r["i"]: float(r["n"]) for r in e.groupBy("e.i").agg(F.sum("e.n").alias("n")).collect()}  # a row a seed word
         out = super().prior(corpus)
         for k, words in enumerate(self.seeds.values()):
-            for w in words:
-                if w in corpus.index:
-                    out[k, corpus.index[w]] += self.weight * 100
+            for i in {corpus.index[w] for w in words if w in corpus.index}:
+                out[k, i] += self.weight * (self.counts.get(i, 0.0) if self.by_count else 100)
         return out
 
     def start(self, corpus: Corpus) -> np.ndarray:
@@ -210,12 +259,12 @@ class LabeledLDA(LDA):
         super().__init__(len(labels), **kw)
         self.labels, self.at = labels, {x: i for i, x in enumerate(labels)}
 
-    def doc_prior(self, row):
-        mask = np.zeros(self.k)
-        for x in row["labels"] if row["labels"] is not None else ():
-            if x in self.at:
-                mask[self.at[x]] = 1
-        return self.alpha, mask if mask.any() else None
+    def doc_priors(self, bag):
+        mask = np.zeros((len(bag), self.k))
+        for d, labels in enumerate(bag.column("labels")):
+            mask[d, [self.at[x] for x in labels or () if x in self.at]] = 1
+        mask[~mask.any(axis=1)] = 1
+        return self.alpha, mask
 
 
 class DMR(LDA):
@@ -229,33 +278,46 @@ class DMR(LDA):
         self.coef = np.zeros((k, n_features + 1))
         self.coef[:, 0] = math.log(1.0 / k)
 
-    def doc_prior(self, row):
-        x = np.concatenate(([1.0], np.asarray(row["features"], float)))
-        return np.exp(np.clip(self.coef @ x, -500, 500)) + 1e-10, None
+    @staticmethod
+    def design(bag: Bags) -> np.ndarray:
+        return np.array([[1.0, *x] for x in bag.column("features")])
+
+    def doc_priors(self, bag):
+        return np.exp(np.clip(self.design(bag) @ self.coef.T, -500, 500)) + 1e-10, None
 
     def between(self, corpus, lam):
-        e_beta, me = corpus.spark.sparkContext.broadcast(expected_log(lam)), self._frozen()
-        width = self.coef.shape[1]
+        """Steps up the likelihood of the documents' expected counts, which are kept while the coefficients move."""
+        held, me, k, width = corpus.spark.sparkContext.broadcast(short(expected_log(lam))), self._frozen(), self.k, self.coef.shape[1]
 
-        def run(batches):
-            grad, scale = np.zeros(me.coef.shape), np.zeros(me.coef.shape)
-            for pdf in batches:
-                for row in pdf.to_dict("records"):
-                    alpha, _ = me.doc_prior(row)
-                    g, s, _ = e_step(np.asarray(row["i"], int), np.asarray(row["n"], float), alpha, e_beta.value)
-                    c, a, n = s.sum(axis=1), np.array([alpha.sum()]), np.array([float(np.sum(row["n"]))])
-                    d = digamma(a) - digamma(a + n) + digamma(alpha + c) - digamma(alpha)
-                    x = np.concatenate(([1.0], np.asarray(row["features"], float)))
-                    grad += (alpha * d)[:, None] * x
-                    scale += np.outer(alpha * np.abs(d) + 1e-6, x * x)
-            t, f = np.nonzero(np.ones_like(grad))
-            yield pd.DataFrame({"topic": np.r_[t, t], "i": np.r_[f, f + width], "x": np.r_[grad.ravel(), scale.ravel()]})
+        def counts(batches):
+            for bag in bags(batches, k):
+                gamma, _, _ = me._step(bag, held.value)
+                c = gamma - me.doc_priors(bag)[0]
+                yield pa.RecordBatch.from_arrays([bag.batch.column("features"), pa.array(list(np.maximum(c, 0)), pa.list_(pa.float64()))], ["features", "c"])
 
+        kept = corpus.rows.mapInArrow(counts, f"features {dict(corpus.rows.dtypes)['features']}, c array<double>").persist()
         for _ in range(self.steps):
-            both = summed(corpus.rows.mapInPandas(run, "topic int, i int, x double"), self.k, 2 * width)
+            coef = self.coef
+
+            def slope(batches, coef=coef):
+                grad, scale = np.zeros(coef.shape), np.zeros(coef.shape)
+                for batch in batches:
+                    if not batch.num_rows:
+                        continue
+                    x = np.array([[1.0, *f] for f in batch.column(0).to_pylist()])
+                    c = batch.column(1).flatten().to_numpy().reshape(len(x), -1)
+                    alpha = np.exp(np.clip(x @ coef.T, -500, 500)) + 1e-10
+                    a, n = alpha.sum(axis=1, keepdims=True), c.sum(axis=1, keepdims=True)
+                    d = digamma(a) - digamma(a + n) + digamma(alpha + c) - digamma(alpha)
+                    grad += (alpha * d).T @ x
+                    scale += (alpha * np.abs(d) + 1e-6).T @ (x * x)
+                yield from parts(np.concatenate((grad, scale), axis=1))
+
+            both, _ = summed(kept, slope, (k, 2 * width))
             grad, scale = both[:, :width] - self.coef / self.variance, both[:, width:] + 1 / self.variance
             self.coef = self.coef + np.clip(0.5 * grad / scale, -0.5, 0.5)
-            me = self._frozen()
+        kept.unpersist()
+        held.unpersist()
 
 
 class PolylingualLDA(LDA):
@@ -265,18 +327,3 @@ class PolylingualLDA(LDA):
         langs = {x: i for i, x in enumerate(sorted({w.split(":", 1)[0] for w in corpus.words}))}
         self.groups = np.array([langs[w.split(":", 1)[0]] for w in corpus.words])
         return super().fit(corpus)
-
-
-def dirichlet_alpha(counts: np.ndarray, alpha: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Minka's fixed point for an asymmetric prior of count rows."""
-    n = counts.sum(axis=1)
-    for _ in range(rounds):
-        a = alpha.sum()
-        top = (digamma(counts + alpha) - digamma(np.tile(alpha, (len(counts), 1)))).sum(axis=0)
-        low = (digamma(n + a) - digamma(np.full(len(n), a))).sum()
-        alpha = np.maximum(alpha * top / low, 1e-6)
-    return alpha
-
-
-def log_beta_function(x: np.ndarray) -> float:
-    return float(lgamma(x).sum() - math.lgamma(x.sum()))
