@@ -1,18 +1,19 @@
 """Lexical retrieval packing: whole token windows filled with lexically related documents.
 
-Documents are tokenised where they are read and kept in the shared folder. Document frequencies and the mean length are
-those of all documents. Documents are then routed to shards of a bounded number of tokens by their words: a tree, built
-on a sample, halves the documents' projected BM25 vectors along their widest direction, so each leaf is a shard of
-related documents wherever they were read. What a shard holds and its order follow from the documents alone, not from
-files or partitions. A shard holds a BM25 inverted index of its documents. A seed document opens a window; if it leaves room, the index returns its best unused neighbours, which fill
-the window in order of score. The piece that doesn't fit opens the next window, so every window of a shard is full but
-the last, and that one is cut into powers of two, which need no padding.
+Documents are tokenised where they are read and kept in the shared folder with the leaf that each belongs to: a tree,
+built on a sample of the texts, halves the documents' projected BM25 vectors along their widest direction, so each leaf
+is a shard of related documents wherever they were read. What a shard holds and its order follow from the documents
+alone, not from files or partitions. Document frequencies and the mean length that scores are made of are those of all
+documents. A shard holds a BM25 inverted index of its documents. A seed document opens a window; if it leaves room, the
+index returns its best unused neighbours, which fill the window in order of score. The piece that doesn't fit opens the
+next window, so every window of a shard is full but the last, and that one is cut into powers of two, which need no
+padding.
 """
 
 from __future__ import annotations
 
 import base64
-import uuid
+import os
 import zlib
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, shared_dir, tuned
+from .common import release, scratch, tuned
 
 WINDOW = 2048
 END_ID = 1
@@ -32,7 +33,7 @@ DOC_WEIGHT = 64
 SLACK = 1.5
 #: Width of the vectors that documents are routed by; sampled documents a leaf, and in all.
 DIMS = 64
-LEAF_SAMPLE, SAMPLE = 200, 200_000
+LEAF_SAMPLE, SAMPLE = 64, 200_000
 #: Terms that more than this share of a shard's documents hold keep their weights as a row over all of these.
 DENSE = 0.1
 K1, B = 1.2, 0.75
@@ -42,29 +43,43 @@ SPECIAL = "<|endoftext|>"
 class ByteBpe:
     """Ids of the byte-level BPE vocabulary, equal to those of its tokenizers file.
 
-    The same vocabulary as ranks encodes several times as fast; only texts that name the special token, which the
-    tokenizers file reads as one id, take the slower way.
+    Where the same vocabulary lies beside it as ranks (a file of that name that ends in .tiktoken), these encode several
+    times as fast; only texts that name the special token, which the tokenizers file reads as one id, take the slower way.
     """
 
     def __init__(self, json_path: str):
-        import public_tokenizers
-        import tiktoken
+        self.path, self.slow, self.fast = json_path, None, None
+        ranks_path = json_path.removesuffix(".json") + ".tiktoken"
+        if os.path.exists(ranks_path):
+            import public_tokenizers
+            import tiktoken
 
-        with open(json_path.removesuffix(".json") + ".tiktoken", "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bpe = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.path, self.slow = json_path, None
+            with open(ranks_path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
-            return np.empty(0, np.uint16)
-        if SPECIAL in text:
+            return np.empty(0, np.uint32)
+        if self.fast is None or SPECIAL in text:
             if self.slow is None:
                 from tokenizers import Tokenizer
 
                 self.slow = Tokenizer.from_file(self.path)
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint16)
-        return self.bpe.encode_to_numpy(text, disallowed_special=()).astype(np.uint16)
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
+        return self.fast.encode_to_numpy(text, disallowed_special=())
+
+
+def vocabulary(json_path: str) -> int:
+    """One more than the greatest id of a tokenizers file, and of the end id."""
+    from tokenizers import Tokenizer
+
+    return max(END_ID, *Tokenizer.from_file(json_path).get_vocab().values()) + 1
+
+
+def id_type(size: int) -> str:
+    """The narrowest type for the ids of a vocabulary."""
+    return "<u2" if size <= 1 << 16 else "<u4"
 
 
 @dataclass
@@ -76,8 +91,8 @@ class Stats:
     df: np.ndarray
 
     @classmethod
-    def of(cls, docs: list[np.ndarray]) -> Stats:
-        df = np.zeros(65536, np.int64)
+    def of(cls, docs: list[np.ndarray], size: int = 1 << 16) -> Stats:
+        df = np.zeros(size, np.int64)
         for d in docs:
             df[np.unique(d)] += 1
         return cls(len(docs), sum(map(len, docs)) / max(len(docs), 1), df)
@@ -87,57 +102,65 @@ class Stats:
         return np.log(1 + (self.n - self.df + 0.5) / (self.df + 0.5))
 
 
+def weights(tf: np.ndarray, idf: np.ndarray, length: np.ndarray | int, mean: float) -> np.ndarray:
+    """BM25 of one query term in documents."""
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1)))
+
+
 class Bm25:
     """Inverted index of a shard's documents; terms are token ids, statistics those of the corpus."""
 
     def __init__(self, docs: list[np.ndarray], stats: Stats | None = None):
-        n = len(docs)
+        n = self.n = len(docs)
         stats = stats or Stats.of(docs)
+        size = len(stats.df)
         terms, counts = zip(*(np.unique(d, return_counts=True) for d in docs), strict=True) if n else ((), ())
         self.terms = terms
-        size = np.array([len(d) for d in docs], np.float64)
-        term, tf = (np.concatenate(x) if n else np.empty(0, np.uint16) for x in (terms, counts))
+        term, tf = (np.concatenate(x) if n else np.empty(0, np.int64) for x in (terms, counts))
         doc = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in terms])
         order = np.argsort(term, kind="stable")
-        self.doc = doc[order]
-        self.start = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=65536))))
-        self.idf = stats.idf
-        tf = tf[order].astype(np.float64)
-        norm = K1 * (1 - B + B * size / max(stats.mean, 1))
-        self.weight = self.idf[term[order]] * tf * (K1 + 1) / (tf + norm[self.doc])
-        self.dense = {}
-        for t in np.flatnonzero(np.diff(self.start) > DENSE * n).tolist():
+        self.doc, term, tf = doc[order], term[order], tf[order].astype(np.float64)
+        self.start = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=size)))).astype(np.int64)
+        length = np.array([len(d) for d in docs], np.float64)
+        self.weight = weights(tf, stats.idf[term], length[self.doc], stats.mean)
+        # frequent terms as rows over all documents, so that those of a seed are one product
+        often = np.flatnonzero(np.diff(self.start) > DENSE * n)
+        self.row = np.full(size, -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), n))
+        for r, t in enumerate(often.tolist()):
             at = slice(self.start[t], self.start[t + 1])
-            self.dense[t] = np.bincount(self.doc[at], self.weight[at], n)
+            self.dense[r, self.doc[at]] = self.weight[at]
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every document against all distinct terms of the seed."""
-        out = np.zeros(len(self.terms))
-        for t in self.terms[seed].tolist():
-            if (row := self.dense.get(t)) is not None:
-                out += row
-            else:
-                at = slice(self.start[t], self.start[t + 1])
-                out[self.doc[at]] += self.weight[at]
-        return out
+        terms = self.terms[seed]
+        row = self.row[terms]
+        asked = np.zeros(len(self.dense))
+        asked[row[row >= 0]] = 1
+        rare = terms[row < 0]
+        at = [slice(a, b) for a, b in zip(self.start[rare].tolist(), self.start[rare + 1].tolist(), strict=True)]
+        if not at:
+            return asked @ self.dense
+        return asked @ self.dense + np.bincount(np.concatenate([self.doc[x] for x in at]), np.concatenate([self.weight[x] for x in at]), self.n)
 
 
 class Router:
     """A tree over projected BM25 vectors; its leaves are numbered from 0."""
 
     def __init__(self, stats: Stats):
-        self.idf, self.mean = stats.idf, max(stats.mean, 1)
+        self.idf, self.mean, self.signs = stats.idf, stats.mean, None
         self.axes, self.cuts, self.next = np.empty((0, DIMS), np.float32), np.empty(0, np.float32), np.empty((0, 2), np.int32)
         self.root = -1  # a leaf's number n is held as -1 - n
 
-    def vectors(self, docs: list[np.ndarray]) -> np.ndarray:
-        signs = np.random.default_rng(0).integers(0, 2, (65536, DIMS), np.int8).astype(np.float32) * 2 - 1
-        out = np.zeros((len(docs), DIMS), np.float32)
-        for i, d in enumerate(docs):
-            terms, tf = np.unique(d, return_counts=True)
-            w = self.idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(d) / self.mean))
-            out[i] = w.astype(np.float32) @ signs[terms]
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+    def __getstate__(self):
+        return self.__dict__ | {"signs": None}  # made anew by each worker
+
+    def vector(self, terms: np.ndarray, tf: np.ndarray, length: int) -> np.ndarray:
+        if self.signs is None:
+            self.signs = np.random.default_rng(0).integers(0, 2, (len(self.idf), DIMS), np.int8).astype(np.float32) * 2 - 1
+        x = weights(tf, self.idf[terms], length, self.mean).astype(np.float32) @ self.signs[terms]
+        return x / max(float(np.linalg.norm(x)), 1e-9)
 
     def grow(self, x: np.ndarray, weight: np.ndarray, limit: float) -> Router:
         """Halves the sample's weight until no part weighs more than limit, or all of a part's vectors are equal."""
@@ -170,20 +193,19 @@ class Router:
         self.axes, self.cuts, self.next = np.array(axes, np.float32).reshape(-1, DIMS), np.array(cuts, np.float32), np.array(following, np.int32).reshape(-1, 2)
         return self
 
-    def leaves(self, docs: list[np.ndarray]) -> np.ndarray:
-        if self.root < 0:
-            return np.zeros(len(docs), np.int32)
-        x, at = self.vectors(docs), np.full(len(docs), self.root, np.int32)
-        while len(on := np.flatnonzero(at >= 0)):
-            k = at[on]
-            at[on] = self.next[k, (np.einsum("ij,ij->i", x[on], self.axes[k]) >= self.cuts[k]).astype(int)]
+    def leaf(self, terms: np.ndarray, tf: np.ndarray, length: int) -> int:
+        at = int(self.root)
+        if at >= 0:
+            x = self.vector(terms, tf, length)
+            while at >= 0:
+                at = int(self.next[at, int(np.einsum("i,i", x, self.axes[at]) >= self.cuts[at])])
         return -1 - at
 
 
 def pack_shard(docs: list[np.ndarray], window: int = WINDOW, stats: Stats | None = None) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of a shard. Each token lies in exactly one piece.
 
-    Documents are seeds in their order; ties of scores go to the earlier document.
+    Documents are seeds in their order; ties of scores (to nine places) go to the earlier document.
     """
     index = Bm25(docs, stats)
     unused = np.ones(len(docs), bool)
@@ -212,7 +234,7 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW, stats: Stats | None
             put(cursor)
             continue
         if queue is None:  # the opener's neighbours, best first; enough of them to fill the window
-            score = np.where(unused, index.scores(opener), -1.0)
+            score = np.where(unused, np.round(index.scores(opener), 9), -1.0)
             few = min(len(docs), 64)
             best = np.argpartition(-score, few - 1)[:few]
             queue = best[np.lexsort((best, -score[best]))].tolist()[::-1]
@@ -242,46 +264,73 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW, stats: Stats | None
     return out
 
 
-def _tokens(path: str):
+def _sampled(path: str, kind: str):
+    """(h, docs, n, ids) of sampled texts."""
     def run(batches):
         encode = ByteBpe(path)
         for batch in batches:
-            ids = [np.append(encode(t.as_py()), np.uint16(END_ID)) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(d) for d in ids], pa.int64()), pa.array([d.astype("<u2").tobytes() for d in ids], pa.binary())], ["doc_id", "n", "ids"])
+            ids = [np.append(encode(t.as_py()), np.uint32(END_ID)) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(d) for d in ids], pa.int64()), pa.array([d.astype(kind).tobytes() for d in ids], pa.binary())], ["h", "docs", "n", "ids"])
+        release()
+    return run
+
+
+def _tokens(path: str, kind: str, router: Router):
+    """(doc_id, n, leaf, ids) of each document, and at last a row of leaf -1 with the task's document frequencies."""
+    def run(batches):
+        encode, df = ByteBpe(path), np.zeros(len(router.idf), "<u8")
+        names = ["doc_id", "n", "leaf", "ids"]
+        for batch in batches:
+            n, leaf, out = [], [], []
+            for t in batch.column(1):
+                d = np.append(encode(t.as_py()), np.uint32(END_ID)).astype(kind)
+                terms, tf = np.unique(d, return_counts=True)
+                df[terms] += 1
+                n.append(len(d))
+                leaf.append(router.leaf(terms, tf, len(d)))
+                out.append(d.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(leaf, pa.int64()), pa.array(out, pa.binary())], names)
+        terms = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([len(terms)], pa.int64()), pa.array([-1], pa.int64()), pa.array([terms.astype("<u4").tobytes() + df[terms].tobytes()], pa.binary())], names)
         release()
     return run
 
 
-def _ids(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, "<u2") for x in column.to_pylist()]
+def _ids(column: pa.Array, kind: str) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in column.to_pylist()]
 
 
 def _frequencies(batches):
-    df = np.zeros(65536, np.int64)
+    """(term, df) from the rows that tasks have left: terms, then their frequencies."""
     for batch in batches:
-        for d in _ids(batch.column(0)):
-            df[np.unique(d)] += 1
-    terms = np.flatnonzero(df)
-    yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(df[terms], pa.int64())], ["term", "df"])
+        for n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw, "<u4", n).astype(np.int64)), pa.array(np.frombuffer(raw, "<u8", n, 4 * n).astype(np.int64))], ["term", "df"])
 
 
-def _vectors(router: Router):
+def _sample_frequencies(kind: str):
     def run(batches):
+        df: dict[int, int] = {}
         for batch in batches:
-            x = router.vectors(_ids(batch.column(2)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v.astype("<f4").tobytes() for v in x], pa.binary())], ["h", "weight", "x"])
+            for d in _ids(batch.column(0), kind):
+                for t in np.unique(d).tolist():
+                    df[t] = df.get(t, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.int64()), pa.array(list(df.values()), pa.int64())], ["term", "df"])
     return run
 
 
-def _leaves(router: Router):
+def _vectors(router: Router, kind: str):
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(router.leaves(_ids(batch.column(2))), pa.int64())], ["doc_id", "n", "ids", "leaf"])
+            x = [router.vector(*np.unique(d, return_counts=True), len(d)).astype("<f4").tobytes() for d in _ids(batch.column(3), kind)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(x, pa.binary())], ["h", "docs", "n", "x"])
     return run
 
 
-def _pack(stats: Stats, window: int, limit: float):
-    schema = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
+PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+
+
+def _pack(stats: Stats, window: int, limit: float, kind: str, with_ids: bool):
+    schema = [x.split()[0] for x in PIECE.split(", ")] + ["ids"] * with_ids
 
     def run(batches):
         shard, seq, ids, docs, total = None, 0, [], [], 0
@@ -292,15 +341,13 @@ def _pack(stats: Stats, window: int, limit: float):
             base = (shard[0] << 44) + (shard[1] << 28) + seq
             for lo in range(0, len(pieces), 2000):
                 part = pieces[lo : lo + 2000]
-                cut = [docs[d][s : s + n].astype("<u4") for d, s, n, _, _ in part]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([ids[p[0]] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64()), pa.array([p[2] for p in part], pa.int64()),
-                    pa.array([zlib.crc32(c.tobytes()) for c in cut], pa.int64()), pa.array([len(docs[p[0]]) for p in part], pa.int64()),
-                    pa.array([base + p[3] for p in part], pa.int64()), pa.array([p[4] for p in part], pa.int64()), pa.array([c.tobytes() for c in cut], pa.binary())], schema)
+                cut = [docs[d][s : s + n].astype("<u4").tobytes() for d, s, n, _, _ in part]
+                longs = [[ids[p[0]] for p in part], [p[1] for p in part], [p[2] for p in part], list(map(zlib.crc32, cut)), [len(docs[p[0]]) for p in part], [base + p[3] for p in part], [p[4] for p in part]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in longs), *([pa.array(cut, pa.binary())] if with_ids else [])], schema)
             seq, ids, docs, total = seq + pieces[-1][3] + 1, [], [], 0
 
         for batch in batches:
-            for i, leaf, part, d in zip(*(batch.column(k).to_pylist() for k in range(3)), _ids(batch.column(3)), strict=True):
+            for i, leaf, part, d in zip(*(batch.column(k).to_pylist() for k in range(3)), _ids(batch.column(3), kind), strict=True):
                 if docs and (shard != (leaf, part) or total + len(d) + DOC_WEIGHT > limit):
                     yield from flush()
                 if shard != (leaf, part):
@@ -314,8 +361,34 @@ def _pack(stats: Stats, window: int, limit: float):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids: little-endian 32-bit).
+def _router(docs: DataFrame, path: str, size: int, root: str, shard_tokens: int) -> Router:
+    """A tree over a bounded sample by content, equal texts taken together. docs: doc_id, text."""
+    kind, spark = id_type(size), docs.sparkSession
+    length = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    whole = docs.agg(F.count("*").alias("docs"), F.coalesce(F.sum(length), F.lit(0)).alias("bytes")).first()
+    nothing = Stats(0, 1.0, np.zeros(size, np.int64))
+    if whole["bytes"] + (DOC_WEIGHT + 1) * whole["docs"] <= shard_tokens:  # a token has a byte at least
+        return Router(nothing)
+    share = min(LEAF_SAMPLE * whole["bytes"] / (3 * shard_tokens), SAMPLE) / whole["docs"]
+    h = F.xxhash64("text")
+    drawn = docs.where(F.pmod(h, F.lit(1 << 20)) < F.lit(max(int(share * (1 << 20)), 1))).groupBy(h.alias("h")).agg(F.count("*").alias("docs"), F.first("text").alias("text"))
+    drawn.mapInArrow(_sampled(path, kind), "h long, docs long, n long, ids binary").write.parquet(f"{root}/sample")
+    sample = spark.read.parquet(f"{root}/sample")
+    held = sample.agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"), F.sum(F.col("docs") * (F.col("n") + DOC_WEIGHT)).alias("weight")).first()
+    if not held["docs"]:
+        return Router(nothing)
+    df = np.zeros(size, np.int64)
+    for r in sample.select("ids").mapInArrow(_sample_frequencies(kind), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():  # a row a token id
+        df[r["term"]] = r["df"]
+    router = Router(Stats(held["docs"], held["tokens"] / held["docs"], df))
+    rows = sorted(sample.mapInArrow(_vectors(router, kind), "h long, docs long, n long, x binary").collect())  # at most about SAMPLE
+    weight = np.array([r["docs"] * (r["n"] + DOC_WEIGHT) for r in rows], np.float64)
+    # the sample stands for about so many tokens in all
+    return router.grow(np.array([np.frombuffer(r["x"], "<f4") for r in rows]).reshape(-1, DIMS), weight / max(share, 1e-12), shard_tokens)
+
+
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, with_ids: bool = True) -> DataFrame:
+    """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and if asked ids: little-endian 32-bit).
 
     A document is its ids and then the end id; null texts are empty, so they are one end id. Sequences hold window
     tokens, or a power of two of them at a shard's end. Repeated rows are packed once each, ids may be null, other
@@ -323,32 +396,25 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     documents only, not on how they are parted into files. Tokens are written to the shared folder when this is called.
     """
     spark = tuned(docs.sparkSession)
-    root = f"{shared_dir(spark)}/packing-{uuid.uuid4().hex}"
-    docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _tokens(tokenizer_path), "doc_id long, n long, ids binary").write.parquet(f"{root}/tokens")
+    root, size = scratch(spark, "packing"), vocabulary(tokenizer_path)
+    kind = id_type(size)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    router = _router(docs, tokenizer_path, size, root, shard_tokens)
+    docs.mapInArrow(_tokens(tokenizer_path, kind, router), "doc_id long, n long, leaf long, ids binary").write.option("compression", "zstd").parquet(f"{root}/tokens")
     tokens = spark.read.parquet(f"{root}/tokens")
-    size = tokens.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
-    df = np.zeros(65536, np.int64)
-    for r in tokens.select("ids").mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():  # a row a token id
+    routed = tokens.where("leaf >= 0")
+    whole = routed.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
+    df = np.zeros(size, np.int64)
+    for r in tokens.where("leaf < 0").select("n", "ids").mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():  # a row a token id
         df[r["term"]] = r["df"]
-    stats = Stats(size["docs"], size["tokens"] / max(size["docs"], 1), df)
-    router, weight = Router(stats), size["tokens"] + DOC_WEIGHT * size["docs"]
-    if weight > shard_tokens:  # a sample by content, equal texts taken together
-        share = min(LEAF_SAMPLE * weight / shard_tokens, SAMPLE) / size["docs"]
-        h = F.xxhash64("ids")
-        sample = tokens.where(F.pmod(h, F.lit(1 << 20)) < F.lit(max(int(share * (1 << 20)), 1))).groupBy(h.alias("h")).agg(F.sum(F.col("n") + DOC_WEIGHT).alias("weight"), F.first("ids").alias("ids"))
-        rows = sorted(sample.select("h", "weight", "ids").mapInArrow(_vectors(router), "h long, weight long, x binary").collect())
-        held = np.array([r["weight"] for r in rows], np.float64)
-        router.grow(np.array([np.frombuffer(r["x"], "<f4") for r in rows]).reshape(-1, DIMS), held * weight / max(held.sum(), 1), shard_tokens)
-    tokens.mapInArrow(_leaves(router), "doc_id long, n long, ids binary, leaf long").write.parquet(f"{root}/leaves")
-    routed, limit = spark.read.parquet(f"{root}/leaves"), SLACK * shard_tokens
+    stats, limit = Stats(whole["docs"], whole["tokens"] / max(whole["docs"], 1), df), SLACK * shard_tokens
     parts = routed.groupBy("leaf").agg(F.ceil(F.sum(F.col("n") + DOC_WEIGHT) / limit).alias("parts"))  # a row a leaf
     shard = routed.join(F.broadcast(parts), "leaf").withColumn("part", F.pmod(F.xxhash64("ids", "doc_id"), F.col("parts")))
     return shard.repartition("leaf", "part").sortWithinPartitions("leaf", "part", F.xxhash64("ids"), "doc_id").select("doc_id", "leaf", "part", "ids").mapInArrow(
-        _pack(stats, window, limit), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+        _pack(stats, window, limit, kind, with_ids), PIECE + ", ids binary" * with_ids)
 
 
 def op8(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
