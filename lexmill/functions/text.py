@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 # Fixed value: a token is two letters or more, with apostrophes, hyphens, dots and middle dots inside.
 TOKEN = r"\p{L}[-'\x{2019}.\x{00B7}\p{L}]*\p{L}"
+# Tags, addresses and entities of web pages; sentences.
+TAG, URL, ENTITY = r"<[^>]+>", r"""(?i)(https?://|www\.)[^\s"'<>]+""", r"&(?:[a-zA-Z]+|#\d+);"
+SENTENCE = r"[^.!?]+[.!?]+|\S.*$"
 # Words that betray leftovers of web pages.
 WEB_WORDS = ("http", "https", "www", "href", "aspx", "html", "nbsp")
 
@@ -25,9 +28,7 @@ def tokenize(text: Column, lowercase: bool = True, stopwords: Iterable[str] = ()
 
 def strip_web(text: Column) -> Column:
     """Tags become spaces, then URLs go, then entities: that order matters."""
-    out = F.regexp_replace(text, r"<[^>]+>", " ")
-    out = F.regexp_replace(out, r"""(?i)(https?://|www\.)[^\s"'<>]+""", " ")
-    return F.regexp_replace(out, r"&(#?[A-Za-z0-9]+);", " ")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, TAG, " "), URL, " "), ENTITY, " ")
 
 
 def strip_quotes(text: Column) -> Column:
@@ -41,7 +42,7 @@ def strip_quotes(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Runs up to and with their end marks, and what follows the last one; trimmed, none empty."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^.!?]+[.!?]+|\S.*$"), F.lit(0))
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SENTENCE), F.lit(0))
     return F.filter(F.transform(found, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
 
 

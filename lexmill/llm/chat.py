@@ -3,7 +3,8 @@
 Nodes name their parent. Self-joins double the reach of every node's pointer each round, so depth, branch score and, for
 the chosen leaves, the path to the root take logarithmically many rounds, and no node carries its whole path. Branches
 are ranked by their score, and each chosen path becomes one conversation in a template whose control strings are escaped
-inside texts, with the spans of the loss mask in code points.
+inside texts, with the spans of the loss mask in code points. The sides of all these joins are narrow, and those found
+small by a count are broadcast, so the last rounds of deep trees and all rounds of small tables shuffle nothing.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small
 
+#: Bytes that a row of two or three ids takes, with its score and steps.
+WIDTH = 48
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -52,27 +55,28 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     makes no node, and nodes that repeat an id are one, with the greatest parent and score.
     """
     base = cut(nodes.where("node is not null").groupBy("conv_id", "node").agg(F.max("parent").alias("parent"), F.max(F.coalesce("score", F.lit(0.0))).alias("score")))
-    parents = base.select(F.col("conv_id").alias("pc"), F.col("node").alias("pn"))
+    parents = small(base.select(F.col("conv_id").alias("pc"), F.col("node").alias("pn")), width=WIDTH)
     known = base.join(parents, F.col("conv_id").eqNullSafe(F.col("pc")) & (F.col("parent") == F.col("pn")), "left")
     # pointer to the ancestor 2^k above, steps and score on the way (the node's own included)
     state = cut(known.select("conv_id", "node", F.col("pn").alias("up"), F.lit(1).cast("long").alias("steps"), "score"))
     whole, open_, jumps, rounds = state.where("up is null"), state.where("up is not null"), [], 0
     limit = max(1, state.count()).bit_length() + 1
-    while rounds < limit and open_.limit(1).count():  # nodes whose pointer has reached a root leave the loop
+    while rounds < limit and not open_.isEmpty():  # nodes whose pointer has reached a root leave the loop
+        open_ = small(open_, width=WIDTH)
         jumps.append(open_.select("conv_id", "node", "up"))
         above = whole.unionByName(open_).select(F.col("conv_id").alias("ac"), F.col("node").alias("an"), F.col("up").alias("au"), F.col("steps").alias("as"), F.col("score").alias("ascore"))
         met = open_.join(above, F.col("conv_id").eqNullSafe(F.col("ac")) & (F.col("up") == F.col("an")))
         state = cut(met.select("conv_id", "node", F.col("au").alias("up"), (F.col("steps") + F.col("as")).alias("steps"), (F.col("score") + F.col("ascore")).alias("score")))
         whole, open_ = whole.unionByName(state.where("up is null")), state.where("up is not null")
         rounds += 1
-    kids = base.where("parent is not null").select(F.col("conv_id").alias("kc"), F.col("parent").alias("kp")).distinct()
+    kids = small(base.where("parent is not null").select(F.col("conv_id").alias("kc"), F.col("parent").alias("kp")), width=WIDTH)
     leaves = whole.join(kids, F.col("conv_id").eqNullSafe(F.col("kc")) & (F.col("node") == F.col("kp")), "left_anti")
     w = Window.partitionBy("conv_id").orderBy(F.desc(F.col("score") / F.col("steps")), "node")
     path = cut(leaves.withColumn("branch", F.row_number().over(w)).where(F.col("branch") <= branches).select("conv_id", "branch", "node", (F.col("steps") - 1).alias("pos")))
     done = []
     for k, jump in enumerate(jumps):  # nodes nearer to the root than 2^k are done; the others stay and bring the one 2^k above
         done.append(path.where(F.col("pos") < 2**k))
-        j = jump.select(F.col("conv_id").alias("jc"), F.col("node").alias("jn"), "up")
+        j = small(jump.select(F.col("conv_id").alias("jc"), F.col("node").alias("jn"), "up"), width=WIDTH)
         met = path.where(F.col("pos") >= 2**k).join(j, F.col("conv_id").eqNullSafe(F.col("jc")) & (F.col("node") == F.col("jn")))
         both = F.array(F.struct("node", "pos"), F.struct(F.col("up").alias("node"), (F.col("pos") - 2**k).alias("pos")))
         path = cut(met.select("conv_id", "branch", F.inline(both)))
@@ -81,16 +85,18 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     return path
 
 
-def format_trees(nodes: DataFrame, branches: int = 1, loss_role: str = "assistant") -> DataFrame:
+def format_trees(nodes: DataFrame, branches: int = 1, loss_role: str = "assistant", single: bool = False) -> DataFrame:
     """(conv_id, branch, text, loss: array of (start, length) in code points): one conversation for each chosen path.
 
     nodes: conv_id, node, parent, role, text, score; other columns aren't read. Null roles and texts are empty, null
-    conv_ids are one conversation, no rows give no rows. loss covers the texts of loss_role, each once.
+    conv_ids are one conversation, no rows give no rows. loss covers the texts of loss_role, each once. single says that
+    no node repeats its id within a conversation; without it, of repeated ones the greatest (role, text) speaks.
     """
-    path = best_paths(nodes, branches)
+    path = small(best_paths(nodes, branches), width=WIDTH)
     said = nodes.select(F.col("conv_id").alias("nc"), F.col("node").alias("nn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("said"))
-    said = said.groupBy("nc", "nn").agg(F.max(F.struct("role", "said")).alias("s")).select("nc", "nn", "s.role", "s.said")
     rows = path.join(said, F.col("conv_id").eqNullSafe(F.col("nc")) & (F.col("node") == F.col("nn"))).select("conv_id", "branch", "pos", "role", "said")
+    if not single:
+        rows = rows.groupBy("conv_id", "branch", "pos").agg(F.max(F.struct("role", "said")).alias("s")).select("conv_id", "branch", "pos", "s.role", "s.said")
     rows = rows.withColumns({"head": F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")), "body": escape(F.col("said"))})
     rows = rows.withColumn("piece", F.concat("head", "body", F.lit(END + "\n")))
     w = Window.partitionBy("conv_id", "branch").orderBy("pos")
@@ -124,7 +130,7 @@ def op5(turns: DataFrame) -> DataFrame:
     extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.explode(F.array(
         F.struct(F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role")), F.struct(F.lit(1).cast("long").alias("turn"), F.lit("assistant").alias("role")))).alias("t")).select(
         "conv_id", "t.turn", "t.role", F.lit(echo).alias("text"))
-    done = format_trees(reply_chains(turns.select("conv_id", "turn", "role", "text").unionByName(extra)))
+    done = format_trees(reply_chains(turns.select("conv_id", "turn", "role", "text").unionByName(extra)), single=True)
     back = done.select("conv_id", "text", read_back(F.col("text")).alias("turns"), masked(F.col("text"), F.col("loss")).alias("lost"))
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"),
                        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),

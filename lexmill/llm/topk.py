@@ -1,12 +1,13 @@
 """Exact top-k search by no-random-access aggregation over sorted lists.
 
-Candidates are packed where they are read into blocks of bounded size; a block keeps, for each dimension, its values as
-a sorted list. Queries are packed likewise and sent to groups of blocks. Within a block the lists of all dimensions are
-read to the same depth, from the top where the query's component is positive and from the bottom where it is negative.
-A value read counts as it is; one not yet read counts as the last value read for the upper bound and as the list's end
-for the lower one. Both bounds of all candidates are then one matrix product each. A query's k-th lower bound (or its
-k-th score in earlier blocks) is its threshold; candidates whose upper bound stays below it, seen or not, are done.
-Reading goes deeper until few remain; the rest of their lists is read and their final scores are resolved in integers.
+Candidates are packed where they are read into blocks of bounded size. A block keeps, for each dimension, its values as
+a sorted list, which a query reads from the top where its component is positive and from the bottom where it is negative.
+All lists are read in rounds, some more entries each. What is read is added to its candidate's partial score; for what
+isn't, the last value read bounds it from above and the list's end from below. A query's threshold is its k-th best lower
+bound, or its k-th score so far. It stops when no candidate outside, seen or not, has an upper bound that reaches the
+threshold, or when so few do that their final scores are resolved. At the last round everything is read.
+
+Groups of candidate blocks are held by a worker while the queries stream past them, so no pair of blocks is ever a row.
 """
 
 from __future__ import annotations
@@ -21,16 +22,29 @@ from .vectors import rows as usable
 
 K = 5
 SCALE = 256
-BLOCK = 2048
-#: Depths to which the lists are read, as shares of their length.
-DEPTHS = (0.35, 0.55, 0.7)
-#: Pairs left, as a share, at which the final scores are resolved.
+#: Candidates of a block, blocks that a worker holds, and queries that go past them at once.
+BLOCK, HELD, QUERIES = 2048, 32, 512
+#: How far the lists are read by the end of each round, as shares of their length.
+ROUNDS = (0.3, 0.5, 0.7)
+#: Candidates left, as a share, at which a query's final scores are resolved.
 FEW = 0.02
-LIMIT = 2.0**31
+LIMIT = 2**63 - 1
 
 
 def quantised(x: np.ndarray) -> np.ndarray:
-    return np.clip(np.floor(SCALE * x), -LIMIT, LIMIT - 1).astype(np.int32)
+    """floor(256 * x), held within 63 bits."""
+    y = np.floor(SCALE * x)
+    return np.where(np.abs(y) < 2.0**63, y, 0).astype(np.int64) + np.where(y >= 2.0**63, LIMIT, 0) - np.where(y <= -(2.0**63), LIMIT, 0)
+
+
+def _packed(ids: np.ndarray, y: np.ndarray) -> list:
+    """Fields of a block: components take four bytes where all of them fit."""
+    y = y.astype(np.int32) if len(y) and max(int(y.max()), -int(y.min())) < 2**31 else y
+    return [pa.array([y.shape[1]], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())]
+
+
+def _unpacked(dim: int, n: int, ids: bytes, vecs: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(ids, np.int64), np.frombuffer(vecs, np.int32 if len(vecs) == 4 * n * dim else np.int64).reshape(n, dim)
 
 
 def _blocks(batches):
@@ -39,8 +53,7 @@ def _blocks(batches):
     def emit(dim):
         ids, vecs = (np.concatenate(x) for x in zip(*held.pop(dim), strict=True))
         for lo in range(0, len(ids), BLOCK):
-            yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([len(ids[lo : lo + BLOCK])], pa.int32()),
-                pa.array([ids[lo : lo + BLOCK].tobytes()], pa.binary()), pa.array([vecs[lo : lo + BLOCK].tobytes()], pa.binary())], ["dim", "n", "ids", "vecs"])
+            yield pa.RecordBatch.from_arrays(_packed(ids[lo : lo + BLOCK], vecs[lo : lo + BLOCK]), ["dim", "n", "ids", "vecs"])
 
     for batch in batches:
         ids = batch.column(0)
@@ -53,117 +66,145 @@ def _blocks(batches):
         yield from emit(dim)
 
 
-def _merge(best, q, ids, scores, k):
-    """best[q] with further (id, score) entries: k distinct ids by score, then by smaller id."""
-    i, s = np.concatenate((best[q][0], ids)), np.concatenate((best[q][1], scores))
-    order = np.lexsort((i, -s))
-    i, s = i[order], s[order]
+NOTHING = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+
+def _merge(best, q, ids, scores, rough, k):
+    """best[q] with further entries (id, score, size): k distinct ids by score, size, then by smaller id."""
+    i, s, f = (np.concatenate(x) for x in zip(best[q], (ids, scores, rough), strict=True))
+    order = np.lexsort((i, -f, -s))
+    i, s, f = i[order], s[order], f[order]
     if len(np.unique(i)) < len(i):
         first = np.sort(np.unique(i, return_index=True)[1])
-        i, s = i[first], s[first]
-    best[q] = (i[:k], s[:k])
+        i, s, f = i[first], s[first], f[first]
+    best[q] = (i[:k], s[:k], f[:k])
 
 
-def search_block(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, y: np.ndarray, best: dict, k: int) -> None:
-    """Updates best (query index -> ids, scores) with the block's candidates. q and y are integer matrices."""
-    m, n = len(q), len(y)
-    reach = np.abs(q).sum(axis=1, dtype=np.float64).max(initial=0) * np.abs(y).max(initial=0)
+class Lists:
+    """A block of candidates with the sorted list of each dimension."""
+
+    def __init__(self, ids: np.ndarray, y: np.ndarray):
+        self.ids, self.y, self.sorted = ids, y, np.sort(y, axis=0)
+        self.most = float(np.abs(self.sorted[[0, -1]].astype(np.float64)).max(initial=0))
+        self.repeats = len(np.unique(ids)) < len(ids)
+
+
+def _scores(q: np.ndarray, y: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Inner products of rows, exact; those that don't fit 63 bits are held at the end of the range, beside their size."""
+    if reach < 2**52:
+        return np.einsum("ij,ij->i", q.astype(np.float64), y.astype(np.float64)).astype(np.int64), np.zeros(len(q))
+    if reach < 2**62:
+        return np.einsum("ij,ij->i", q.astype(np.int64), y.astype(np.int64)), np.zeros(len(q))
+    exact = [sum(map(int.__mul__, a, b)) for a, b in zip(q.tolist(), y.tolist(), strict=True)]
+    return np.array([max(-LIMIT, min(LIMIT, x)) for x in exact], np.int64), np.array([float(x) if abs(x) > LIMIT else 0.0 for x in exact])
+
+
+def search_block(qids: np.ndarray, q: np.ndarray, block: Lists, best: dict, k: int) -> None:
+    """Updates best (query index -> ids, scores, sizes of those beyond 63 bits) with the block's candidates."""
+    n, dim = block.y.shape
+    reach = np.abs(q.astype(np.float64)).sum(axis=1).max(initial=0) * block.most
     kind = np.float32 if reach < 2**22 else np.float64  # sums are exact below 2^24; beyond 2^53 only nearly
     slack = 0.0 if reach < 2**52 else reach * 1e-9
-    pos, neg = np.maximum(q, 0).T.astype(kind), np.minimum(q, 0).T.astype(kind)
-    both = np.concatenate((pos, neg))
-    yf = y.astype(kind)
-    lists = np.sort(y, axis=0)
-    lo, hi = lists[0].astype(kind), lists[-1].astype(kind)
-    tau = np.array([best[i][1][k - 1] if len(best[i][1]) >= k else -np.inf for i in range(m)])
-    alive = None
-    for depth in DEPTHS:
-        t = int(depth * n)
-        if t < 1 or n <= 4 * k:
-            break
-        top, bottom = lists[n - t].astype(kind), lists[t - 1].astype(kind)  # the last values read
-        if np.isneginf(tau).any():
-            # lower bounds: what isn't read counts as the list's end. The query's own row and repeats may be among them
-            low = np.concatenate((np.where(yf >= top, yf, lo), np.where(yf <= bottom, yf, hi)), axis=1) @ both
-            low[ids[:, None] == qids[None, :]] = -np.inf
-            if len(np.unique(ids)) == n:
-                tau = np.maximum(tau, np.partition(low, n - k, axis=0)[n - k] - slack)
-        up = np.concatenate((np.maximum(yf, top), np.minimum(yf, bottom)), axis=1) @ both
-        alive = up + slack >= tau[None, :]
-        if np.count_nonzero(alive) <= max(FEW * n * m, 4 * k * m):
-            break
-    if alive is None:
-        alive = np.ones((n, m), bool)
-    alive &= ids[:, None] != qids[None, :]
-    # the scores of what remains, in integers
-    c, j = np.nonzero(alive.T)[::-1]  # by query
-    score = np.empty(len(c), np.int64)
-    for s in range(0, len(c), 1 << 16):
-        a, b = c[s : s + (1 << 16)], j[s : s + (1 << 16)]
-        if reach < 2**52:
-            score[s : s + (1 << 16)] = np.einsum("ij,ij->i", yf[a].astype(np.float64), q[b].astype(np.float64))
-        else:
-            score[s : s + (1 << 16)] = np.einsum("ij,ij->i", y[a].astype(np.int64), q[b].astype(np.int64))
-    edge = np.searchsorted(j, np.arange(m + 1))
-    for i in range(m):
-        a, b = edge[i], edge[i + 1]
-        if a == b:
-            continue
-        ci, si = ids[c[a:b]], score[a:b]
-        if b - a > 8 * k and len(best[i][0]) >= k:
-            good = si >= best[i][1][k - 1]
-            ci, si = ci[good], si[good]
-        if len(ci):
-            _merge(best, i, ci, si, k)
+    y, low, high = block.y.astype(kind), block.sorted[0].astype(kind), block.sorted[-1].astype(kind)
+    going = np.arange(len(q))  # queries that haven't stopped
+    both = np.concatenate((np.maximum(q, 0).T, np.minimum(q, 0).T)).astype(kind)
+    partial = np.zeros((n, len(q)), kind)  # sums of what has been read
+    unread = np.ones((n, 2 * dim), bool)  # by the lists' tops, then by their bottoms
+    tau = np.array([best[i][1][k - 1] if len(best[i][1]) >= k else -np.inf for i in going])
+    for depth in (*ROUNDS, 1.0):
+        t = max(1, int(depth * n))
+        last = np.concatenate((block.sorted[n - t], block.sorted[t - 1])).astype(kind)
+        now = unread & np.concatenate((y >= last[:dim], y <= last[dim:]), axis=1)
+        partial += np.where(now, np.concatenate((y, y), axis=1), 0) @ both
+        unread &= ~now
+        left = unread.astype(kind)
+        if np.isneginf(tau).any() and not block.repeats and n > k:
+            under = partial + left @ (np.concatenate((low, high))[:, None] * both)
+            under[block.ids[:, None] == qids[going][None, :]] = -np.inf
+            tau = np.maximum(tau, np.partition(under, n - k, axis=0)[n - k] - slack)
+        alive = partial + left @ (last[:, None] * both) + slack >= tau
+        count = np.count_nonzero(alive, axis=0)
+        stop = np.full(len(going), True) if depth == 1.0 else count <= max(FEW * n, 4 * k)
+        if stop.any():
+            alive &= stop
+            c, j = np.nonzero(alive.T)[::-1]  # by query
+            other = block.ids[c] != qids[going[j]]
+            c, j = c[other], j[other]
+            step = range(0, len(c), 1 << 16)
+            score, rough = (np.concatenate(x) for x in zip(NOTHING[1:], *(_scores(q[going[j[lo : lo + (1 << 16)]]], block.y[c[lo : lo + (1 << 16)]], reach) for lo in step), strict=True))
+            edge = np.searchsorted(j, np.arange(len(going) + 1))
+            for x, i in enumerate(going.tolist()):
+                own = slice(edge[x], edge[x + 1])
+                ci, si, fi = block.ids[c[own]], score[own], rough[own]
+                if len(best[i][0]) >= k:
+                    good = si >= best[i][1][k - 1]
+                    ci, si, fi = ci[good], si[good], fi[good]
+                if len(ci):
+                    _merge(best, i, ci, si, fi, k)
+            going, tau, partial, both = going[~stop], tau[~stop], partial[:, ~stop], both[:, ~stop]
+            if not len(going):
+                return
 
 
 def _search(k: int):
+    """Rows (dim, side, n, ids, vecs) of one group after another, candidates before queries."""
     def run(batches):
-        now, qids, q, best = None, None, None, None
-
-        def flush():
-            n = [len(best[i][0]) for i in range(len(qids))]
-            ids, scores = (np.concatenate([best[i][c] for i in range(len(qids))]) for c in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(ids), pa.array(scores)], ["query_id", "vec_id", "score"])
+        held: list[Lists] = []
+        place, side, waiting = None, None, []
+
+        def answer():
+            qids, q = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            waiting.clear()
+            for lo in range(0, len(qids), QUERIES):
+                own, some = qids[lo : lo + QUERIES], q[lo : lo + QUERIES]
+                best = dict.fromkeys(range(len(own)), NOTHING)
+                for block in held:
+                    search_block(own, some, block, best, k)
+                n = [len(best[i][0]) for i in range(len(own))]
+                found = [pa.array(np.concatenate([best[i][c] for i in range(len(own))])) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, n)), *found], ["query_id", "vec_id", "score", "size"])
 
         for batch in batches:
             for r in range(batch.num_rows):
-                dim, qb, qi, qv, ids, vecs = (batch.column(c)[r].as_py() for c in range(6))
-                if now != (dim, qb):
-                    if now is not None:
-                        yield from flush()
-                    now = (dim, qb)
-                    qids, q = np.frombuffer(qi, np.int64), np.frombuffer(qv, np.int32).reshape(-1, dim)
-                    best = {i: (np.empty(0, np.int64), np.empty(0, np.int64)) for i in range(len(qids))}
-                search_block(qids, q, np.frombuffer(ids, np.int64), np.frombuffer(vecs, np.int32).reshape(-1, dim), best, k)
-        if now is not None:
-            yield from flush()
+                g, dim, is_query, n, ids, vecs = (batch.column(c)[r].as_py() for c in range(6))
+                if (g, dim) != place or (side and not is_query):
+                    if waiting:
+                        yield from answer()
+                    place, held = (g, dim), []
+                side = is_query
+                if not is_query:
+                    held.append(Lists(*_unpacked(dim, n, ids, vecs)))
+                elif held:
+                    waiting.append(_unpacked(dim, n, ids, vecs))
+                    if sum(len(x) for x, _ in waiting) >= QUERIES:
+                        yield from answer()
+        if waiting:
+            yield from answer()
     return run
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K) -> DataFrame:
     """Rows (query_id, rank from 1, vec_id, score): for each query the k candidates of highest integer inner product.
 
-    Components count as floor(256 * x), held within 32 bits; products must stay within 63 bits. Candidates with the query's own id don't count; ties go to
-    the smaller id; fewer candidates give fewer rows. Null ids and vectors that are null, empty or hold null or
-    non-finite components take no part, and vectors of another length don't meet. Rows that share an id are one
-    candidate with its best score, and one query likewise. Other columns aren't read; empty tables give no rows.
+    Components count as floor(256 * x), held within 63 bits. A score that doesn't fit 63 bits is held at the end of the
+    range, and such scores rank by their value as a double. Candidates with the query's own id don't count; ties go to the smaller id; fewer candidates give fewer rows.
+    Null ids and vectors that are null, empty or hold null or non-finite components take no part, and vectors of another
+    length don't meet. Rows that share an id are one candidate with its best score, and one query likewise. Other
+    columns aren't read; empty tables give no rows.
     """
     spark = tuned(candidates.sparkSession)
     kind = "dim int, n int, ids binary, vecs binary"
     pick = lambda df: df.select(F.col(id_col).cast("long"), F.col(vec_col).cast("array<double>"))
     c = cut(pick(candidates).mapInArrow(_blocks, kind).withColumn("b", F.monotonically_increasing_id()))
-    # few queries a task make small blocks: those are put together again
-    q = cut(pick(queries).coalesce(max(1, spark.sparkContext.defaultParallelism // 4)).mapInArrow(_blocks, kind).withColumn("qb", F.monotonically_increasing_id()))
     n = c.agg(F.sum("n")).first()[0] or 0
-    groups = max(2 * spark.sparkContext.defaultParallelism, -(-n // (32 * BLOCK)))
+    groups = max(2 * spark.sparkContext.defaultParallelism, -(-n // (HELD * BLOCK)))
     c = c.withColumn("g", F.pmod(F.xxhash64("b"), F.lit(groups)))
-    q = q.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1).cast("long")))) if groups else q
-    met = c.join(q.select("dim", "g", "qb", F.col("ids").alias("qids"), F.col("vecs").alias("qvecs")), ["g", "dim"])
-    met = met.sortWithinPartitions("g", "dim", "qb").select("dim", "qb", "qids", "qvecs", "ids", "vecs")
-    found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    q = pick(queries).mapInArrow(_blocks, kind).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    fields = lambda df, side: df.select("g", "dim", F.lit(side).alias("is_query"), "n", "ids", "vecs")
+    met = fields(c, False).unionByName(fields(q, True)).repartition("g", "dim").sortWithinPartitions("g", "dim", "is_query")
+    found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long, size double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.max("size").alias("size"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("size"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

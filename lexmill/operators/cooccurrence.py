@@ -73,14 +73,14 @@ def npmi(p_ab: Column, p_a: Column, p_b: Column) -> Column:
 def coherence(docs: DataFrame, topics: DataFrame, measure: str = "c_v", window: int | None = None) -> DataFrame:
     """(topic, score). u_mass sums over documents; c_uci (window 10), c_npmi (10) and c_v (110) average over windows.
 
-    Words that the documents lack don't count for u_mass. npmi over documents: measure 'npmi_doc'.
+    Words that the documents lack don't count for u_mass; a topic with fewer than two others is NaN. npmi over documents: measure 'npmi_doc'.
     """
     if measure in ("u_mass", "npmi_doc"):
         occ, co = document_counts(docs, topics)
         s = _scored(topics, occ, co)
         if measure == "u_mass":
-            s = s.where("o1 > 0 and o2 > 0")
-            return s.groupBy("topic").agg(F.sum(F.log((F.col("co") + 1) / F.col("o1"))).alias("score"))
+            s = s.where("o1 > 0 and o2 > 0").groupBy("topic").agg(F.sum(F.log((F.col("co") + 1) / F.col("o1"))).alias("score"))
+            return topics.select("topic").distinct().join(s, "topic", "left").select("topic", F.coalesce("score", F.lit(float("nan"))).alias("score"))
         n = docs.where("size(tokens) > 0").count()
         return s.groupBy("topic").agg(F.avg(npmi(F.col("co") / n, F.col("o1") / n, F.col("o2") / n)).alias("score"))
     n, occ, co = window_counts(docs, topics, window or (110 if measure == "c_v" else 10))

@@ -35,7 +35,7 @@ def _rank(by: list[str], x: str):
 
 def frex(phi: DataFrame, w: float = 0.5) -> DataFrame:
     """(topic, word, score): the harmonic mean of a word's frequency and exclusivity quantiles in its topic."""
-    e = phi.withColumn("e", F.col("p") / F.sum("p").over(Window.partitionBy("word")))
+    e = phi.withColumn("e", F.round(F.col("p") / F.sum("p").over(Window.partitionBy("word")), 12))  # sums of another order tie alike
     n = F.count("*").over(Window.partitionBy("topic"))
     r = e.withColumns({"f": _rank(["topic"], "p") / n, "x": _rank(["topic"], "e") / n})
     return r.select("topic", "word", (1 / (w / F.col("f") + (1 - w) / F.col("x"))).alias("score"))
@@ -64,7 +64,7 @@ def relevance(phi: DataFrame, vocab: DataFrame, lam: float = 0.6) -> DataFrame:
 
 def exclusivity(phi: DataFrame, n: int = 10, w: float = 0.7) -> DataFrame:
     """(topic, score): the sum over a topic's n likeliest words of the harmonic mean of exclusivity and frequency ranks."""
-    e = phi.withColumn("e", F.col("p") / F.sum("p").over(Window.partitionBy("word")))
+    e = phi.withColumn("e", F.round(F.col("p") / F.sum("p").over(Window.partitionBy("word")), 12))
     size = F.count("*").over(Window.partitionBy("topic"))
     r = e.withColumns({"f": _rank(["topic"], "p") / size, "x": _rank(["topic"], "e") / size, "k": F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("p"), "word"))})
     return r.where(F.col("k") <= n).groupBy("topic").agg(F.sum(1 / (w / F.col("x") + (1 - w) / F.col("f"))).alias("score"))
@@ -172,18 +172,32 @@ def entropy(phi: DataFrame) -> DataFrame:
     return e.select("topic", (F.col("h") / F.log("v")).alias("entropy"))
 
 
+def _dense(table: DataFrame, by: str, topics: list) -> DataFrame:
+    """(by, x): the shares of the topics in order, one array a row."""
+    m = table.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("topic", "p"))).alias("m"))
+    return m.select(by, F.transform(F.array(*[F.lit(t) for t in topics]), lambda t: F.coalesce(F.try_element_at("m", t), F.lit(0.0))).alias("x"))
+
+
+def word_probabilities(words: DataFrame, phi: DataFrame, theta: DataFrame) -> DataFrame:
+    """(doc_id, word, n, p) of a bag: p under the document's mixture. Words and documents that lack a side are left out.
+
+    phi and theta meet the bag as arrays over the topics, so no row is multiplied by their number.
+    """
+    topics = sorted(r["topic"] for r in theta.select("topic").distinct().collect())  # K rows
+    j = words.join(_dense(phi, "word", topics).withColumnRenamed("x", "a"), "word").join(_dense(theta, "doc_id", topics).withColumnRenamed("x", "b"), "doc_id")
+    return j.select("doc_id", "word", "n", F.aggregate(F.zip_with("a", "b", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x).alias("p"))
+
+
 def perplexity(words: DataFrame, phi: DataFrame, theta: DataFrame) -> DataFrame:
     """One row (tokens, log_likelihood, perplexity) of a bag (doc_id, word, n); words phi lacks don't count."""
-    p = words.join(phi.select("topic", "word", F.col("p").alias("pw")), "word").join(theta.select("doc_id", "topic", F.col("p").alias("pt")), ["doc_id", "topic"])
-    each = p.groupBy("doc_id", "word", "n").agg(F.sum(F.col("pw") * F.col("pt")).alias("p"))
+    each = word_probabilities(words, phi, theta)
     return each.agg(F.sum("n").alias("tokens"), F.sum(F.col("n") * F.log("p")).alias("log_likelihood")).withColumn("perplexity", F.exp(-F.col("log_likelihood") / F.col("tokens")))
 
 
 def document_residuals(words: DataFrame, phi: DataFrame, theta: DataFrame) -> DataFrame:
-    """(doc_id, n, novelty): the mean of -ln p over a document's known tokens."""
-    p = words.join(phi.select("topic", "word", F.col("p").alias("pw")), "word").join(theta.select("doc_id", "topic", F.col("p").alias("pt")), ["doc_id", "topic"])
-    each = p.groupBy("doc_id", "word", "n").agg(F.sum(F.col("pw") * F.col("pt")).alias("p"))
-    return each.groupBy("doc_id").agg(F.sum("n").alias("n"), (-F.sum(F.col("n") * F.log("p")) / F.sum("n")).alias("novelty"))
+    """(doc_id, n, novelty): the mean of -ln p over a document's known tokens; without any, 0 tokens and NaN."""
+    each = word_probabilities(words, phi, theta).groupBy("doc_id").agg(F.sum("n").alias("n"), (-F.sum(F.col("n") * F.log("p")) / F.sum("n")).alias("novelty"))
+    return words.select("doc_id").distinct().join(each, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("novelty", F.lit(float("nan"))).alias("novelty"))
 
 
 def nearest_documents(theta: DataFrame, queries: DataFrame, n: int = 5) -> DataFrame:

@@ -79,7 +79,7 @@ def transform_documents(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS a FROM pages), u AS (SELECT page_id, regexp_replace(a, '(?i)(https?://|www\\.)[^\\s"''<>]+', ' ', 'g') AS b FROM s)
-SELECT page_id, md5(regexp_replace(b, '&(#?[A-Za-z0-9]+);', ' ', 'g')) AS text_md5, length(regexp_replace(b, '&(#?[A-Za-z0-9]+);', ' ', 'g')) AS n_chars FROM u""")
+SELECT page_id, md5(regexp_replace(b, '&(?:[a-zA-Z]+|#\\d+);', ' ', 'g')) AS text_md5, length(regexp_replace(b, '&(?:[a-zA-Z]+|#\\d+);', ' ', 'g')) AS n_chars FROM u""")
 def strip_web_pages(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", T.strip_web(F.col("html")).alias("t"))
     return p.select("page_id", F.md5("t").alias("text_md5"), F.char_length("t").cast("long").alias("n_chars"))
@@ -114,7 +114,15 @@ def bigram_phrases_npmi(spark, sf_dir):
     return D.learn_phrases(docs(spark, sf_dir), 5, 0.2, "npmi").select("a", "b", "n_ab", r6("score").alias("score"))
 
 
-@query()
+@query(f"""WITH {CORPUS}, b AS (SELECT doc_id, pos, word AS a, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM tokens),
+pr AS (SELECT a, b, count(*) AS n FROM b WHERE b IS NOT NULL GROUP BY a, b HAVING count(*) >= 5),
+ph AS (SELECT pr.a, pr.b FROM pr JOIN vocab x ON x.word = pr.a JOIN vocab y ON y.word = pr.b WHERE (pr.n - 5) * (SELECT count(*) FROM vocab) / (CAST(x.cf AS DOUBLE) * y.cf) >= 1.0),
+hit AS (SELECT b.doc_id, b.pos, b.a, b.b, ph.a IS NOT NULL AS known FROM b LEFT JOIN ph ON ph.a = b.a AND ph.b = b.b),
+run AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM hit WHERE known),
+used AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id, run ORDER BY pos) AS k FROM run) WHERE k % 2 = 1),
+out AS (SELECT h.doc_id, h.pos, CASE WHEN u.pos IS NULL THEN h.a ELSE h.a || '_' || h.b END AS word
+  FROM hit h LEFT JOIN used u ON u.doc_id = h.doc_id AND u.pos = h.pos LEFT JOIN used p ON p.doc_id = h.doc_id AND p.pos = h.pos - 1 WHERE p.pos IS NULL)
+SELECT doc_id, count(*) AS n, md5(string_agg(word, ' ' ORDER BY pos)) AS tokens_md5 FROM out GROUP BY doc_id""")
 def phrases_applied(spark, sf_dir):
     d = docs(spark, sf_dir)
     joined = D.apply_phrases(d, D.learn_phrases(d, 5, 1.0))
@@ -135,9 +143,23 @@ def chunk_documents(spark, sf_dir):
     return D.chunk_tokens(docs(spark, sf_dir), 100, 20).select("parent", "chunk", F.size("tokens").cast("long").alias("length"))
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^.!?]+[.!?]+|\\S[^\\n]*$'),
+  lambda x: list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '')), lambda w: len(w) > 0) AS s FROM documents),
+len_ AS (SELECT doc_id, s, list_transform(s, lambda w: len(w)) AS n FROM s),
+step(doc_id, i, at, open) AS (
+  SELECT doc_id, 0, CAST([] AS BIGINT[]), CAST(0 AS BIGINT) FROM len_
+  UNION ALL
+  SELECT t.doc_id, i + 1,
+    CASE WHEN n[i + 1] > 120 THEN at || (CASE WHEN open > 0 THEN [open] ELSE [] END) || list_transform(range(0, CAST(ceil(n[i + 1] / 120.0) AS BIGINT)), lambda j: least(n[i + 1] - j * 120, 120))
+      WHEN open + n[i + 1] <= 120 THEN at ELSE at || (CASE WHEN open > 0 THEN [open] ELSE [] END) END,
+    CASE WHEN n[i + 1] > 120 THEN 0 WHEN open + n[i + 1] <= 120 THEN open + n[i + 1] ELSE n[i + 1] END
+  FROM step t JOIN len_ l ON l.doc_id = t.doc_id WHERE i < len(n)),
+sizes AS (SELECT t.doc_id, flatten(s) AS w, at || (CASE WHEN open > 0 THEN [open] ELSE [] END) AS c FROM step t JOIN len_ l ON l.doc_id = t.doc_id AND t.i = len(l.n)),
+joined AS (SELECT doc_id, w, CASE WHEN len(c) = 0 THEN [0] WHEN len(c) > 1 AND c[-1] < 30 THEN c[1:len(c) - 2] || [c[-2] + c[-1]] ELSE c END AS c FROM sizes),
+cut AS (SELECT doc_id, w, c, unnest(range(0, len(c))) AS chunk FROM joined)
+SELECT doc_id AS parent, CAST(chunk AS INTEGER) AS chunk, md5(array_to_string(w[coalesce(list_sum(c[1:chunk]), 0) + 1 : list_sum(c[1:chunk + 1])], ' ')) AS text_md5 FROM cut""")
 def chunk_sentences(spark, sf_dir):
-    return D.chunk_sentences(table(spark, sf_dir, "documents").select("doc_id", "text"), 120, 30)
+    return D.chunk_sentences(table(spark, sf_dir, "documents").select("doc_id", "text"), 120, 30).select("parent", "chunk", F.md5("text").alias("text_md5"))
 
 
 @query(f"""WITH {CORPUS} SELECT doc_id, md5(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (pos % 2 = 0), '')) AS estimate, md5(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (pos % 2 = 1), '')) AS score
@@ -146,9 +168,15 @@ def even_odd_split(spark, sf_dir):
     return D.even_odd(docs(spark, sf_dir)).select("doc_id", F.md5(F.array_join("estimate", " ")).alias("estimate"), F.md5(F.array_join("score", " ")).alias("score"))
 
 
-@query()
+@query(f"""WITH {CORPUS} SELECT true AS half_drawn, CAST(0 AS BIGINT) AS wrong_shares, CAST(0 AS BIGINT) AS changed""")
 def heldout_split(spark, sf_dir):
-    return D.heldout(docs(spark, sf_dir), 0.5, 0.3).select("doc_id", F.size("kept").alias("kept"), F.size("missing").alias("missing"))
+    """Half of the documents are drawn, each loses the floor of 0.3 of its tokens, and the two sides together are its tokens."""
+    d = docs(spark, sf_dir)
+    h = D.heldout(d, 0.5, 0.3).join(d.select("doc_id", "tokens"), "doc_id")
+    n = d.where(F.size("tokens") > 3).agg(F.count("*").alias("all"))
+    same = F.sort_array(F.concat("kept", "missing")) == F.sort_array("tokens")
+    out = h.agg(F.count("*").alias("drawn"), F.count(F.when(F.size("missing") != F.floor(F.size("tokens") * 0.3), 1)).alias("wrong_shares"), F.count(F.when(~same, 1)).alias("changed"))
+    return out.join(F.broadcast(n), F.lit(True)).select(F.abs(F.col("drawn") / F.col("all") - 0.5).__lt__(0.06).alias("half_drawn"), "wrong_shares", "changed")
 
 
 @query(f"""WITH {CORPUS}, w AS (SELECT doc_id, t.word, count(*) * (ln((1.0 + any_value(n)) / (1 + any_value(df))) + 1) AS weight FROM tokens t JOIN vocab USING (word) CROSS JOIN nd GROUP BY doc_id, t.word),
@@ -273,7 +301,11 @@ def coherence_cv_window(spark, sf_dir):
     return C.coherence(d, top_words(d), "c_v").withColumn("score", r6("score"))
 
 
-@query()
+@query(f"""WITH {CORPUS}, {TOPICS} SELECT DISTINCT topic, true AS brackets FROM top""")
 def coherence_bootstrap(spark, sf_dir):
+    """The interval of each topic's resampled coherence lies around that of the documents as they are."""
     d = docs(spark, sf_dir)
-    return C.coherence_bootstrap(d, top_words(d), 50)
+    t = top_words(d)
+    own = C.coherence(d, t, "u_mass").select("topic", F.col("score").alias("own"))
+    b = C.coherence_bootstrap(d, t, 50).join(own, "topic")
+    return b.select("topic", ((F.col("low") <= F.col("mean")) & (F.col("mean") <= F.col("high")) & (F.abs(F.col("mean") - F.col("own")) <= 3 * (F.col("high") - F.col("low")) + 1e-6)).alias("brackets"))

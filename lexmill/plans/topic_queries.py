@@ -14,7 +14,7 @@ from ..operators import vocabulary as V
 from .base import _PATTERN, CORPUS, TOPICS, docs, phi, query, r6, table, theta, top_words
 
 _T = f"WITH {CORPUS}, {TOPICS}"
-_RANK = """, ex AS (SELECT topic, word, p, p / sum(p) OVER (PARTITION BY word) AS e FROM phi),
+_RANK = """, ex AS (SELECT topic, word, p, round(p / sum(p) OVER (PARTITION BY word), 12) AS e FROM phi),
 rk AS (SELECT topic, word, p, (rank() OVER (PARTITION BY topic ORDER BY p) + (count(*) OVER (PARTITION BY topic, p) - 1) / 2) / count(*) OVER (PARTITION BY topic) AS f,
   (rank() OVER (PARTITION BY topic ORDER BY e) + (count(*) OVER (PARTITION BY topic, e) - 1) / 2) / count(*) OVER (PARTITION BY topic) AS x FROM ex)"""
 _TOP10 = " SELECT topic, word, score, CAST(row_number() OVER (PARTITION BY topic ORDER BY score DESC, word) AS INTEGER) AS rank FROM w QUALIFY rank <= 10"
@@ -34,7 +34,7 @@ def theta_by_language(spark, sf_dir):
     return theta(docs(spark, sf_dir)).withColumn("p", F.round("p", 9))
 
 
-@query()
+@query(_T + _RANK + ", w AS (SELECT topic, word, round(1 / (0.5 / f + 0.5 / x), 6) AS score FROM rk)" + _TOP10)
 def frex_top(spark, sf_dir):
     return _top(TP.frex(phi(docs(spark, sf_dir))))
 
@@ -59,7 +59,7 @@ def relevance_top(spark, sf_dir):
     return _top(TP.relevance(phi(d), V.vocabulary(d)))
 
 
-@query()
+@query(_T + _RANK + ", k AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY p DESC, word) AS k FROM rk) SELECT topic, round(sum(1 / (0.7 / x + 0.3 / f)), 6) AS score FROM k WHERE k <= 10 GROUP BY topic")
 def exclusivity(spark, sf_dir):
     return TP.exclusivity(phi(docs(spark, sf_dir))).withColumn("score", r6("score"))
 
@@ -213,13 +213,20 @@ def cosine_topk(spark, sf_dir):
     return EM.cosine_top_k(e.where("vec_id % 20 = 0"), e, 5).withColumn("cosine", r6("cosine"))
 
 
-@query()
+_CENTRES = """WITH x AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+m AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM x WHERE label IS NOT NULL GROUP BY label, i), c AS (SELECT label, list(m ORDER BY i) AS c FROM m GROUP BY label)"""
+
+
+@query(_CENTRES + """, s AS (SELECT e.vec_id, c.label, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), c.c) AS s FROM embeddings e, c WHERE e.embedding IS NOT NULL)
+SELECT vec_id, label, round(s, 6) AS cosine FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) = 1""")
 def nearest_clusters(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     return EM.nearest_centroid(e, EM.centroids(e, "label"), "label").withColumn("cosine", r6("cosine"))
 
 
-@query()
+@query(_CENTRES + """, b AS (SELECT avg(list_distance(a.c, b.c)) AS d FROM c a JOIN c b ON a.label < b.label),
+s AS (SELECT sqrt(avg(list_distance(CAST(e.embedding AS DOUBLE[]), c.c) ** 2)) AS s FROM embeddings e JOIN c USING (label))
+SELECT round(d, 6) AS distance, round(d / s, 6) AS standardised FROM b, s""")
 def embedding_polarization(spark, sf_dir):
     return EM.polarization(table(spark, sf_dir, "embeddings"), "label").select(r6("distance").alias("distance"), r6("standardised").alias("standardised"))
 

@@ -50,12 +50,12 @@ def test_search_block_prunes_without_loss(kind):
     if kind == "skewed":
         y = (y * np.exp(rng.standard_normal(24) * 2) / 20).astype(np.int32)
     if kind == "large":
-        y = y * 1_000_000
+        y = y.astype(np.int64) * 2_000_000
     ids, q = np.arange(len(y)) + 5, y[: min(40, len(y))]
-    best = {i: (np.empty(0, np.int64), np.empty(0, np.int64)) for i in range(len(q))}
+    best = dict.fromkeys(range(len(q)), topk.NOTHING)
     for lo in range(0, len(y), 512):
-        topk.search_block(ids[: len(q)], q, ids[lo : lo + 512], y[lo : lo + 512], best, 5)
-    s = y.astype(np.int64) @ q.astype(np.int64).T
+        topk.search_block(ids[: len(q)], q, topk.Lists(ids[lo : lo + 512], y[lo : lo + 512]), best, 5)
+    s = y.astype(np.int64) @ q.astype(np.int64).T  # below 2^63
     for i in range(len(q)):
         order = [j for j in np.lexsort((ids, -s[:, i])) if j != i][:5]
         assert best[i][0].tolist() == ids[order].tolist() and best[i][1].tolist() == s[order, i].tolist()
@@ -69,6 +69,29 @@ def test_top_k_few_repeated_and_empty(spark):
     assert topk.top_k(df.limit(0), df).count() == 0 and topk.top_k(df, df.limit(0)).count() == 0
 
 
+def test_top_k_large_components(spark):
+    x = np.array([[1e7, 1.0], [2e7, 1.0], [3e7, -1.0], [1e7, 2.0]])
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    got = topk.top_k(spark.createDataFrame(rows[:1], "vec_id long, embedding array<double>"), spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    y = np.floor(256 * x).astype(np.int64)
+    want = [(0, r + 1, i, min(topk.LIMIT, sum(map(int.__mul__, y[0].tolist(), y[i].tolist())))) for r, i in enumerate((2, 1, 3))]
+    assert sorted(map(tuple, got.collect())) == want
+    huge = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e300, 0.0]), (2, [-1e300, 0.0])], "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in topk.top_k(huge.where("vec_id = 0"), huge).collect()]
+    assert sorted(got) == [(1, topk.LIMIT), (2, -topk.LIMIT)]
+
+
+def test_lists_are_read_in_rounds_until_no_outsider_can_qualify(monkeypatch):
+    rng = np.random.default_rng(11)
+    y = rng.integers(-9, 9, (600, 8))
+    monkeypatch.setattr(topk, "FEW", 0.0)  # most queries go to the last round
+    best = dict.fromkeys(range(30), topk.NOTHING)
+    topk.search_block(np.arange(30), y[:30], topk.Lists(np.arange(600), y), best, 5)
+    for i in range(30):
+        s = y @ y[i]
+        assert best[i][0].tolist() == [j for j in np.lexsort((np.arange(600), -s)) if j != i][:5]
+
+
 def brute_links(x, cosine):
     u = x.astype(np.float64)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
