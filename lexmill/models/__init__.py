@@ -3,12 +3,22 @@
 from .base import Corpus, TopicModel
 from .clusters import BERTopic, Top2Vec
 from .derived import CSATM, GDMR, HDP, AuthorRecipientTopic, DiscLDA, EmbeddingLDA, GuidedNMF, SemanticSignals, SupervisedLDA, ThreadTM, TopicGPT, Wordshoal
+from .embedded import DETM, ETM, GaussianLDA, IdealPointSentenceTM
 from .factor import LSA, NMF, KeyNMF
 from .guided import AnchorLDA, AuthorTopic, KeyATM, TopicsOverTime
 from .logistic import CTM, STM
 from .mixture import BTM, GSDMM
+from .neural import CombinedTM, ProdLDA, Scholar, ZeroShotTM
+from .positions import TBIP
 from .scaling import Wordfish
+from .structured import DTM, HLDA, PA, PT, RTM, SAGE, CorEx, FactorialLDA, NarrativeTM
 from .variational import DMR, LDA, LabeledLDA, OnlineLDA, PolylingualLDA, SeededLDA
 
-__all__ = ["AnchorLDA", "AuthorRecipientTopic", "AuthorTopic", "BERTopic", "BTM", "CSATM", "CTM", "Corpus", "DMR", "DiscLDA", "EmbeddingLDA", "GDMR", "GSDMM", "GuidedNMF", "HDP", "KeyATM", "KeyNMF", "LDA", "LSA",
-           "LabeledLDA", "NMF", "OnlineLDA", "PolylingualLDA", "STM", "SeededLDA", "SemanticSignals", "SupervisedLDA", "ThreadTM", "Top2Vec", "TopicGPT", "TopicModel", "TopicsOverTime", "Wordfish", "Wordshoal"]
+__all__ = [
+    "AnchorLDA", "AuthorRecipientTopic", "AuthorTopic", "BERTopic", "BTM", "CSATM", "CTM", "CombinedTM", "CorEx",
+    "Corpus", "DETM", "DMR", "DTM", "DiscLDA", "ETM", "EmbeddingLDA", "FactorialLDA", "GDMR", "GSDMM", "GaussianLDA",
+    "GuidedNMF", "HDP", "HLDA", "IdealPointSentenceTM", "KeyATM", "KeyNMF", "LDA", "LSA", "LabeledLDA", "NMF",
+    "NarrativeTM", "OnlineLDA", "PA", "PT", "PolylingualLDA", "ProdLDA", "RTM", "SAGE", "STM", "Scholar",
+    "SeededLDA", "SemanticSignals", "SupervisedLDA", "TBIP", "ThreadTM", "Top2Vec", "TopicGPT", "TopicModel",
+    "TopicsOverTime", "Wordfish", "Wordshoal", "ZeroShotTM",
+]
