@@ -61,13 +61,14 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     state = cut(known.select("conv_id", "node", F.col("pn").alias("up"), F.lit(1).cast("long").alias("steps"), "score"))
     whole, open_, jumps, rounds = state.where("up is null"), state.where("up is not null"), [], 0
     limit = max(1, state.count()).bit_length() + 1
+    width = state.rdd.getNumPartitions()  # unions are brought back to so many partitions, or they would double each round
     while rounds < limit and not open_.isEmpty():  # nodes whose pointer has reached a root leave the loop
         open_ = small(open_, width=WIDTH)
         jumps.append(open_.select("conv_id", "node", "up"))
         above = whole.unionByName(open_).select(F.col("conv_id").alias("ac"), F.col("node").alias("an"), F.col("up").alias("au"), F.col("steps").alias("as"), F.col("score").alias("ascore"))
         met = open_.join(above, F.col("conv_id").eqNullSafe(F.col("ac")) & (F.col("up") == F.col("an")))
-        state = cut(met.select("conv_id", "node", F.col("au").alias("up"), (F.col("steps") + F.col("as")).alias("steps"), (F.col("score") + F.col("ascore")).alias("score")))
-        whole, open_ = whole.unionByName(state.where("up is null")), state.where("up is not null")
+        state = cut(met.select("conv_id", "node", F.col("au").alias("up"), (F.col("steps") + F.col("as")).alias("steps"), (F.col("score") + F.col("ascore")).alias("score")).coalesce(width))
+        whole, open_ = whole.unionByName(state.where("up is null")).coalesce(width), state.where("up is not null")
         rounds += 1
     kids = small(base.where("parent is not null").select(F.col("conv_id").alias("kc"), F.col("parent").alias("kp")), width=WIDTH)
     leaves = whole.join(kids, F.col("conv_id").eqNullSafe(F.col("kc")) & (F.col("node") == F.col("kp")), "left_anti")
@@ -82,7 +83,7 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
         path = cut(met.select("conv_id", "branch", F.inline(both)))
     for part in done:
         path = path.unionByName(part)
-    return path
+    return path.coalesce(width)
 
 
 def format_trees(nodes: DataFrame, branches: int = 1, loss_role: str = "assistant", single: bool = False) -> DataFrame:
