@@ -41,6 +41,16 @@ def cross_validate(docs: DataFrame, folds: DataFrame, fit: Callable, score: Call
     return [score(fit(d.where(F.col("fold") != f).drop("fold")), d.where(F.col("fold") == f).drop("fold")) for f in range(k)]
 
 
-def search_k(docs: DataFrame, candidates: list[int], make: Callable, score: Callable) -> list[dict]:
-    """A fit and score for each number of topics; make(k, docs) -> model, score(model, docs) -> dict."""
-    return [{"k": k, **score(make(k, docs), docs)} for k in candidates]
+
+def stratified(docs: DataFrame, by: str, k: int = 5, seed: int = 0) -> DataFrame:
+    """(doc_id, fold): each value of by is dealt evenly to the folds, in a hashed order. Null is a value of its own.
+
+    Places within a value are counted over its hashed parts, so that no task orders a whole value.
+    """
+    h = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
+    d = docs.select("doc_id", F.col(by).cast("string").alias("v"), h.alias("h"), F.pmod(h, F.lit(1024)).alias("part"))
+    sizes = d.groupBy("v", "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("v").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col("v").alias("sv"), F.col("part").alias("sp"), before.alias("start"))
+    i = F.row_number().over(Window.partitionBy("v", "part").orderBy("h", "doc_id")) - 1
+    return d.withColumn("i", i).join(starts, F.col("v").eqNullSafe(F.col("sv")) & (F.col("part") == F.col("sp"))).select("doc_id", F.pmod(F.col("start") + F.col("i"), F.lit(k)).cast("int").alias("fold"))

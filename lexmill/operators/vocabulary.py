@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,13 +10,22 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def corpus(df: DataFrame, text_col: str = "text", keep_empty: bool = False, **how) -> DataFrame:
+def corpus(df: DataFrame, text_col: str = "text", keep_empty: bool = False, tokenizer: Callable[[str], Iterable[str]] | None = None, **how) -> DataFrame:
     """df with its text tokenised into column tokens; documents without tokens are dropped unless kept.
 
+    A tokenizer of the caller's own takes the place of the built-in one: a function of a text (null: empty), which runs
+    over Arrow batches; lowercase, stopwords and min_length are then its own business.
+
     The one-element explode keeps the optimiser from copying the tokeniser into later expressions, where a lambda
     would run it for every element.
     """
-    out = df.select(*[c for c in df.columns if c not in (text_col, "tokens")], F.explode(F.array(T.tokenize(F.col(text_col), **how))).alias("tokens"))
+    if tokenizer is not None:
+        if how:
+            raise ValueError(f"a tokenizer of one's own takes no {', '.join(how)}")
+        tokens = F.pandas_udf(lambda x: x.map(lambda t: [str(w) for w in tokenizer(t or "")]), "array<string>")(F.col(text_col))
+    else:
+        tokens = T.tokenize(F.col(text_col), **how)
+    out = df.select(*[c for c in df.columns if c not in (text_col, "tokens")], F.explode(F.array(tokens)).alias("tokens"))
     return out if keep_empty else out.where(F.size("tokens") > 0)
 
 
@@ -55,6 +64,29 @@ def document_limits(n_docs: int, min_df: float = 1, max_df: float = 1.0) -> tupl
     return least, most
 
 
+def keep_words(docs: DataFrame, lower: int | None = None, upper: int | None = None, **bounds) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, words, emptied): documents less the words that are pruned, the words that stay, and ids of documents that lose all.
+
+    lower and upper bound the number of documents that a word lies in (above the one, below the other); bounds are those
+    of prune(). All other columns stay beside their documents. Asking for a bound in both forms is an error.
+    """
+    if (lower is not None and "min_df" in bounds) or (upper is not None and "max_df" in bounds):
+        raise ValueError("lower and min_df, or upper and max_df, are two forms of one bound")
+    vocab = vocabulary(docs)
+    n = docs.count() if bounds else 0
+    kept = prune(vocab, n, **bounds) if bounds else vocab
+    if lower is not None:
+        kept = kept.where(F.col("df") > lower)
+    if upper is not None:
+        kept = kept.where(F.col("df") < upper)
+    words = kept.select("word")
+    at = docs.select("doc_id", F.posexplode("tokens").alias("pos", "word")).join(words, "word", "left_semi")
+    left = at.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda s: s["word"]).alias("stay"))
+    both = docs.join(left, "doc_id", "left")
+    out = both.where("stay is not null").select(*[F.col("stay").alias(c) if c == "tokens" else F.col(c) for c in docs.columns])
+    return out, kept, both.where("stay is null").select("doc_id")
+
+
 def dropped_terms(vocab: DataFrame, n_docs: int, max_df: float, show: int = 8) -> DataFrame:
     """The first words that max_df takes away."""
     return vocab.where(F.col("df") > F.ceil(F.lit(float(n_docs)) * F.lit(float(max_df)))).orderBy(F.desc("df"), "word").limit(show)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus_queries, model_queries, structured_queries, topic_queries  # noqa: F401  registers
+from . import corpus_queries, model_queries, selection_queries, structured_queries, topic_queries  # noqa: F401  registers
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import vocabulary
+
 
 def read_lines(spark: SparkSession, path: str, id_field: bool = False) -> DataFrame:
     """(doc_id, name, text): one document a line, trimmed, blank lines skipped; the first word is the name if asked, else doc_<n>.
@@ -45,17 +47,39 @@ def from_texts(spark: SparkSession, texts: Iterable[str | None], names: Iterable
     return spark.createDataFrame(list(zip(range(len(texts)), names, labels, [t or "" for t in texts], strict=True)), "doc_id long, name string, label string, text string")
 
 
-def from_tokens(spark: SparkSession, documents: Iterable[list[str]], **columns) -> DataFrame:
-    """(doc_id, tokens, and a column for each named list)."""
+def read_corpus(spark: SparkSession, path: str, kind: str = "lines", prune: dict | None = None, tokenizer: Callable | None = None, **how) -> DataFrame:
+    """Documents of a file or folder as tokens in one call: read by lines or as tsv, tokenised, stopped, pruned.
+
+    how: lowercase, stopwords and min_length of the tokeniser, or columns of read_tsv(); prune: bounds of
+    vocabulary.keep_words(). Documents that lose all tokens go.
+    """
+    columns = {c: how.pop(c) for c in ("text_column", "id_column", "label_column", "id_field") if c in how}
+    if kind == "tsv":
+        d = read_tsv(spark, path, **columns).withColumn("doc_id", F.monotonically_increasing_id())
+    else:
+        d = read_lines(spark, path, **columns)
+    d = vocabulary.corpus(d, tokenizer=tokenizer, **how)
+    return vocabulary.keep_words(d, **prune)[0] if prune else d
+
+
+def from_tokens(spark: SparkSession, documents: Iterable[list[str]], stopwords: Iterable[str] = (), words: Iterable[str] | None = None, prune: dict | None = None, **columns) -> DataFrame:
+    """(doc_id, tokens, and a column for each named list), less stopwords, words outside a given vocabulary and pruned ones.
+
+    Documents that lose all their tokens stay, empty, unless prune is given.
+    """
+    stop, only = set(stopwords), set(words) if words is not None else None
+    documents = [[w for w in d if w not in stop and (only is None or w in only)] for d in documents]
     rows = [{"doc_id": i, "tokens": list(d)} for i, d in enumerate(documents)]
     df = spark.createDataFrame([(r["doc_id"], r["tokens"]) for r in rows], "doc_id long, tokens array<string>")
     for name, values in columns.items():
         df = df.join(spark.createDataFrame(list(enumerate(values)), ["doc_id", name]), "doc_id")
-    return df
+    return vocabulary.keep_words(df, **prune)[0] if prune else df
 
 
-def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_embeddings(spark: SparkSession, path: str, id_col: str = "doc_id", vec_col: str = "embedding") -> DataFrame:
+    """(doc_id, embedding): vectors as doubles; rows whose vector is null, or holds null or non-finite components, go."""
+    v = spark.read.parquet(path).select(F.col(id_col).alias("doc_id"), F.col(vec_col).cast("array<double>").alias("embedding"))
+    return v.where(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:

@@ -35,6 +35,16 @@ def save_state(assigned: DataFrame, path: str) -> None:
     assigned.select("doc_id", "pos", "word", "topic").write.mode("overwrite").parquet(path)
 
 
+def load_state(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A saved state's assignments, with the counts that they make: (topic, word, n) and (doc_id, topic, n)."""
+    rows = spark.read.parquet(path)
+    return rows, rows.groupBy("topic", "word").agg(F.count("*").alias("n")), rows.groupBy("doc_id", "topic").agg(F.count("*").alias("n"))
+
+
+def save_embeddings(vectors: DataFrame, path: str, id_col: str = "doc_id", vec_col: str = "embedding") -> None:
+    vectors.select(F.col(id_col).alias("doc_id"), F.col(vec_col).alias("embedding")).write.mode("overwrite").parquet(path)
+
+
 def fingerprint(df: DataFrame, *columns: str) -> str:
     """A digest of rows whatever their order: a sum of row hashes, and their count."""
     row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*(columns or df.columns)).cast("decimal(38,0)")).alias("h")).first()
