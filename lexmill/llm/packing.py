@@ -16,6 +16,7 @@ import base64
 import os
 import zlib
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +108,18 @@ def weights(tf: np.ndarray, idf: np.ndarray, length: np.ndarray | int, mean: flo
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1)))
 
 
+def distinct(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, counts, start): the distinct ids of each document in order, those of the d-th from start[d] to start[d + 1]."""
+    size = np.array([len(d) for d in docs], np.int64)
+    key = np.repeat(np.arange(len(docs), dtype=np.int64) << 32, size)
+    if len(key):
+        key |= np.concatenate(docs)
+    key.sort()
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    start = np.searchsorted(key[first], np.arange(len(docs) + 1, dtype=np.int64) << 32)
+    return key[first] & 0xFFFFFFFF, np.diff(np.append(first, len(key))), start
+
+
 class Bm25:
     """Inverted index of a shard's documents; terms are token ids, statistics those of the corpus."""
 
@@ -114,12 +127,10 @@ class Bm25:
         n = self.n = len(docs)
         stats = stats or Stats.of(docs)
         size = len(stats.df)
-        terms, counts = zip(*(np.unique(d, return_counts=True) for d in docs), strict=True) if n else ((), ())
-        self.terms = terms
-        term, tf = (np.concatenate(x) if n else np.empty(0, np.int64) for x in (terms, counts))
-        doc = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in terms])
-        order = np.argsort(term, kind="stable")
-        self.doc, term, tf = doc[order], term[order], tf[order].astype(np.float64)
+        self.terms, tf, self.first = distinct(docs)
+        doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.first))
+        order = np.argsort(self.terms.astype(np.uint32), kind="stable")
+        self.doc, term, tf = doc[order], self.terms[order], tf[order].astype(np.float64)
         self.start = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=size)))).astype(np.int64)
         length = np.array([len(d) for d in docs], np.float64)
         self.weight = weights(tf, stats.idf[term], length[self.doc], stats.mean)
@@ -134,7 +145,7 @@ class Bm25:
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every document against all distinct terms of the seed."""
-        terms = self.terms[seed]
+        terms = self.terms[self.first[seed] : self.first[seed + 1]]
         row = self.row[terms]
         asked = np.zeros(len(self.dense))
         asked[row[row >= 0]] = 1
@@ -156,11 +167,18 @@ class Router:
     def __getstate__(self):
         return self.__dict__ | {"signs": None}  # made anew by each worker
 
-    def vector(self, terms: np.ndarray, tf: np.ndarray, length: int) -> np.ndarray:
+    def vectors(self, docs: list[np.ndarray]) -> np.ndarray:
+        """Unit vectors of documents."""
+        return self._vectors(*distinct(docs), np.array([len(d) for d in docs]))
+
+    def _vectors(self, terms, tf, start, length) -> np.ndarray:
         if self.signs is None:
             self.signs = np.random.default_rng(0).integers(0, 2, (len(self.idf), DIMS), np.int8).astype(np.float32) * 2 - 1
-        x = weights(tf, self.idf[terms], length, self.mean).astype(np.float32) @ self.signs[terms]
-        return x / max(float(np.linalg.norm(x)), 1e-9)
+        out, own = np.zeros((len(length), DIMS), np.float32), np.repeat(length, np.diff(start))
+        weight = weights(tf, self.idf[terms], own, self.mean).astype(np.float32)
+        for d, (lo, hi) in enumerate(pairwise(start.tolist())):
+            out[d] = weight[lo:hi] @ self.signs[terms[lo:hi]]
+        return out / np.maximum(np.sqrt(np.einsum("ij,ij->i", out, out)), 1e-9)[:, None]
 
     def grow(self, x: np.ndarray, weight: np.ndarray, limit: float) -> Router:
         """Halves the sample's weight until no part weighs more than limit, or all of a part's vectors are equal."""
@@ -193,12 +211,15 @@ class Router:
         self.axes, self.cuts, self.next = np.array(axes, np.float32).reshape(-1, DIMS), np.array(cuts, np.float32), np.array(following, np.int32).reshape(-1, 2)
         return self
 
-    def leaf(self, terms: np.ndarray, tf: np.ndarray, length: int) -> int:
-        at = int(self.root)
-        if at >= 0:
-            x = self.vector(terms, tf, length)
-            while at >= 0:
-                at = int(self.next[at, int(np.einsum("i,i", x, self.axes[at]) >= self.cuts[at])])
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of each vector."""
+        at = np.full(len(x), int(self.root))
+        live = np.flatnonzero(at >= 0)
+        while len(live):
+            node = at[live]
+            right = np.einsum("ij,ij->i", x[live], self.axes[node]) >= self.cuts[node]
+            at[live] = self.next[node, right.astype(int)]
+            live = live[at[live] >= 0]
         return -1 - at
 
 
@@ -281,15 +302,13 @@ def _tokens(path: str, kind: str, router: Router):
         encode, df = ByteBpe(path), np.zeros(len(router.idf), "<u8")
         names = ["doc_id", "n", "leaf", "ids"]
         for batch in batches:
-            n, leaf, out = [], [], []
-            for t in batch.column(1):
-                d = np.append(encode(t.as_py()), np.uint32(END_ID)).astype(kind)
-                terms, tf = np.unique(d, return_counts=True)
-                df[terms] += 1
-                n.append(len(d))
-                leaf.append(router.leaf(terms, tf, len(d)))
-                out.append(d.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(leaf, pa.int64()), pa.array(out, pa.binary())], names)
+            docs = [np.append(encode(t.as_py()), np.uint32(END_ID)) for t in batch.column(1)]
+            if not docs:
+                continue
+            n, (terms, tf, start) = np.array([len(d) for d in docs], np.int64), distinct(docs)
+            df += np.bincount(terms, minlength=len(df)).astype(df.dtype)
+            leaf = router.leaves(router._vectors(terms, tf, start, n)) if router.root >= 0 else np.full(len(n), -1 - router.root)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(leaf, pa.int64()), pa.array([d.astype(kind).tobytes() for d in docs], pa.binary())], names)
         terms = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([len(terms)], pa.int64()), pa.array([-1], pa.int64()), pa.array([terms.astype("<u4").tobytes() + df[terms].tobytes()], pa.binary())], names)
         release()
@@ -321,7 +340,7 @@ def _sample_frequencies(kind: str):
 def _vectors(router: Router, kind: str):
     def run(batches):
         for batch in batches:
-            x = [router.vector(*np.unique(d, return_counts=True), len(d)).astype("<f4").tobytes() for d in _ids(batch.column(3), kind)]
+            x = [v.astype("<f4").tobytes() for v in router.vectors(_ids(batch.column(3), kind))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(x, pa.binary())], ["h", "docs", "n", "x"])
     return run
 
