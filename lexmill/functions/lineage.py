@@ -35,3 +35,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and returns it without its lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df with its rows dealt over the cores where it is read from fewer files than there are cores, else df as it is.
+
+    A file of one row group is read by one task, whatever its size; what follows the scan then runs in one task too.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .embedding import cosine_top_k
+
 EPS = 1e-12
 
 
@@ -201,11 +203,15 @@ def document_residuals(words: DataFrame, phi: DataFrame, theta: DataFrame) -> Da
 
 
 def nearest_documents(theta: DataFrame, queries: DataFrame, n: int = 5) -> DataFrame:
-    """(query, rank, doc_id, distance): Hellinger-nearest documents of a few queries (doc_id); theta meets them by topic."""
-    q = theta.join(F.broadcast(queries.select("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("query"), "topic", F.sqrt("p").alias("b"))
-    s = theta.join(q, "topic").where("doc_id <> query").groupBy("query", "doc_id").agg(F.sum(F.sqrt("p") * F.col("b")).alias("bc"))
-    w = Window.partitionBy("query").orderBy("distance", "doc_id")
-    return s.select("query", "doc_id", F.sqrt(F.greatest(1 - F.col("bc"), F.lit(0.0))).alias("distance")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    """(query, rank, doc_id, distance): Hellinger-nearest documents of the queries (doc_id), ties to the smaller id.
+
+    Roots of mixtures are unit vectors whose inner product is the Bhattacharyya coefficient, so they are searched as vectors.
+    """
+    topics = sorted(r["topic"] for r in theta.select("topic").distinct().collect())  # K rows
+    roots = _dense(theta, "doc_id", topics).select("doc_id", F.transform("x", lambda p: F.sqrt(p)).alias("root"))
+    q = roots.join(queries.select("doc_id").distinct(), "doc_id", "left_semi")
+    near = cosine_top_k(q, roots, n, "doc_id", "root")
+    return near.select("query", "rank", F.col("id").alias("doc_id"), F.sqrt(F.greatest(1 - F.col("cosine"), F.lit(0.0))).alias("distance"))
 
 
 def approximate_distribution(windows: DataFrame, weights: DataFrame, topics: DataFrame, least: float = 0.0) -> DataFrame:

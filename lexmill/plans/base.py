@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import spread
 from ..functions.text import TOKEN
 from ..operators import topics as TP
 from ..operators import vocabulary as V
@@ -52,7 +53,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, tokens) of the documents that have tokens."""
-    return V.corpus(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    return V.corpus(spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")))
 
 
 def r6(c):
