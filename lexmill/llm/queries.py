@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.lineage import spread
 from . import chat, langid, licenses, line_dedup, near_dup_text, near_dup_vectors, packing, pieces, rollups, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
