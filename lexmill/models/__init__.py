@@ -8,6 +8,7 @@ from .factor import LSA, NMF, KeyNMF
 from .guided import AnchorLDA, AuthorTopic, KeyATM, TopicsOverTime
 from .logistic import CTM, STM
 from .mixture import BTM, GSDMM
+from .moments import TensorLDA
 from .neural import CombinedTM, ProdLDA, Scholar, ZeroShotTM
 from .positions import TBIP
 from .scaling import Wordfish
@@ -19,6 +20,6 @@ __all__ = [
     "Corpus", "DETM", "DMR", "DTM", "DiscLDA", "ETM", "EmbeddingLDA", "FactorialLDA", "GDMR", "GSDMM", "GaussianLDA",
     "GuidedNMF", "HDP", "HLDA", "IdealPointSentenceTM", "KeyATM", "KeyNMF", "LDA", "LSA", "LabeledLDA", "NMF",
     "NarrativeTM", "OnlineLDA", "PA", "PT", "PolylingualLDA", "ProdLDA", "RTM", "SAGE", "STM", "Scholar",
-    "SeededLDA", "SemanticSignals", "SupervisedLDA", "TBIP", "ThreadTM", "Top2Vec", "TopicGPT", "TopicModel",
+    "SeededLDA", "SemanticSignals", "SupervisedLDA", "TBIP", "TensorLDA", "ThreadTM", "Top2Vec", "TopicGPT", "TopicModel",
     "TopicsOverTime", "Wordfish", "Wordshoal", "ZeroShotTM",
 ]

@@ -54,6 +54,30 @@ def e_steps(bag: Bags, alpha: np.ndarray, beta: np.ndarray, mask: np.ndarray | N
     return gamma, stats, bag.sums(bag.n * np.log(norm))
 
 
+def collapsed_steps(bag: Bags, alpha: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As e_steps(), by zero-order collapsed updates: an entry's shares follow from its document's counts less its own.
+
+    beta holds shares of words. All entries of a document move at once.
+    """
+    d, k = len(bag), beta.shape[1]
+    b = beta[bag.i].astype(np.float64)
+    share = b / b.sum(axis=1, keepdims=True)
+    total = bag.sums(bag.n)
+    counts = np.add.reduceat(share * bag.n[:, None], bag.first, axis=0)
+    for _ in range(INNER):
+        share = (np.broadcast_to(alpha, (d, k)) + counts)[bag.own] - share
+        share = np.maximum(share, 1e-12) * b
+        share /= share.sum(axis=1, keepdims=True)
+        new = np.add.reduceat(share * bag.n[:, None], bag.first, axis=0)
+        moved, counts = np.abs(new - counts).mean(axis=1), new
+        if (moved <= TOL * total / k + 1e-5).all():
+            break
+    gamma = alpha + counts
+    theta = gamma / gamma.sum(axis=1, keepdims=True)
+    p = np.einsum("ij,ij->i", theta[bag.own], b) + 1e-100
+    return gamma, share * bag.n[:, None], bag.sums(bag.n * np.log(p))
+
+
 def short(beta: np.ndarray) -> np.ndarray:
     """K x V as V x K in four bytes, held away from 0, where quotients would overflow."""
     return np.maximum(np.ascontiguousarray(beta.T), 1e-30).astype(np.float32)
@@ -88,13 +112,16 @@ class LDA:
     """Latent Dirichlet allocation. Subclasses change the prior of words, of documents, or the topics a document may use.
 
     learn_alpha fits the documents' prior, one weight a topic, after each sweep; learn_beta the words', one for all.
-    watch(sweep, log likelihood) is called after each sweep; a fit that it answers with False stops there.
+    watch(sweep, log likelihood) is called after each sweep; a fit that it answers with False stops there. inference is
+    "vb" for variational Bayes or "cvb0" for zero-order collapsed updates, whose word shares are those of counts.
     """
 
     groups: np.ndarray | None = None
 
-    def __init__(self, k: int, alpha: float | None = None, beta: float = 0.01, iters: int = 100, tol: float = 1e-4, seed: int = 0, learn_alpha: bool = False, learn_beta: bool = False, watch=None):
-        self.k, self.beta, self.iters, self.tol, self.seed, self.learn_alpha, self.learn_beta, self.watch = k, beta, iters, tol, seed, learn_alpha, learn_beta, watch
+    def __init__(self, k: int, alpha: float | None = None, beta: float = 0.01, iters: int = 100, tol: float = 1e-4, seed: int = 0, learn_alpha: bool = False, learn_beta: bool = False, watch=None, inference: str = "vb"):
+        if inference not in ("vb", "cvb0"):
+            raise ValueError(inference)
+        self.k, self.beta, self.iters, self.tol, self.seed, self.learn_alpha, self.learn_beta, self.watch, self.inference = k, beta, iters, tol, seed, learn_alpha, learn_beta, watch, inference
         self.alpha = np.full(k, alpha if alpha is not None else 50.0 / k if k > 50 else 1.0 / k)
 
     def settings(self) -> dict:
@@ -115,7 +142,10 @@ class LDA:
 
     def sweep(self, corpus: Corpus, lam: np.ndarray, rows: DataFrame | None = None) -> tuple[np.ndarray, float]:
         """Summed statistics and the log likelihood of the documents' words under their own mixtures."""
-        return self._sweep(corpus, expected_log(lam, self.groups), rows)
+        return self._sweep(corpus, self._weights(lam), rows)
+
+    def _weights(self, lam: np.ndarray) -> np.ndarray:
+        return self._phi(lam) if self.inference == "cvb0" else expected_log(lam, self.groups)
 
     def _sweep(self, corpus: Corpus, beta: np.ndarray, rows: DataFrame | None = None) -> tuple[np.ndarray, float]:
         held, k, v, me = corpus.spark.sparkContext.broadcast(short(beta)), self.k, corpus.size, self._frozen()
@@ -135,7 +165,7 @@ class LDA:
 
     def _step(self, bag: Bags, beta: np.ndarray):
         alpha, mask = self.doc_priors(bag)
-        return e_steps(bag, alpha, beta, mask)
+        return collapsed_steps(bag, alpha, beta) if self.inference == "cvb0" and mask is None else e_steps(bag, alpha, beta, mask)
 
     def _frozen(self):
         """A copy without tables, to be sent to tasks."""
@@ -144,7 +174,7 @@ class LDA:
         return c
 
     def theta(self, corpus: Corpus, lam: np.ndarray) -> DataFrame:
-        return self._theta(corpus, expected_log(lam, self.groups))
+        return self._theta(corpus, self._weights(lam))
 
     def _theta(self, corpus: Corpus, beta: np.ndarray) -> DataFrame:
         held, me = corpus.spark.sparkContext.broadcast(short(beta)), self._frozen()

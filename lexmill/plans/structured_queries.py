@@ -133,3 +133,13 @@ def sentence_ideal_points_fit(spark, sf_dir):
     t = m.doc_topic.groupBy("doc_id").agg(F.sum("p").alias("s")).agg(F.count("*").alias("vectors"), F.min(F.abs(F.col("s") - 1) < 1e-6).alias("sums"))
     return t.select("vectors", F.lit(len(x)).alias("authors"), F.lit(round(abs(float(x.mean())), 6)).alias("mean"), F.lit(round(float(x.std()), 6)).alias("sd"), "sums",
                     F.lit(bool(m.fit_history[-1][1] >= m.fit_history[0][1])).alias("improves"))
+
+
+@query(_sound_sql("4"))
+def tensor_lda_fit(spark, sf_dir):
+    return _sound(M.TensorLDA(4).fit(_corpus(spark, sf_dir)))
+
+
+@query(_sound_sql("5"))
+def lda_collapsed_fit(spark, sf_dir):
+    return _sound(M.LDA(5, iters=10, inference="cvb0").fit(_corpus(spark, sf_dir)))

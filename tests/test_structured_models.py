@@ -204,3 +204,30 @@ def test_ideal_points_of_vectors(spark):
     x = [m.positions()[f"a{a}"] for a in range(8)]
     assert abs(np.corrcoef(x, range(8))[0, 1]) > 0.98
     assert m.doc_topic.where("p > 0.9").count() == 400
+
+
+def test_tensor_lda_in_one_go_and_in_batches(spark):
+    rng = np.random.default_rng(0)
+    texts = []
+    for _ in range(400):
+        theta = rng.dirichlet(np.full(3, 0.3))
+        texts.append([f"w{rng.choice(3, p=theta)}{rng.integers(5)}x" for _ in range(20)])
+    c = M.Corpus(readers.from_tokens(spark, texts))
+    fitted = M.TensorLDA(3, alpha_0=0.9).fit(c)
+    simplex(fitted)
+    assert len(blocks(fitted.top_words())) == 3
+    m = M.TensorLDA(3, alpha_0=0.9)
+    m._whiten(c)
+    rows = c.rows
+    for part in (0, 1):
+        c.rows = rows.where(F.col("doc_id") % 2 == part)
+        m.partial_fit(c)
+    assert np.allclose(np.sort(m.finalize(), axis=0), np.sort(fitted.topic_word, axis=0), atol=1e-6)
+
+
+def test_collapsed_updates(docs):
+    m = M.LDA(3, iters=40, seed=1, inference="cvb0").fit(M.Corpus(docs))
+    simplex(m)
+    assert len(blocks(m.top_words())) == 3
+    with pytest.raises(ValueError):
+        M.LDA(3, inference="other")
