@@ -6,20 +6,20 @@ from .derived import CSATM, GDMR, HDP, AuthorRecipientTopic, DiscLDA, EmbeddingL
 from .embedded import DETM, ETM, GaussianLDA, IdealPointSentenceTM
 from .factor import LSA, NMF, KeyNMF
 from .guided import AnchorLDA, AuthorTopic, KeyATM, TopicsOverTime
-from .logistic import CTM, STM
+from .logistic import CTM, STM, TreeFieldTM
 from .mixture import BTM, GSDMM
 from .moments import TensorLDA
 from .neural import CombinedTM, ProdLDA, Scholar, ZeroShotTM
 from .positions import TBIP
 from .scaling import Wordfish
-from .structured import DTM, HLDA, PA, PT, RTM, SAGE, CorEx, FactorialLDA, NarrativeTM
+from .structured import DTM, HLDA, MGLDA, PA, PT, RTM, SAGE, CorEx, FactorialLDA, NarrativeTM
 from .variational import DMR, LDA, LabeledLDA, OnlineLDA, PolylingualLDA, SeededLDA
 
 __all__ = [
     "AnchorLDA", "AuthorRecipientTopic", "AuthorTopic", "BERTopic", "BTM", "CSATM", "CTM", "CombinedTM", "CorEx",
     "Corpus", "DETM", "DMR", "DTM", "DiscLDA", "ETM", "EmbeddingLDA", "FactorialLDA", "GDMR", "GSDMM", "GaussianLDA",
-    "GuidedNMF", "HDP", "HLDA", "IdealPointSentenceTM", "KeyATM", "KeyNMF", "LDA", "LSA", "LabeledLDA", "NMF",
+    "GuidedNMF", "HDP", "HLDA", "IdealPointSentenceTM", "KeyATM", "KeyNMF", "LDA", "LSA", "LabeledLDA", "MGLDA", "NMF",
     "NarrativeTM", "OnlineLDA", "PA", "PT", "PolylingualLDA", "ProdLDA", "RTM", "SAGE", "STM", "Scholar",
-    "SeededLDA", "SemanticSignals", "SupervisedLDA", "TBIP", "TensorLDA", "ThreadTM", "Top2Vec", "TopicGPT", "TopicModel",
+    "SeededLDA", "SemanticSignals", "SupervisedLDA", "TBIP", "TensorLDA", "ThreadTM", "Top2Vec", "TopicGPT", "TreeFieldTM", "TopicModel",
     "TopicsOverTime", "Wordfish", "Wordshoal", "ZeroShotTM",
 ]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import models as M
 from ..models.neural import USABLE
-from .base import CORPUS, docs, query, table
+from .base import _PATTERN, CORPUS, docs, query, table
 from .model_queries import _KEPT, LIMITS, SEEDS, _corpus, _features, _sound, _sound_sql, _thread, _word_vectors
 
 
@@ -143,3 +143,16 @@ def tensor_lda_fit(spark, sf_dir):
 @query(_sound_sql("5"))
 def lda_collapsed_fit(spark, sf_dir):
     return _sound(M.LDA(5, iters=10, inference="cvb0").fit(_corpus(spark, sf_dir)))
+
+
+@query(_sound_sql("4"))
+def tree_field_fit(spark, sf_dir):
+    c = _corpus(spark, sf_dir)
+    return _sound(M.TreeFieldTM(4, rounds=2, iters=4).fit(c, _thread(c)))
+
+
+@query(_sound_sql("7", docs="(SELECT count(DISTINCT doc_id) FROM sent WHERE word IN (SELECT word FROM kept))", ctes=CORPUS + """,
+sent AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(s, '""" + _PATTERN + """'), lambda t: lower(t))) AS word
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^.!?]+[.!?]+|\\S[^\\n]*$')) AS s FROM documents))"""))
+def multi_grain_fit(spark, sf_dir):
+    return _sound(M.MGLDA(4, 3, iters=4).fit(table(spark, sf_dir, "documents").select("doc_id", "text"), _corpus(spark, sf_dir)))

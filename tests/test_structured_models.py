@@ -231,3 +231,31 @@ def test_collapsed_updates(docs):
     assert len(blocks(m.top_words())) == 3
     with pytest.raises(ValueError):
         M.LDA(3, inference="other")
+
+
+def test_tree_field_ties_replies_to_parents(spark, docs):
+    parents = spark.createDataFrame([(i, i - 3 if i >= 3 else None) for i in range(90)], "doc_id long, parent long")
+    m = M.TreeFieldTM(3, blend=0.5, rounds=2, iters=10, seed=1)
+    fitted = m.fit(M.Corpus(docs), parents)
+    simplex(fitted)
+    assert len(blocks(fitted.top_words())) == 3 and purity(fitted, lambda d: d % 3) > 0.95
+
+
+def test_windows_have_topics_of_their_own(spark):
+    """Every text has words of its own kind (global) and passes through three aspects in turn (local)."""
+    rng = np.random.default_rng(0)
+    texts = []
+    for d in range(60):
+        sentences = []
+        for s in range(9):
+            words = [f"w{d % 2}{'abc'[rng.integers(3)]}x" for _ in range(3)] + [f"asp{s // 3}{'abc'[rng.integers(3)]}x".replace("0", "zero").replace("1", "one").replace("2", "two") for _ in range(4)]
+            sentences.append(" ".join(words).replace("w0", "left").replace("w1", "right") + ".")
+        texts.append(" ".join(sentences))
+    df = readers.from_texts(spark, texts)
+    from lexmill.operators import vocabulary as V
+    m = M.MGLDA(2, 3, alpha_local=0.01, iters=40, seed=1)
+    fitted = m.fit(df, M.Corpus(V.corpus(df)))
+    simplex(fitted)
+    top = fitted.top_words(3)
+    assert {w[:4] for w in top[0] + top[1]} == {"left", "righ"}
+    assert len({w[:6] for ws in top[2:] for w in ws if w.startswith("asp")}) == 3
