@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import models as M
 from ..models.neural import USABLE
+from ..operators import density as D
 from .base import _PATTERN, CORPUS, docs, query, table
 from .model_queries import _KEPT, LIMITS, SEEDS, _corpus, _features, _sound, _sound_sql, _thread, _word_vectors
 
@@ -156,3 +157,11 @@ sent AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(s, '""" + _PATT
   FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^.!?]+[.!?]+|\\S[^\\n]*$')) AS s FROM documents))"""))
 def multi_grain_fit(spark, sf_dir):
     return _sound(M.MGLDA(4, 3, iters=4).fit(table(spark, sf_dir, "documents").select("doc_id", "text"), _corpus(spark, sf_dir)))
+
+
+@query("SELECT count(*) AS vectors, true AS numbered FROM embeddings")
+def density_clusters(spark, sf_dir):
+    """Every vector is in one cluster or noise, and clusters are numbered without gaps."""
+    c = D.density_clusters(_document_vectors(spark, sf_dir), 10, 5, levels=4)
+    n = c.agg(F.count("*").alias("vectors"), F.count_distinct(F.when(F.col("topic") >= 0, F.col("topic"))).alias("k"), F.max("topic").alias("last"), F.min("topic").alias("first"))
+    return n.select("vectors", ((F.col("last") < 0) | (F.col("k") == F.col("last") + 1)).alias("numbered"))
