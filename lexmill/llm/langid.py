@@ -12,7 +12,6 @@ Prediction reads whole texts where they lie; chains too long to be held are walk
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 import zlib
 from collections.abc import Iterator
