@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.lineage import spread
-from . import chat, langid, licenses, line_dedup, near_dup_text, near_dup_vectors, packing, pieces, rollups, topk
+from . import chat, divergence, fim, langid, licenses, line_dedup, near_dup_text, near_dup_vectors, packing, pieces, rollups, token_files, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,9 +52,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.op11(table(spark, sf_dir, "documents"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.op12(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.op13(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_top_k, op2_sentencepiece, op3_license_scan, op4_language_id, op5_chat_format, op6_minhash_near_dedup,
-    op7_embedding_near_dedup, op8_packing, op9_token_counts, op10_line_dedup)}
+    op7_embedding_near_dedup, op8_packing, op9_token_counts, op10_line_dedup, op11_fill_in_middle, op12_token_files, op13_source_divergence)}
 
 ORACLES: dict[str, str] = {
     "op1_exact_top_k": topk.ORACLE,
@@ -62,4 +74,6 @@ ORACLES: dict[str, str] = {
     "op5_chat_format": chat.ORACLE,
     "op7_embedding_near_dedup": near_dup_vectors.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op11_fill_in_middle": fim.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
 }
