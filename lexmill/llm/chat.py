@@ -12,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, fresh, small
 
 #: Bytes that a row of two or three ids takes, with its score and steps.
 WIDTH = 48
+#: Code points of the stretches in which a long conversation is read back.
+STRETCH = 1024
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -120,9 +122,22 @@ def read_back(text: Column) -> Column:
     return F.transform(parts, turn)
 
 
-def masked(text: Column, loss: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(loss, lambda s: unescape(F.substring(text, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+def masked(df: DataFrame, text_col: str = "text", loss_col: str = "loss", into: str = "lost") -> DataFrame:
+    """df with all text under the loss mask, unescaped, in the column into.
+
+    A text is cut once into stretches of STRETCH code points, and a span is cut out of the stretches it touches: a span
+    cut out of the whole text would walk there from its start, so many turns would take the square of their number.
+    """
+    held = fresh(df, "stretches")
+    df = df.withColumn(held, F.explode(F.array(F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0)))))
+
+    def span(s: Column) -> Column:
+        first = F.floor(s["start"] / STRETCH).cast("int")
+        last = F.floor((s["start"] + s["length"] - 1) / STRETCH).cast("int")
+        near = F.array_join(F.slice(held, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+        return unescape(F.substring(near, (s["start"] % STRETCH + 1).cast("int"), s["length"].cast("int")))
+
+    return df.withColumn(into, F.array_join(F.transform(loss_col, span), "")).drop(held)
 
 
 def op5(turns: DataFrame) -> DataFrame:
@@ -132,7 +147,7 @@ def op5(turns: DataFrame) -> DataFrame:
         F.struct(F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role")), F.struct(F.lit(1).cast("long").alias("turn"), F.lit("assistant").alias("role")))).alias("t")).select(
         "conv_id", "t.turn", "t.role", F.lit(echo).alias("text"))
     done = format_trees(reply_chains(turns.select("conv_id", "turn", "role", "text").unionByName(extra)), single=True)
-    back = done.select("conv_id", "text", read_back(F.col("text")).alias("turns"), masked(F.col("text"), F.col("loss")).alias("lost"))
+    back = masked(done).select("conv_id", "text", read_back(F.col("text")).alias("turns"), "lost")
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"),
                        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
                        F.char_length("lost").cast("long").alias("loss_chars"), F.sha2("lost", 256).alias("loss_sha256"), F.char_length("text").cast("long").alias("formatted_chars"))

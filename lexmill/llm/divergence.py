@@ -85,51 +85,53 @@ def shares(n: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return out + 1
 
 
-def _tile(batches):
+def _tile(groups: int):
     """Partial submatrices of tiles: rows of one tile come together, its two headers first, then chunk by chunk.
 
     A header (chunk -1) holds N + 5 V of a block's sources; a vector row a source's packed places and counts.
     """
-    now, whole, sides, total, chunk = None, {}, {}, None, None
-
-    def settle():
-        nonlocal total
-        if not sides:
-            return
-        terms = max(x[1] for side in sides.values() for x in side)
-        p = {}
-        for side in (0, 1):
-            dense = np.zeros((len(whole[side]), terms), np.int64)
-            for row, _, at, n in sides.get(side, ()):
-                dense[row, at] = n
-            p[side] = shares(dense, whole[side][:, None])
-        for i, x in enumerate(p[0]):
-            total[i] += np.abs(p[1] - x).sum(axis=1)
-
-    def close():
-        settle()
-        i, j = np.nonzero(np.ones(total.shape, bool))
-        lang, a, b = now[0], now[1] * GROUPS, now[2] * GROUPS
-        return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(i), np.int64))), pa.array(i + a), pa.array(j + b), pa.array(total[i, j])], ["lang", "i", "j", "value"])
-
-    for batch in batches:
-        columns = [batch.column(c) for c in ("lang", "a", "b", "part", "chunk", "side", "row", "terms", "at", "n")]
-        for *key, c, side, row, terms, at, n in zip(*(x.to_pylist() for x in columns[:8]), *columns[8:], strict=True):
-            if key != now:
-                if now is not None:
-                    yield close()
-                now, whole, sides, total, chunk = key, {}, {}, None, None
-            if c < 0:
-                whole[side] = n.values.to_numpy()
-                if len(whole) == 2:
-                    total = np.zeros((len(whole[0]), len(whole[1])), np.int64)
-                continue
-            if c != chunk:
-                settle()
-                chunk, sides = c, {}
-            sides.setdefault(side, []).append((row, terms, at.values.to_numpy(), n.values.to_numpy()))
-    if now is not None:
-        yield close()
+    def run(batches):
+        now, whole, sides, total, chunk = None, {}, {}, None, None
+
+        def settle():
+            nonlocal total
+            if not sides:
+                return
+            terms = max(x[1] for side in sides.values() for x in side)
+            p = {}
+            for side in (0, 1):
+                dense = np.zeros((len(whole[side]), terms), np.int64)
+                for row, _, at, n in sides.get(side, ()):
+                    dense[row, at] = n
+                p[side] = shares(dense, whole[side][:, None])
+            for i, x in enumerate(p[0]):
+                total[i] += np.abs(p[1] - x).sum(axis=1)
+
+        def close():
+            settle()
+            i, j = np.nonzero(np.ones(total.shape, bool))
+            lang, a, b = now[0], now[1] * groups, now[2] * groups
+            return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(i), np.int64))), pa.array(i + a), pa.array(j + b), pa.array(total[i, j])], ["lang", "i", "j", "value"])
+
+        for batch in batches:
+            columns = [batch.column(c) for c in ("lang", "a", "b", "part", "chunk", "side", "row", "terms", "at", "n")]
+            for *key, c, side, row, terms, at, n in zip(*(x.to_pylist() for x in columns[:8]), *columns[8:], strict=True):
+                if key != now:
+                    if now is not None:
+                        yield close()
+                    now, whole, sides, total, chunk = key, {}, {}, None, None
+                if c < 0:
+                    whole[side] = n.values.to_numpy()
+                    if len(whole) == 2:
+                        total = np.zeros((len(whole[0]), len(whole[1])), np.int64)
+                    continue
+                if c != chunk:
+                    settle()
+                    chunk, sides = c, {}
+                sides.setdefault(side, []).append((row, terms, at.values.to_numpy(), n.values.to_numpy()))
+        if now is not None:
+            yield close()
+    return run
 
 
 class Audit:
@@ -174,7 +176,7 @@ class Audit:
             "lang", "block", "chunk", (F.col("g") % GROUPS).cast("int").alias("row"), "terms", F.col("c.at").alias("at"), F.col("c.n").alias("n"))
         packed = dealt(packed, F.array(F.floor(F.col("chunk") / CHUNKS).cast("int")))
         tiles = heads.unionByName(packed).repartition("lang", "a", "b", "part").sortWithinPartitions("lang", "a", "b", "part", "chunk", "side", "row")
-        sums = tiles.mapInArrow(_tile, "lang string, i long, j long, value long").groupBy("lang", "i", "j").agg(F.sum("value").alias("value"))
+        sums = tiles.mapInArrow(_tile(GROUPS), "lang string, i long, j long, value long").groupBy("lang", "i", "j").agg(F.sum("value").alias("value"))
         both = sums.where("i <> j").select("lang", F.explode(F.when(F.floor(F.col("i") / GROUPS) == F.floor(F.col("j") / GROUPS), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))).alias("p"), "value")
         names = small(cut(self.groups.select("lang", "source", "g")), width=96)
         named = both.select("lang", "p.i", "p.j", "value").join(names.select("lang", "source", F.col("g").alias("i")), ["lang", "i"]).join(names.select("lang", F.col("source").alias("item"), F.col("g").alias("j")), ["lang", "j"])

@@ -26,6 +26,9 @@ from .common import fresh, release, tuned
 
 #: Bounds of the training sample: documents of one language, and the characters of the window drawn from each.
 DOCS, CHARS = 300, 20_000
+#: The characters of a whole sample, the most frequent labels that are learned, labels that a training step tells apart,
+#: and weights: with more labels than these allow, windows and documents are fewer and hashed features share weights.
+SAMPLE, LABELS, GROUP, WEIGHTS = 32_000_000, 4096, 32, 1 << 26
 #: Hashed features, words of a training sequence, sequences of a step, the share of sequences that switch, and steps for
 #: up to so many languages (for more, in proportion).
 BITS, LENGTH, BATCH, SWITCH, STEPS, STEPS_FOR = 17, 24, 64, 0.3, 240, 16
@@ -64,8 +67,8 @@ def words(text: str | None) -> list[str]:
     return _pattern(text).findall(text.lower()) if text else []
 
 
-def features(group: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of words, and the word that each belongs to (ascending)."""
+def features(group: list[str], lexicon: dict[str, int], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of words, below 2^bits, and the word that each belongs to (ascending)."""
     marked = [f"^{w}$" for w in group]
     size = np.array([len(w) for w in marked])
     c = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -95,7 +98,7 @@ def features(group: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.
     out.append((known[known >= 0].astype(np.uint64) + np.uint64(77)) * np.uint64(0xA0761D6478BD642F))
     own.append(np.flatnonzero(known >= 0))
     f, own = np.concatenate(out), np.concatenate(own)
-    f = ((f ^ (f >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)
+    f = ((f ^ (f >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - bits)
     order = np.argsort(own, kind="stable")
     return f[order].astype(np.int64), own[order]
 
@@ -107,7 +110,7 @@ class Crf:
         self.langs, self.weights, self.trans, self.begin, self.lexicon = langs, weights, trans, begin, lexicon
 
     def emissions(self, group: list[str]) -> np.ndarray:
-        f, own = features(group, self.lexicon)
+        f, own = features(group, self.lexicon, len(self.weights).bit_length() - 1)
         out = np.zeros((len(group), len(self.langs)))
         first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         out[own[first]] = np.add.reduceat(self.weights[f].astype(np.float64), first, axis=0)
@@ -161,29 +164,51 @@ class Crf:
             yield n * block, post
 
 
+def expected_pairs(post: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Sums over steps and sequences of neighbours' joint posteriors (K x K), from single posteriors and transitions.
+
+    Each step's joint posteriors are the transitions times an outer product, scaled to 1, so that all steps' are one
+    product of matrices and no array holds steps x sequences x K x K.
+    """
+    k, e = post.shape[2], np.exp(trans)
+    a, b = post[:-1].reshape(-1, k), post[1:].reshape(-1, k)
+    scale = ((a @ e) * b).sum(axis=1, keepdims=True)
+    return e * ((a / scale).T @ b)
+
+
 def train(sample: list[tuple[str, str]], seed: int = 7) -> Crf | None:
     """Fits the field to (text, language) rows by AdaGrad. None if no row has a word.
 
-    A document's language labels all its words; sequences spliced from two documents teach what a switch costs.
+    A document's language labels all its words; sequences spliced from two documents teach what a switch costs. Of more
+    than GROUP languages a step draws so many, and fits the field of these alone, so a step's cost doesn't grow with K.
     """
-    docs = [(w, lang) for text, lang in sample if (w := words(text))]
-    langs = sorted({lang for _, lang in docs})
+    names: list[str] = []
+    docs, index, counts = [], {}, {}
+    for text, lang in sample:
+        if found := words(text):
+            for w in set(found):
+                counts[w] = counts.get(w, 0) + 1
+            docs.append(np.array([index.setdefault(w, len(index)) for w in found], np.int32))
+            names.append(lang)
+    langs = sorted(set(names))
     if not langs:
         return None
     k, rng = len(langs), np.random.default_rng(seed)
-    vocab = sorted({w for ws, _ in docs for w in ws})
-    counts: dict[str, int] = {}
-    for ws, _ in docs:
-        for w in set(ws):
-            counts[w] = counts.get(w, 0) + 1
+    vocab = sorted(index)
     lexicon = {w: i for i, w in enumerate(w for w in vocab if counts[w] > 2)}
-    at = {w: i for i, w in enumerate(vocab)}
-    f, own = features(vocab, lexicon)
+    place = np.empty(len(vocab), np.int32)
+    place[[index[w] for w in vocab]] = np.arange(len(vocab))
+    bits = min(BITS, (WEIGHTS // k).bit_length() - 1)
+    f, own = features(vocab, lexicon, bits)
     edge = np.searchsorted(own, np.arange(len(vocab) + 1))
-    by = [[np.array([at[w] for w in ws]) for ws, lang in docs if lang == name] for name in langs]
-    crf = Crf(langs, np.zeros((1 << BITS, k)), np.zeros((k, k)), np.zeros(k), lexicon)
-    g2, t2, b2 = np.full((1 << BITS, k), 1e-6), np.full((k, k), 1e-6), np.full(k, 1e-6)
-    size = np.full(BATCH, LENGTH)
+    at = {lang: i for i, lang in enumerate(langs)}
+    by: list[list[np.ndarray]] = [[] for _ in langs]
+    for lang, d in zip(names, docs, strict=True):
+        by[at[lang]].append(place[d])
+    del vocab, index, counts, docs, own
+    crf = Crf(langs, np.zeros((1 << bits, k), np.float32), np.zeros((k, k)), np.zeros(k), lexicon)
+    g2, t2, b2 = np.full((1 << bits, k), 1e-6, np.float32), np.full((k, k), 1e-6), np.full(k, 1e-6)
+    size, few = np.full(BATCH, LENGTH), min(k, GROUP)
 
     def chunk(lang: int, n: int) -> np.ndarray:
         out = np.empty(0, np.int64)
@@ -194,40 +219,41 @@ def train(sample: list[tuple[str, str]], seed: int = 7) -> Crf | None:
         return out
 
     for _ in range(STEPS * max(1, -(-k // STEPS_FOR))):
+        here = np.sort(rng.choice(k, few, replace=False)) if few < k else np.arange(k)
+        part = Crf([], crf.weights, crf.trans[np.ix_(here, here)], crf.begin[here], lexicon)
         seqs, gold = np.empty((BATCH, LENGTH), np.int64), np.empty((BATCH, LENGTH), np.int64)
         for i in range(BATCH):
-            a, n = rng.integers(k), LENGTH
-            if k > 1 and rng.random() < SWITCH:
+            a, n = rng.integers(few), LENGTH
+            if few > 1 and rng.random() < SWITCH:
                 n = int(rng.integers(LENGTH // 4, LENGTH - LENGTH // 4))
-                b = rng.integers(k)
-                seqs[i, n:], gold[i, n:] = chunk(b, LENGTH - n), b
-            seqs[i, :n], gold[i, :n] = chunk(a, n), a
+                b = rng.integers(few)
+                seqs[i, n:], gold[i, n:] = chunk(here[b], LENGTH - n), b
+            seqs[i, :n], gold[i, :n] = chunk(here[a], n), a
         w, back = np.unique(seqs, return_inverse=True)
         back = back.reshape(seqs.shape)
         feats = np.concatenate([f[edge[x] : edge[x + 1]] for x in w])
         count = edge[w + 1] - edge[w]
         first = np.concatenate(([0], np.cumsum(count)[:-1]))
-        e = np.add.reduceat(crf.weights[feats], first, axis=0)
+        uniq, inv = np.unique(feats, return_inverse=True)
+        rows = np.ix_(uniq, here)
+        e = np.add.reduceat(crf.weights[rows].astype(np.float64)[inv], first, axis=0)
         psi = np.exp(e - e.max(axis=1, keepdims=True))[back].transpose(1, 0, 2)
-        post = crf.posteriors(psi.copy(), size)
-        hot = np.eye(k)[gold.T]
-        delta = (post - hot).reshape(-1, k)
-        per_word = np.zeros((len(w), k))
+        post = part.posteriors(psi.copy(), size)
+        hot = np.eye(few)[gold.T]
+        delta = (post - hot).reshape(-1, few)
+        per_word = np.zeros((len(w), few))
         np.add.at(per_word, back.T.ravel(), delta)
-        uniq, inv = np.unique(feats, return_inverse=True)
-        grad = np.stack([np.bincount(inv, np.repeat(per_word[:, j], count), len(uniq)) for j in range(k)], axis=1) / BATCH
-        g2[uniq] += grad**2
-        crf.weights[uniq] -= 0.15 * grad / np.sqrt(g2[uniq])
-        # transitions: gold pairs less expected ones, the latter from neighbouring posteriors and the transition itself
-        m = (post[:-1, :, :, None] * np.exp(crf.trans)[None, None] * post[1:, :, None, :])
-        m /= m.sum(axis=(2, 3), keepdims=True)
-        gt = (m.sum(axis=(0, 1)) - np.einsum("tbi,tbj->ij", hot[:-1], hot[1:])) / BATCH
+        grad = np.stack([np.bincount(inv, np.repeat(per_word[:, j], count), len(uniq)) for j in range(few)], axis=1) / BATCH
+        g2[rows] += grad**2
+        crf.weights[rows] -= 0.15 * grad / np.sqrt(g2[rows])
+        # transitions: gold pairs less expected ones
+        gt = (expected_pairs(post, part.trans) - np.einsum("tbi,tbj->ij", hot[:-1], hot[1:])) / BATCH
         gb = (post[0] - hot[0]).sum(axis=0) / BATCH
-        t2 += gt**2
-        b2 += gb**2
-        crf.trans -= 0.05 * gt / np.sqrt(t2)
-        crf.begin -= 0.05 * gb / np.sqrt(b2)
-    crf.weights = crf.weights.astype(np.float32)
+        square = np.ix_(here, here)
+        t2[square] += gt**2
+        b2[here] += gb**2
+        crf.trans[square] -= 0.05 * gt / np.sqrt(t2[square])
+        crf.begin[here] -= 0.05 * gb / np.sqrt(b2[here])
     return crf
 
 
@@ -238,18 +264,21 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bound: int = DOCS) -> Crf | None:
     """Trains on about bound documents of each language, chosen by a hash of their id among those not held out.
 
-    Of a text longer than CHARS a window of so many characters is taken, its place chosen by hash too. Every language
-    is learned; the driver holds up to bound windows and 2^17 weights (0.5 MB) for each.
+    Of a text longer than CHARS a window of so many characters is taken, its place chosen by hash too. The LABELS most
+    frequent languages are learned. The driver holds about SAMPLE characters of text and WEIGHTS weights at most: where
+    there are more than a few languages, windows shrink (to 500 characters), then documents a language.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row a language
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LABELS).collect()  # a row a language
     if not sizes:
         return None
+    chars = min(CHARS, max(500, SAMPLE // (bound * len(sizes))))
+    bound = max(1, min(bound, SAMPLE // (chars * len(sizes))))
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("id").cast("string")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, bound / r["count"])) for r in sizes], "lang string, share double")
-    start = F.pmod(F.xxhash64(F.lit("window"), F.col("id").cast("string")), F.greatest(F.length("text") - CHARS, F.lit(0)) + 1).cast("int")
-    drawn = rows.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("id", F.substring("text", start + 1, F.lit(CHARS)).alias("text"), "lang")
+    start = F.pmod(F.xxhash64(F.lit("window"), F.col("id").cast("string")), F.greatest(F.length("text") - chars, F.lit(0)) + 1).cast("int")
+    drawn = rows.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("id", F.substring("text", start + 1, F.lit(chars)).alias("text"), "lang")
     sample = drawn.limit(2 * bound * len(sizes)).collect()
     sample.sort(key=lambda r: (str(r["id"]), r["lang"], zlib.crc32(r["text"].encode("utf-8", "surrogatepass"))))
     return train([(r["text"], r["lang"]) for r in sample])

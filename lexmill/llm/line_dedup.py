@@ -67,7 +67,9 @@ def _rewritten(docs: DataFrame, id_col: str, text_col: str, window: int) -> tupl
     gone = small(gone, weight=F.size(names[2]) + 8, width=8)
     match = (F.col(id_col) == F.col(names[0])) & (F.xxhash64(text_col) == F.col(names[1]))
     both = docs.join(gone, match, "left")
-    lines, none = F.split(F.col(text_col), "\n"), F.col(names[2]).isNull()
+    none, lines = F.col(names[2]).isNull(), fresh(both, "all_lines")
+    # behind explode a text is split once; a split that stands inside the lambda would be made again for every line
+    both = both.withColumn(lines, F.explode(F.array(F.when(~none, F.split(F.col(text_col), "\n")))))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(names[2]))
     text = F.when(none, F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
     return both, text, F.when(none, F.lit(0)).otherwise(F.size(names[2])).cast("long")

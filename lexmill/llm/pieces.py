@@ -8,12 +8,15 @@ longer last piece where scores tie.
 
 A model trained by BPE encodes otherwise: of all neighbouring symbols that form a piece, those of the best piece merge
 first, the leftmost where scores tie. Merges does that for words of equal length at once, and its ids are the model's.
+Encoder takes the best path wherever it is what the merges give, which neighbouring pieces tell: a split is that of the
+merges if and only if that holds of each two neighbours by themselves. Only the other words are merged.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +70,10 @@ class Pieces:
 
     def _solve(self, words: list[str]) -> list[bytes]:
         """Ids (16-bit, or 32-bit in a larger model) of words of one length."""
+        return self._packed(words, self._paths(words))
+
+    def _paths(self, words: list[str]) -> np.ndarray:
+        """The pieces of the best paths of words of one length, a row a word: -2 before them, -1 for characters without a piece."""
         m, n = len(words), len(words[0])
         c = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n)
         prefix = np.zeros((m, n + 1), np.uint64)
@@ -102,6 +109,9 @@ class Pieces:
                 own = k == kk
                 out[row[own], n - 1 - depth] = piece[kk][row[own], pos[own]]
             row, pos, depth = row[pos > 0], pos[pos > 0], depth + 1
+        return out
+
+    def _packed(self, words: list[str], out: np.ndarray) -> list[bytes]:
         real = out != -2
         kind = np.uint16 if len(self.table) <= 65536 else np.uint32
         width = np.dtype(kind).itemsize
@@ -156,16 +166,22 @@ class Pieces:
         kind = np.uint16 if len(self.table) <= 65536 else np.uint32
         if len(self.known) > CACHE:
             self.known.clear()
-        parted = []  # words less their first marker
+        parted = self._parted(texts)
+        self.learn(set().union(*parted) - self.known.keys())
+        known = self.known
+        return [np.frombuffer(b"".join([known[w] for w in words]), kind) for words in parted]
+
+    @staticmethod
+    def _parted(texts: list[str | None]) -> list[list[str]]:
+        """Words less their first marker."""
+        parted = []
         for t in texts:
             if not t:
                 parted.append([])
                 continue
             words = (t.replace(MARK, LITERAL) if MARK in t else t).split(" ")
             parted.append(words if "" not in words else [w[1:] for w in _WORD.findall(MARK + MARK.join(words)) if w])
-        self.learn(set().union(*parted) - self.known.keys())
-        known = self.known
-        return [np.frombuffer(b"".join([known[w] for w in words]), kind) for words in parted]
+        return parted
 
     def decode(self, ids: np.ndarray) -> str:
         raw = b"".join(map(self.table.__getitem__, ids.tolist()))
@@ -234,6 +250,77 @@ class Merges(Pieces):
         return result
 
 
+class Encoder(Merges):
+    """The ids of a BPE model: the best path of a word if the merges give the same, else its merges.
+
+    What two neighbours give by themselves is found once a pair, by merging their letters; a single piece counts too.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.spelt = {i: p for p, (i, _) in self.plain.items()}
+        self.pairs: dict[int, bool] = {}
+        self.merged: set[str] = set()
+
+    def _learn_pairs(self, keys: list[int]) -> None:
+        size = len(self.table) + 1  # the second is 0 for a piece alone, else one more than its id
+        if len(self.pairs) > CACHE:
+            self.pairs.clear()
+        by: dict[int, list] = {}
+        for key in keys:
+            ids = [key // size] + ([key % size - 1] if key % size else [])
+            text = "".join(self.spelt[i] for i in ids)
+            by.setdefault(len(text), []).append((key, ids, text))
+        kind = np.uint16 if len(self.table) <= 65536 else np.uint32
+        for n, group in by.items():
+            step = max(1, CELLS // (n + 1))
+            for lo in range(0, len(group), step):
+                part = group[lo : lo + step]
+                got = Merges._solve(self, [text for _, _, text in part])
+                self.pairs.update((key, np.array(ids, kind).tobytes() == x) for (key, ids, _), x in zip(part, got, strict=True))
+
+    def stable(self, out: np.ndarray) -> np.ndarray:
+        """Which of the best paths are what the merges give."""
+        size = len(self.table) + 1
+        a, b = out[:, :-1], out[:, 1:]
+        single = out[:, -1:].astype(np.int64) * size
+        keys = np.where((a >= 0) & (b >= 0), a.astype(np.int64) * size + b + 1, -1) if out.shape[1] > 1 else np.full((len(out), 0), -1, np.int64)
+        alone = (out >= 0).sum(axis=1) == 1
+        keys = np.concatenate((keys, np.where(alone[:, None], single, -1)), axis=1)
+        known = (out != -1).all(axis=1)
+        keys[~known] = -1
+        uniq, inv = np.unique(keys, return_inverse=True)
+        self._learn_pairs([k for k in uniq.tolist() if k >= 0 and k not in self.pairs])
+        fine = np.array([k < 0 or self.pairs[k] for k in uniq.tolist()], bool)
+        return known & fine[inv.reshape(keys.shape)].all(axis=1)
+
+    def _solve(self, words: list[str]) -> list[bytes]:
+        out = self._paths(words)
+        ok = self.stable(out)
+        on, off = np.flatnonzero(ok).tolist(), np.flatnonzero(~ok).tolist()
+        result: list[bytes] = [b""] * len(words)
+        for i, x in zip(on, self._packed([words[i] for i in on], out[ok]) if on else [], strict=True):
+            result[i] = x
+        for i, x in zip(off, super()._solve([words[i] for i in off]) if off else [], strict=True):
+            result[i] = x
+            self.merged.add(words[i][1:])
+        return result
+
+    def digest(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, edges, words of each text, those of them on their best path)."""
+        if len(self.known) > CACHE:
+            self.known.clear()
+            self.merged.clear()
+        kind = np.uint16 if len(self.table) <= 65536 else np.uint32
+        parted = self._parted(texts)
+        self.learn(set().union(*parted) - self.known.keys())
+        raw = [b"".join(map(self.known.__getitem__, words)) for words in parted]
+        edge = np.concatenate(([0], np.cumsum([len(x) for x in raw], dtype=np.int64))) // np.dtype(kind).itemsize
+        n = np.array([len(words) for words in parted], np.int64)
+        merged = np.array([sum(map(self.merged.__contains__, words)) for words in parted], np.int64)
+        return np.frombuffer(b"".join(raw), kind), edge, n, n - merged
+
+
 def _hash(c: np.ndarray) -> np.ndarray:
     h = np.zeros(len(c), np.uint64)
     for j in range(c.shape[1]):
@@ -243,12 +330,12 @@ def _hash(c: np.ndarray) -> np.ndarray:
 
 def _encode(path: str):
     def run(batches):
-        pieces = Merges(path)
+        pieces = Encoder(path)
         for batch in batches:
-            ids = [x.astype(np.int32) for x in pieces.encode(batch.column(1).to_pylist())]
-            flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())], ["id", "ids", "crc"])
+            flat, edge, _, _ = pieces.digest(batch.column(1).to_pylist())
+            flat = flat.astype("<u4")
+            crc = [zlib.crc32(flat[a:b]) for a, b in pairwise(edge.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(flat.astype(np.int32))), pa.array(crc, pa.int64())], ["id", "ids", "crc"])
     return run
 
 
@@ -282,23 +369,28 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
 
 def _digest(path: str):
     def run(batches):
-        pieces = Merges(path)
+        pieces = Encoder(path)
         low, high = min(pieces.bytes.values()), max(pieces.bytes.values())
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            ids = pieces.encode(texts)
+            flat, edge, n_words, by_path = pieces.digest(texts)
+            wide, spans = flat.astype("<u4"), list(pairwise(edge.tolist()))
+            raw = np.concatenate(([0], np.cumsum((flat >= low) & (flat <= high))))
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([int(((x >= low) & (x <= high)).sum()) for x in ids], pa.int64()),
-                pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
-                pa.array([pieces.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)], pa.bool_())], ["doc_id", "n_tokens", "n_byte_pieces", "ids_crc32", "round_trip"])
+                batch.column(0), pa.array(np.diff(edge)), pa.array(np.diff(raw[edge])), pa.array([zlib.crc32(wide[a:b]) for a, b in spans], pa.int64()),
+                pa.array([pieces.decode(flat[a:b]) == (t or "") for (a, b), t in zip(spans, texts, strict=True)], pa.bool_()), pa.array(n_words), pa.array(by_path)],
+                ["doc_id", "n_tokens", "n_byte_pieces", "ids_crc32", "round_trip", "n_words", "n_by_viterbi"])
     return run
 
 
 def digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """encode() and decode() in one pass: (doc_id, n_tokens, n_byte_pieces, ids_crc32, round_trip)."""
+    """encode() and decode() in one pass: (doc_id, n_tokens, n_byte_pieces, ids_crc32, round_trip, n_words, n_by_viterbi).
+
+    n_by_viterbi counts the words whose ids are those of their best path; the others were merged.
+    """
     tuned(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        _digest(model_path), "doc_id long, n_tokens long, n_byte_pieces long, ids_crc32 long, round_trip boolean")
+        _digest(model_path), "doc_id long, n_tokens long, n_byte_pieces long, ids_crc32 long, round_trip boolean, n_words long, n_by_viterbi long")
 
 
 def op2(docs: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def encode(blocks: list[np.ndarray], table: Table, lanes: int = LANES, stride: i
     if not blocks:
         return []
     size = np.array([len(b) for b in blocks], np.int64)
-    steps = -(-int(size.max(initial=0)) // lanes)
+    steps = max(1, -(-int(size.max(initial=0)) // lanes))
     ids = np.zeros((len(blocks), steps * lanes), np.int64)
     for b, x in zip(ids, blocks, strict=True):
         b[: len(x)] = x
@@ -159,7 +159,11 @@ def decode(raws: list[bytes], table: Table, first: int = 0, last: int | None = N
         result[b].append(row[:n])
     done = [np.concatenate(r) if r else np.empty(0, np.int32) for r in result]
     if first == 0 and last is None:
-        for x, ids in zip(blocks, done, strict=True):
-            if zlib.crc32(ids.astype("<u4").tobytes()) != x.crc:
+        # a block's last stretch ends in the states that its coding began with
+        ends = np.array([k + 1 == len(blocks[b].at) for b, k in held])
+        if (x[ends] != LOW).any():
+            raise ValueError("a block's words don't end as they should")
+        for block, ids in zip(blocks, done, strict=True):
+            if zlib.crc32(ids.astype("<u4").tobytes()) != block.crc:
                 raise ValueError("a block's checksum doesn't match its ids")
     return done
