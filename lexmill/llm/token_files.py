@@ -23,22 +23,24 @@ from pyspark.sql import functions as F
 
 from . import rans
 from .common import cut, release, scratch, small, tuned
+from .packing import ByteBpe
 
 END_ID = 2
 #: Ids of a block, blocks coded at once, ids planned for a shard, and most shards (beyond which they grow).
-BLOCK, TOGETHER, SHARD_IDS, MAX_SHARDS = 1 << 16, 32, 1 << 22, 100_000
+BLOCK, TOGETHER, SHARD_IDS, MAX_SHARDS = 1 << 16, 48, 1 << 22, 100_000
 #: Words whose ids a worker keeps.
-CACHE = 500_000
+CACHE = 1_000_000
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
 PIECE = "array<struct<doc_id: long, start: long, total: long, at: int, length: int>>"
 
 
 class Encoder:
-    """Ids of a tokenizers file, equal to the library's own for whole texts, which encodes each word once.
+    """Ids of a tokenizers file, equal to the library's own for whole texts; each word is encoded once.
 
     The byte-level pattern always parts a text at a single space between characters that aren't white space. So such words
-    are known by their ids, and new ones are encoded by the library many at a time; byte lengths tell them apart again.
-    Texts that name a special token, and tokenizers of other kinds, are encoded whole.
+    are known by their ids, and new ones are encoded many at a time, from the ranks of the same vocabulary where these lie
+    beside the file (see `packing.ByteBpe`), else by the library; byte lengths tell them apart again. Texts that name a
+    special token, and tokenizers of other kinds, are encoded whole by the library.
     """
 
     def __init__(self, path: str):
@@ -46,7 +48,7 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.words = Tokenizer.from_file(path), ByteBpe(path)
         pre = spec.get("pre_tokenizer") or {}
         self.parted = spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
@@ -64,19 +66,24 @@ class Encoder:
 
     def _apart(self, words: list[str], lead: str, known: dict) -> None:
         """Encodes words as one text in which each follows lead, and keeps their ids without that of a line feed."""
-        ids = np.array(self.tokenizer.encode(lead.join(["", *words]), add_special_tokens=False).ids, self.kind)
-        own = np.fromiter((len(w.encode()) + 1 for w in words), np.int64, len(words))
+        text = lead.join(["", *words])
+        ids, raw = self.words(text).astype(self.kind), np.frombuffer(text.encode(), np.uint8)
+        start = np.flatnonzero(raw == ord(lead))
+        if len(start) > len(words):  # leads inside of words
+            start = np.cumsum([0, *(len(w.encode()) + 1 for w in words[:-1])])
         ends = np.cumsum(self.width[ids])
-        stop = np.searchsorted(ends, np.cumsum(own)) + 1
-        if not np.array_equal(ends[stop - 1], np.cumsum(own)):
+        stop = np.append(start[1:], len(raw))
+        last = np.searchsorted(ends, stop) + 1
+        if not np.array_equal(ends[last - 1], stop):
             raise ValueError("a word's bytes are parted otherwise than expected")
-        start = np.concatenate(([0], stop[:-1])) + (lead == "\n")
+        first = np.concatenate(([0], last[:-1])) + (lead == "\n")
         raw, w = ids.tobytes(), self.kind.itemsize
-        known.update(zip(words, [raw[a * w : b * w] for a, b in zip(start.tolist(), stop.tolist(), strict=True)], strict=True))
+        known.update(zip(words, [raw[a:b] for a, b in zip((first * w).tolist(), (last * w).tolist(), strict=True)], strict=True))
 
     def _learn(self, words: set[str], lead: str, known: dict) -> None:
-        new = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
-        known.update((w, None) for w in words if w[:1].isspace() or w[-1:].isspace())  # not words: their texts are parted anew
+        new = [w for w in words if w and w.strip() == w]
+        if len(new) < len(words):  # not words: their texts are parted anew
+            known.update((w, None) for w in words if w and w.strip() != w)
         for lo in range(0, len(new), 20_000):
             self._apart(new[lo : lo + 20_000], lead, known)
 
@@ -108,9 +115,13 @@ class Encoder:
             if p is None:
                 out.append(self._whole([t])[0])
                 continue
-            ids = [self.inner[w] for w in p]
+            ids = list(map(self.inner.__getitem__, p))
             ids[0] = self.first[p[0]]
-            out.append(np.frombuffer(self._odd(t) if None in ids else b"".join(ids), self.kind))
+            try:
+                raw = b"".join(ids)
+            except TypeError:  # a part that is no word
+                raw = self._odd(t)
+            out.append(np.frombuffer(raw, self.kind))
         return out
 
 
@@ -129,11 +140,10 @@ def _counts(kind: np.dtype):
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch.column("ids"):
-                c = np.bincount(np.frombuffer(x.as_buffer(), kind))
-                if len(c) > len(total):
-                    total = np.concatenate((total, np.zeros(len(c) - len(total), np.int64)))
-                total[: len(c)] += c
+            c = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind))
+            if len(c) > len(total):
+                total = np.concatenate((total, np.zeros(len(c) - len(total), np.int64)))
+            total[: len(c)] += c
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], ["id", "n"])
     return run
