@@ -37,10 +37,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Tables of more bytes than this are read as they lie.
+SPREAD_BYTES = 1 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df with its rows dealt over the cores where it is read from fewer files than there are cores, else df as it is.
+    """df with its rows dealt over the cores if it is small and read from fewer files than there are cores, else df itself.
 
-    A file of one row group is read by one task, whatever its size; what follows the scan then runs in one task too.
+    A file of one row group is read by one task, whatever its size; what follows the scan then runs in one task too. Only
+    tables of at most SPREAD_BYTES (the scan's own estimate) are dealt: larger ones have row groups enough, and dealing
+    them out would shuffle everything.
     """
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if len(df.inputFiles()) < cores else df

@@ -146,15 +146,15 @@ def chunk_documents(spark, sf_dir):
 @query("""WITH RECURSIVE s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^.!?]+[.!?]+|\\S[^\\n]*$'),
   lambda x: list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '')), lambda w: len(w) > 0) AS s FROM documents),
 len_ AS (SELECT doc_id, s, list_transform(s, lambda w: len(w)) AS n FROM s),
-step(doc_id, i, at, open) AS (
+step(doc_id, i, made, open) AS (
   SELECT doc_id, 0, CAST([] AS BIGINT[]), CAST(0 AS BIGINT) FROM len_
   UNION ALL
   SELECT t.doc_id, i + 1,
-    CASE WHEN n[i + 1] > 120 THEN at || (CASE WHEN open > 0 THEN [open] ELSE [] END) || list_transform(range(0, CAST(ceil(n[i + 1] / 120.0) AS BIGINT)), lambda j: least(n[i + 1] - j * 120, 120))
-      WHEN open + n[i + 1] <= 120 THEN at ELSE at || (CASE WHEN open > 0 THEN [open] ELSE [] END) END,
+    CASE WHEN n[i + 1] > 120 THEN made || (CASE WHEN open > 0 THEN [open] ELSE [] END) || list_transform(range(0, CAST(ceil(n[i + 1] / 120.0) AS BIGINT)), lambda j: least(n[i + 1] - j * 120, 120))
+      WHEN open + n[i + 1] <= 120 THEN made ELSE made || (CASE WHEN open > 0 THEN [open] ELSE [] END) END,
     CASE WHEN n[i + 1] > 120 THEN 0 WHEN open + n[i + 1] <= 120 THEN open + n[i + 1] ELSE n[i + 1] END
   FROM step t JOIN len_ l ON l.doc_id = t.doc_id WHERE i < len(n)),
-sizes AS (SELECT t.doc_id, flatten(s) AS w, at || (CASE WHEN open > 0 THEN [open] ELSE [] END) AS c FROM step t JOIN len_ l ON l.doc_id = t.doc_id AND t.i = len(l.n)),
+sizes AS (SELECT t.doc_id, flatten(s) AS w, made || (CASE WHEN open > 0 THEN [open] ELSE [] END) AS c FROM step t JOIN len_ l ON l.doc_id = t.doc_id AND t.i = len(l.n)),
 joined AS (SELECT doc_id, w, CASE WHEN len(c) = 0 THEN [0] WHEN len(c) > 1 AND c[-1] < 30 THEN c[1:len(c) - 2] || [c[-2] + c[-1]] ELSE c END AS c FROM sizes),
 cut AS (SELECT doc_id, w, c, unnest(range(0, len(c))) AS chunk FROM joined)
 SELECT doc_id AS parent, CAST(chunk AS INTEGER) AS chunk, md5(array_to_string(w[coalesce(list_sum(c[1:chunk]), 0) + 1 : list_sum(c[1:chunk + 1])], ' ')) AS text_md5 FROM cut""")
