@@ -5,6 +5,7 @@ from .clusters import BERTopic, Top2Vec
 from .derived import CSATM, GDMR, HDP, AuthorRecipientTopic, DiscLDA, EmbeddingLDA, GuidedNMF, SemanticSignals, SupervisedLDA, ThreadTM, TopicGPT, Wordshoal
 from .embedded import DETM, ETM, GaussianLDA, IdealPointSentenceTM
 from .factor import LSA, NMF, KeyNMF
+from .gibbs import WarpLDA
 from .guided import AnchorLDA, AuthorTopic, KeyATM, TopicsOverTime
 from .logistic import CTM, STM, TreeFieldTM
 from .mixture import BTM, GSDMM
@@ -21,5 +22,5 @@ __all__ = [
     "GuidedNMF", "HDP", "HLDA", "IdealPointSentenceTM", "KeyATM", "KeyNMF", "LDA", "LSA", "LabeledLDA", "MGLDA", "NMF",
     "NarrativeTM", "OnlineLDA", "PA", "PT", "PolylingualLDA", "ProdLDA", "RTM", "SAGE", "STM", "Scholar",
     "SeededLDA", "SemanticSignals", "SupervisedLDA", "TBIP", "TensorLDA", "ThreadTM", "Top2Vec", "TopicGPT", "TreeFieldTM", "TopicModel",
-    "TopicsOverTime", "Wordfish", "Wordshoal", "ZeroShotTM",
+    "TopicsOverTime", "WarpLDA", "Wordfish", "Wordshoal", "ZeroShotTM",
 ]
