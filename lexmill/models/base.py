@@ -70,6 +70,24 @@ class TopicModel:
     def coherence(self, docs: DataFrame, measure: str = "u_mass", n: int = 10) -> DataFrame:
         return cooccurrence.coherence(docs, self.top_table(docs.sparkSession, n), measure)
 
+    def log_likelihood(self, corpus: Corpus) -> tuple[float, float]:
+        """(sum over tokens of the log of their words' chances under the documents' mixtures and the topics, number of tokens)."""
+        mixture = self.theta.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("topic", "p"))).alias("t")).select("doc_id", F.col("t.topic").alias("k"), F.col("t.p").alias("p"))
+        held, k = corpus.spark.sparkContext.broadcast(np.ascontiguousarray(self.topic_word.T, np.float32)), self.num_topics
+
+        def run(batches):
+            like, n = 0.0, 0.0
+            for bag in bags(batches, k):
+                theta = np.zeros((len(bag), k))
+                at = pc.list_value_length(bag.batch.column("k")).to_numpy(zero_copy_only=False)
+                theta[np.repeat(np.arange(len(bag)), at), bag.batch.column("k").flatten().to_numpy(zero_copy_only=False)] = bag.batch.column("p").flatten().to_numpy(zero_copy_only=False)
+                p = np.einsum("ij,ij->i", theta.astype(np.float32)[bag.own], held.value[bag.i]).astype(np.float64)
+                like, n = like + float(bag.n @ np.log(np.maximum(p, 1e-30))), n + float(bag.n.sum())
+            yield pa.RecordBatch.from_arrays([pa.array([like]), pa.array([n])], ["like", "n"])
+
+        r = corpus.rows.select("doc_id", "i", "n").join(mixture, "doc_id").mapInArrow(run, "like double, n double").agg(F.sum("like"), F.sum("n")).first()
+        return r[0] or 0.0, r[1] or 0.0
+
     def save(self, spark: SparkSession, path: str) -> None:
         """Parquet tables phi, theta and a JSON record of settings."""
         self.phi(spark).write.mode("overwrite").parquet(f"{path}/phi")

@@ -18,13 +18,13 @@ class BERTopic:
     into their nearest until so many are left.
     """
 
-    def __init__(self, k: int = 10, top_n: int = 10, seed: int = 0, min_cluster: int | None = None, reduce_to: int | None = None, levels: int = 8):
-        self.k, self.top_n, self.seed, self.min_cluster, self.reduce_to, self.levels = k, top_n, seed, min_cluster, reduce_to, levels
+    def __init__(self, k: int = 10, top_n: int = 10, seed: int = 0, min_cluster: int | None = None, reduce_to: int | None = None):
+        self.k, self.top_n, self.seed, self.min_cluster, self.reduce_to = k, top_n, seed, min_cluster, reduce_to
 
     def fit(self, docs: DataFrame, vectors: DataFrame, labels: DataFrame | None = None):
         """docs (doc_id, tokens), vectors (doc_id, embedding), labels (doc_id, topic). Sets labels, topics and centroids."""
         if labels is None and self.min_cluster:
-            labels = density.density_clusters(vectors, self.min_cluster, levels=self.levels)
+            labels = density.density_clusters(vectors, self.min_cluster)
         elif labels is None:
             v = vectors.select("doc_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
             labels = KMeans(k=self.k, seed=self.seed).fit(v).transform(v).select("doc_id", F.col("prediction").alias("topic"))

@@ -6,33 +6,69 @@ mixtures and topics sum to 1, and that the fit's own measure got better. The tes
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from .. import models as M
 from ..functions import text as T
 from ..operators import documents as D
-from ..operators import embedding as EM
+from ..models.base import MAX_VOCABULARY
+from ..models.neural import USABLE
 from ..operators import vocabulary as V
-from .base import CORPUS, docs, query, table, top_words
+from .base import CORPUS, docs, query, table
 
+log = logging.getLogger(__name__).info
 LIMITS = {"min_df": 5, "max_df": 0.5}
 _KEPT = "kept AS (SELECT word FROM vocab, nd WHERE df >= 5 AND df <= ceil(0.5 * n))"
 
 
-def _sound_sql(topics: str, phi: str = "1.0", ctes: str = CORPUS, kept: str = _KEPT, docs: str | None = None) -> str:
+def _sound_sql(topics: str, phi: str = "1.0", ctes: str = CORPUS, kept: str = _KEPT, docs: str | None = None, valued: bool = True) -> str:
     docs = docs or "(SELECT count(DISTINCT doc_id) FROM tokens WHERE word IN (SELECT word FROM kept))"
+    values = """, (SELECT count(*) FROM tokens JOIN kept USING (word)) AS tokens,
+(SELECT round(sum(n * ln(n / t)) / any_value(t), 4) FROM (SELECT count(*) AS n, sum(count(*)) OVER () AS t FROM tokens JOIN kept USING (word) GROUP BY word)) AS unigram,
+true AS gains, true AS parts_languages""" if valued else ""
     return f"""WITH {ctes}, {kept} SELECT CAST({topics} AS INTEGER) AS topics, (SELECT count(*) FROM kept) AS words, {docs} AS docs,
-1.0 AS theta_low, 1.0 AS theta_high, {phi} AS phi_low, {phi} AS phi_high, true AS improves"""
+1.0 AS theta_low, 1.0 AS theta_high, {phi} AS phi_low, {phi} AS phi_high, true AS improves{values}"""
+
 
+def _sound(m, corpus=None, langs=None, up: bool = True, gain: float = 0.2, purity: float = 0.8):
+    """One row: what must hold of a fit, and how well it explains its corpus.
 
-def _sound(m, up: bool = True):
-    """One row: numbers of topics, words and documents, the least and greatest sums of mixtures and of topics, and if the fit got better."""
+    Numbers of topics, words and documents, the least and greatest sums of mixtures and of topics, and if the fit's own
+    measure got better. With the corpus also its tokens and their mean log chance when words are drawn without topics, and
+    whether the fit's mixtures and topics raise that by gain at least; with langs, whether the topics part the languages,
+    which the fit isn't told: of all topics' mass, the share that lies in the topic's leading language, against purity.
+    """
     h, sums = [x for _, x in m.fit_history], np.round(m.topic_word.sum(axis=1), 6)
-    improves = len(h) < 2 or (h[-1] > h[0] if up else h[-1] < h[0])
     t = m.theta.groupBy("doc_id").agg(F.sum("p").alias("s")).agg(F.count("*").alias("docs"), F.round(F.min("s"), 6).alias("theta_low"), F.round(F.max("s"), 6).alias("theta_high"))
-    return t.select(F.lit(len(sums)).alias("topics"), F.lit(len(m.words)).cast("long").alias("words"), "docs", "theta_low", "theta_high",
-                    F.lit(float(sums.min())).alias("phi_low"), F.lit(float(sums.max())).alias("phi_high"), F.lit(bool(improves)).alias("improves"))
+    out = {"topics": F.lit(len(sums)), "words": F.lit(len(m.words)).cast("long"), "phi_low": F.lit(float(sums.min())), "phi_high": F.lit(float(sums.max()))}
+    if corpus is not None:
+        like, n = m.log_likelihood(corpus)
+        cf = corpus.rows.select(F.inline(F.arrays_zip("i", "n"))).groupBy("i").agg(F.sum("n").alias("n"))
+        u = cf.agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log("n")).alias("x")).first()
+        unigram = u["x"] / u["t"] - np.log(u["t"])
+        gains = like / n - unigram
+        out |= {"tokens": F.lit(int(u["t"])).cast("long"), "unigram": F.lit(round(float(unigram), 4)), "gains": F.lit(bool(gains >= gain))}
+        log(f"gain {gains:.3f}")
+        own = m.theta.join(langs.where("lang is not null").withColumnRenamed("doc_id", "owner"), m.theta["doc_id"].cast("string") == F.col("owner").cast("string"))
+        mass = own.groupBy("topic", "lang").agg(F.sum("p").alias("x")).groupBy("topic").agg(F.max("x").alias("lead"), F.sum("x").alias("all")).agg(F.sum("lead") / F.sum("all")).first()[0]
+        log(f"purity {mass}")
+        out["parts_languages"] = F.lit(bool((mass or 0) >= purity))
+    else:
+        gains = None
+    better = (h[-1] > h[0] if up else h[-1] < h[0]) if len(h) > 1 else gains is not None and gains >= gain
+    out["improves"] = F.lit(bool(better))
+    log(f"history {h[:1]} {h[-1:]} {len(h)}")
+    return t.select("docs", "theta_low", "theta_high", *[v.alias(k) for k, v in out.items()])
+
+
+def _fitted(spark, sf_dir, model, corpus, *more, **bounds):
+    """_sound() of the model fitted to the corpus."""
+    return _sound(model.fit(corpus, *more), corpus, table(spark, sf_dir, "documents").select("doc_id", "lang"), **bounds)
 
 
 def _corpus(spark, sf_dir, columns=None, carry=()):
@@ -49,64 +85,65 @@ def _features():
 
 @query(_sound_sql("20"))
 def lda_fit(spark, sf_dir):
-    return _sound(M.LDA(20).fit(_corpus(spark, sf_dir)))
+    return _fitted(spark, sf_dir, M.LDA(20), _corpus(spark, sf_dir))
 
 
 @query(_sound_sql("10"))
 def lda_priors_fit(spark, sf_dir):
-    return _sound(M.LDA(10, learn_alpha=True, learn_beta=True, iters=20).fit(_corpus(spark, sf_dir)))
+    return _fitted(spark, sf_dir, M.LDA(10, learn_alpha=True, learn_beta=True, iters=20), _corpus(spark, sf_dir))
 
 
 @query(_sound_sql("10"))
 def online_lda_fit(spark, sf_dir):
-    m = M.OnlineLDA(10, iters=12, batches=3, tau=1.0).fit(_corpus(spark, sf_dir))
+    c = _corpus(spark, sf_dir)
+    m = M.OnlineLDA(10, iters=60, batches=3, tau=1.0).fit(c)
     m.fit_history = m.fit_history[::3]  # the same batch each time
-    return _sound(m)
+    return _sound(m, c, table(spark, sf_dir, "documents").select("doc_id", "lang"))
 
 
 @query(_sound_sql("6"))
 def seeded_lda_fit(spark, sf_dir):
-    return _sound(M.SeededLDA(SEEDS, residual=2).fit(_corpus(spark, sf_dir)))
+    return _fitted(spark, sf_dir, M.SeededLDA(SEEDS, residual=2), _corpus(spark, sf_dir))
 
 
 @query(_sound_sql("(SELECT count(DISTINCT lang) FROM tokens JOIN kept USING (word) WHERE lang IS NOT NULL)"))
 def labeled_lda_fit(spark, sf_dir):
     c = _corpus(spark, sf_dir, {"labels": F.array_compact(F.array("lang"))}, ("labels",))
     langs = sorted(r["x"] for r in c.rows.select(F.explode("labels").alias("x")).distinct().collect())
-    return _sound(M.LabeledLDA(langs).fit(c))
+    return _fitted(spark, sf_dir, M.LabeledLDA(langs), c)
 
 
 @query(_sound_sql("6"))
 def keyatm_fit(spark, sf_dir):
-    return _sound(M.KeyATM(SEEDS, regular=2).fit(_corpus(spark, sf_dir)))
+    return _fitted(spark, sf_dir, M.KeyATM(SEEDS, regular=2), _corpus(spark, sf_dir))
 
 
 @query(_sound_sql("6"))
 def dmr_fit(spark, sf_dir):
-    return _sound(M.DMR(6, 1, iters=30).fit(_corpus(spark, sf_dir, _features(), ("features",))))
+    return _fitted(spark, sf_dir, M.DMR(6, 1, iters=30), _corpus(spark, sf_dir, _features(), ("features",)))
 
 
 @query(_sound_sql("6"))
 def gdmr_fit(spark, sf_dir):
     m = M.GDMR(6, {"x": (0.0, 100.0)}, iters=30)
     d = m.basis(docs(spark, sf_dir).withColumn("x", F.pmod(F.col("doc_id"), F.lit(101)).cast("double")))
-    return _sound(m.fit(M.Corpus(d, carry=("features",), **LIMITS)))
+    return _fitted(spark, sf_dir, m, M.Corpus(d, carry=("features",), **LIMITS))
 
 
 @query(_sound_sql("10"))
 def stm_fit(spark, sf_dir):
     m = M.STM(10, n_features=1)
-    return _sound(m.fit(_corpus(spark, sf_dir, _features(), m.carry)))
+    return _fitted(spark, sf_dir, m, _corpus(spark, sf_dir, _features(), m.carry))
 
 
 @query(_sound_sql("6"))
 def ctm_fit(spark, sf_dir):
-    return _sound(M.CTM(6).fit(_corpus(spark, sf_dir)))
+    return _fitted(spark, sf_dir, M.CTM(6), _corpus(spark, sf_dir))
 
 
 @query(_sound_sql("12"))
 def hdp_fit(spark, sf_dir):
-    return _sound(M.HDP(12, iters=30).fit(_corpus(spark, sf_dir)))
+    return _fitted(spark, sf_dir, M.HDP(12, iters=30), _corpus(spark, sf_dir))
 
 
 _LANG = CORPUS.replace("unnest(toks) AS word", "lang || ':' || unnest(toks) AS word").replace("d AS (SELECT * FROM docs WHERE len(toks) > 0)", "d AS (SELECT * FROM docs WHERE len(toks) > 0 AND lang IS NOT NULL)")
@@ -115,22 +152,22 @@ _LANG = CORPUS.replace("unnest(toks) AS word", "lang || ':' || unnest(toks) AS w
 @query(_sound_sql("5", "CAST((SELECT count(DISTINCT split_part(word, ':', 1)) FROM kept) AS DOUBLE)", _LANG))
 def polylingual_lda_fit(spark, sf_dir):
     d = docs(spark, sf_dir).where("lang is not null").withColumn("tokens", F.transform("tokens", lambda w: F.concat("lang", F.lit(":"), w)))
-    return _sound(M.PolylingualLDA(5, iters=20).fit(M.Corpus(d, **LIMITS)))
+    return _fitted(spark, sf_dir, M.PolylingualLDA(5, iters=20), M.Corpus(d, **LIMITS))
 
 
 @query(_sound_sql("10"))
 def nmf_fit(spark, sf_dir):
-    return _sound(M.NMF(10).fit(_corpus(spark, sf_dir)), up=False)
+    return _fitted(spark, sf_dir, M.NMF(10), _corpus(spark, sf_dir), up=False)
 
 
 @query(_sound_sql("6"))
 def nmf_kl_fit(spark, sf_dir):
-    return _sound(M.NMF(6, loss="kl", weighting="counts", iters=30).fit(_corpus(spark, sf_dir)), up=False)
+    return _fitted(spark, sf_dir, M.NMF(6, loss="kl", weighting="counts", iters=30), _corpus(spark, sf_dir), up=False)
 
 
 @query(_sound_sql("5"))
 def guided_nmf_fit(spark, sf_dir):
-    return _sound(M.GuidedNMF(SEEDS, 5, iters=30).fit(_corpus(spark, sf_dir)), up=False)
+    return _fitted(spark, sf_dir, M.GuidedNMF(SEEDS, 5, iters=30), _corpus(spark, sf_dir), up=False)
 
 
 @query("SELECT CAST(unnest(range(0, 10)) AS INTEGER) AS topic, true AS orthonormal, true AS descending, true AS energy")
@@ -146,48 +183,46 @@ def lsa_fit(spark, sf_dir):
 
 @query(_sound_sql("15"))
 def gsdmm_fit(spark, sf_dir):
-    m = M.GSDMM(15, iters=10).fit(_corpus(spark, sf_dir))
-    m.fit_history = []
-    return _sound(m)
+    return _fitted(spark, sf_dir, M.GSDMM(15, iters=30), _corpus(spark, sf_dir))
 
 
 @query(_sound_sql("6", docs="(SELECT count(*) FROM d)"))
 def btm_fit(spark, sf_dir):
     d = docs(spark, sf_dir).select("doc_id", "tokens")
-    return _sound(M.BTM(6, window=5, iters=20).fit(d, M.Corpus(d, **LIMITS)))
+    return _fitted(spark, sf_dir, M.BTM(6, window=5, iters=20), d, M.Corpus(d, **LIMITS))
 
 
 @query(_sound_sql("6", kept="kept AS (SELECT word FROM vocab ORDER BY cf DESC, word LIMIT 2000)"))
 def anchor_lda_fit(spark, sf_dir):
-    return _sound(M.AnchorLDA(6).fit(docs(spark, sf_dir)))
+    return _fitted(spark, sf_dir, M.AnchorLDA(6), docs(spark, sf_dir))
 
 
 @query(_sound_sql("6", docs="(SELECT count(DISTINCT coalesce(source, '?')) FROM tokens JOIN kept USING (word))"))
 def author_topic_fit(spark, sf_dir):
-    return _sound(M.AuthorTopic(6).fit(_corpus(spark, sf_dir, {"authors": F.array(F.coalesce("source", F.lit("?")))}, ("authors",))))
+    return _fitted(spark, sf_dir, M.AuthorTopic(6), _corpus(spark, sf_dir, {"authors": F.array(F.coalesce("source", F.lit("?")))}, ("authors",)))
 
 
 @query(_sound_sql("6", docs="(SELECT count(DISTINCT coalesce(source, '?') || '>' || lang) FROM tokens JOIN kept USING (word) WHERE lang IS NOT NULL)"))
 def author_recipient_fit(spark, sf_dir):
     d = M.AuthorRecipientTopic.pairs(docs(spark, sf_dir).withColumns({"author": F.coalesce("source", F.lit("?")), "recipients": F.array_compact(F.array("lang"))}))
-    return _sound(M.AuthorRecipientTopic(6, iters=20).fit(M.Corpus(d, carry=("authors",), **LIMITS)))
+    return _fitted(spark, sf_dir, M.AuthorRecipientTopic(6, iters=20), M.Corpus(d, carry=("authors",), **LIMITS))
 
 
 @query(_sound_sql("6"))
 def topics_over_time_fit(spark, sf_dir):
     m = M.TopicsOverTime(6, iters=20)
-    return _sound(m.fit(_corpus(spark, sf_dir, {"time": F.pmod(F.col("doc_id"), F.lit(1000)) / 1000.0}, ("time",))))
+    return _fitted(spark, sf_dir, m, _corpus(spark, sf_dir, {"time": F.pmod(F.col("doc_id"), F.lit(1000)) / 1000.0}, ("time",)))
 
 
 @query(_sound_sql("6"))
 def supervised_lda_fit(spark, sf_dir):
     y = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("y"))
-    return _sound(M.SupervisedLDA(6, iters=15).fit(M.Corpus(docs(spark, sf_dir).join(y, "doc_id", "left"), carry=("y",), **LIMITS)))
+    return _fitted(spark, sf_dir, M.SupervisedLDA(6, iters=15), M.Corpus(docs(spark, sf_dir).join(y, "doc_id", "left"), carry=("y",), **LIMITS))
 
 
 @query(_sound_sql("9"))
 def disc_lda_fit(spark, sf_dir):
-    return _sound(M.DiscLDA(["en", "de", "fr", "es"], 2, 1, iters=20).fit(_corpus(spark, sf_dir, {"y": F.col("lang")}, ("y",))))
+    return _fitted(spark, sf_dir, M.DiscLDA(["en", "de", "fr", "es"], 2, 1, iters=20), _corpus(spark, sf_dir, {"y": F.col("lang")}, ("y",)))
 
 
 def _thread(c):
@@ -198,33 +233,36 @@ def _thread(c):
 @query(_sound_sql("6"))
 def thread_topics_fit(spark, sf_dir):
     c = _corpus(spark, sf_dir)
-    return _sound(M.ThreadTM(M.LDA(6, iters=20)).fit(c, _thread(c)))
+    return _fitted(spark, sf_dir, M.ThreadTM(M.LDA(6, iters=20)), c, _thread(c))
 
 
 @query(_sound_sql("6"))
 def comment_weight_fit(spark, sf_dir):
     c = _corpus(spark, sf_dir)
-    return _sound(M.CSATM(M.LDA(6, iters=20)).fit(c, _thread(c)))
+    return _fitted(spark, sf_dir, M.CSATM(M.LDA(6, iters=20)), c, _thread(c))
 
 
 def _word_vectors(spark, sf_dir):
-    """The mean document vector of the leading words of each language."""
-    d, e = docs(spark, sf_dir), table(spark, sf_dir, "embeddings").where("embedding is not null")
-    words = d.select("doc_id", F.explode(F.array_distinct("tokens")).alias("word")).join(F.broadcast(top_words(d, 30).select("word").distinct()), "word")
-    return EM.centroids(words.join(e.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id"), "word").select("word", F.col("centroid").alias("embedding")), words, e
+    """The mean of the document vectors of each word that the fits keep; the words of each document; usable vectors."""
+    d, e = docs(spark, sf_dir), table(spark, sf_dir, "embeddings").where(USABLE)
+    kept = V.prune(V.vocabulary(d), d.count(), max_features=MAX_VOCABULARY, **LIMITS).select("word")  # bounded
+    words = d.select("doc_id", F.explode(F.array_distinct("tokens")).alias("word")).join(F.broadcast(kept), "word")
+    e = e.select(F.col("vec_id").alias("doc_id"), "embedding")
+    means = words.join(e, "doc_id").groupBy("word").agg(vector_to_array(Summarizer.mean(array_to_vector(F.col("embedding").cast("array<double>")))).alias("embedding"))
+    return means, words, e
 
 
 @query(_sound_sql("5", kept="kept AS (SELECT word FROM vocab, nd WHERE df >= 5 AND df <= ceil(0.5 * n))"))
 def embedding_lda_fit(spark, sf_dir):
     w, _, _ = _word_vectors(spark, sf_dir)
-    vectors = {r["word"]: r["embedding"] for r in w.collect()}  # thirty words a language
-    return _sound(M.EmbeddingLDA(5, vectors, top_n=5, iters=20).fit(_corpus(spark, sf_dir)))
+    vectors = {r["word"]: r["embedding"] for r in w.collect()}  # as many as the vocabulary
+    return _fitted(spark, sf_dir, M.EmbeddingLDA(5, vectors, top_n=5, iters=20), _corpus(spark, sf_dir))
 
 
 @query("SELECT CAST(unnest(range(0, 4)) AS INTEGER) AS topic, 1.0 AS phi, true AS improves")
 def key_nmf_fit(spark, sf_dir):
     w, words, e = _word_vectors(spark, sf_dir)
-    m = M.KeyNMF(4, top_n=10, iters=30).fit_embeddings(words, e.select(F.col("vec_id").alias("doc_id"), "embedding"), w)
+    m = M.KeyNMF(4, top_n=10, iters=30).fit_embeddings(words, e, w)
     falls = m.fit_history[-1][1] <= m.fit_history[0][1]
     return m.phi(spark).groupBy("topic").agg(F.round(F.sum("p"), 6).alias("phi")).withColumn("improves", F.lit(bool(falls)))
 

@@ -9,39 +9,39 @@ from .. import models as M
 from ..models.neural import USABLE
 from ..operators import density as D
 from .base import _PATTERN, CORPUS, docs, query, table
-from .model_queries import _KEPT, LIMITS, SEEDS, _corpus, _features, _sound, _sound_sql, _thread, _word_vectors
+from .model_queries import _KEPT, LIMITS, SEEDS, _corpus, _features, _fitted, _sound, _sound_sql, _thread, _word_vectors
 
 
 @query(_sound_sql("4"))
 def dtm_fit(spark, sf_dir):
-    return _sound(M.DTM(4, 3, chain_variance=0.05, iters=8).fit(_corpus(spark, sf_dir, {"slice": F.pmod(F.col("doc_id"), F.lit(3)).cast("int")}, ("slice",))))
+    return _fitted(spark, sf_dir, M.DTM(4, 3, chain_variance=0.05, iters=8), _corpus(spark, sf_dir, {"slice": F.pmod(F.col("doc_id"), F.lit(3)).cast("int")}, ("slice",)))
 
 
 @query(_sound_sql("4"))
 def sage_fit(spark, sf_dir):
-    return _sound(M.SAGE(4, 2, iters=8).fit(_corpus(spark, sf_dir, {"grp": F.coalesce(F.col("lang") == "en", F.lit(False)).cast("int")}, ("grp",))))
+    return _fitted(spark, sf_dir, M.SAGE(4, 2, iters=8), _corpus(spark, sf_dir, {"grp": F.coalesce(F.col("lang") == "en", F.lit(False)).cast("int")}, ("grp",)))
 
 
 @query(_sound_sql("6"))
 def pachinko_fit(spark, sf_dir):
-    return _sound(M.PA(3, 6, iters=8).fit(_corpus(spark, sf_dir)))
+    return _fitted(spark, sf_dir, M.PA(3, 6, iters=8), _corpus(spark, sf_dir))
 
 
 @query(_sound_sql("7"))
 def hlda_fit(spark, sf_dir):
-    return _sound(M.HLDA(depth=3, branching=2, iters=10).fit(_corpus(spark, sf_dir)))
+    return _fitted(spark, sf_dir, M.HLDA(depth=3, branching=2, iters=10), _corpus(spark, sf_dir))
 
 
 @query(_sound_sql("5"))
 def pseudo_document_fit(spark, sf_dir):
-    return _sound(M.PT(5, pseudo=40, iters=12).fit(_corpus(spark, sf_dir)))
+    return _fitted(spark, sf_dir, M.PT(5, pseudo=40, iters=12), _corpus(spark, sf_dir))
 
 
 @query(_sound_sql("5"))
 def rtm_fit(spark, sf_dir):
     c = _corpus(spark, sf_dir)
     links = _thread(c).where("parent is not null").select(F.col("parent").alias("src"), F.col("doc_id").alias("dst"))
-    return _sound(M.RTM(5, iters=6).fit(c, links))
+    return _fitted(spark, sf_dir, M.RTM(5, iters=6), c, links)
 
 
 @query(f"""WITH {CORPUS}, {_KEPT} SELECT (SELECT count(*) FROM kept) AS words, count(DISTINCT doc_id) * 4 AS chances, true AS in_bounds, true AS gains, true AS improves
@@ -56,7 +56,7 @@ def corex_fit(spark, sf_dir):
 
 @query(_sound_sql("4"))
 def factorial_lda_fit(spark, sf_dir):
-    return _sound(M.FactorialLDA((2, 2), iters=8).fit(_corpus(spark, sf_dir)))
+    return _fitted(spark, sf_dir, M.FactorialLDA((2, 2), iters=8), _corpus(spark, sf_dir))
 
 
 _CHUNKS = CORPUS.replace("d AS (SELECT * FROM docs WHERE len(toks) > 0)", """d AS (SELECT doc_id || ':' || c AS doc_id, lang, source, toks[c * 50 + 1 : c * 50 + 50] AS toks
@@ -66,33 +66,31 @@ _CHUNKS = CORPUS.replace("d AS (SELECT * FROM docs WHERE len(toks) > 0)", """d A
 @query(_sound_sql("4", ctes=_CHUNKS))
 def narrative_fit(spark, sf_dir):
     m = M.NarrativeTM(4, degree=2, chunk=50, iters=8)
-    return _sound(m.fit(M.Corpus(m.chunks(docs(spark, sf_dir).select("doc_id", "tokens")), carry=("features",), **LIMITS)))
+    return _fitted(spark, sf_dir, m, M.Corpus(m.chunks(docs(spark, sf_dir).select("doc_id", "tokens")), carry=("features",), **LIMITS))
 
 
 def _vectors(spark, sf_dir):
-    return {r["word"]: np.array(r["embedding"]) for r in _word_vectors(spark, sf_dir)[0].collect()}  # thirty words a language
+    return {r["word"]: np.array(r["embedding"]) for r in _word_vectors(spark, sf_dir)[0].collect()}  # as many as the vocabulary
 
 
 @query(_sound_sql("4"))
 def etm_fit(spark, sf_dir):
-    return _sound(M.ETM(4, _vectors(spark, sf_dir), iters=8).fit(_corpus(spark, sf_dir)))
+    return _fitted(spark, sf_dir, M.ETM(4, _vectors(spark, sf_dir), iters=8), _corpus(spark, sf_dir))
 
 
 @query(_sound_sql("4"))
 def detm_fit(spark, sf_dir):
-    return _sound(M.DETM(4, 2, _vectors(spark, sf_dir), iters=6).fit(_corpus(spark, sf_dir, {"slice": F.pmod(F.col("doc_id"), F.lit(2)).cast("int")}, ("slice",))))
+    return _fitted(spark, sf_dir, M.DETM(4, 2, _vectors(spark, sf_dir), iters=6), _corpus(spark, sf_dir, {"slice": F.pmod(F.col("doc_id"), F.lit(2)).cast("int")}, ("slice",)))
 
 
 @query(_sound_sql("4"))
 def gaussian_lda_fit(spark, sf_dir):
-    m = M.GaussianLDA(4, _vectors(spark, sf_dir), iters=6).fit(_corpus(spark, sf_dir))
-    m.fit_history = []  # densities aren't likelihoods of words
-    return _sound(m)
+    return _fitted(spark, sf_dir, M.GaussianLDA(4, _vectors(spark, sf_dir), iters=20), _corpus(spark, sf_dir))
 
 
 @query(_sound_sql("5"))
 def prodlda_fit(spark, sf_dir):
-    return _sound(M.ProdLDA(5, hidden=32, rounds=8, batch=100).fit(_corpus(spark, sf_dir)))
+    return _fitted(spark, sf_dir, M.ProdLDA(5, hidden=32, rounds=8, batch=100), _corpus(spark, sf_dir))
 
 
 _WITH_VECTORS = """(SELECT count(DISTINCT doc_id) FROM tokens WHERE word IN (SELECT word FROM kept) AND doc_id IN (SELECT vec_id FROM embeddings
@@ -105,24 +103,24 @@ def _document_vectors(spark, sf_dir):
 
 @query(_sound_sql("5", docs=_WITH_VECTORS))
 def combined_tm_fit(spark, sf_dir):
-    return _sound(M.CombinedTM(5, hidden=32, rounds=8, batch=100).fit(_corpus(spark, sf_dir), _document_vectors(spark, sf_dir)))
+    return _fitted(spark, sf_dir, M.CombinedTM(5, hidden=32, rounds=8, batch=100), _corpus(spark, sf_dir), _document_vectors(spark, sf_dir))
 
 
 @query(_sound_sql("5", docs=_WITH_VECTORS))
 def zero_shot_tm_fit(spark, sf_dir):
-    return _sound(M.ZeroShotTM(5, hidden=32, rounds=8, batch=100).fit(_corpus(spark, sf_dir), _document_vectors(spark, sf_dir)))
+    return _fitted(spark, sf_dir, M.ZeroShotTM(5, hidden=32, rounds=8, batch=100), _corpus(spark, sf_dir), _document_vectors(spark, sf_dir))
 
 
 @query(_sound_sql("5"))
 def scholar_fit(spark, sf_dir):
     m = M.Scholar(5, hidden=32, rounds=8, batch=100, n_features=1, n_classes=2)
     d = docs(spark, sf_dir).withColumns(_features()).join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("y")), "doc_id", "left")
-    return _sound(m.fit(M.Corpus(d, carry=m.carry, **LIMITS)))
+    return _fitted(spark, sf_dir, m, M.Corpus(d, carry=m.carry, **LIMITS))
 
 
 @query(_sound_sql("4", docs="(SELECT count(DISTINCT doc_id) FROM tokens JOIN kept USING (word) WHERE source IS NOT NULL)"))
 def tbip_fit(spark, sf_dir):
-    return _sound(M.TBIP(4, iters=8).fit(_corpus(spark, sf_dir, {"author": F.col("source")}, ("author",))))
+    return _fitted(spark, sf_dir, M.TBIP(4, iters=8), _corpus(spark, sf_dir, {"author": F.col("source")}, ("author",)))
 
 
 @query("""SELECT count(*) AS vectors, 7 AS authors, 0.0 AS mean, 1.0 AS sd, true AS sums, true AS improves FROM embeddings
@@ -138,25 +136,25 @@ def sentence_ideal_points_fit(spark, sf_dir):
 
 @query(_sound_sql("4"))
 def tensor_lda_fit(spark, sf_dir):
-    return _sound(M.TensorLDA(4).fit(_corpus(spark, sf_dir)))
+    return _fitted(spark, sf_dir, M.TensorLDA(4), _corpus(spark, sf_dir))
 
 
 @query(_sound_sql("5"))
 def lda_collapsed_fit(spark, sf_dir):
-    return _sound(M.LDA(5, iters=10, inference="cvb0").fit(_corpus(spark, sf_dir)))
+    return _fitted(spark, sf_dir, M.LDA(5, iters=10, inference="cvb0"), _corpus(spark, sf_dir))
 
 
 @query(_sound_sql("4"))
 def tree_field_fit(spark, sf_dir):
     c = _corpus(spark, sf_dir)
-    return _sound(M.TreeFieldTM(4, rounds=2, iters=4).fit(c, _thread(c)))
+    return _fitted(spark, sf_dir, M.TreeFieldTM(4, rounds=2, iters=4), c, _thread(c))
 
 
 @query(_sound_sql("7", docs="(SELECT count(DISTINCT doc_id) FROM sent WHERE word IN (SELECT word FROM kept))", ctes=CORPUS + """,
 sent AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(s, '""" + _PATTERN + """'), lambda t: lower(t))) AS word
   FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^.!?]+[.!?]+|\\S[^\\n]*$')) AS s FROM documents))"""))
 def multi_grain_fit(spark, sf_dir):
-    return _sound(M.MGLDA(4, 3, iters=4).fit(table(spark, sf_dir, "documents").select("doc_id", "text"), _corpus(spark, sf_dir)))
+    return _fitted(spark, sf_dir, M.MGLDA(4, 3, iters=4), table(spark, sf_dir, "documents").select("doc_id", "text"), _corpus(spark, sf_dir))
 
 
 @query("SELECT count(*) AS vectors, true AS numbered FROM embeddings")
