@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -328,9 +329,15 @@ def _hash(c: np.ndarray) -> np.ndarray:
     return h
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """A worker's encoder, which keeps its words (at most CACHE) from task to task."""
+    return Encoder(path)
+
+
 def _encode(path: str):
     def run(batches):
-        pieces = Encoder(path)
+        pieces = _encoder(path)
         for batch in batches:
             flat, edge, _, _ = pieces.digest(batch.column(1).to_pylist())
             flat = flat.astype("<u4")
@@ -369,7 +376,7 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
 
 def _digest(path: str):
     def run(batches):
-        pieces = Encoder(path)
+        pieces = _encoder(path)
         low, high = min(pieces.bytes.values()), max(pieces.bytes.values())
         for batch in batches:
             texts = batch.column(1).to_pylist()

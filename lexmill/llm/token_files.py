@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -125,9 +126,15 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """A worker's encoder, which keeps its words (at most CACHE) from task to task."""
+    return Encoder(path)
+
+
 def _tokens(path: str, end_id: int):
     def run(batches):
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         end = np.array([end_id], encoder.kind).tobytes()
         for batch in batches:
             ids = [x.tobytes() + end for x in encoder.encode(batch.column("text").to_pylist())]
