@@ -7,7 +7,7 @@ from .embedded import DETM, ETM, GaussianLDA, IdealPointSentenceTM
 from .factor import LSA, NMF, KeyNMF
 from .gibbs import WarpLDA
 from .guided import AnchorLDA, AuthorTopic, KeyATM, TopicsOverTime
-from .logistic import CTM, STM, TreeFieldTM
+from .logistic import CTM, STM, OnlineSTM, TreeFieldTM
 from .mixture import BTM, GSDMM
 from .moments import TensorLDA
 from .neural import CombinedTM, ProdLDA, Scholar, ZeroShotTM
@@ -20,7 +20,7 @@ __all__ = [
     "AnchorLDA", "AuthorRecipientTopic", "AuthorTopic", "BERTopic", "BTM", "CSATM", "CTM", "CombinedTM", "CorEx",
     "Corpus", "DETM", "DMR", "DTM", "DiscLDA", "ETM", "EmbeddingLDA", "FactorialLDA", "GDMR", "GSDMM", "GaussianLDA",
     "GuidedNMF", "HDP", "HLDA", "IdealPointSentenceTM", "KeyATM", "KeyNMF", "LDA", "LSA", "LabeledLDA", "MGLDA", "NMF",
-    "NarrativeTM", "OnlineLDA", "PA", "PT", "PolylingualLDA", "ProdLDA", "RTM", "SAGE", "STM", "Scholar",
+    "NarrativeTM", "OnlineLDA", "OnlineSTM", "PA", "PT", "PolylingualLDA", "ProdLDA", "RTM", "SAGE", "STM", "Scholar",
     "SeededLDA", "SemanticSignals", "SupervisedLDA", "TBIP", "TensorLDA", "ThreadTM", "Top2Vec", "TopicGPT", "TreeFieldTM", "TopicModel",
     "TopicsOverTime", "WarpLDA", "Wordfish", "Wordshoal", "ZeroShotTM",
 ]

@@ -241,6 +241,13 @@ class OnlineLDA(LDA):
         self.lam = (1 - rho) * self.lam + rho * (self.prior(corpus) + (self.total_docs or b) / b * stats)
         return like
 
+    def state(self) -> bytes:
+        """What the next step follows from."""
+        return self.lam.tobytes()
+
+    def take(self, raw: bytes) -> None:
+        self.lam = np.frombuffer(raw).reshape(self.k, -1).copy()
+
     def fit(self, corpus: Corpus) -> TopicModel:
         if self.total_docs is None:
             self.total_docs = corpus.rows.count()

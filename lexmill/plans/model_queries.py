@@ -6,11 +6,13 @@ mixtures and topics sum to 1, and that the fit's own measure got better. The tes
 
 from __future__ import annotations
 
+import copy
 import logging
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import models as M
@@ -35,11 +37,11 @@ true AS gains, true AS parts_languages""" if valued else ""
 1.0 AS theta_low, 1.0 AS theta_high, {phi} AS phi_low, {phi} AS phi_high, true AS improves{values}"""
 
 
-def _sound(m, corpus=None, langs=None, up: bool = True, gain: float = 0.2, purity: float = 0.8):
+def _sound(m, corpus=None, langs=None, up: bool | None = True, gain: float = 0.2, purity: float = 0.8):
     """One row: what must hold of a fit, and how well it explains its corpus.
 
     Numbers of topics, words and documents, the least and greatest sums of mixtures and of topics, and if the fit's own
-    measure got better. With the corpus also its tokens and their mean log chance when words are drawn without topics, and
+    measure got better (up: which way; None where it is no measure of the fit, for which the gain then stands). With the corpus also its tokens and their mean log chance when words are drawn without topics, and
     whether the fit's mixtures and topics raise that by gain at least; with langs, whether the topics part the languages,
     which the fit isn't told: of all topics' mass, the share that lies in the topic's leading language, against purity.
     """
@@ -54,21 +56,25 @@ def _sound(m, corpus=None, langs=None, up: bool = True, gain: float = 0.2, purit
         gains = like / n - unigram
         out |= {"tokens": F.lit(int(u["t"])).cast("long"), "unigram": F.lit(round(float(unigram), 4)), "gains": F.lit(bool(gains >= gain))}
         log(f"gain {gains:.3f}")
-        own = m.theta.join(langs.where("lang is not null").withColumnRenamed("doc_id", "owner"), m.theta["doc_id"].cast("string") == F.col("owner").cast("string"))
+        own = m.theta.join(langs.where("lang is not null").withColumnRenamed("doc_id", "owner"), F.substring_index(m.theta["doc_id"].cast("string"), ":", 1) == F.col("owner").cast("string"))  # chunks are named document:number
         mass = own.groupBy("topic", "lang").agg(F.sum("p").alias("x")).groupBy("topic").agg(F.max("x").alias("lead"), F.sum("x").alias("all")).agg(F.sum("lead") / F.sum("all")).first()[0]
         log(f"purity {mass}")
         out["parts_languages"] = F.lit(bool((mass or 0) >= purity))
     else:
         gains = None
-    better = (h[-1] > h[0] if up else h[-1] < h[0]) if len(h) > 1 else gains is not None and gains >= gain
+    better = (h[-1] > h[0] if up else h[-1] < h[0]) if len(h) > 1 and up is not None else gains is not None and gains >= gain
     out["improves"] = F.lit(bool(better))
     log(f"history {h[:1]} {h[-1:]} {len(h)}")
     return t.select("docs", "theta_low", "theta_high", *[v.alias(k) for k, v in out.items()])
 
 
-def _fitted(spark, sf_dir, model, corpus, *more, **bounds):
-    """_sound() of the model fitted to the corpus."""
-    return _sound(model.fit(corpus, *more), corpus, table(spark, sf_dir, "documents").select("doc_id", "lang"), **bounds)
+def _fitted(spark, sf_dir, model, corpus, *more, owner=None, **bounds):
+    """_sound() of the model fitted to the corpus; owner is the column of a list whose one entry a mixture belongs to."""
+    m = model.fit(corpus, *more)
+    if owner:
+        corpus = copy.copy(corpus)
+        corpus.rows = corpus.rows.withColumn("doc_id", F.col(owner)[0])
+    return _sound(m, corpus, table(spark, sf_dir, "documents").select("doc_id", "lang"), **bounds)
 
 
 def _corpus(spark, sf_dir, columns=None, carry=()):
@@ -189,23 +195,50 @@ def gsdmm_fit(spark, sf_dir):
 @query(_sound_sql("6", docs="(SELECT count(*) FROM d)"))
 def btm_fit(spark, sf_dir):
     d = docs(spark, sf_dir).select("doc_id", "tokens")
-    return _fitted(spark, sf_dir, M.BTM(6, window=5, iters=20), d, M.Corpus(d, **LIMITS))
+    c = M.Corpus(d, **LIMITS)
+    return _sound(M.BTM(6, window=5, iters=20).fit(d, c), c, table(spark, sf_dir, "documents").select("doc_id", "lang"))
 
 
-@query(_sound_sql("6", kept="kept AS (SELECT word FROM vocab ORDER BY cf DESC, word LIMIT 2000)"))
+@query(_sound_sql("6"))
 def anchor_lda_fit(spark, sf_dir):
-    return _fitted(spark, sf_dir, M.AnchorLDA(6), docs(spark, sf_dir))
+    return _fitted(spark, sf_dir, M.AnchorLDA(6), _corpus(spark, sf_dir))
+
+
+@query(_sound_sql("8"))
+def warp_lda_fit(spark, sf_dir):
+    return _fitted(spark, sf_dir, M.WarpLDA(8, iters=60), _corpus(spark, sf_dir))
+
+
+@query(f"""WITH {CORPUS}, {_KEPT} SELECT word, count(*) AS n, true AS phi_follows FROM tokens JOIN kept USING (word) GROUP BY word""")
+def warp_lda_assignments(spark, sf_dir):
+    """Every token has a topic: summed over documents and topics the table holds each word's count; topics follow from it."""
+    c = _corpus(spark, sf_dir)
+    w = M.WarpLDA(8, iters=10)
+    m = w.fit(c)
+    words = spark.createDataFrame(list(enumerate(c.words)), "i int, word string")
+    counts = w.assignments.groupBy("i", "topic").agg(F.sum("n").alias("n"))
+    share = (F.col("n") + w.beta) / (F.sum("n").over(Window.partitionBy("topic")) + w.beta * c.size)
+    both = counts.withColumn("share", share).join(F.broadcast(words), "i").join(m.phi(spark), ["topic", "word"])
+    return both.groupBy("word").agg(F.sum("n").alias("n"), F.min(F.abs(F.col("share") - F.col("p")) < 1e-9).alias("phi_follows"))
+
+
+@query(_sound_sql("6"))
+def stm_content_fit(spark, sf_dir):
+    """Languages as groups that word topics in their own ways, with sparse deviations."""
+    langs = sorted(r[0] for r in table(spark, sf_dir, "documents").where("lang is not null").select("lang").distinct().limit(100).collect())
+    m = M.STM(6, groups=[*langs, "?"], content="sparse", interactions=False, iters=15)
+    return _fitted(spark, sf_dir, m, _corpus(spark, sf_dir, {"group": F.coalesce("lang", F.lit("?"))}, m.carry), purity=0.0, gain=0.0)
 
 
 @query(_sound_sql("6", docs="(SELECT count(DISTINCT coalesce(source, '?')) FROM tokens JOIN kept USING (word))"))
 def author_topic_fit(spark, sf_dir):
-    return _fitted(spark, sf_dir, M.AuthorTopic(6), _corpus(spark, sf_dir, {"authors": F.array(F.coalesce("source", F.lit("?")))}, ("authors",)))
+    return _fitted(spark, sf_dir, M.AuthorTopic(6), _corpus(spark, sf_dir, {"authors": F.array(F.coalesce("source", F.lit("?")))}, ("authors",)), owner="authors", purity=0.0, gain=0.0)
 
 
 @query(_sound_sql("6", docs="(SELECT count(DISTINCT coalesce(source, '?') || '>' || lang) FROM tokens JOIN kept USING (word) WHERE lang IS NOT NULL)"))
 def author_recipient_fit(spark, sf_dir):
     d = M.AuthorRecipientTopic.pairs(docs(spark, sf_dir).withColumns({"author": F.coalesce("source", F.lit("?")), "recipients": F.array_compact(F.array("lang"))}))
-    return _fitted(spark, sf_dir, M.AuthorRecipientTopic(6, iters=20), M.Corpus(d, carry=("authors",), **LIMITS))
+    return _fitted(spark, sf_dir, M.AuthorRecipientTopic(6), M.Corpus(d, carry=("authors",), **LIMITS), owner="authors", purity=0.0)
 
 
 @query(_sound_sql("6"))
@@ -233,13 +266,13 @@ def _thread(c):
 @query(_sound_sql("6"))
 def thread_topics_fit(spark, sf_dir):
     c = _corpus(spark, sf_dir)
-    return _fitted(spark, sf_dir, M.ThreadTM(M.LDA(6, iters=20)), c, _thread(c))
+    return _fitted(spark, sf_dir, M.ThreadTM(M.LDA(6)), c, _thread(c), purity=0.7)
 
 
 @query(_sound_sql("6"))
 def comment_weight_fit(spark, sf_dir):
     c = _corpus(spark, sf_dir)
-    return _fitted(spark, sf_dir, M.CSATM(M.LDA(6, iters=20)), c, _thread(c))
+    return _fitted(spark, sf_dir, M.CSATM(M.LDA(6)), c, _thread(c), purity=0.7)
 
 
 def _word_vectors(spark, sf_dir):

@@ -7,41 +7,42 @@ from pyspark.sql import functions as F
 
 from .. import models as M
 from ..models.neural import USABLE
+from ..functions.lineage import cut
 from ..operators import density as D
 from .base import _PATTERN, CORPUS, docs, query, table
-from .model_queries import _KEPT, LIMITS, SEEDS, _corpus, _features, _fitted, _sound, _sound_sql, _thread, _word_vectors
+from .model_queries import _KEPT, LIMITS, SEEDS, log, _corpus, _features, _fitted, _sound, _sound_sql, _thread, _word_vectors
 
 
 @query(_sound_sql("4"))
 def dtm_fit(spark, sf_dir):
-    return _fitted(spark, sf_dir, M.DTM(4, 3, chain_variance=0.05, iters=8), _corpus(spark, sf_dir, {"slice": F.pmod(F.col("doc_id"), F.lit(3)).cast("int")}, ("slice",)))
+    return _fitted(spark, sf_dir, M.DTM(4, 3, chain_variance=0.05, iters=40), _corpus(spark, sf_dir, {"slice": F.pmod(F.col("doc_id"), F.lit(3)).cast("int")}, ("slice",)))
 
 
 @query(_sound_sql("4"))
 def sage_fit(spark, sf_dir):
-    return _fitted(spark, sf_dir, M.SAGE(4, 2, iters=8), _corpus(spark, sf_dir, {"grp": F.coalesce(F.col("lang") == "en", F.lit(False)).cast("int")}, ("grp",)))
+    return _fitted(spark, sf_dir, M.SAGE(4, 2, iters=40), _corpus(spark, sf_dir, {"grp": F.coalesce(F.col("lang") == "en", F.lit(False)).cast("int")}, ("grp",)), purity=0.0)  # the groups are languages
 
 
 @query(_sound_sql("6"))
 def pachinko_fit(spark, sf_dir):
-    return _fitted(spark, sf_dir, M.PA(3, 6, iters=8), _corpus(spark, sf_dir))
+    return _fitted(spark, sf_dir, M.PA(3, 6, iters=40), _corpus(spark, sf_dir))
 
 
 @query(_sound_sql("7"))
 def hlda_fit(spark, sf_dir):
-    return _fitted(spark, sf_dir, M.HLDA(depth=3, branching=2, iters=10), _corpus(spark, sf_dir))
+    return _fitted(spark, sf_dir, M.HLDA(depth=3, branching=2, iters=40), _corpus(spark, sf_dir), purity=0.0)  # topics of upper levels are shared
 
 
 @query(_sound_sql("5"))
 def pseudo_document_fit(spark, sf_dir):
-    return _fitted(spark, sf_dir, M.PT(5, pseudo=40, iters=12), _corpus(spark, sf_dir))
+    return _fitted(spark, sf_dir, M.PT(5, pseudo=40, iters=40), _corpus(spark, sf_dir))
 
 
 @query(_sound_sql("5"))
 def rtm_fit(spark, sf_dir):
     c = _corpus(spark, sf_dir)
     links = _thread(c).where("parent is not null").select(F.col("parent").alias("src"), F.col("doc_id").alias("dst"))
-    return _fitted(spark, sf_dir, M.RTM(5, iters=6), c, links)
+    return _fitted(spark, sf_dir, M.RTM(5, iters=40), c, links)
 
 
 @query(f"""WITH {CORPUS}, {_KEPT} SELECT (SELECT count(*) FROM kept) AS words, count(DISTINCT doc_id) * 4 AS chances, true AS in_bounds, true AS gains, true AS improves
@@ -56,7 +57,7 @@ def corex_fit(spark, sf_dir):
 
 @query(_sound_sql("4"))
 def factorial_lda_fit(spark, sf_dir):
-    return _fitted(spark, sf_dir, M.FactorialLDA((2, 2), iters=8), _corpus(spark, sf_dir))
+    return _fitted(spark, sf_dir, M.FactorialLDA((2, 2), iters=40), _corpus(spark, sf_dir))
 
 
 _CHUNKS = CORPUS.replace("d AS (SELECT * FROM docs WHERE len(toks) > 0)", """d AS (SELECT doc_id || ':' || c AS doc_id, lang, source, toks[c * 50 + 1 : c * 50 + 50] AS toks
@@ -65,7 +66,7 @@ _CHUNKS = CORPUS.replace("d AS (SELECT * FROM docs WHERE len(toks) > 0)", """d A
 
 @query(_sound_sql("4", ctes=_CHUNKS))
 def narrative_fit(spark, sf_dir):
-    m = M.NarrativeTM(4, degree=2, chunk=50, iters=8)
+    m = M.NarrativeTM(4, degree=2, chunk=50, iters=40)
     return _fitted(spark, sf_dir, m, M.Corpus(m.chunks(docs(spark, sf_dir).select("doc_id", "tokens")), carry=("features",), **LIMITS))
 
 
@@ -75,22 +76,22 @@ def _vectors(spark, sf_dir):
 
 @query(_sound_sql("4"))
 def etm_fit(spark, sf_dir):
-    return _fitted(spark, sf_dir, M.ETM(4, _vectors(spark, sf_dir), iters=8), _corpus(spark, sf_dir))
+    return _fitted(spark, sf_dir, M.ETM(4, _vectors(spark, sf_dir), iters=40), _corpus(spark, sf_dir))
 
 
 @query(_sound_sql("4"))
 def detm_fit(spark, sf_dir):
-    return _fitted(spark, sf_dir, M.DETM(4, 2, _vectors(spark, sf_dir), iters=6), _corpus(spark, sf_dir, {"slice": F.pmod(F.col("doc_id"), F.lit(2)).cast("int")}, ("slice",)))
+    return _fitted(spark, sf_dir, M.DETM(4, 2, _vectors(spark, sf_dir), iters=40), _corpus(spark, sf_dir, {"slice": F.pmod(F.col("doc_id"), F.lit(2)).cast("int")}, ("slice",)))
 
 
 @query(_sound_sql("4"))
 def gaussian_lda_fit(spark, sf_dir):
-    return _fitted(spark, sf_dir, M.GaussianLDA(4, _vectors(spark, sf_dir), iters=20), _corpus(spark, sf_dir))
+    return _fitted(spark, sf_dir, M.GaussianLDA(4, _vectors(spark, sf_dir), iters=20), _corpus(spark, sf_dir), up=None, gain=0.0, purity=0.0)  # densities of vectors, not of words
 
 
 @query(_sound_sql("5"))
 def prodlda_fit(spark, sf_dir):
-    return _fitted(spark, sf_dir, M.ProdLDA(5, hidden=32, rounds=8, batch=100), _corpus(spark, sf_dir))
+    return _fitted(spark, sf_dir, M.ProdLDA(5, hidden=64, rounds=40, batch=50), _corpus(spark, sf_dir))
 
 
 _WITH_VECTORS = """(SELECT count(DISTINCT doc_id) FROM tokens WHERE word IN (SELECT word FROM kept) AND doc_id IN (SELECT vec_id FROM embeddings
@@ -103,24 +104,24 @@ def _document_vectors(spark, sf_dir):
 
 @query(_sound_sql("5", docs=_WITH_VECTORS))
 def combined_tm_fit(spark, sf_dir):
-    return _fitted(spark, sf_dir, M.CombinedTM(5, hidden=32, rounds=8, batch=100), _corpus(spark, sf_dir), _document_vectors(spark, sf_dir))
+    return _fitted(spark, sf_dir, M.CombinedTM(5, hidden=64, rounds=40, batch=50), _corpus(spark, sf_dir), _document_vectors(spark, sf_dir))
 
 
 @query(_sound_sql("5", docs=_WITH_VECTORS))
 def zero_shot_tm_fit(spark, sf_dir):
-    return _fitted(spark, sf_dir, M.ZeroShotTM(5, hidden=32, rounds=8, batch=100), _corpus(spark, sf_dir), _document_vectors(spark, sf_dir))
+    return _fitted(spark, sf_dir, M.ZeroShotTM(5, hidden=64, rounds=40, batch=50), _corpus(spark, sf_dir), _document_vectors(spark, sf_dir))
 
 
 @query(_sound_sql("5"))
 def scholar_fit(spark, sf_dir):
-    m = M.Scholar(5, hidden=32, rounds=8, batch=100, n_features=1, n_classes=2)
+    m = M.Scholar(5, hidden=64, rounds=40, batch=50, n_features=1, n_classes=2)
     d = docs(spark, sf_dir).withColumns(_features()).join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("y")), "doc_id", "left")
     return _fitted(spark, sf_dir, m, M.Corpus(d, carry=m.carry, **LIMITS))
 
 
 @query(_sound_sql("4", docs="(SELECT count(DISTINCT doc_id) FROM tokens JOIN kept USING (word) WHERE source IS NOT NULL)"))
 def tbip_fit(spark, sf_dir):
-    return _fitted(spark, sf_dir, M.TBIP(4, iters=8), _corpus(spark, sf_dir, {"author": F.col("source")}, ("author",)))
+    return _fitted(spark, sf_dir, M.TBIP(4, iters=40), _corpus(spark, sf_dir, {"author": F.col("source")}, ("author",)))
 
 
 @query("""SELECT count(*) AS vectors, 7 AS authors, 0.0 AS mean, 1.0 AS sd, true AS sums, true AS improves FROM embeddings
@@ -147,19 +148,24 @@ def lda_collapsed_fit(spark, sf_dir):
 @query(_sound_sql("4"))
 def tree_field_fit(spark, sf_dir):
     c = _corpus(spark, sf_dir)
-    return _fitted(spark, sf_dir, M.TreeFieldTM(4, rounds=2, iters=4), c, _thread(c))
+    return _fitted(spark, sf_dir, M.TreeFieldTM(4, rounds=2, iters=30), c, _thread(c))
 
 
-@query(_sound_sql("7", docs="(SELECT count(DISTINCT doc_id) FROM sent WHERE word IN (SELECT word FROM kept))", ctes=CORPUS + """,
+@query(_sound_sql("7", valued=False, docs="(SELECT count(DISTINCT doc_id) FROM sent WHERE word IN (SELECT word FROM kept))", ctes=CORPUS + """,
 sent AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(s, '""" + _PATTERN + """'), lambda t: lower(t))) AS word
   FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^.!?]+[.!?]+|\\S[^\\n]*$')) AS s FROM documents))"""))
 def multi_grain_fit(spark, sf_dir):
-    return _fitted(spark, sf_dir, M.MGLDA(4, 3, iters=4), table(spark, sf_dir, "documents").select("doc_id", "text"), _corpus(spark, sf_dir))
+    return _sound(M.MGLDA(4, 3, iters=15).fit(table(spark, sf_dir, "documents").select("doc_id", "text"), _corpus(spark, sf_dir)))
 
 
-@query("SELECT count(*) AS vectors, true AS numbered FROM embeddings")
+@query("""SELECT count(*) AS vectors, count(*) FILTER (embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0) - 1 AS edges, true AS numbered, true AS pure FROM embeddings""")
 def density_clusters(spark, sf_dir):
-    """Every vector is in one cluster or noise, and clusters are numbered without gaps."""
-    c = D.density_clusters(_document_vectors(spark, sf_dir), 10, 5, levels=4)
+    """The spanning tree has an edge fewer than there are vectors; clusters are numbered without gaps and agree with labels."""
+    e = cut(_document_vectors(spark, sf_dir))
+    c = cut(D.density_clusters(e, 10, 5))
+    edges = D.spanning_tree(e, 5).count()
     n = c.agg(F.count("*").alias("vectors"), F.count_distinct(F.when(F.col("topic") >= 0, F.col("topic"))).alias("k"), F.max("topic").alias("last"), F.min("topic").alias("first"))
-    return n.select("vectors", ((F.col("last") < 0) | (F.col("k") == F.col("last") + 1)).alias("numbered"))
+    own = c.where("topic >= 0").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label"), "doc_id").groupBy("topic", "label").count()
+    pure = own.groupBy("topic").agg(F.max("count").alias("lead"), F.sum("count").alias("all")).agg(F.sum("lead") / F.sum("all")).first()[0]
+    log(f"purity {pure}")
+    return n.select("vectors", F.lit(edges).cast("long").alias("edges"), ((F.col("last") < 0) | (F.col("k") == F.col("last") + 1)).alias("numbered"), F.lit(bool((pure or 0) > 0.8)).alias("pure"))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import json
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..models.base import Corpus
+from ..models.logistic import OnlineSTM
 from ..models.variational import OnlineLDA
 from ..operators.vocabulary import corpus as tokenised
 
@@ -16,11 +16,11 @@ from ..operators.vocabulary import corpus as tokenised
 class OnlineTopics:
     """foreachBatch sink that takes one stochastic step a micro-batch. Words outside the vocabulary are dropped.
 
-    lambda, the step and the last batch id are written together after each step, and a batch id already seen is
-    skipped, so a replayed micro-batch counts once.
+    The model (OnlineLDA or OnlineSTM), its step and the last batch id are written together after each step, and a batch id
+    already seen is skipped, so a replayed micro-batch counts once. Columns that the model carries come with the text.
     """
 
-    def __init__(self, model: OnlineLDA, words: list[str], state: str, text_col: str = "text"):
+    def __init__(self, model: OnlineLDA | OnlineSTM, words: list[str], state: str, text_col: str = "text"):
         self.model, self.words, self.state, self.text_col, self.last = model, words, state, text_col, -1
 
     def restore(self, spark: SparkSession) -> None:
@@ -32,15 +32,15 @@ class OnlineTopics:
             raise
         if rows:
             self.last, self.model.t = rows[0]["batch"], rows[0]["t"]
-            self.model.lam = np.frombuffer(rows[0]["lam"]).reshape(self.model.k, -1).copy()
+            self.model.take(bytes(rows[0]["lam"]))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         if batch_id <= self.last:
             return
-        self.model.partial_fit(Corpus(tokenised(batch.select("doc_id", self.text_col), self.text_col), words=self.words))
+        self.model.partial_fit(Corpus(tokenised(batch.select("doc_id", *self.model.carry, self.text_col), self.text_col), words=self.words, carry=self.model.carry))
         self.last = batch_id
-        if self.model.lam is not None:
-            batch.sparkSession.createDataFrame([(batch_id, self.model.t, bytearray(self.model.lam.tobytes()))], "batch long, t long, lam binary").write.mode("append").parquet(self.state)
+        if self.model.t:
+            batch.sparkSession.createDataFrame([(batch_id, self.model.t, bytearray(self.model.state()))], "batch long, t long, lam binary").write.mode("append").parquet(self.state)
 
     def start(self, stream: DataFrame, checkpoint: str):
         self.restore(stream.sparkSession)
