@@ -11,6 +11,7 @@ from .logistic import CTM, STM, OnlineSTM, TreeFieldTM
 from .mixture import BTM, GSDMM
 from .moments import TensorLDA
 from .neural import CombinedTM, ProdLDA, Scholar, ZeroShotTM
+from .phrases import TopicalNGrams
 from .positions import TBIP
 from .scaling import Wordfish
 from .structured import DTM, HLDA, MGLDA, PA, PT, RTM, SAGE, CorEx, FactorialLDA, NarrativeTM
@@ -21,6 +22,6 @@ __all__ = [
     "Corpus", "DETM", "DMR", "DTM", "DiscLDA", "ETM", "EmbeddingLDA", "FactorialLDA", "GDMR", "GSDMM", "GaussianLDA",
     "GuidedNMF", "HDP", "HLDA", "IdealPointSentenceTM", "KeyATM", "KeyNMF", "LDA", "LSA", "LabeledLDA", "MGLDA", "NMF",
     "NarrativeTM", "OnlineLDA", "OnlineSTM", "PA", "PT", "PolylingualLDA", "ProdLDA", "RTM", "SAGE", "STM", "Scholar",
-    "SeededLDA", "SemanticSignals", "SupervisedLDA", "TBIP", "TensorLDA", "ThreadTM", "Top2Vec", "TopicGPT", "TreeFieldTM", "TopicModel",
+    "SeededLDA", "SemanticSignals", "SupervisedLDA", "TBIP", "TensorLDA", "ThreadTM", "Top2Vec", "TopicGPT", "TreeFieldTM", "TopicModel", "TopicalNGrams",
     "TopicsOverTime", "WarpLDA", "Wordfish", "Wordshoal", "ZeroShotTM",
 ]

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import models as M
 from ..functions import text as T
+from ..functions.lineage import cut
 from ..operators import documents as D
 from ..models.base import MAX_VOCABULARY
 from ..models.neural import USABLE
@@ -222,6 +223,20 @@ def warp_lda_assignments(spark, sf_dir):
     return both.groupBy("word").agg(F.sum("n").alias("n"), F.min(F.abs(F.col("share") - F.col("p")) < 1e-9).alias("phi_follows"))
 
 
+@query(f"""WITH {CORPUS}, {_KEPT}, follow AS (SELECT word AS second, lag(word) OVER (PARTITION BY doc_id ORDER BY pos) AS first FROM tokens)
+SELECT first, second, count(*) AS n, true AS phrases_occur, true AS phrases_found FROM follow WHERE first IN (SELECT word FROM kept) AND second IN (SELECT word FROM kept) GROUP BY first, second HAVING count(*) >= 20""")
+def topical_ngrams(spark, sf_dir):
+    """Pairs of neighbours that the model may carry on; its two-word phrases are among these, no oftener than they occur."""
+    m = M.TopicalNGrams(6, min_pair=20, iters=15)
+    d = docs(spark, sf_dir)
+    words = F.broadcast(spark.createDataFrame(list(enumerate(m.fit(d, **LIMITS).words)), "i int, word string"))
+    name = lambda c: words.select(F.col("i").alias(c), F.col("word").alias({"a": "first", "b": "second"}[c]))
+    pairs = cut(m.pair_counts.join(name("a"), "a").join(name("b"), "b").select("first", "second", "n"))
+    two = m.phrases().where(F.size(F.split("phrase", " ")) == 2).groupBy("phrase").agg(F.sum("n").alias("said"))
+    met = two.join(pairs, two["phrase"] == F.concat_ws(" ", "first", "second"), "left").agg(F.min(F.coalesce(F.col("said") <= F.col("n"), F.lit(False))).alias("fits"), F.count("*").alias("k")).first()
+    return pairs.select("*", F.lit(bool(met["fits"])).alias("phrases_occur"), F.lit(met["k"] > 0).alias("phrases_found"))
+
+
 @query(_sound_sql("6"))
 def stm_content_fit(spark, sf_dir):
     """Languages as groups that word topics in their own ways, with sparse deviations."""
