@@ -271,3 +271,29 @@ def test_many_labels_stay_small(monkeypatch):
     assert np.mean([a == f"l{i:04d}" for i, a in enumerate(lang)]) > 0.5
 
 
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null texts and ids, repeated rows, clashing names; then no rows at all."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    words = {"en": ["the", "river", "runs", "over", "old", "stones"], "de": ["der", "fluss", "über", "alte", "steine", "und"]}
+    rows = [(i, " ".join(rng.choices(words[la], k=rng.randint(20, 60))), la, "s", 5, "x", 1.0) for i, la in enumerate(["en", "de"] * 40)]
+    rows += [(500, None, "en", "s", None, None, None), (None, " ".join(rng.choices(words["en"], k=40)), None, None, 1, "x", 0.5), rows[0], rows[0], (501, "", "de", "s", 0, "y", 0.0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score double"
+    for name, some in (("a", rows), ("b", [])):
+        df = spark.createDataFrame(some, schema)
+        df.repartition(2).write.parquet(str(tmp_path / name / "documents.parquet"))
+        docs = df
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path / name))
+            assert docs.columns == df.columns
+        kept = docs.collect()
+        out = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        if not some:
+            assert not kept and not out
+            continue
+        ids = [r["doc_id"] for r in kept]
+        assert 500 not in ids and 501 not in ids and ids.count(0) == 1 and None in ids and len(ids) > 60
+        assert {r["doc_id"] for r in out} == set(ids)
