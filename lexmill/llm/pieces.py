@@ -168,7 +168,7 @@ class Pieces:
         if len(self.known) > CACHE:
             self.known.clear()
         parted = self._parted(texts)
-        self.learn(set().union(*parted) - self.known.keys())
+        self.learn({w for w in set().union(*parted) if w not in self.known})
         known = self.known
         return [np.frombuffer(b"".join([known[w] for w in words]), kind) for words in parted]
 
@@ -314,7 +314,7 @@ class Encoder(Merges):
             self.merged.clear()
         kind = np.uint16 if len(self.table) <= 65536 else np.uint32
         parted = self._parted(texts)
-        self.learn(set().union(*parted) - self.known.keys())
+        self.learn({w for w in set().union(*parted) if w not in self.known})
         raw = [b"".join(map(self.known.__getitem__, words)) for words in parted]
         edge = np.concatenate(([0], np.cumsum([len(x) for x in raw], dtype=np.int64))) // np.dtype(kind).itemsize
         n = np.array([len(words) for words in parted], np.int64)

@@ -76,20 +76,25 @@ def encode(blocks: list[np.ndarray], table: Table, lanes: int = LANES, stride: i
         raise ValueError("an id that the table doesn't have")
     ids = np.ascontiguousarray(ids.reshape(len(blocks), steps, lanes).transpose(1, 0, 2)).reshape(steps, -1)  # a row a step
     live = (np.arange(steps)[:, None] * lanes + np.tile(np.arange(lanes), len(blocks))) < np.repeat(size, lanes)
+    full = live.all(axis=1)  # steps in which no state rests
     x = np.full(len(blocks) * lanes, LOW, np.uint64)
     bits, over = np.uint64(table.bits), np.uint64(LOW_BITS - table.bits + 32)
     emitted, words = np.zeros((steps, len(x)), bool), np.zeros((steps, len(x)), np.uint32)
     every, saved = stride // lanes, {}
     for j in range(steps - 1, -1, -1):
         f, c = table.freq.take(ids[j]), table.start.take(ids[j])
-        f = np.where(live[j], f, np.uint64(1))
-        out = live[j] & (x >> over >= f)
-        emitted[j], words[j] = out, x.astype(np.uint32)
-        x = np.where(out, x >> _WORD, x)
+        if not full[j]:
+            f = np.where(live[j], f, np.uint64(1))
+        out = x >> over >= f
+        if not full[j]:
+            out &= live[j]
+        emitted[j], words[j] = out, x
+        np.right_shift(x, _WORD, out=x, where=out)
         q = x // f
-        x = np.where(live[j], (q << bits) + (x - q * f) + c, x)
+        new = (q << bits) + (x - q * f) + c
+        x = new if full[j] else np.where(live[j], new, x)
         if j % every == 0:
-            saved[j // every] = x.reshape(len(blocks), lanes)
+            saved[j // every] = x.reshape(len(blocks), lanes).copy()
     emitted, words = emitted.reshape(steps, len(blocks), lanes), words.reshape(steps, len(blocks), lanes)
     ahead = np.concatenate((np.zeros((1, len(blocks)), np.int64), np.cumsum(emitted.sum(axis=2), axis=0)))  # words before each step
     made = []

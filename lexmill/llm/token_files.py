@@ -59,8 +59,8 @@ class Encoder:
         self.width = np.zeros(self.size, np.int64)  # a character of a byte-level token is a byte
         for t, i in vocabulary.items():
             self.width[i] = len(t)
-        self.inner: dict[str, bytes | None] = {"": None}
-        self.first: dict[str, bytes | None] = {"": b""}
+        self.inner: dict[str, bytes | bool] = {"": False}  # False: no word
+        self.first: dict[str, bytes | bool] = {"": b""}
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -84,7 +84,7 @@ class Encoder:
     def _learn(self, words: set[str], lead: str, known: dict) -> None:
         new = [w for w in words if w and w.strip() == w]
         if len(new) < len(words):  # not words: their texts are parted anew
-            known.update((w, None) for w in words if w and w.strip() != w)
+            known.update((w, False) for w in words if w and w.strip() != w)
         for lo in range(0, len(new), 20_000):
             self._apart(new[lo : lo + 20_000], lead, known)
 
@@ -93,10 +93,10 @@ class Encoder:
         words = _SPACE.split(text)
         out = []
         for lead, group, known in (("\n", words[:1], self.first), (" ", words[1:], self.inner)):
-            self._learn(set(group) - known.keys(), lead, known)
+            self._learn({w for w in group if w not in known}, lead, known)
             for w in group:
                 x = known[w]
-                out.append(x if x is not None else self._whole([(" " if lead == " " else "") + w])[0].tobytes())
+                out.append(x if x is not False else self._whole([(" " if lead == " " else "") + w])[0].tobytes())
         return b"".join(out)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -104,20 +104,33 @@ class Encoder:
         texts = [t or "" for t in texts]
         if not self.parted:
             return self._whole(texts)
-        for known, empty in ((self.inner, None), (self.first, b"")):
+        for known, empty in ((self.inner, False), (self.first, b"")):
             if len(known) > CACHE:
                 known.clear()
                 known[""] = empty
-        parted = [None if any(s in t for s in self.special) else t.split(" ") for t in texts]
-        self._learn({p[0] for p in parted if p} - self.first.keys(), "\n", self.first)
-        self._learn(set().union(*(p for p in parted if p)) - self.inner.keys(), " ", self.inner)
+        parted, open_, new = [], [], set()
+        for t in texts:
+            if any(s in t for s in self.special):
+                parted.append(None)
+                continue
+            words = t.split(" ")
+            ids = list(map(self.inner.get, words))
+            ids[0] = self.first.get(words[0])
+            parted.append(ids)
+            if None in ids:
+                at = [i for i, x in enumerate(ids) if x is None]
+                open_.append((ids, words, at))
+                new.update(words[i] for i in at if i)
+        self._learn({words[0] for _, words, at in open_ if at[0] == 0}, "\n", self.first)
+        self._learn(new, " ", self.inner)
+        for ids, words, at in open_:
+            for i in at:
+                ids[i] = self.inner[words[i]] if i else self.first[words[0]]
         out = []
-        for t, p in zip(texts, parted, strict=True):
-            if p is None:
+        for t, ids in zip(texts, parted, strict=True):
+            if ids is None:
                 out.append(self._whole([t])[0])
                 continue
-            ids = list(map(self.inner.__getitem__, p))
-            ids[0] = self.first[p[0]]
             try:
                 raw = b"".join(ids)
             except TypeError:  # a part that is no word
