@@ -31,6 +31,12 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return at
 
 
+def drop(spark: SparkSession, at: str) -> None:
+    """Deletes a folder that scratch() made, or one within it, which nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and returns it without its lineage."""
     shared_dir(df.sparkSession)
