@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 
 def kfold(docs: DataFrame, k: int = 5, seed: int = 0, by: str | None = None) -> DataFrame:
     """(doc_id, fold): folds by a hash of the id, or of a group's value, which keeps groups whole. No shuffle, any size."""
@@ -14,10 +16,25 @@ def kfold(docs: DataFrame, k: int = 5, seed: int = 0, by: str | None = None) ->
     return docs.select("doc_id", F.pmod(F.xxhash64(F.lit(seed), key.cast("string")), F.lit(k)).cast("int").alias("fold"))
 
 
+def _ranked(rows: DataFrame, *order) -> DataFrame:
+    """rows with nth, their number from 0 in the given order, and n, how many there are.
+
+    Ranges of the order are numbered by themselves; the rows of the ranges before (a number a range) come on top, so no task
+    orders them all.
+    """
+    ranges = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = cut(rows.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id()))
+    sizes = parts.groupBy("part").agg(F.count("*").alias("own"))
+    w = Window.orderBy("part")  # one row a range
+    starts = sizes.select("part", (F.sum("own").over(w) - F.col("own")).alias("start"), F.sum("own").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1 + F.col("start")
+    return parts.join(F.broadcast(starts), "part").withColumn("nth", nth).drop("part", "start")
+
+
 def balanced_groups(docs: DataFrame, by: str, k: int = 5) -> DataFrame:
     """(doc_id, fold): groups dealt to folds by size, in a boustrophedon order, so fold sizes are close."""
-    g = docs.groupBy(by).agg(F.count("*").alias("n"))
-    i = F.row_number().over(Window.orderBy(F.desc("n"), by)) - 1  # one row a group
+    g = _ranked(docs.groupBy(by).agg(F.count("*").alias("size")), F.desc("size"), F.col(by))
+    i = F.col("nth")
     back = F.floor(i / k) % 2 == 1
     folds = g.select(by, F.when(back, k - 1 - i % k).otherwise(i % k).cast("int").alias("fold"))
     return docs.join(folds, by).select("doc_id", "fold")
@@ -25,8 +42,11 @@ def balanced_groups(docs: DataFrame, by: str, k: int = 5) -> DataFrame:
 
 def temporal(docs: DataFrame, time: str, k: int = 5, rolling: bool = False) -> DataFrame:
     """(fold, doc_id, role): blocks of distinct times in order; fold f tests block f and trains on those before (or on the one before)."""
-    times = docs.select(F.col(time).alias("t")).where("t is not null").distinct()
-    blocks = times.select("t", F.ntile(k + 1).over(Window.orderBy("t")).alias("block"))  # one row a time
+    times = _ranked(docs.select(F.col(time).alias("t")).where("t is not null").distinct(), F.col("t"))
+    # as ntile has them: the first n % (k + 1) blocks hold one more
+    size, more, i = F.floor(F.col("n") / (k + 1)), F.col("n") % (k + 1), F.col("nth")
+    block = F.when(i < more * (size + 1), F.floor(i / (size + 1))).otherwise(more + F.floor((i - more * (size + 1)) / F.greatest(size, F.lit(1)))) + 1
+    blocks = times.select("t", block.cast("int").alias("block"))
     d = docs.join(blocks, docs[time] == blocks["t"]).select("doc_id", "block")
     folds = F.explode(F.sequence(F.lit(1), F.lit(k))).alias("fold")
     r = d.select("doc_id", "block", folds)

@@ -1,6 +1,7 @@
 """Models built on others, on planted corpora."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from test_models import blocks, planted, simplex
 
@@ -55,6 +56,25 @@ def test_trees(spark):
     simplex(M.ThreadTM(M.LDA(2, iters=6, seed=1)).fit(M.Corpus(docs), replies))
 
 
+def test_deep_threads_cost_a_logarithm_of_rounds(spark):
+    """A chain of 700 replies: weights and mixtures equal the plain recurrences; a cycle is an error."""
+    n, share, fall = 700, 0.3, 0.9
+    parents = spark.createDataFrame([(i, i - 1 if i else None) for i in range(n)], "doc_id long, parent long")
+    w = {r["doc_id"]: r["weight"] for r in M.CSATM(M.LDA(2), fall=fall).popularity(parents).collect()}
+    assert np.allclose([w[i] for i in range(n)], [(1 - fall ** (n - i)) / (1 - fall) for i in range(n)])
+    p = np.random.default_rng(0).random(n)
+    theta = spark.createDataFrame([(i, t, float(x)) for i, v in enumerate(p) for t, x in enumerate((v, 1 - v)) if i % 7], "doc_id long, topic int, p double")
+    got = {r["doc_id"]: r["p"] for r in smooth_on_tree(theta, parents, share).where("topic = 0").collect()}
+    v, m = 0.0, 0.0
+    for i in range(n):
+        keep = 1.0 if i == 0 else 1 - share
+        v, m = keep * (p[i] if i % 7 else 0.0) + share * v, keep * (i % 7 > 0) + share * m
+        assert (i not in got and m == 0) or np.isclose(got[i], v / m)
+    loop = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, parent long")
+    with pytest.raises(ValueError):
+        M.CSATM(M.LDA(2), fall=0.5).popularity(loop)
+
+
 def test_guided_nmf(spark):
     seeds = {"a": ["w00x", "w01x"], "b": ["w10x", "w11x"], "c": ["w20x", "w21x"]}
     fit = M.GuidedNMF(seeds, iters=20, seed=1).fit(M.Corpus(readers.from_tokens(spark, planted())))
