@@ -24,7 +24,7 @@ LEAST_DOCS, TOP, SMOOTH, SCALE = 30, 50, 5, 1_000_000_000
 #: Sources of a group block, kept terms that a vocabulary chunk is planned for, and chunks that a task of a tile reads.
 GROUPS, TERMS, CHUNKS = 64, 2048, 64
 #: Distinct (group, term) entries that a counting task holds before it hands them on.
-HELD = 700_000
+HELD = 400_000
 
 #: Bytes that part terms become spaces, A to Z become a to z; bytes beyond ASCII stay.
 _TERMS = bytes(c if c >= 0x80 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))

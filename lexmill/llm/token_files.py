@@ -229,7 +229,9 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = END_ID,
     spark = tuned(docs.sparkSession)
     kind = Encoder(tokenizer_path).kind
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
-    rows = cut(rows.mapInArrow(_tokens(tokenizer_path, end_id), "doc_id long, tie long, ids binary"))
+    held = f"{scratch(spark, 'tokens')}/ids"
+    rows.mapInArrow(_tokens(tokenizer_path, end_id), "doc_id long, tie long, ids binary").write.option("compression", "zstd").parquet(held)
+    rows = spark.read.parquet(held)
     counts = {r["id"]: r["n"] for r in rows.select("ids").mapInArrow(_counts(kind), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
     total = np.zeros(max(counts, default=-1) + 1, np.int64)
     total[list(counts)] = list(counts.values())
