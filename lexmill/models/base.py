@@ -70,8 +70,11 @@ class TopicModel:
     def coherence(self, docs: DataFrame, measure: str = "u_mass", n: int = 10) -> DataFrame:
         return cooccurrence.coherence(docs, self.top_table(docs.sparkSession, n), measure)
 
-    def log_likelihood(self, corpus: Corpus) -> tuple[float, float]:
-        """(sum over tokens of the log of their words' chances under the documents' mixtures and the topics, number of tokens)."""
+    def log_likelihood(self, corpus: Corpus, product: bool = False) -> tuple[float, float]:
+        """(sum over tokens of the log of their words' chances under the documents' mixtures and the topics, number of tokens).
+
+        With product, a document's words follow the weighted product of its topics, scaled to 1, instead of their mixture.
+        """
         mixture = self.theta.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("topic", "p"))).alias("t")).select("doc_id", F.col("t.topic").alias("k"), F.col("t.p").alias("p"))
         held, k = corpus.spark.sparkContext.broadcast(np.ascontiguousarray(self.topic_word.T, np.float32)), self.num_topics
 
@@ -81,8 +84,16 @@ class TopicModel:
                 theta = np.zeros((len(bag), k))
                 at = pc.list_value_length(bag.batch.column("k")).to_numpy(zero_copy_only=False)
                 theta[np.repeat(np.arange(len(bag)), at), bag.batch.column("k").flatten().to_numpy(zero_copy_only=False)] = bag.batch.column("p").flatten().to_numpy(zero_copy_only=False)
+                n += float(bag.n.sum())
+                if product:
+                    logs = np.log(np.maximum(held.value, 1e-30)).astype(np.float64)
+                    for lo in range(0, len(bag), 32):  # documents x V at once
+                        scale = np.log(np.exp(theta[lo : lo + 32] @ logs.T).sum(axis=1))
+                        on = slice(bag.first[lo], bag.first[lo + 32] if lo + 32 < len(bag) else None)
+                        like += float(bag.n[on] @ (np.einsum("ij,ij->i", theta[bag.own[on]], logs[bag.i[on]]) - scale[bag.own[on] - lo]))
+                    continue
                 p = np.einsum("ij,ij->i", theta.astype(np.float32)[bag.own], held.value[bag.i]).astype(np.float64)
-                like, n = like + float(bag.n @ np.log(np.maximum(p, 1e-30))), n + float(bag.n.sum())
+                like += float(bag.n @ np.log(np.maximum(p, 1e-30)))
             yield pa.RecordBatch.from_arrays([pa.array([like]), pa.array([n])], ["like", "n"])
 
         r = corpus.rows.select("doc_id", "i", "n").join(mixture, "doc_id").mapInArrow(run, "like double, n double").agg(F.sum("like"), F.sum("n")).first()

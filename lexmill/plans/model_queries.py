@@ -38,7 +38,7 @@ true AS gains, true AS parts_languages""" if valued else ""
 1.0 AS theta_low, 1.0 AS theta_high, {phi} AS phi_low, {phi} AS phi_high, true AS improves{values}"""
 
 
-def _sound(m, corpus=None, langs=None, up: bool | None = True, gain: float = 0.2, purity: float = 0.8):
+def _sound(m, corpus=None, langs=None, up: bool | None = True, gain: float = 0.2, purity: float = 0.8, product: bool = False):
     """One row: what must hold of a fit, and how well it explains its corpus.
 
     Numbers of topics, words and documents, the least and greatest sums of mixtures and of topics, and if the fit's own
@@ -50,7 +50,7 @@ def _sound(m, corpus=None, langs=None, up: bool | None = True, gain: float = 0.2
     t = m.theta.groupBy("doc_id").agg(F.sum("p").alias("s")).agg(F.count("*").alias("docs"), F.round(F.min("s"), 6).alias("theta_low"), F.round(F.max("s"), 6).alias("theta_high"))
     out = {"topics": F.lit(len(sums)), "words": F.lit(len(m.words)).cast("long"), "phi_low": F.lit(float(sums.min())), "phi_high": F.lit(float(sums.max()))}
     if corpus is not None:
-        like, n = m.log_likelihood(corpus)
+        like, n = m.log_likelihood(corpus, product)
         cf = corpus.rows.select(F.inline(F.arrays_zip("i", "n"))).groupBy("i").agg(F.sum("n").alias("n"))
         u = cf.agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log("n")).alias("x")).first()
         unigram = u["x"] / u["t"] - np.log(u["t"])
@@ -104,7 +104,7 @@ def lda_priors_fit(spark, sf_dir):
 def online_lda_fit(spark, sf_dir):
     c = _corpus(spark, sf_dir)
     m = M.OnlineLDA(10, iters=60, batches=3, tau=1.0).fit(c)
-    m.fit_history = m.fit_history[::3]  # the same batch each time
+    m.fit_history = m.fit_history[::3]  # bounds of the same batch
     return _sound(m, c, table(spark, sf_dir, "documents").select("doc_id", "lang"))
 
 
@@ -190,7 +190,7 @@ def lsa_fit(spark, sf_dir):
 
 @query(_sound_sql("15"))
 def gsdmm_fit(spark, sf_dir):
-    return _fitted(spark, sf_dir, M.GSDMM(15, iters=30), _corpus(spark, sf_dir))
+    return _fitted(spark, sf_dir, M.GSDMM(15, iters=30), _corpus(spark, sf_dir), up=None)  # its history counts clusters
 
 
 @query(_sound_sql("6", docs="(SELECT count(*) FROM d)"))
