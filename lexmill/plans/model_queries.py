@@ -38,12 +38,12 @@ true AS gains, true AS parts_languages""" if valued else ""
 1.0 AS theta_low, 1.0 AS theta_high, {phi} AS phi_low, {phi} AS phi_high, true AS improves{values}"""
 
 
-def _sound(m, corpus=None, langs=None, up: bool | None = True, gain: float = 0.2, purity: float = 0.8, product: bool = False):
+def _sound(m, corpus=None, langs=None, up: bool | None = True, gain: float | None = 0.2, purity: float = 0.8, product: bool = False):
     """One row: what must hold of a fit, and how well it explains its corpus.
 
     Numbers of topics, words and documents, the least and greatest sums of mixtures and of topics, and if the fit's own
     measure got better (up: which way; None where it is no measure of the fit, for which the gain then stands). With the corpus also its tokens and their mean log chance when words are drawn without topics, and
-    whether the fit's mixtures and topics raise that by gain at least; with langs, whether the topics part the languages,
+    whether the fit's mixtures and topics raise that by gain at least (None: not asked); with langs, whether the topics part the languages,
     which the fit isn't told: of all topics' mass, the share that lies in the topic's leading language, against purity.
     """
     h, sums = [x for _, x in m.fit_history], np.round(m.topic_word.sum(axis=1), 6)
@@ -55,7 +55,7 @@ def _sound(m, corpus=None, langs=None, up: bool | None = True, gain: float = 0.2
         u = cf.agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log("n")).alias("x")).first()
         unigram = u["x"] / u["t"] - np.log(u["t"])
         gains = like / n - unigram
-        out |= {"tokens": F.lit(int(u["t"])).cast("long"), "unigram": F.lit(round(float(unigram), 4)), "gains": F.lit(bool(gains >= gain))}
+        out |= {"tokens": F.lit(int(u["t"])).cast("long"), "unigram": F.lit(round(float(unigram), 4)), "gains": F.lit(bool(gain is None or gains >= gain))}
         log(f"gain {gains:.3f}")
         own = m.theta.join(langs.where("lang is not null").withColumnRenamed("doc_id", "owner"), F.substring_index(m.theta["doc_id"].cast("string"), ":", 1) == F.col("owner").cast("string"))  # chunks are named document:number
         mass = own.groupBy("topic", "lang").agg(F.sum("p").alias("x")).groupBy("topic").agg(F.max("x").alias("lead"), F.sum("x").alias("all")).agg(F.sum("lead") / F.sum("all")).first()[0]
@@ -63,7 +63,7 @@ def _sound(m, corpus=None, langs=None, up: bool | None = True, gain: float = 0.2
         out["parts_languages"] = F.lit(bool((mass or 0) >= purity))
     else:
         gains = None
-    better = (h[-1] > h[0] if up else h[-1] < h[0]) if len(h) > 1 and up is not None else gains is not None and gains >= gain
+    better = (h[-1] > h[0] if up else h[-1] < h[0]) if len(h) > 1 and up is not None else gains is not None and gains >= (gain or 0.0)
     out["improves"] = F.lit(bool(better))
     log(f"history {h[:1]} {h[-1:]} {len(h)}")
     return t.select("docs", "theta_low", "theta_high", *[v.alias(k) for k, v in out.items()])

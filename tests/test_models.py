@@ -191,4 +191,4 @@ def test_registered_fits_use_the_default_vocabularies(spark, tmp_path, monkeypat
     for query in (Q.anchor_lda_fit, Q.wordfish_positions):
         with pytest.raises(InterruptedError):
             query(spark, str(tmp_path))
-    assert (seen[0]["max_words"], seen[1]["max_words"], seen[1]["iters"]) == (2000, 20_000, 100)
+    assert (seen[0]["width"], seen[1]["max_words"], seen[1]["iters"]) == (256, 20_000, 100)
