@@ -65,8 +65,8 @@ _CHUNKS = CORPUS.replace("d AS (SELECT * FROM docs WHERE len(toks) > 0)", """d A
 
 @query(_sound_sql("4", ctes=_CHUNKS))
 def narrative_fit(spark, sf_dir):
-    m = M.NarrativeTM(4, degree=2, chunk=50, iters=40)
-    return _fitted(spark, sf_dir, m, M.Corpus(m.chunks(docs(spark, sf_dir).select("doc_id", "tokens")), carry=("features",), **LIMITS))
+    m = M.NarrativeTM(4, degree=2, chunk=50, iters=12)
+    return _fitted(spark, sf_dir, m, M.Corpus(m.chunks(docs(spark, sf_dir).select("doc_id", "tokens")), carry=("features",), **LIMITS), purity=0.0)  # chunks are short
 
 
 def _vectors(spark, sf_dir):
