@@ -90,7 +90,7 @@ def gaussian_lda_fit(spark, sf_dir):
 
 @query(_sound_sql("5"))
 def prodlda_fit(spark, sf_dir):
-    return _fitted(spark, sf_dir, M.ProdLDA(5, hidden=32, rounds=25, batch=20, lr=0.02), _corpus(spark, sf_dir), product=True, gain=0.05, purity=0.0)
+    return _fitted(spark, sf_dir, M.ProdLDA(5, hidden=32, rounds=25, batch=20, lr=0.02), _corpus(spark, sf_dir), product=True, gain=None, purity=0.0)
 
 
 _WITH_VECTORS = """(SELECT count(DISTINCT doc_id) FROM tokens WHERE word IN (SELECT word FROM kept) AND doc_id IN (SELECT vec_id FROM embeddings
@@ -103,19 +103,19 @@ def _document_vectors(spark, sf_dir):
 
 @query(_sound_sql("5", docs=_WITH_VECTORS))
 def combined_tm_fit(spark, sf_dir):
-    return _fitted(spark, sf_dir, M.CombinedTM(5, hidden=32, rounds=25, batch=20, lr=0.02), _corpus(spark, sf_dir), _document_vectors(spark, sf_dir), product=True, gain=0.05, purity=0.0)
+    return _fitted(spark, sf_dir, M.CombinedTM(5, hidden=32, rounds=25, batch=20, lr=0.02), _corpus(spark, sf_dir), _document_vectors(spark, sf_dir), product=True, gain=None, purity=0.0)
 
 
 @query(_sound_sql("5", docs=_WITH_VECTORS))
 def zero_shot_tm_fit(spark, sf_dir):
-    return _fitted(spark, sf_dir, M.ZeroShotTM(5, hidden=32, rounds=25, batch=20, lr=0.02), _corpus(spark, sf_dir), _document_vectors(spark, sf_dir), product=True, gain=0.05, purity=0.0)
+    return _fitted(spark, sf_dir, M.ZeroShotTM(5, hidden=32, rounds=25, batch=20, lr=0.02), _corpus(spark, sf_dir), _document_vectors(spark, sf_dir), product=True, gain=None, purity=0.0)
 
 
 @query(_sound_sql("5"))
 def scholar_fit(spark, sf_dir):
     m = M.Scholar(5, hidden=32, rounds=25, batch=20, lr=0.02, n_features=1, n_classes=2)
     d = docs(spark, sf_dir).withColumns(_features()).join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("y")), "doc_id", "left")
-    return _fitted(spark, sf_dir, m, M.Corpus(d, carry=m.carry, **LIMITS), product=True, gain=0.05, purity=0.0)
+    return _fitted(spark, sf_dir, m, M.Corpus(d, carry=m.carry, **LIMITS), product=True, gain=None, purity=0.0)
 
 
 @query(_sound_sql("4", docs="(SELECT count(DISTINCT doc_id) FROM tokens JOIN kept USING (word) WHERE source IS NOT NULL)"))
