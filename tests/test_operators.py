@@ -2,6 +2,8 @@
 
 import math
 import random
+import time
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -61,6 +63,27 @@ def test_chunks(spark):
     assert got == [(0, "a b. c d e."), (0, "f g h i j"), (0, "k l. m."), (1, "one.")]
 
 
+def test_top_biterms_leave_rare_words_out_exactly(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [[f"w{int(rng.paretovariate(0.7))}" for _ in range(40)] for _ in range(60)]
+    every = Counter(tuple(sorted((t[x], t[y]))) for t in texts for x in range(40) for y in range(x + 1, min(x + 5, 40)))
+    want = sorted(((a, b, m) for (a, b), m in every.items()), key=lambda r: (-r[2], r[:2]))[:10]
+    for lead, listed in ((20, 50_000), (3, 50_000), (20, 2)):  # the bound holds; too few leading words; too many words left
+        monkeypatch.setattr(documents, "LEADING", lead)
+        monkeypatch.setattr(documents, "LISTED", listed)
+        assert [tuple(r) for r in documents.top_biterms(from_tokens(spark, texts), 10, 5).collect()] == want
+
+
+def test_sentence_chunks_fold_numbers_only(spark):
+    """A fold that copied its words for each sentence took minutes here."""
+    t = from_texts(spark, [" ".join(f"w{i} x y." for i in range(40_000)), "a. " * 7, " ".join(map(str, range(240))), ""])
+    start = time.monotonic()
+    got = {(r["parent"], r["chunk"]): r["text"].split() for r in documents.chunk_sentences(t, 120, 30).collect()}
+    assert time.monotonic() - start < 30
+    assert [len(got[0, i]) for i in range(1000)] == [120] * 1000 and got[0, 999][0] == f"w{999 * 40}" and got[1, 0] == ["a."] * 7
+    assert [len(got[2, i]) for i in range(2)] == [120, 120] and got[3, 0] == [] and len(got) == 1004
+
+
 def test_ngrams_and_phrases(spark):
     d = from_tokens(spark, [["a", "b", "c"], ["x"], []])
     assert [r["tokens"] for r in documents.ngrams(d, 1, 3).orderBy("doc_id").collect()] == [["a", "b", "c", "a_b", "b_c", "a_b_c"], ["x"], []]
@@ -93,6 +116,11 @@ def test_biterms_and_splits(spark):
                 want[k] = want.get(k, 0) + 1
     d = from_tokens(spark, texts)
     assert {(r["doc_id"], r["w1"], r["w2"]): r["n"] for r in documents.biterms(d, 4).collect()} == want
+    every = {}
+    for (_, a, b), n in want.items():
+        every[a, b] = every.get((a, b), 0) + n
+    for n in (3, 100):
+        assert [tuple(r) for r in documents.top_biterms(d, n, 4).collect()] == sorted(((a, b, m) for (a, b), m in every.items()), key=lambda r: (-r[2], r[:2]))[:n]
     split = {r["doc_id"]: (r["estimate"], r["score"]) for r in documents.even_odd(d).collect()}
     assert split == {i: (t[::2], t[1::2]) for i, t in enumerate(texts) if len(t) > 1}
     held = documents.heldout(d, 1.0, 0.5).collect()
