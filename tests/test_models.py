@@ -192,3 +192,33 @@ def test_registered_fits_use_the_default_vocabularies(spark, tmp_path, monkeypat
         with pytest.raises(InterruptedError):
             query(spark, str(tmp_path))
     assert (seen[0]["width"], seen[1]["max_words"], seen[1]["iters"]) == (256, 20_000, 100)
+
+
+def test_sums_of_matrices_leave_columns_of_zeros_out(spark):
+    """Sparse and full blocks, both widths of cells, the vector, and empty tasks."""
+    from lexmill.models.base import CELLS, parts, summed
+
+    for v in (7, CELLS):
+        def run(batches, v=v):
+            total, extra = np.zeros((3, v)), np.zeros(2)
+            for b in batches:
+                for i in b.column(0).to_pylist():
+                    total[:, i * 997 % v] += [1.0, i, 0.5]
+                    total[2, v - 1] += 1.0
+                    extra += [i, 1.0]
+            yield from parts(total, extra)
+
+        got, extra = summed(spark.range(0, 200, 1, 9), run, (3, v), 2)
+        want = np.zeros((3, v))
+        for i in range(200):
+            want[:, i * 997 % v] += [1.0, i, 0.5]
+            want[2, v - 1] += 1.0
+        assert np.allclose(got, want) and extra.tolist() == [19900.0, 200.0]
+    sent = sum(len(b.column(2)[0].as_buffer()) for b in parts(np.eye(3, CELLS)))
+    assert sent == 3 * 3 * 4  # three columns of three cells, four bytes each
+
+
+def test_every_word_that_pruning_leaves_is_fitted(spark):
+    """More words than the 200,000 at which vocabularies were once cut."""
+    docs = spark.range(41).select(F.col("id").alias("doc_id"), F.transform(F.sequence(F.lit(0), F.lit(4999)), lambda i: F.concat(F.lit("w"), (F.col("id") * 5000 + i).cast("string"))).alias("tokens"))
+    assert M.Corpus(docs).size == 205_000
