@@ -105,6 +105,18 @@ def test_ngrams_and_phrases(spark):
     assert [r["tokens"] for r in got] == [["a_b", "c"], ["c_c", "c_c", "b_c"], ["q"]]
 
 
+def test_phrases_in_long_documents(spark, monkeypatch):
+    """Both ways of the join, null ids, and a row of 200,000 tokens with as many known pairs, whose cost once grew with its square."""
+    pairs = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "a")], "a string, b string")
+    d = spark.createDataFrame([(None, ["a", "b", "a"]), (1, ["x"]), (2, ["a", "b"] * 100_000), (3, ["y", "a", "a", "a", "z", "b", "a"])], "doc_id long, tokens array<string>")
+    for most in (10, 0):
+        monkeypatch.setattr(documents, "BROADCAST_PHRASES", most)
+        start = time.monotonic()
+        got = {r["doc_id"]: r["tokens"] for r in documents.apply_phrases(d, pairs).collect()}
+        assert time.monotonic() - start < 60
+        assert got == {None: ["a_b", "a"], 1: ["x"], 2: ["a_b"] * 100_000, 3: ["y", "a_a", "a", "z", "b_a"]}
+
+
 def test_biterms_and_splits(spark):
     rng = random.Random(1)
     texts = [[rng.choice("abcd") for _ in range(rng.randint(0, 12))] for _ in range(20)]
