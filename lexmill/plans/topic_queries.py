@@ -11,7 +11,7 @@ from ..operators import embedding as EM
 from ..operators import threads as TH
 from ..operators import topics as TP
 from ..operators import vocabulary as V
-from .base import _PATTERN, CORPUS, TOPICS, docs, phi, query, r6, table, theta, top_words
+from .base import _PATTERN, CORPUS, TOPICS, bag, docs, phi, query, r6, table, theta, top_words
 
 _T = f"WITH {CORPUS}, {TOPICS}"
 _RANK = """, ex AS (SELECT topic, word, p, round(p / sum(p) OVER (PARTITION BY word), 12) AS e FROM phi),
@@ -162,13 +162,13 @@ pw AS (SELECT b.doc_id, b.word, any_value(b.n) AS n, sum(phi.p * theta.p) AS p F
 @query(_LIK + " SELECT CAST(sum(n) AS BIGINT) AS tokens, round(exp(-sum(n * ln(p)) / sum(n)), 4) AS perplexity FROM pw")
 def perplexity_given_phi(spark, sf_dir):
     d = docs(spark, sf_dir)
-    return TP.perplexity(V.bag(d), phi(d), theta(d)).select("tokens", F.round("perplexity", 4).alias("perplexity"))
+    return TP.perplexity(bag(d), phi(d), theta(d)).select("tokens", F.round("perplexity", 4).alias("perplexity"))
 
 
 @query(_LIK + " SELECT doc_id, CAST(sum(n) AS BIGINT) AS n, round(-sum(n * ln(p)) / sum(n), 6) AS novelty FROM pw GROUP BY doc_id")
 def document_residuals(spark, sf_dir):
     d = docs(spark, sf_dir)
-    return TP.document_residuals(V.bag(d), phi(d), theta(d)).withColumn("novelty", r6("novelty"))
+    return TP.document_residuals(bag(d), phi(d), theta(d)).withColumn("novelty", r6("novelty"))
 
 
 @query(f"""WITH {CORPUS}, x AS (SELECT CAST(len(toks) AS DOUBLE) AS y, CAST(doc_id % 7 AS DOUBLE) AS x FROM d), m AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, count(*) AS n, regr_sxx(y, x) AS sxx, avg(x) AS mx FROM x),
