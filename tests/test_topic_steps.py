@@ -1,12 +1,17 @@
 """Topics, mixtures and ranks at size: what is read, multiplied or held in one task."""
 
 import re
+import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lexmill.operators import embedding, topics
+from lexmill.functions.arrays import digamma
+from lexmill.models.base import Bags
+from lexmill.models.variational import INNER, TOL, e_steps, short
+from lexmill.operators import cooccurrence, embedding, topics
 from lexmill.plans import base
 
 
@@ -62,3 +67,47 @@ def test_outliers_multiply_no_word_by_topics(spark):
     out = embedding.assign_outliers(words, phi)
     assert {tuple(r) for r in out.collect()} == {(1, "a"), (2, "a")}  # a lacks y, which then doesn't count for it
     assert not re.search(r"keys=\[doc_id#\d+L?, topic#", plan(out))
+
+
+def test_windows_of_pairs_take_time_linear_in_a_row(spark):
+    """Squares of 20,000 runs took minutes."""
+    n, w = 20_000, 3
+    tokens = ["x", "y", "o", "o", "o", "o", "o"] * n
+    docs = spark.createDataFrame([(1, tokens), (2, ["x", "o", "y", "y", "x"])], "doc_id long, tokens array<string>")
+    top = spark.createDataFrame([("t", 1, "x"), ("t", 2, "y")], "topic string, rank int, word string")
+    starts = [{"x", "y"} <= set(t[s : s + w]) for t in (tokens, ["x", "o", "y", "y", "x"]) for s in range(len(t) - w + 1)]
+    began = time.time()
+    _, _, co = cooccurrence.window_counts(docs, top, w)
+    assert [tuple(r) for r in co.collect()] == [("x", "y", sum(starts))]
+    assert time.time() - began < 20
+
+
+def test_inference_runs_along_memory():
+    """Equal to plain loops over documents, and faster than sums over rows of K."""
+    rng, k, v = np.random.default_rng(0), 20, 5000
+    docs = [np.unique(rng.integers(0, v, rng.integers(1, 200)), return_counts=True) for _ in range(1000)]
+    lists = [pa.array([x[j].astype(np.int32) for x in docs], pa.list_(pa.int32())) for j in (0, 1)]
+    bag = Bags(pa.RecordBatch.from_arrays(lists, ["i", "n"]))
+    beta, alpha = short(rng.dirichlet(np.full(v, 0.1), k)), np.full(k, 0.1)
+    e_steps(bag, alpha, beta)
+    began = time.time()
+    gamma, stats, like = e_steps(bag, alpha, beta)
+    took = time.time() - began
+    for d in (0, 17, 999):
+        i, n = docs[d]
+        g = alpha + n.sum() / k
+        for _ in range(INNER):
+            et = np.exp(digamma(g) - digamma(np.array([g.sum()])))
+            g, old = alpha + et * ((n / (beta[i] @ et))[:, None] * beta[i]).sum(axis=0), g
+            if np.abs(g - old).mean() <= TOL * n.sum() / k + 1e-5:
+                break
+        et = np.exp(digamma(g) - digamma(np.array([g.sum()])))
+        assert np.allclose(gamma[d], g, rtol=0.02, atol=0.02) and np.isclose(like[d], n @ np.log(beta[i] @ et), rtol=1e-4)  # it may take a few rounds more
+        assert np.allclose(stats[bag.own == d].sum(axis=1), n, rtol=1e-4)
+    b, rounds = beta[bag.i], 20
+    began = time.time()
+    for _ in range(rounds):  # rounds by rows
+        et = np.exp(digamma(gamma) - digamma(gamma.sum(axis=1, keepdims=True))).astype(np.float32)
+        norm = np.einsum("ij,ij->i", et[bag.own], b).astype(np.float64) + 1e-100
+        np.add.reduceat(b * (bag.n / norm).astype(np.float32)[:, None], bag.first, axis=0, dtype=np.float64)
+    assert took < (time.time() - began) / rounds * INNER * 0.6
