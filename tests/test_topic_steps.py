@@ -11,7 +11,8 @@ import pytest
 from lexmill.functions.arrays import digamma
 from lexmill.models.base import Bags
 from lexmill.models.variational import INNER, TOL, e_steps, short
-from lexmill.operators import cooccurrence, embedding, topics
+from lexmill import models as M
+from lexmill.operators import cooccurrence, embedding, topics, weights
 from lexmill.plans import base
 
 
@@ -111,3 +112,19 @@ def test_inference_runs_along_memory():
         norm = np.einsum("ij,ij->i", et[bag.own], b).astype(np.float64) + 1e-100
         np.add.reduceat(b * (bag.n / norm).astype(np.float32)[:, None], bag.first, axis=0, dtype=np.float64)
     assert took < (time.time() - began) / rounds * INNER * 0.6
+
+
+def shuffled(spark) -> int:
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_encoders_send_words_that_tasks_met(spark):
+    docs = spark.createDataFrame([(d, [f"w{d * 10 + j}" for j in range(10)]) for d in range(400)], "doc_id long, tokens array<string>")
+    c = M.Corpus(docs)
+    assert c.rows.count() == 400 and c.size == 4000
+    before = shuffled(spark)
+    m = M.ProdLDA(2, hidden=64, rounds=1).fit(c)
+    assert len(m.fit_history) == 1
+    assert shuffled(spark) - before < 4_000_000  # three times the network from each of four tasks is 13 MB
