@@ -5,19 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from .vocabulary import bag
 
+#: Words whose document counts are sent to all tasks: the most frequent.
+SENT = 250_000
+
 
 def idf(vocab: DataFrame, n_docs: int) -> DataFrame:
     return vocab.select("word", F.log(F.lit(float(n_docs)) / F.col("df")).alias("idf"))
 
 
 def tfidf(docs: DataFrame, n_docs: int | None = None, normalise: bool = True) -> DataFrame:
-    """(doc_id, word, weight): tf * (ln((1 + D) / (1 + df)) + 1), each document of length 1."""
-    b = bag(docs)
-    n_docs = docs.count() if n_docs is None else n_docs
-    df = b.groupBy("word").agg(F.count("*").alias("df"))
-    out = b.join(df, "word").select("doc_id", "word", (F.col("n") * (F.log((1.0 + n_docs) / (1 + F.col("df"))) + 1)).alias("weight"))
+    """(doc_id, word, weight): tf * (ln((1 + D) / (1 + df)) + 1), each document of length 1.
+
+    Documents are dealt once, as token lists. The counts of frequent words are sent to them; only rows of rare words are
+    shuffled to find theirs.
+    """
+    dealt = docs.select("doc_id", "tokens").repartition("doc_id").persist()  # read three times
+    b = bag(dealt)
+    n_docs = dealt.count() if n_docs is None else n_docs
+    # documents without an id can't be met again by it, so their words are sent too
+    df = cut(b.groupBy("word").agg(F.count("*").alias("df"), F.max(F.col("doc_id").isNull()).alias("unnamed")))
+    if df.count() <= SENT:
+        known = b.join(F.broadcast(df.select("word", "df")), "word")
+    else:
+        least, left = 1, SENT
+        for r in df.groupBy("df").agg(F.count("*").alias("words")).orderBy(F.desc("df")).toLocalIterator():  # a row a different count
+            left -= r["words"]
+            if left < 0:
+                least = r["df"] + 1
+                break
+        sent = F.broadcast(df.where((F.col("df") >= least) | F.col("unnamed")).select("word", "df"))
+        rare = dealt.select("doc_id", F.explode(F.array_distinct("tokens")).alias("word")).join(sent, "word", "left_anti").join(df.select("word", "df"), "word")
+        own = rare.groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("word", "df"))).alias("rare"))
+        known = b.join(sent, "word", "left").join(own, "doc_id", "left").withColumn("df", F.coalesce("df", F.col("rare")[F.col("word")]))
+    out = known.select("doc_id", "word", (F.col("n") * (F.log((1.0 + n_docs) / (1 + F.col("df"))) + 1)).alias("weight"))
     if not normalise:
         return out
     size = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("doc_id")))
@@ -46,11 +69,12 @@ def cluster_tfidf(docs: DataFrame, by: str) -> DataFrame:
     """(class, word, weight): unit tf-idf averaged over a class, times ln((1 + K) / (1 + cf)) + 1, each class summing to 1."""
     t = tfidf(docs).join(docs.select("doc_id", F.col(by).alias("class")), "doc_id")
     size = docs.groupBy(F.col(by).alias("class")).agg(F.count("*").alias("size"))
-    mean = t.groupBy("class", "word").agg(F.sum("weight").alias("s")).join(F.broadcast(size), "class").withColumn("m", F.col("s") / F.col("size"))
+    mean = cut(t.groupBy("class", "word").agg(F.sum("weight").alias("s")).join(F.broadcast(size), "class").withColumn("m", F.col("s") / F.col("size")))
     k = size.agg(F.count("*").alias("k"))
     cf = mean.groupBy("word").agg(F.count("*").alias("cf"))
     w = mean.join(cf, "word").join(F.broadcast(k), F.lit(True)).withColumn("w", F.col("m") * (F.log((1.0 + F.col("k")) / (1.0 + F.col("cf"))) + 1))
-    return w.select("class", "word", (F.col("w") / F.sum("w").over(Window.partitionBy("class"))).alias("weight"))
+    total = w.groupBy("class").agg(F.sum("w").alias("total"))
+    return w.join(F.broadcast(total), "class").select("class", "word", (F.col("w") / F.col("total")).alias("weight"))
 
 
 def fighting_words(docs: DataFrame, by: str, a, b, prior: float = 0.01, informative: bool = False, min_count: int = 1) -> DataFrame:

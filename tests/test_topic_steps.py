@@ -130,6 +130,24 @@ def test_encoders_send_words_that_tasks_met(spark):
     assert shuffled(spark) - before < 4_000_000  # three times the network from each of four tasks is 13 MB
 
 
+def test_tfidf_shuffles_rare_words_only(spark, monkeypatch):
+    rows = [(1, ["a", "a", "b", "x"]), (2, ["a", "b", "y"]), (3, ["a", "c"]), (3, ["c", "z"]), (None, ["a", "n", "x"])]
+    docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    bags = {}
+    for d, t in rows:
+        bags.setdefault(d, Counter()).update(t)
+    df = Counter(w for b in bags.values() for w in b)
+    want = {}
+    for d, b in bags.items():
+        x = {w: n * (np.log(6 / (1 + df[w])) + 1) for w, n in b.items()}
+        want |= {(d, w): pytest.approx(v / np.sqrt(sum(y * y for y in x.values()))) for w, v in x.items()}
+    for sent in (250_000, 2, 0):
+        monkeypatch.setattr(weights, "SENT", sent)
+        out = weights.tfidf(docs)
+        assert {(r["doc_id"], r["word"]): r["weight"] for r in out.collect()} == want
+    monkeypatch.setattr(weights, "SENT", 250_000)
+    assert not re.search(r"hashpartitioning\(word", plan(weights.tfidf(docs)))
+
 
 def test_bootstrap_makes_no_row_a_replicate(spark):
     texts = [["p", "q"], ["p"], ["q", "r"], ["p", "q", "r"], ["s"]] * 20
