@@ -36,6 +36,31 @@ def test_projection_keeps_the_matrix(spark, mixed):
     assert (df == [sum(w in t for t in ({*x["tokens"]} for x in mixed.collect())) for w in c.words]).all()
 
 
+def test_only_possible_anchors_rows_are_sent(spark, mixed):
+    c = M.Corpus(mixed)
+    rows, mass, df = spectral.projected(c, 100)
+    able = df > np.median(df)
+    few = spectral.projected(c, 100, able=able)[0]
+    assert len(few) == able.sum() < len(rows) and np.allclose(few, rows[able], atol=1e-4)
+    corners = few[:3]
+    assert np.allclose(spectral.against(c, corners), rows @ corners.T, rtol=1e-4, atol=1e-3)
+    scaled = rows / mass[:, None] / 10
+    at = np.flatnonzero(able)[spectral.pick(scaled[able], np.ones(able.sum(), bool), 3)]
+    want = spectral.mixtures_of(scaled, scaled[at]) * mass[:, None]
+    phi, anchors = spectral.anchor_topics(c, 3, 100, int(np.median(df)) + 1)
+    assert anchors == at.tolist() and np.allclose(phi, (want / want.sum(axis=0)).T, atol=2e-3)
+
+
+def test_unaligned_languages_start_apart(spark):
+    rng = np.random.default_rng(0)
+    docs = [[f"{lang}:w{min(int(rng.exponential(6)), 29)}" for _ in range(40)] for lang in ("a", "b", "c") for _ in range(60)]
+    m = M.PolylingualLDA(3, iters=20).fit(M.Corpus(readers.from_tokens(spark, docs)))
+    lead = {}
+    for r in m.theta.collect():
+        lead.setdefault(int(str(r["doc_id"])) // 60, np.zeros(3))[r["topic"]] += r["p"] / 60
+    assert sorted(int(x.argmax()) for x in lead.values()) == [0, 1, 2] and min(x.max() for x in lead.values()) > 0.8
+
+
 def test_mixtures_of_corners():
     rng = np.random.default_rng(0)
     corners, want = rng.normal(size=(4, 30)), rng.dirichlet(np.ones(4), 50)
