@@ -57,3 +57,38 @@ def test_planted_phrases_are_found(spark):
 def test_documents_without_pairs(spark):
     model = M.TopicalNGrams(2, iters=3).fit(readers.from_tokens(spark, [["a"], ["b"], ["a", "c"]]))
     assert model.theta.count() == 6
+
+
+def test_runs_equal_whole_documents():
+    rng, k, v = np.random.default_rng(3), 3, 6
+    size = np.array([40, 23, 1, 17])
+    w, own = rng.integers(v, size=size.sum()), np.repeat(np.arange(4), size)
+    b = np.where(rng.random(len(w)) < 0.6, rng.integers(0, 5, len(w)), -1)
+    b[np.cumsum(size) - size] = -1
+    phi, sigma, psi = rng.random((v, k)), rng.random((5, k)), rng.random((v, k))
+    alone, single, tied, *posts, like, theta = phrases.settle(w, b, own, 4, 0.1, phi, sigma, psi)
+    topic, carried, before = np.zeros((3, len(w), k))
+    topic[alone], topic[tied], carried[tied], before[tied] = single.T, *posts
+    assert len(alone) and len(tied) and len(alone) + len(tied) == len(w)
+    together, last = 0.0, np.full((4, k), 1 / k)
+    for d in range(4):
+        at = own == d
+        for _ in range(phrases.INNER):
+            x, y, z, one = (a[:, 0] if a.ndim == 3 else a[0] for a in phrases.chain(w[at][:, None], b[at][:, None], size[d : d + 1], last[d : d + 1], phi, sigma, psi))
+            last[d] = (x.sum(axis=0) + 0.1) / (x.sum(axis=0) + 0.1).sum()
+        assert all(np.allclose(p, q, atol=1e-5) for p, q in ((topic[at], x), (carried[at], y), (before[at], z), (theta[d], last[d])))
+        together += one
+    assert np.isclose(like, together, rtol=1e-5)
+
+
+def test_a_document_takes_as_many_steps_as_its_longest_run():
+    b = np.zeros(30_000, np.int64)
+    b[::3] = -1
+    groups = list(phrases.runs(b, 6))
+    assert all(len(at) == 3 for at, _ in groups) and sum(len(size) for _, size in groups) == 10_000
+
+
+def test_all_frequent_pairs_are_held(spark):
+    m = M.TopicalNGrams(2, iters=1, min_pair=2)
+    m.fit(readers.from_tokens(spark, [[f"w{i}x", f"w{j}x"] for i in range(6) for j in range(6)] * 2))
+    assert not hasattr(phrases, "MAX_PAIRS") and len(m.pairs) == m.pair_counts.count() == 36
