@@ -173,7 +173,7 @@ class TopicalNGrams:
         """(some documents of the batch, w, b, own, their number): tokens of a bounded number of documents, one after the other."""
         for batch in batches:
             size = pc.list_value_length(batch.column("w")).to_numpy(zero_copy_only=False).astype(np.int64)
-            part = np.cumsum(size) * k // ENTRIES
+            part = np.cumsum(size) * k // (4 * ENTRIES)
             ends = [*(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(size)]
             for lo, hi in zip([0, *ends], ends, strict=False):
                 if hi > lo:
