@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import ENTRIES, Corpus, TopicModel, add_rows, parts, summed
+from .base import ENTRIES, Corpus, TopicModel, add_rows, numbered, parts, summed
 
 #: Passes over a document in which its mixture settles.
 INNER = 4
@@ -142,7 +142,7 @@ class TopicalNGrams:
     def _sequences(self, docs: DataFrame, corpus: Corpus) -> DataFrame:
         """(doc_id, w, b): kept words in order, and the pair that each makes with its neighbour before, or -1."""
         spark = corpus.spark
-        index = F.broadcast(spark.createDataFrame(list(corpus.index.items()) or [("", -1)], "word string, i int"))  # the vocabulary
+        index = F.broadcast(numbered(spark, corpus.words))  # the vocabulary
         # dealt by documents once, as token lists; counting and listing then stay where a document lies
         tokens = docs.select("doc_id", "tokens").repartition("doc_id").select("doc_id", F.posexplode("tokens").alias("pos", "word")).join(index, "word")
         rows = tokens.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "i"))).alias("t")).persist()
