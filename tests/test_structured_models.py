@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill import models as M
+from lexmill.models import positions
 from lexmill.sources import readers
 from test_models import blocks, planted, simplex
 
@@ -259,3 +260,17 @@ def test_windows_have_topics_of_their_own(spark):
     top = fitted.top_words(3)
     assert {w[:4] for w in top[0] + top[1]} == {"left", "righ"}
     assert len({w[:6] for ws in top[2:] for w in ws if w.startswith("asp")}) == 3
+
+
+def test_smooth_sums_take_some_words_at_a_time():
+    """Sums over words at all points of the grid never hold words times points."""
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    x, w, at = rng.normal(0, 0.3, 100_000), rng.random((2, 100_000)), rng.normal(size=30)
+    tracemalloc.start()
+    got = positions._on_grid(x, w, at, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20  # words times points take 103 MB
+    assert np.allclose(got, [[(v * x * np.exp(a * x)).sum() for a in at] for v in w], rtol=1e-3)
