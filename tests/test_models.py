@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill import models as M
-from lexmill.models import base, variational
+from lexmill.models import base, mixture, variational
+from lexmill.operators import documents
 from lexmill.sources import readers
 
 
@@ -244,3 +245,25 @@ def test_documents_settle_in_fewer_rounds(monkeypatch):
     settled = fitted(0.0, 1e-9, 5000)[0]
     (old, most), (new, few) = fitted(0.0, variational.TOL, 60), fitted(variational.BEYOND, variational.TOL, 60)
     assert few < 0.8 * most and np.abs(new - settled).sum() < np.abs(old - settled).sum()
+
+
+def test_biterms_of_a_document_are_summed_in_place(spark):
+    """Sums over the pairs that documents' tokens make equal those over rows of pairs, also where words are pruned in between."""
+    rng, v, k, window = np.random.default_rng(6), 9, 3, 4
+    texts = [[f"w{j}" for j in rng.integers(0, 12, rng.integers(1, 30))] for _ in range(20)]
+    frame = readers.from_tokens(spark, texts)
+    phi, mix = rng.dirichlet(np.ones(v), k), rng.dirichlet(np.ones(k))
+    tokens = [[(p, int(w[1:])) for p, w in enumerate(t) if int(w[1:]) < v] for t in texts]
+    pos, i = (np.array([x[j] for t in tokens for x in t]) for j in range(2))
+    own = np.repeat(np.arange(20), [len(t) for t in tokens])
+    got, like = mixture.biterm_shares(pos, i, own, window, phi, mix)
+    assert len(pos) < sum(map(len, texts))
+    words, want = np.zeros((k, v)), 0.0
+    for r in documents.biterms(frame, window).collect():
+        a, b = int(r["w1"][1:]), int(r["w2"][1:])
+        if max(a, b) < v:
+            p = mix * phi[:, a] * phi[:, b]
+            want += r["n"] * np.log(p.sum())
+            for w in (a, b):
+                words[:, w] += r["n"] * p / p.sum()
+    assert np.isclose(like, want) and np.allclose(np.array([np.bincount(i, x, v) for x in got]), words)
