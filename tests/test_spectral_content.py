@@ -126,3 +126,35 @@ def test_content_of_groups(spark):
 def test_planted_rows_without_cooccurrence(spark):
     docs = readers.from_tokens(spark, [["one"], ["two"], *planted(n=30)])
     assert M.AnchorLDA(3, min_df=1).fit(docs).theta.agg(F.count("*")).first()[0] > 0
+
+
+def test_words_of_groups_leave_the_driver_some_blocks_at_a_time(spark, monkeypatch):
+    """Deviations and shares are those of all words' regressions together, whatever leaves the driver at a time."""
+    rng, design = np.random.default_rng(7), content.Design(2, 3, False)
+    stats = rng.gamma(0.5, 20.0, (3, 2, 50))
+    cells = stats.transpose(2, 1, 0).reshape(50, 6)
+    want, _ = content.regress(cells, np.outer(cells.sum(axis=1) / cells.sum(), cells.sum(axis=0)), design, np.array([4.0, 1.0]))
+    monkeypatch.setattr(content, "WORDS", 8)
+    monkeypatch.setattr(content, "TOGETHER", 3)
+    coef, shares = content.deviations(spark, stats, design, (1.0, 4.0))
+    p = np.exp(design.expand(want) + np.log(cells.sum(axis=1))[:, None])
+    assert coef.dtype == shares.dtype == np.float32 and np.allclose(coef, want, atol=1e-3)
+    assert np.allclose(shares, (p / p.sum(axis=0)).reshape(50, 2, 3).transpose(2, 1, 0), atol=1e-4)
+
+
+def test_all_languages_are_groups(spark, tmp_path, monkeypatch):
+    """Languages beyond a hundred are groups too, and a group that the model wasn't told is an error, not the first group."""
+    from lexmill.plans import model_queries
+
+    rows = [(i, f"t{i % 5}x t{i % 7}y", f"l{i % 130:03}", "s") for i in range(260)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    told = []
+    monkeypatch.setattr(model_queries.M, "STM", lambda *a, **kw: told.extend(kw["groups"]) or M.DMR(2, 1))
+    monkeypatch.setattr(model_queries, "_fitted", lambda *a, **kw: None)
+    monkeypatch.setattr(model_queries, "_corpus", lambda *a, **kw: None)
+    model_queries.stm_content_fit(spark, str(tmp_path))
+    assert len(told) == 131 and told[-1] == "?"
+    docs = spark.createDataFrame([(i, ["a", "b"], "xy"[i % 2]) for i in range(6)], "doc_id long, tokens array<string>, group string")
+    m = M.STM(2, groups=["x"], iters=1, init="lda")
+    with pytest.raises(Exception, match="KeyError"):
+        m.fit(M.Corpus(docs, carry=("group",)))
