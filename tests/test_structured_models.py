@@ -1,11 +1,12 @@
 """Structured, embedded, encoded and positional models on planted corpora."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lexmill import models as M
-from lexmill.models import positions
+from lexmill.models import base, neural, positions
 from lexmill.sources import readers
 from test_models import blocks, planted, simplex
 
@@ -274,3 +275,61 @@ def test_smooth_sums_take_some_words_at_a_time():
     tracemalloc.stop()
     assert peak < 32 << 20  # words times points take 103 MB
     assert np.allclose(got, [[(v * x * np.exp(a * x)).sum() for a in at] for v in w], rtol=1e-3)
+
+
+def test_windows_of_sentences_equal_those_of_words():
+    """Fitting windows by sentence gives what fitting them by word and window does."""
+    rng, v, t, kg, kl = np.random.default_rng(8), 12, 3, 2, 3
+    m = M.MGLDA(kg, kl, window=t)
+    rows = []
+    for many in (5, 1, 3):
+        e = sorted((int(s), int(i)) for s in rng.choice(many + 1, many, replace=False) for i in rng.choice(v, 4, replace=False))
+        rows.append(([s for s, _ in e], [i for _, i in e], rng.integers(1, 4, len(e)).tolist()))
+    bag = base.Bags(pa.RecordBatch.from_pydict({c: [r[j] for r in rows] for j, c in enumerate("sin")}))
+    phi = rng.dirichlet(np.ones(v), kg + kl).T
+    got, like = m._windows(bag, phi)
+    for d, (s, i, n) in enumerate(rows):
+        b, n, last = phi[i], np.array(n, float), max(s) + t
+        whole, local, share, place = np.full(kg, 1 / kg), np.full((last, kl), 1 / kl), np.full(last, 0.5), np.full((last, t), 1 / t)
+        for _ in range(15):
+            g, w = np.zeros((len(s), t, kg)), np.zeros((len(s), t, kl))
+            for e in range(len(s)):
+                for j in range(t):
+                    g[e, j] = whole * b[e, :kg] * place[s[e], j] * share[s[e] + j]
+                    w[e, j] = local[s[e] + j] * b[e, kg:] * place[s[e], j] * (1 - share[s[e] + j])
+            p = g.sum(axis=(1, 2)) + w.sum(axis=(1, 2))
+            g, w = g * (n / p)[:, None, None], w * (n / p)[:, None, None]
+            whole, local, place, ng, nl = g.sum(axis=(0, 1)) + m.alpha[:kg], np.full((last, kl), 0.1), np.full((last, t), 0.1), np.zeros(last), np.zeros(last)
+            for e in range(len(s)):
+                for j in range(t):
+                    local[s[e] + j] += w[e, j]
+                    ng[s[e] + j] += g[e, j].sum()
+                    nl[s[e] + j] += w[e, j].sum()
+                    place[s[e], j] += g[e, j].sum() + w[e, j].sum()
+            whole, local, place = whole / whole.sum(), local / local.sum(axis=1, keepdims=True), place / place.sum(axis=1, keepdims=True)
+            share = (ng + 0.1) / (ng + nl + 0.2)
+        assert np.isclose(like[d], (n * np.log(p)).sum()) and np.allclose(got[bag.own == d], np.concatenate((g.sum(axis=1), w.sum(axis=1)), axis=1))
+
+
+def test_decoder_takes_words_in_blocks(monkeypatch):
+    """The decoder's bound and slopes are the same whether its words are taken together or a few at a time, and those of differences."""
+    rng, v = np.random.default_rng(9), 23
+    rows = [sorted(rng.choice(v, 6, replace=False).tolist()) for _ in range(7)]
+    bag = base.Bags(pa.RecordBatch.from_pydict({"i": rows, "n": [rng.integers(1, 4, 6).tolist() for _ in rows]}))
+    m = M.ProdLDA(3, hidden=4)
+    p = m._start(m._shapes(v, 0))
+    theta = rng.dirichlet(np.ones(3), 7)
+
+    def decoded(words, beta):
+        monkeypatch.setattr(neural, "WORDS", words)
+        slopes, q = np.zeros((3, v)), p | {"beta": beta.copy(), "out": p["out"].copy()}
+        bound, dtheta = m._decoded(bag, q, theta, lambda at, x: slopes.__setitem__((slice(None), at), x))
+        return bound, dtheta, slopes, q["out"]
+
+    one, few = decoded(100, p["beta"]), decoded(5, p["beta"])
+    assert all(np.allclose(x, y, rtol=1e-4, atol=1e-4) for x, y in zip(one, few, strict=True))
+    for k, w in ((0, 3), (2, 17)):
+        step = np.zeros((3, v))
+        step[k, w] = 0.05
+        slope = (decoded(5, p["beta"] + step)[0] - decoded(5, p["beta"] - step)[0]) / 0.1
+        assert np.isclose(-slope / 7, few[2][k, w], rtol=0.02, atol=0.01)
